@@ -2,8 +2,9 @@
 
 Everything goes through SQL DDL of the session catalog, so the same code
 serves the in-memory catalog of tests and a shared metastore on a cluster.
-Partition repair is ``MSCK REPAIR TABLE ... SYNC PARTITIONS``, which Spark
-runs with a distributed listing when the table has many partition folders.
+New partitions are registered with ``MSCK REPAIR TABLE ... ADD PARTITIONS``,
+which Spark runs with a distributed listing when the table has many partition
+folders; partitions gone from storage are dropped by value.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def publish(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> dict:
     name = spec.qualified_name
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{spec.database}`")
     created = False
-    if not spark.catalog.tableExists(spec.table, spec.database):
+    if not spark.catalog.tableExists(f"{spec.database}.{spec.table}"):
         props = {
             "lakesync.record_key": ",".join(spec.keys),
             "lakesync.ordering": spec.order,
@@ -83,8 +84,17 @@ def catalog_partitions(spark: SparkSession, name: str, partition: str) -> DataFr
             .select(F.url_decode(F.regexp_extract("partition", rf"(?:^|/){partition}=([^/]*)", 1)).alias(partition)))
 
 
-def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True) -> dict:
-    """Bring catalog partitions in line with storage.
+def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True,
+                    drop_batch: int = 500) -> dict:
+    """Bring catalog partitions in line with storage (C3); storage is the truth.
+
+    Partitions with data files but no catalog entry are added with
+    ``MSCK REPAIR TABLE ... ADD PARTITIONS`` (Spark lists the folders with a
+    distributed job when there are many).  Catalog partitions without data
+    files under the table root are dropped with ``ALTER TABLE ... DROP
+    PARTITION`` in groups of ``drop_batch``; only their partition values --
+    catalog metadata, one row per partition -- reach the driver.  Dropping a
+    partition of an external table leaves files alone.
 
     With ``condition`` (C4) nothing is changed when storage and catalog already
     agree.  Returns the number of partitions added and dropped.
@@ -93,11 +103,17 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
     if not spec.partition:
         spark.sql(f"REFRESH TABLE {_q(name)}")
         return {"ADD": 0, "DROP": 0}
-    drift = partition_drift(storage_partitions(spark, spec.path, spec.partition),
-                            catalog_partitions(spark, name, spec.partition), spec.partition)
+    p = spec.partition
+    drift = partition_drift(storage_partitions(spark, spec.path, p), catalog_partitions(spark, name, p), p)
     counts = {r["action"]: r["n"] for r in drift.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not condition or counts:
-        spark.sql(f"MSCK REPAIR TABLE {_q(name)} SYNC PARTITIONS")
+    if counts.get("DROP"):
+        drops = [r[0] for r in drift.where(F.col("action") == "DROP").select(p).collect()]
+        for i in range(0, len(drops), drop_batch):
+            specs = ", ".join(f"PARTITION (`{p}` = '{v.replace(chr(39), chr(92) + chr(39))}')"
+                              for v in drops[i:i + drop_batch])
+            spark.sql(f"ALTER TABLE {_q(name)} DROP IF EXISTS {specs}")
+    if counts.get("ADD") or not condition:
+        spark.sql(f"MSCK REPAIR TABLE {_q(name)} ADD PARTITIONS")
     spark.sql(f"REFRESH TABLE {_q(name)}")
     return {"ADD": counts.get("ADD", 0), "DROP": counts.get("DROP", 0)}
 

@@ -12,9 +12,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,9 @@ from lakesync.spec import TableSpec
 from lakesync.streaming.ingest import run_upsert_stream
 
 
+CORRUPT_COL = "_corrupt_record"
+
+
 @dataclass
 class RunSummary:
     table: str
@@ -45,57 +49,79 @@ class RunSummary:
         return {k: sum(b.get(k, 0) for b in self.batches) for k in keys}
 
 
-def _stored_schema(schema: T.StructType, spec: TableSpec) -> T.StructType:
-    """Schema of the stored table: input columns plus the partition column."""
-    fields = list(schema.fields)
-    if spec.partition and spec.partition not in schema.fieldNames():
-        # the partition value is derived by an expression; its type is what
-        # Spark infers for that expression
-        fields.append(T.StructField(spec.partition, T.DateType(), True))
-    return T.StructType(fields)
+def _validator(target: T.StructType, spec: TableSpec, order_format: str | None,
+               strict: bool) -> Callable[[DataFrame], DataFrame]:
+    """Conform to ``target``; optionally parse the ordering field so it has
+    one time type in every run."""
 
+    def validate(batch: DataFrame) -> DataFrame:
+        good, _ = conform(batch, target, required=list(spec.keys) + [spec.order], corrupt_col=CORRUPT_COL)
+        if order_format:
+            parsed = parse_ts(spec.order, order_format, strict=strict)
+            good = good.withColumn(spec.order, parsed).where(F.col(spec.order).isNotNull())
+        return good
 
-def _ingest(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
-            checkpoint: str | None, max_files_per_trigger: int | None) -> list[UpsertResult]:
-    target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    return validate
 
-    def conform_batch(batch: DataFrame) -> DataFrame:
-        good, _ = conform(batch, target, required=list(spec.keys) + [spec.order])
-        return good
 
+def stored_schema(spark: SparkSession, source_schema: T.StructType, spec: TableSpec,
+                  validate: Callable[[DataFrame], DataFrame] | None = None) -> T.StructType:
+    """Schema of the stored table, derived by planning the ingest steps on an
+    empty frame (so the partition column gets the type its expression has)."""
+    empty = spark.createDataFrame([], source_schema)
+    df = validate(empty) if validate else empty
+    return prepare_batch(df, spec)[0].schema
+
+
+def _ingest(spark: SparkSession, source: str, target: T.StructType, spec: TableSpec,
+            checkpoint: str | None, max_files_per_trigger: int | None,
+            validate: Callable[[DataFrame], DataFrame]) -> list[UpsertResult]:
     ckpt = checkpoint or f"{spec.path.rstrip('/')}/_lakesync_checkpoint"
-    return run_upsert_stream(spark, source, target, spec, ckpt, transform=conform_batch,
-                             max_files_per_trigger=max_files_per_trigger)
+    return run_upsert_stream(spark, source, target, spec, ckpt, transform=validate,
+                             max_files_per_trigger=max_files_per_trigger, corrupt_col=CORRUPT_COL)
 
 
-def _publish(spark: SparkSession, spec: TableSpec, stored_schema: T.StructType, summary: RunSummary) -> None:
-    summary.publish = publish(spark, spec, stored_schema)
+def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary: RunSummary) -> None:
+    summary.publish = publish(spark, spec, schema)
     summary.partitions = sync_partitions(spark, spec)
 
 
+def _target(schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+
+
 def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
-               checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> RunSummary:
-    """Ingest new files under ``source`` and publish the table."""
+               checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+               order_format: str | None = None, strict: bool = False) -> RunSummary:
+    """Ingest new files under ``source`` and publish the table.
+
+    ``order_format`` parses a string ordering field to ``timestamp_ntz``;
+    unparseable values are rejected (``strict=False``) or fail the run.
+    """
     summary = RunSummary(spec.qualified_name)
-    target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    summary.batches = [r.as_dict() for r in _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger)]
-    _publish(spark, spec, _stored_schema(target, spec), summary)
+    target = _target(schema)
+    validate = _validator(target, spec, order_format, strict)
+    summary.batches = [r.as_dict() for r in _ingest(spark, source, target, spec, checkpoint,
+                                                     max_files_per_trigger, validate)]
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
     return summary
 
 
 def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
-                 checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> RunSummary:
+                 checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                 order_format: str | None = None, strict: bool = False) -> RunSummary:
     """Ingest, then publish in a second step that runs only if the first
     succeeded (P2)."""
     summary = RunSummary(spec.qualified_name)
-    target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    target = _target(schema)
+    validate = _validator(target, spec, order_format, strict)
     try:
         summary.batches = [r.as_dict() for r in _ingest(spark, source, target, spec, checkpoint,
-                                                         max_files_per_trigger)]
+                                                         max_files_per_trigger, validate)]
     except Exception as e:  # the publication step must not run after a failed ingest
         summary.ok, summary.error = False, f"ingest failed: {e}"
         return summary
-    _publish(spark, spec, _stored_schema(target, spec), summary)
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
     return summary
 
 
@@ -108,14 +134,17 @@ def run_batch(spark: SparkSession, source: str, spec: TableSpec, ts_col: str | N
     failing the job.
     """
     summary = RunSummary(spec.qualified_name)
-    df = read_json(spark, source)
+    o_in, o_out = Observation("lakesync_batch_in"), Observation("lakesync_batch_out")
+    df = read_json(spark, source).observe(o_in, F.count(F.lit(1)).alias("rows"))
     ts = ts_col or spec.order
     df = df.withColumn(ts, parse_ts(ts, ts_format, strict=strict))
     good, _ = prepare_batch(df.where(F.col(ts).isNotNull()) if not strict else df, spec)
+    good = good.observe(o_out, F.count(F.lit(1)).alias("rows"))
     latest = latest_per_key(good, spec.identity, spec.order, spec.tie)
     write_table(latest, spec.path, spec.partition, mode="overwrite", parallelism=spec.parallelism)
-    stored = spark.read.schema(latest.schema).parquet(spec.path)
-    _publish(spark, spec, stored.schema, summary)
+    n_in, n_good = o_in.get["rows"], o_out.get["rows"]
+    summary.batches = [{"rows_in": n_in, "rejected": n_in - n_good}]
+    _publish(spark, spec, latest.schema, summary)
     return summary
 
 

@@ -20,6 +20,7 @@ during the single write job; no extra pass is made for them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -58,7 +59,7 @@ def prepare_batch(batch: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFra
     """Add the partition column and split off rows whose key or partition is
     null.  Returns ``(good, rejected)``; ``rejected`` has ``_reject_reason``."""
     df = batch
-    if spec.partition and (spec.partition_expr or spec.partition not in df.columns):
+    if spec.partition and (spec.partition_expr is not None or spec.partition not in df.columns):
         df = df.withColumn(spec.partition, spec.partition_column())
     checks = [F.when(F.col(k).isNull(), F.lit(f"null key: {k}")) for k in spec.keys]
     if spec.partition:
@@ -94,11 +95,14 @@ def _stored(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataF
         return None
 
 
-def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None) -> DataFrame:
+def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
+              validate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Batch with partition column, good rows only, one row per identity."""
     if obs is not None:
         obs["in"] = Observation("lakesync_in")
         batch = batch.observe(obs["in"], F.count(F.lit(1)).alias("rows"))
+    if validate is not None:
+        batch = validate(batch)
     good, _ = prepare_batch(batch, spec)
     if obs is not None:
         obs["good"] = Observation("lakesync_good")
@@ -110,17 +114,20 @@ def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None) -> DataFrame:
     return deduped
 
 
-def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None) -> UpsertResult:
+def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
+                   validate: Callable[[DataFrame], DataFrame] | None = None) -> UpsertResult:
     """Upsert ``batch`` into the table at ``spec.path`` (K4 over K2).
 
-    Replaying the same batch leaves the table unchanged (tie rule), so a
-    retried streaming micro-batch is harmless.
+    ``validate`` maps the raw batch to its acceptable rows (e.g. a conform
+    step); rows it drops are counted as rejected.  Replaying the same batch
+    leaves the table unchanged (tie rule), so a retried streaming micro-batch
+    is harmless.
     """
     spark = spark or batch.sparkSession
     part = spec.partition
     res = UpsertResult(spec.path)
 
-    plain = _incoming(batch, spec, None)
+    plain = _incoming(batch, spec, None, validate)
     stored = _stored(spark, spec, plain.schema)
     touched_filter = None
     if stored is not None and part:
@@ -134,7 +141,7 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
             res.pruned, res.partitions = True, len(vals)
 
     obs: dict = {}
-    incoming = _incoming(batch, spec, obs)
+    incoming = _incoming(batch, spec, obs, validate)
     if stored is None:
         merged = incoming.withColumn(SRC_COL, F.lit(1))
     else:

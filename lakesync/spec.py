@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -15,8 +16,9 @@ class TableSpec:
     ``keys``       record-key fields (the SIMPLE key generator uses one).
     ``order``      ordering (precombine) field: the greatest value wins.
     ``partition``  name of the partition column in the stored table.
-    ``partition_expr``  SQL expression that derives the partition value from
-                   an incoming row; ``None`` means the column already exists.
+    ``partition_expr``  SQL expression (or a function returning a Column)
+                   that derives the partition value from an incoming row;
+                   ``None`` means the column already holds it.
     ``tie``        extra ordering columns used when ``order`` is tied.
     ``parallelism`` target number of write tasks; ``None`` leaves it to AQE.
     """
@@ -25,7 +27,7 @@ class TableSpec:
     keys: tuple[str, ...]
     order: str
     partition: str | None = None
-    partition_expr: str | None = None
+    partition_expr: str | Callable[[], Column] | None = None
     tie: tuple[str, ...] = ()
     parallelism: int | None = None
     database: str = "default"
@@ -54,6 +56,8 @@ class TableSpec:
         return f"{self.database}.{self.table}"
 
     def partition_column(self) -> Column:
-        if self.partition_expr:
+        if self.partition_expr is None:
+            return F.col(self.partition)
+        if isinstance(self.partition_expr, str):
             return F.expr(self.partition_expr)
-        return F.col(self.partition)
+        return self.partition_expr()

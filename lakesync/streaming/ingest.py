@@ -21,8 +21,15 @@ from lakesync.spec import TableSpec
 
 def read_json_stream(spark: SparkSession, path: str, schema: T.StructType | str,
                      max_files_per_trigger: int | None = None, corrupt_col: str | None = None) -> DataFrame:
-    """Streaming JSON scan with a declared schema (S3)."""
-    r = (spark.readStream.schema(schema).option("mode", "PERMISSIVE")
+    """Streaming JSON scan with a declared schema (S3).
+
+    With ``corrupt_col`` a line that does not fit the schema keeps its raw
+    text in that column, so the conform step can reject it.
+    """
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    if corrupt_col and corrupt_col not in st.fieldNames():
+        st = T.StructType([*st.fields, T.StructField(corrupt_col, T.StringType(), True)])
+    r = (spark.readStream.schema(st).option("mode", "PERMISSIVE")
          .option("timestampNTZFormat", TS_NTZ_FORMAT))
     if corrupt_col:
         r = r.option("columnNameOfCorruptRecord", corrupt_col)
@@ -38,14 +45,14 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
                         query_name: str | None = None) -> StreamingQuery:
     """Start a streaming upsert into ``spec.path``.
 
-    ``transform`` runs on each micro-batch before the upsert (e.g. conform).
+    ``transform`` maps each micro-batch to its acceptable rows before the
+    upsert (e.g. conform); what it drops is counted as rejected.
     ``available_now`` processes what is there and stops; otherwise the query
     runs on ``processing_time`` triggers.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        df = transform(batch) if transform else batch
-        res = upsert_to_path(df, spec, batch.sparkSession)
+        res = upsert_to_path(batch, spec, batch.sparkSession, validate=transform)
         res.extra["batch_id"] = batch_id
         if on_batch:
             on_batch(batch_id, res)
@@ -62,11 +69,12 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
 
 def run_upsert_stream(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                       checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
-                      max_files_per_trigger: int | None = None) -> list[UpsertResult]:
+                      max_files_per_trigger: int | None = None,
+                      corrupt_col: str | None = None) -> list[UpsertResult]:
     """Ingest everything available under ``source`` and stop; returns one
     result per micro-batch."""
     results: list[UpsertResult] = []
-    q = start_upsert_stream(read_json_stream(spark, source, schema, max_files_per_trigger), spec, checkpoint,
+    q = start_upsert_stream(read_json_stream(spark, source, schema, max_files_per_trigger, corrupt_col), spec, checkpoint,
                             transform=transform, on_batch=lambda _, r: results.append(r))
     q.awaitTermination()
     if q.exception() is not None:
