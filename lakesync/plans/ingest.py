@@ -45,8 +45,8 @@ class RunSummary:
     error: str | None = None
 
     def totals(self) -> dict:
-        keys = ("rows_in", "rejected", "duplicates", "stale", "inserted", "updated")
-        return {k: sum(b.get(k, 0) for b in self.batches) for k in keys}
+        keys = ("rows_in", "rejected", "superseded", "duplicates", "stale", "inserted", "updated")
+        return {k: sum(b.get(k) or 0 for b in self.batches) for k in keys}
 
 
 def _validator(target: T.StructType, spec: TableSpec, order_format: str | None,
@@ -75,10 +75,11 @@ def stored_schema(spark: SparkSession, source_schema: T.StructType, spec: TableS
 
 def _ingest(spark: SparkSession, source: str, target: T.StructType, spec: TableSpec,
             checkpoint: str | None, max_files_per_trigger: int | None,
-            validate: Callable[[DataFrame], DataFrame]) -> list[UpsertResult]:
+            validate: Callable[[DataFrame], DataFrame], exact_counts: bool) -> list[UpsertResult]:
     ckpt = checkpoint or f"{spec.path.rstrip('/')}/_lakesync_checkpoint"
     return run_upsert_stream(spark, source, target, spec, ckpt, transform=validate,
-                             max_files_per_trigger=max_files_per_trigger, corrupt_col=CORRUPT_COL)
+                             max_files_per_trigger=max_files_per_trigger, corrupt_col=CORRUPT_COL,
+                             exact_counts=exact_counts)
 
 
 def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary: RunSummary) -> None:
@@ -92,24 +93,28 @@ def _target(schema: T.StructType | str) -> T.StructType:
 
 def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-               order_format: str | None = None, strict: bool = False) -> RunSummary:
+               order_format: str | None = None, strict: bool = False,
+               exact_counts: bool = False) -> RunSummary:
     """Ingest new files under ``source`` and publish the table.
 
     ``order_format`` parses a string ordering field to ``timestamp_ntz``;
     unparseable values are rejected (``strict=False``) or fail the run.
+    ``exact_counts`` reports stale rows apart from batch duplicates (one more
+    shuffle of each batch).
     """
     summary = RunSummary(spec.qualified_name)
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
     summary.batches = [r.as_dict() for r in _ingest(spark, source, target, spec, checkpoint,
-                                                     max_files_per_trigger, validate)]
+                                                     max_files_per_trigger, validate, exact_counts)]
     _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
     return summary
 
 
 def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                  checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-                 order_format: str | None = None, strict: bool = False) -> RunSummary:
+                 order_format: str | None = None, strict: bool = False,
+                 exact_counts: bool = False) -> RunSummary:
     """Ingest, then publish in a second step that runs only if the first
     succeeded (P2)."""
     summary = RunSummary(spec.qualified_name)
@@ -117,7 +122,7 @@ def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, s
     validate = _validator(target, spec, order_format, strict)
     try:
         summary.batches = [r.as_dict() for r in _ingest(spark, source, target, spec, checkpoint,
-                                                         max_files_per_trigger, validate)]
+                                                         max_files_per_trigger, validate, exact_counts)]
     except Exception as e:  # the publication step must not run after a failed ingest
         summary.ok, summary.error = False, f"ingest failed: {e}"
         return summary

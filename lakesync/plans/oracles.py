@@ -85,6 +85,15 @@ ORACLES: dict[str, str] = {
                       "UNION SELECT DISTINCT 'order_' || lower(o_orderstatus) FROM orders)"),
     "ingest_inline": LATEST,
     "ingest_separate": LATEST,
+    "validate_tables": ("SELECT event_type AS table_name, true AS success, 3 AS n_checks, 0 AS n_failed "
+                        "FROM (SELECT DISTINCT event_type FROM events) UNION ALL "
+                        "SELECT DISTINCT 'order_' || lower(o_orderstatus), false, 3, 2 FROM orders"),
+    "describe_columns": ("SELECT column_name AS col_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' "
+                         "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' "
+                         "WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'int' END AS data_type, "
+                         "'column' AS kind FROM (DESCRIBE events) "
+                         "UNION ALL SELECT 'event_date', 'date', 'partition_column'"),
+    "synced_partitions": ("SELECT DISTINCT 'event_date=' || strftime(ts, '%Y-%m-%d') AS partition FROM events"),
     "ingest_batch": ("SELECT event_id, user_id, CAST(ts AS DATE) AS event_date, date_trunc('second', ts) AS ts, "
                      "event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) "
                      "ORDER BY date_trunc('second', ts) DESC, event_id DESC) = 1"),

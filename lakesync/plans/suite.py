@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.catalog.publish import publish, sync_partitions
+from lakesync.catalog.publish import describe_dataset, publish, sync_partitions
 from lakesync.functions.columns import parse_ts, parse_urn, partition_path, partition_value, record_key
 from lakesync.functions.conform import conform
 from lakesync.operators.audits import (
@@ -34,7 +34,7 @@ from lakesync.operators.audits import (
 )
 from lakesync.operators.drift import partition_drift
 from lakesync.operators.merge import latest_per_key, tag, upsert
-from lakesync.plans.ingest import run_batch, run_inline, run_separate
+from lakesync.plans.ingest import run_batch, run_inline, run_separate, run_validate
 from lakesync.session import scratch_path
 from lakesync.sinks.table import upsert_to_path, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot
@@ -280,22 +280,60 @@ def q_publish_table(spark, d):
 
 
 def q_catalog_audit(spark, d):
+    db, _, types = _published_by_type(spark, d)
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    expected = (types.select(F.col("event_type").alias("table_name"))
+                .unionByName(o.select(F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("table_name")))
+                .distinct().withColumn("database", F.lit(db)))
+    checks = audit_tables(expected, catalog_snapshot(spark, [db]))
+    return checks.select(F.regexp_extract("target", r"\.([^.]*)$", 1).alias("table_name"), "success")
+
+
+def _published_by_type(spark, d) -> tuple[str, str, DataFrame]:
+    """Every event type written under one root and published as a table."""
     ev = events(spark, d).withColumn("event_date", F.to_date("ts"))
     db = _db()
     root = scratch_path(spark, "by_type")
-    # one write job lays out every event type; each type is then published
-    # as its own table (catalog DDL is per table by nature)
     write_table(ev, root, ["event_type", "event_date"])
     types = ev.select("event_type").distinct()
     for r in types.collect():
         spec = events_spec(f"{root}/event_type={r.event_type}", database=db, table=r.event_type)
         publish(spark, spec, spark.read.schema(STORED_SCHEMA).parquet(spec.path).drop("event_type").schema)
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    expected = (types.select(F.col("event_type").alias("table_name"))
-                .unionByName(o.select(F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("table_name")))
-                .distinct().withColumn("database", F.lit(db)))
-    checks = audit_tables(expected, catalog_snapshot(spark, [db]))
-    return checks.select(F.regexp_extract("target", r"\.([^.]*)$", 1).alias("table_name"), "success")
+    return db, root, types
+
+
+def q_validate_tables(spark, d):
+    db, root, types = _published_by_type(spark, d)
+    statuses = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("t")).distinct()
+    names = [r[0] for r in types.collect()] + [r[0] for r in statuses.collect()]
+    specs = [events_spec(f"{root}/event_type={n}", database=db, table=n) for n in names]
+    _, verdicts = run_validate(spark, specs)
+    return verdicts.select(F.regexp_extract("target", r"\.([^.]*)$", 1).alias("table_name"),
+                           "success", "n_checks", "n_failed")
+
+
+def q_describe_columns(spark, d):
+    path = _written_events(spark, d)
+    spec = events_spec(path, database=_db(), table="events")
+    publish(spark, spec, spark.read.schema(STORED_SCHEMA).parquet(path).schema)
+    desc = describe_dataset(spark, spec.qualified_name)
+    return (desc.where(F.col("kind").isin("column", "partition_column"))
+            .select(F.col("name").alias("col_name"), F.col("value").alias("data_type"), "kind"))
+
+
+def q_synced_partitions(spark, d):
+    ev = events(spark, d).withColumn("event_date", F.to_date("ts"))
+    path = scratch_path(spark, "synced")
+    spec = events_spec(path, database=_db(), table="events")
+    # first arrival: the first half of the month, published and synced
+    write_table(ev.where(F.col("ts") < "2024-01-16"), path, "event_date")
+    publish(spark, spec, spark.read.schema(STORED_SCHEMA).parquet(path).schema)
+    sync_partitions(spark, spec)
+    # second arrival appends the rest; the conditional sync adds what is new
+    write_table(ev.where(F.col("ts") >= "2024-01-16"), path, "event_date", mode="append")
+    sync_partitions(spark, spec)
+    return spark.sql(f"SHOW PARTITIONS {spec.qualified_name}")
 
 
 def _ingest_input(spark, d) -> str:
@@ -357,4 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_inline": q_ingest_inline,
     "ingest_separate": q_ingest_separate,
     "ingest_batch": q_ingest_batch,
+    "validate_tables": q_validate_tables,
+    "describe_columns": q_describe_columns,
+    "synced_partitions": q_synced_partitions,
 }

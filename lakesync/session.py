@@ -49,20 +49,22 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_dir(spark), "lakesync", uuid.uuid4().hex, *parts])
 
 
-def table_exists_at(spark: SparkSession, path: str) -> bool:
-    """True if ``path`` holds a directory Spark can list."""
+def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` exists on its file system (one metadata call)."""
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(p))
 
 
-def strip_scheme(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def qualify(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority, as Spark reports file paths."""
+    p, fs = _hadoop_path(spark, path.rstrip("/") or "/")
+    return str(fs.makeQualified(p).toString())
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "table_exists_at", "is_local_path", "strip_scheme"]
+__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "qualify"]

@@ -4,12 +4,13 @@
 
 1. the batch gets its partition column; rows with a null key or partition are
    split off (rejected, never written);
-2. the batch is reduced to one row per identity (partial top-1 before the
-   shuffle);
+2. (only with ``exact_counts``) the batch is reduced to one row per
+   identity first, so duplicates and stale rows can be counted apart;
 3. only the touched partitions of the stored table are read (partition
    pruning in the scan);
 4. stored and incoming rows are merged by the winner rule of
-   :mod:`lakesync.operators.merge`;
+   :mod:`lakesync.operators.merge` in one shuffle by identity, with a top-1
+   per identity on the map side;
 5. the result is rebalanced by partition value (AQE splits a hot partition
    over several tasks and packs small ones) and written with dynamic partition
    overwrite, which replaces exactly the partitions present in the output.
@@ -29,14 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesync.operators.merge import SRC_COL, latest_per_key
-from lakesync.session import scratch_path
+from lakesync.session import path_exists, scratch_path
 from lakesync.spec import TableSpec
 
 REJECT_REASON = "_reject_reason"
 
 
-def _layout(df: DataFrame, partition: str | None, parallelism: int | None) -> DataFrame:
-    args = ([parallelism] if parallelism else []) + ([partition] if partition else [])
+def _layout(df: DataFrame, partitions: list[str], parallelism: int | None) -> DataFrame:
+    """Rebalance by the partition columns before a write: rows of one
+    partition value land in few tasks (few files per partition) while AQE
+    splits a hot partition value over several tasks and packs small ones."""
+    args = ([parallelism] if parallelism else []) + list(partitions)
     return df.hint("rebalance", *args)
 
 
@@ -46,7 +50,7 @@ def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None =
     full overwrite (W2) unless ``dynamic``; ``parallelism`` sets the number of
     write tasks (W4), otherwise AQE sizes them."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-    out = _layout(df, parts[0] if parts else None, parallelism) if parts or parallelism else df
+    out = _layout(df, parts, parallelism) if parts or parallelism else df
     w = out.write.mode(mode).option("compression", "snappy")
     if parts:
         w = w.partitionBy(*parts)
@@ -75,8 +79,9 @@ class UpsertResult:
     path: str
     rows_in: int = 0
     rejected: int = 0
-    duplicates: int = 0
-    stale: int = 0
+    superseded: int = 0  # good incoming rows that did not win (duplicates + stale)
+    duplicates: int | None = None  # beaten by a newer row of the same batch (exact_counts)
+    stale: int | None = None  # beaten by the stored row (exact_counts)
     inserted: int = 0
     updated: int = 0
     stored_read: int = 0
@@ -89,6 +94,8 @@ class UpsertResult:
 
 
 def _stored(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataFrame | None:
+    if not path_exists(spark, spec.path):
+        return None
     try:
         return spark.read.schema(schema).parquet(spec.path)
     except AnalysisException:
@@ -96,8 +103,9 @@ def _stored(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataF
 
 
 def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
-              validate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Batch with partition column, good rows only, one row per identity."""
+              validate: Callable[[DataFrame], DataFrame] | None = None, dedupe: bool = True) -> DataFrame:
+    """Batch with partition column and good rows only; with ``dedupe`` also
+    reduced to one row per identity."""
     if obs is not None:
         obs["in"] = Observation("lakesync_in")
         batch = batch.observe(obs["in"], F.count(F.lit(1)).alias("rows"))
@@ -107,6 +115,8 @@ def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
     if obs is not None:
         obs["good"] = Observation("lakesync_good")
         good = good.observe(obs["good"], F.count(F.lit(1)).alias("rows"))
+    if not dedupe:
+        return good
     deduped = latest_per_key(good, spec.identity, spec.order, spec.tie)
     if obs is not None:
         obs["dedup"] = Observation("lakesync_dedup")
@@ -114,20 +124,27 @@ def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
     return deduped
 
 
-def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
-                   validate: Callable[[DataFrame], DataFrame] | None = None) -> UpsertResult:
-    """Upsert ``batch`` into the table at ``spec.path`` (K4 over K2).
+def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
+                validate: Callable[[DataFrame], DataFrame] | None = None,
+                obs: dict | None = None, exact_counts: bool = False) -> tuple[DataFrame, UpsertResult]:
+    """The rows an upsert of ``batch`` would write, without writing them.
 
-    ``validate`` maps the raw batch to its acceptable rows (e.g. a conform
-    step); rows it drops are counted as rejected.  Replaying the same batch
-    leaves the table unchanged (tie rule), so a retried streaming micro-batch
-    is harmless.
+    The frame holds every row of every touched partition after the merge
+    (plus the ``_src`` column: 1 where the incoming row won).  Use it to
+    ``explain()`` the plan.  When ``obs`` is a dict, Observations are attached
+    and stored in it under ``in``, ``good``, ``dedup``, ``stored`` and ``out``.
+
+    Without ``exact_counts`` the batch is merged with the stored rows in one
+    shuffle (the map-side top-1 also trims batch duplicates).  With it, the
+    batch is first reduced to one row per identity -- one more shuffle of the
+    batch -- so that rows beaten inside the batch (duplicates) and rows beaten
+    by the stored row (stale) can be told apart.
     """
     spark = spark or batch.sparkSession
     part = spec.partition
     res = UpsertResult(spec.path)
 
-    plain = _incoming(batch, spec, None, validate)
+    plain = _incoming(batch, spec, None, validate, dedupe=False)
     stored = _stored(spark, spec, plain.schema)
     touched_filter = None
     if stored is not None and part:
@@ -140,27 +157,46 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
             touched_filter = vals
             res.pruned, res.partitions = True, len(vals)
 
-    obs: dict = {}
-    incoming = _incoming(batch, spec, obs, validate)
-    if stored is None:
+    incoming = _incoming(batch, spec, obs, validate, dedupe=exact_counts)
+    if stored is None and exact_counts:
         merged = incoming.withColumn(SRC_COL, F.lit(1))
+    elif stored is None:
+        merged = latest_per_key(incoming, spec.identity, spec.order, spec.tie).withColumn(SRC_COL, F.lit(1))
     else:
         if part and touched_filter is not None:
             stored = stored.where(F.col(part).isin(touched_filter)) if touched_filter else stored.limit(0)
         elif part:
             stored = stored.join(plain.select(part).distinct(), part, "left_semi")
-        obs["stored"] = Observation("lakesync_stored")
-        stored = stored.observe(obs["stored"], F.count(F.lit(1)).alias("rows"))
+        if obs is not None:
+            obs["stored"] = Observation("lakesync_stored")
+            stored = stored.observe(obs["stored"], F.count(F.lit(1)).alias("rows"))
         both = (stored.withColumn(SRC_COL, F.lit(0))
                 .unionByName(incoming.withColumn(SRC_COL, F.lit(1))))
         merged = latest_per_key(both, spec.identity, [spec.order, SRC_COL], spec.tie)
+    if obs is not None:
+        obs["out"] = Observation("lakesync_out")
+        merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
+                                F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
+    return merged, res
 
-    obs["out"] = Observation("lakesync_out")
-    merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
-                            F.count_if(F.col(SRC_COL) == 1).alias("incoming_won")).drop(SRC_COL)
 
-    if part:
-        write_table(merged, spec.path, part, mode="overwrite", parallelism=spec.parallelism, dynamic=True)
+def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
+                   validate: Callable[[DataFrame], DataFrame] | None = None,
+                   exact_counts: bool = False) -> UpsertResult:
+    """Upsert ``batch`` into the table at ``spec.path`` (K4 over K2).
+
+    ``validate`` maps the raw batch to its acceptable rows (e.g. a conform
+    step); rows it drops are counted as rejected.  Replaying the same batch
+    leaves the table unchanged (tie rule), so a retried streaming micro-batch
+    is harmless.  ``exact_counts`` splits ``superseded`` into ``duplicates``
+    and ``stale`` at the cost of one more shuffle of the batch.
+    """
+    spark = spark or batch.sparkSession
+    obs: dict = {}
+    merged, res = plan_upsert(batch, spec, spark, validate, obs, exact_counts)
+    merged = merged.drop(SRC_COL)
+    if spec.partition:
+        write_table(merged, spec.path, spec.partition, mode="overwrite", parallelism=spec.parallelism, dynamic=True)
     else:
         # an unpartitioned table is rewritten whole: stage the result in the
         # shared folder first so the table is never read while it is replaced
@@ -170,14 +206,16 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
 
     rows_in = obs["in"].get["rows"]
     good_n = obs["good"].get["rows"]
-    dedup_n = obs["dedup"].get["rows"]
     out = obs["out"].get
     stored_n = obs["stored"].get["rows"] if "stored" in obs else 0
     res.rows_in = rows_in
     res.rejected = rows_in - good_n
-    res.duplicates = good_n - dedup_n
     res.stored_read = stored_n
     res.inserted = out["rows"] - stored_n
     res.updated = out["incoming_won"] - res.inserted
-    res.stale = dedup_n - out["incoming_won"]
+    res.superseded = good_n - out["incoming_won"]
+    if exact_counts:
+        dedup_n = obs["dedup"].get["rows"]
+        res.duplicates = good_n - dedup_n
+        res.stale = dedup_n - out["incoming_won"]
     return res

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakesync.session import path_exists, qualify
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Read a hive-style partitioned Parquet table.
@@ -54,30 +56,30 @@ _LISTING_SCHEMA = "root string, path string, length bigint, root_exists boolean"
 def storage_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Files under each root, plus one marker row per root (input of V3).
 
-    Reads the ``binaryFile`` source with only ``path`` and ``length``, so no
-    file content is opened.  Spark lists large trees with a distributed job.
-    A missing root becomes a marker with ``root_exists = false``; an existing
-    empty root lists no files and its marker passes.
+    Root existence is one file-system metadata call per root.  All existing
+    roots are then listed by a single ``binaryFile`` scan that reads only
+    ``path`` and ``length`` (no file content is opened; Spark lists large
+    trees with a distributed job).  Each file is attributed to its root by an
+    equi-join of the file's ancestor folders with the root list, so no
+    per-root scan and no prefix (non-equi) join is needed.  A missing root
+    gets a marker with ``root_exists = false``; an existing empty root lists
+    no files and its marker passes.
     """
-    frames = []
-    for root in roots:
-        try:
-            files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                     .load(root).select("path", "length"))
-            exists = True
-        except AnalysisException:
-            files, exists = None, False
-        marker = spark.createDataFrame([(root, None, None, exists)], _LISTING_SCHEMA)
-        frames.append(marker)
-        if files is not None:
-            frames.append(files.select(F.lit(root).alias("root"), "path", "length",
-                                       F.lit(True).alias("root_exists")))
-    if not frames:
-        return spark.createDataFrame([], _LISTING_SCHEMA)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    exists = {r: path_exists(spark, r) for r in roots}
+    markers = spark.createDataFrame([(r, None, None, exists[r]) for r in roots], _LISTING_SCHEMA)
+    present = [r for r in roots if exists[r]]
+    if not present:
+        return markers
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(present).select("path", "length"))
+    root_map = spark.createDataFrame([(qualify(spark, r), r) for r in present], "_anc string, root string")
+    parts = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
+                            lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    attributed = (files.select("path", "length", F.explode(ancestors).alias("_anc"))
+                  .join(root_map, "_anc")
+                  .select("root", "path", "length", F.lit(True).alias("root_exists")))
+    return markers.unionByName(attributed)
 
 
 def storage_partitions(spark: SparkSession, path: str, partition: str) -> DataFrame:

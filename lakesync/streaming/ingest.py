@@ -42,7 +42,7 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
                         transform: Callable[[DataFrame], DataFrame] | None = None,
                         available_now: bool = True, processing_time: str | None = None,
                         on_batch: Callable[[int, UpsertResult], None] | None = None,
-                        query_name: str | None = None) -> StreamingQuery:
+                        query_name: str | None = None, exact_counts: bool = False) -> StreamingQuery:
     """Start a streaming upsert into ``spec.path``.
 
     ``transform`` maps each micro-batch to its acceptable rows before the
@@ -52,7 +52,7 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        res = upsert_to_path(batch, spec, batch.sparkSession, validate=transform)
+        res = upsert_to_path(batch, spec, batch.sparkSession, validate=transform, exact_counts=exact_counts)
         res.extra["batch_id"] = batch_id
         if on_batch:
             on_batch(batch_id, res)
@@ -70,12 +70,13 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
 def run_upsert_stream(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                       checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
                       max_files_per_trigger: int | None = None,
-                      corrupt_col: str | None = None) -> list[UpsertResult]:
+                      corrupt_col: str | None = None, exact_counts: bool = False) -> list[UpsertResult]:
     """Ingest everything available under ``source`` and stop; returns one
     result per micro-batch."""
     results: list[UpsertResult] = []
     q = start_upsert_stream(read_json_stream(spark, source, schema, max_files_per_trigger, corrupt_col), spec, checkpoint,
-                            transform=transform, on_batch=lambda _, r: results.append(r))
+                            transform=transform, on_batch=lambda _, r: results.append(r),
+                            exact_counts=exact_counts)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()

@@ -33,7 +33,7 @@ def test_stock_ticks_cases(spark, tmp_path):
         tick(volume="x"),                                                        # bad type
         tick(symbol=DROP),                                                       # null key
     ])
-    r1 = upsert_to_path(b1, spec, validate=_validate)
+    r1 = upsert_to_path(b1, spec, validate=_validate, exact_counts=True)
     assert _table(spark, spec) == {("A", "2018-08-31"): ("2018-08-31 10:30:00", 100),
                                    ("A", "2018-09-01"): ("2018-09-01 09:00:00", 100)}
     assert (r1.rows_in, r1.rejected, r1.duplicates, r1.inserted, r1.updated) == (5, 2, 1, 2, 0)
@@ -44,15 +44,18 @@ def test_stock_ticks_cases(spark, tmp_path):
     b2_rows = [tick(ts="2018-08-31 08:00:00", volume=1),     # late
                tick(ts="2018-08-31 10:30:00", volume=999)]   # tie: incoming wins
     b2 = _load(spark, tmp_path, "b2", b2_rows)
-    r2 = upsert_to_path(b2, spec, validate=_validate)
+    r2 = upsert_to_path(b2, spec, validate=_validate, exact_counts=True)
     after = _table(spark, spec)
     assert after[("A", "2018-08-31")] == ("2018-08-31 10:30:00", 999)
     assert (r2.stale, r2.updated, r2.inserted, r2.duplicates) == (0, 1, 0, 1)
     assert r2.pruned and r2.partitions == 1
 
     late = _load(spark, tmp_path, "b3", [tick(ts="2018-08-31 08:00:00", volume=1)])
-    r3 = upsert_to_path(late, spec, validate=_validate)
+    r3 = upsert_to_path(late, spec, validate=_validate, exact_counts=True)
     assert r3.stale == 1 and r3.updated == 0 and _table(spark, spec) == after
+    # without exact counts the same batch reports one superseded row
+    r3b = upsert_to_path(_load(spark, tmp_path, "b3b", [tick(ts="2018-08-31 08:00:00", volume=1)]), spec)
+    assert (r3b.superseded, r3b.stale, r3b.updated) == (1, None, 0)
 
     # replay of the second batch changes nothing
     upsert_to_path(_load(spark, tmp_path, "b2r", b2_rows), spec, validate=_validate)
