@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesync.operators.drift import needs_sync, partition_drift, schema_drift
+from lakesync.operators.drift import partition_drift, schema_drift
 from lakesync.sources.files import storage_partitions
 from lakesync.spec import TableSpec
 

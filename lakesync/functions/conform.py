@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REJECT_REASON = "_reject_reason"
-
+from lakesync.schema import as_struct
 
-def _as_struct(schema: T.StructType | str) -> T.StructType:
-    if isinstance(schema, T.StructType):
-        return schema
-    return T._parse_datatype_string(schema)
+REJECT_REASON = "_reject_reason"
 
 
 def conform(df: DataFrame, schema: T.StructType | str, required: list[str] | None = None,
@@ -29,7 +25,7 @@ def conform(df: DataFrame, schema: T.StructType | str, required: list[str] | Non
     ``rejected`` keeps the raw row as a JSON string plus ``_reject_reason``.
     Both frames share one plan, so Spark evaluates the casts once per action.
     """
-    target = _as_struct(schema)
+    target = as_struct(schema)
     have = set(df.columns)
     missing = [f.name for f in target.fields if f.name not in have]
     if missing:

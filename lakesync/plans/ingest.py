@@ -24,6 +24,7 @@ from lakesync.functions.columns import TS_PATTERN, parse_ts
 from lakesync.functions.conform import conform
 from lakesync.operators.audits import audit_databases, audit_paths, audit_tables, check_table, verdict
 from lakesync.operators.merge import latest_per_key
+from lakesync.schema import as_struct
 from lakesync.sinks.table import UpsertResult, prepare_batch, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot, database_snapshot
 from lakesync.sources.files import storage_listing
@@ -88,7 +89,7 @@ def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary
 
 
 def _target(schema: T.StructType | str) -> T.StructType:
-    return schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    return as_struct(schema)
 
 
 def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,

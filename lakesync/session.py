@@ -61,10 +61,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder this library created itself (e.g. a staged result)."""
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.delete(p, True))
+
+
 def qualify(spark: SparkSession, path: str) -> str:
     """``path`` with scheme and authority, as Spark reports file paths."""
     p, fs = _hadoop_path(spark, path.rstrip("/") or "/")
     return str(fs.makeQualified(p).toString())
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "qualify"]
+__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "remove_path", "qualify"]

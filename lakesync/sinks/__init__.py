@@ -1,5 +1,12 @@
 """Sinks: partitioned Parquet writes (W1, W2, W4) and the copy-on-write upsert (K4)."""
 
-from lakesync.sinks.table import UpsertResult, plan_upsert, prepare_batch, upsert_to_path, write_table
+from lakesync.sinks.table import (
+    UpsertResult,
+    commit_staged,
+    plan_upsert,
+    prepare_batch,
+    upsert_to_path,
+    write_table,
+)
 
-__all__ = ["UpsertResult", "plan_upsert", "prepare_batch", "upsert_to_path", "write_table"]
+__all__ = ["UpsertResult", "commit_staged", "plan_upsert", "prepare_batch", "upsert_to_path", "write_table"]

@@ -12,7 +12,9 @@
    :mod:`lakesync.operators.merge` in one shuffle by identity, with a top-1
    per identity on the map side;
 5. the result is rebalanced by partition value (AQE splits a hot partition
-   over several tasks and packs small ones) and written with dynamic partition
+   over several tasks and packs small ones) and written to a staging folder
+   in the shared ``spark.checkpoint.dir``;
+6. the staged files are copied into the table with dynamic partition
    overwrite, which replaces exactly the partitions present in the output.
 
 Counts for the run summary come from ``DataFrame.observe`` metrics collected
@@ -21,6 +23,7 @@ during the single write job; no extra pass is made for them.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesync.operators.merge import SRC_COL, latest_per_key
-from lakesync.session import path_exists, scratch_path
+from lakesync.session import path_exists, remove_path, scratch_path
 from lakesync.spec import TableSpec
 
 REJECT_REASON = "_reject_reason"
+log = logging.getLogger("lakesync")
 
 
 def _layout(df: DataFrame, partitions: list[str], parallelism: int | None) -> DataFrame:
@@ -87,6 +91,7 @@ class UpsertResult:
     stored_read: int = 0
     partitions: int | None = None
     pruned: bool = False
+    staged: str | None = None  # set while a staged result awaits its commit
     extra: dict = field(default_factory=dict)
 
     def as_dict(self) -> dict:
@@ -180,9 +185,26 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
     return merged, res
 
 
+def commit_staged(spark: SparkSession, staged: str, spec: TableSpec, schema: T.StructType) -> None:
+    """Copy a staged upsert result into the table (dynamic partition
+    overwrite, or a full overwrite for an unpartitioned table).
+
+    The copy reads only the staged files, never the table it replaces, so it
+    can be run again after a failure at any point -- this is the recovery
+    step for a commit that did not finish.  Staged files are already laid out
+    one partition per file, so the copy needs no shuffle.
+    """
+    staged_df = spark.read.schema(schema).parquet(staged)
+    w = staged_df.write.mode("overwrite").option("compression", "snappy")
+    if spec.partition:
+        w = w.partitionBy(spec.partition).option("partitionOverwriteMode", "dynamic")
+    w.parquet(spec.path)
+
+
 def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
                    validate: Callable[[DataFrame], DataFrame] | None = None,
-                   exact_counts: bool = False) -> UpsertResult:
+                   exact_counts: bool = False, stage: bool = True,
+                   stage_path: str | None = None) -> UpsertResult:
     """Upsert ``batch`` into the table at ``spec.path`` (K4 over K2).
 
     ``validate`` maps the raw batch to its acceptable rows (e.g. a conform
@@ -190,19 +212,45 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     leaves the table unchanged (tie rule), so a retried streaming micro-batch
     is harmless.  ``exact_counts`` splits ``superseded`` into ``duplicates``
     and ``stale`` at the cost of one more shuffle of the batch.
+
+    With ``stage`` (the default) the merged partitions are first written to a
+    fresh folder under the shared ``spark.checkpoint.dir`` and then copied
+    into the table by :func:`commit_staged`: the job that reads the table
+    never replaces it, and if the final commit is interrupted the complete
+    new content of every touched partition is still in ``result.staged``.
+    The staged folder is removed after a successful commit.  ``stage=False``
+    writes the merge straight into the table (one write less; an interrupted
+    commit can then lose the touched partitions).
+
+    ``stage_path`` fixes the staging folder (the streaming sink uses one per
+    batch id under its checkpoint).  If a complete staged result is already
+    there -- a previous attempt died during its commit -- it is committed
+    as it is instead of merging again, so a replay after a crash restores the
+    partitions exactly.
     """
     spark = spark or batch.sparkSession
+    if stage_path and path_exists(spark, f"{stage_path}/_SUCCESS"):
+        res = UpsertResult(spec.path, staged=stage_path)
+        log.warning("committing the staged result left by an earlier attempt: %s", stage_path)
+        schema = _incoming(batch, spec, None, validate, dedupe=False).schema
+        commit_staged(spark, stage_path, spec, schema)
+        remove_path(spark, stage_path)
+        res.staged, res.extra["recovered"] = None, True
+        return res
     obs: dict = {}
     merged, res = plan_upsert(batch, spec, spark, validate, obs, exact_counts)
     merged = merged.drop(SRC_COL)
-    if spec.partition:
+    if spec.partition and not stage:
         write_table(merged, spec.path, spec.partition, mode="overwrite", parallelism=spec.parallelism, dynamic=True)
     else:
-        # an unpartitioned table is rewritten whole: stage the result in the
-        # shared folder first so the table is never read while it is replaced
-        staged = scratch_path(spark, "stage")
-        merged.write.parquet(staged)
-        write_table(spark.read.parquet(staged), spec.path, None, mode="overwrite", parallelism=spec.parallelism)
+        # an unpartitioned table is always staged: it is rewritten whole
+        staged = stage_path or scratch_path(spark, "upsert-stage")
+        write_table(merged, staged, spec.partition, mode="overwrite", parallelism=spec.parallelism)
+        res.staged = staged
+        log.info("staged upsert of %s in %s", spec.path, staged)
+        commit_staged(spark, staged, spec, merged.schema)
+        remove_path(spark, staged)
+        res.staged = None
 
     rows_in = obs["in"].get["rows"]
     good_n = obs["good"].get["rows"]

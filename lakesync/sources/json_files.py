@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lakesync.schema import as_struct, with_string_field
+
 # Fixed value: zone-free timestamps are written and read with six fraction
 # digits; the JSON default keeps only milliseconds and would change the value.
 TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -23,10 +25,7 @@ def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType |
     r = spark.read.option("mode", "PERMISSIVE").option("timestampNTZFormat", TS_NTZ_FORMAT)
     if schema is not None:
         if corrupt_col:
-            st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-            if corrupt_col not in st.fieldNames():
-                st = T.StructType([*st.fields, T.StructField(corrupt_col, T.StringType(), True)])
-            schema = st
+            schema = with_string_field(as_struct(schema), corrupt_col)
             r = r.option("columnNameOfCorruptRecord", corrupt_col)
         r = r.schema(schema)
     return r.json(path)

@@ -2,8 +2,10 @@
 
 The file source records consumed files in the checkpoint; ``foreachBatch``
 upserts each micro-batch with :func:`lakesync.sinks.upsert_to_path`.  A
-micro-batch that is replayed after a failure is a no-op by the winner rule, so
-the sink is effectively exactly-once without a transaction log of its own.
+micro-batch that is replayed after a failure is a no-op by the winner rule,
+and a batch whose commit was cut short finds its staged result under the
+checkpoint and commits it again, so the sink is effectively exactly-once
+without a transaction log of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from lakesync.schema import as_struct, with_string_field
 from lakesync.sinks.table import UpsertResult, upsert_to_path
 from lakesync.sources.json_files import TS_NTZ_FORMAT
 from lakesync.spec import TableSpec
@@ -26,9 +29,9 @@ def read_json_stream(spark: SparkSession, path: str, schema: T.StructType | str,
     With ``corrupt_col`` a line that does not fit the schema keeps its raw
     text in that column, so the conform step can reject it.
     """
-    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    if corrupt_col and corrupt_col not in st.fieldNames():
-        st = T.StructType([*st.fields, T.StructField(corrupt_col, T.StringType(), True)])
+    st = as_struct(schema)
+    if corrupt_col:
+        st = with_string_field(st, corrupt_col)
     r = (spark.readStream.schema(st).option("mode", "PERMISSIVE")
          .option("timestampNTZFormat", TS_NTZ_FORMAT))
     if corrupt_col:
@@ -52,7 +55,11 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        res = upsert_to_path(batch, spec, batch.sparkSession, validate=transform, exact_counts=exact_counts)
+        # one staging folder per batch id in the durable checkpoint: a batch
+        # replayed after a crash during its commit re-commits that result
+        stage = f"{checkpoint.rstrip('/')}/_staged/batch={batch_id}"
+        res = upsert_to_path(batch, spec, batch.sparkSession, validate=transform, exact_counts=exact_counts,
+                             stage_path=stage)
         res.extra["batch_id"] = batch_id
         if on_batch:
             on_batch(batch_id, res)

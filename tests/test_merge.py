@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import io
 
 from pyspark.sql import functions as F
 
@@ -72,5 +74,10 @@ def test_tag_marks_insert_and_update(spark):
 
 def test_latest_per_key_trims_before_shuffle(spark):
     df = latest_per_key(_events(spark), ["user_id", "event_date"], "ts", ["event_id"])
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    plan = buf.getvalue()
+    # a partial top-1 runs on the map side, below the shuffle
+    assert plan.index("Exchange") < plan.index("WindowGroupLimit", plan.index("Exchange"))
+    assert "Partial" in plan and "Final" in plan
