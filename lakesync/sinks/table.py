@@ -91,6 +91,7 @@ class UpsertResult:
     stored_read: int = 0
     partitions: int | None = None
     pruned: bool = False
+    created: bool = False  # the batch created the table
     staged: str | None = None  # set while a staged result awaits its commit
     extra: dict = field(default_factory=dict)
 
@@ -151,6 +152,7 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
 
     plain = _incoming(batch, spec, None, validate, dedupe=False)
     stored = _stored(spark, spec, plain.schema)
+    res.created = stored is None
     touched_filter = None
     if stored is not None and part:
         # touched partitions: at most max_pruned_partitions + 1 values reach
@@ -240,7 +242,10 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     obs: dict = {}
     merged, res = plan_upsert(batch, spec, spark, validate, obs, exact_counts)
     merged = merged.drop(SRC_COL)
-    if spec.partition and not stage:
+    # a batch that creates the table has no stored rows to lose: an
+    # interrupted first write is repaired by replaying the batch, so it is
+    # written straight into the table
+    if spec.partition and (not stage or res.created):
         write_table(merged, spec.path, spec.partition, mode="overwrite", parallelism=spec.parallelism, dynamic=True)
     else:
         # an unpartitioned table is always staged: it is rewritten whole
