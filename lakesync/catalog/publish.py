@@ -84,18 +84,28 @@ def catalog_partitions(spark: SparkSession, name: str, partition: str) -> DataFr
             .select(F.url_decode(F.regexp_extract("partition", rf"(?:^|/){partition}=([^/]*)", 1)).alias(partition)))
 
 
+def _partition_specs(p: str, values: list) -> str:
+    return " ".join(f"PARTITION (`{p}` = '{str(v).replace(chr(39), chr(92) + chr(39))}')" for v in values)
+
+
 def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True,
-                    drop_batch: int = 500) -> dict:
+                    touched: list | None = None, batch: int = 500) -> dict:
     """Bring catalog partitions in line with storage (C3); storage is the truth.
 
-    Partitions with data files but no catalog entry are added with
-    ``MSCK REPAIR TABLE ... ADD PARTITIONS`` (Spark lists the folders with a
-    distributed job when there are many).  Catalog partitions without data
-    files under the table root are dropped with ``ALTER TABLE ... DROP
-    PARTITION`` in groups of ``drop_batch``; only their partition values --
+    Full sync (default): partitions with data files but no catalog entry are
+    added with ``MSCK REPAIR TABLE ... ADD PARTITIONS`` (Spark lists the
+    folders with a distributed job when there are many); catalog partitions
+    without data files under the table root are dropped with ``ALTER TABLE
+    ... DROP PARTITION`` in groups of ``batch``.  Only partition values --
     catalog metadata, one row per partition -- reach the driver.  Dropping a
     partition of an external table leaves files alone.
 
+    Incremental sync: with ``touched`` (the partition values an upsert just
+    rewrote, see ``UpsertResult.touched``) only those are registered with
+    ``ADD IF NOT EXISTS``; the table is not listed at all, so the cost does
+    not grow with the table.  An upsert never removes a partition, so nothing
+    needs dropping.
+
     With ``condition`` (C4) nothing is changed when storage and catalog already
     agree.  Returns the number of partitions added and dropped.
     """
@@ -104,13 +114,20 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
         spark.sql(f"REFRESH TABLE {_q(name)}")
         return {"ADD": 0, "DROP": 0}
     p = spec.partition
+    if touched is not None:
+        known = catalog_partitions(spark, name, p)
+        want = spark.createDataFrame([(str(v),) for v in touched], f"{p} string")
+        new = [r[0] for r in want.join(known, p, "left_anti").collect()]
+        for i in range(0, len(new), batch):
+            spark.sql(f"ALTER TABLE {_q(name)} ADD IF NOT EXISTS {_partition_specs(p, new[i:i + batch])}")
+        spark.sql(f"REFRESH TABLE {_q(name)}")
+        return {"ADD": len(new), "DROP": 0}
     drift = partition_drift(storage_partitions(spark, spec.path, p), catalog_partitions(spark, name, p), p)
     counts = {r["action"]: r["n"] for r in drift.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
     if counts.get("DROP"):
         drops = [r[0] for r in drift.where(F.col("action") == "DROP").select(p).collect()]
-        for i in range(0, len(drops), drop_batch):
-            specs = ", ".join(f"PARTITION (`{p}` = '{v.replace(chr(39), chr(92) + chr(39))}')"
-                              for v in drops[i:i + drop_batch])
+        for i in range(0, len(drops), batch):
+            specs = ", ".join(_partition_specs(p, [v]) for v in drops[i:i + batch])
             spark.sql(f"ALTER TABLE {_q(name)} DROP IF EXISTS {specs}")
     if counts.get("ADD") or not condition:
         spark.sql(f"MSCK REPAIR TABLE {_q(name)} ADD PARTITIONS")

@@ -92,11 +92,12 @@ class UpsertResult:
     partitions: int | None = None
     pruned: bool = False
     created: bool = False  # the batch created the table
+    touched: list | None = None  # partition values rewritten, when known (pruned upserts)
     staged: str | None = None  # set while a staged result awaits its commit
     extra: dict = field(default_factory=dict)
 
     def as_dict(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "extra"} | self.extra
+        return {k: v for k, v in self.__dict__.items() if k not in ("extra", "touched")} | self.extra
 
 
 def _stored(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataFrame | None:
@@ -162,7 +163,7 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
         vals = [r[0] for r in plain.select(part).distinct().limit(cap + 1).collect()]
         if len(vals) <= cap:
             touched_filter = vals
-            res.pruned, res.partitions = True, len(vals)
+            res.pruned, res.partitions, res.touched = True, len(vals), vals
 
     incoming = _incoming(batch, spec, obs, validate, dedupe=exact_counts)
     if stored is None and exact_counts:

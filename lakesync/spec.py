@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,11 +32,9 @@ class TableSpec:
     parallelism: int | None = None
     database: str = "default"
     table: str | None = None
-    hive_style: bool = True
     # partitions touched by one batch are pruned by value up to this many;
     # beyond it the stored side is filtered with a semi-join instead.
     max_pruned_partitions: int = 10_000
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self):
         if isinstance(self.keys, str):
