@@ -4,21 +4,34 @@
 
 1. the batch gets its partition column; rows with a null key or partition are
    split off (rejected, never written);
-2. (only with ``exact_counts``) the batch is reduced to one row per
-   identity first, so duplicates and stale rows can be counted apart;
+2. the good rows are reduced to one row per identity (top-1 per identity on
+   the map side, one shuffle of the batch) and written once to a folder of
+   the shared ``spark.checkpoint.dir``.  Every later step reads these files,
+   so the source (JSON parse, conform) runs once, the lineage is cut, and the
+   size of the batch is *measured*, not guessed;
 3. only the touched partitions of the stored table are read (partition
    pruning in the scan);
-4. stored and incoming rows are merged by the winner rule of
-   :mod:`lakesync.operators.merge` in one shuffle by identity, with a top-1
-   per identity on the map side;
-5. the result is rebalanced by partition value (AQE splits a hot partition
-   over several tasks and packs small ones) and written to a staging folder
-   in the shared ``spark.checkpoint.dir``;
-6. the staged files are copied into the table with dynamic partition
-   overwrite, which replaces exactly the partitions present in the output.
+4. the merge strategy follows the measured bytes of the batch's identity and
+   ordering columns:
+
+   * **broadcast merge** (within ``spec.broadcast_bytes``, by default the
+     session's ``spark.sql.autoBroadcastJoinThreshold``): the stored ordering
+     values of the batch's identities are found by a broadcast semi-join, the
+     winning batch rows by a broadcast left join, and the stored rows they
+     replace drop out by a broadcast anti-join.  Stored rows are scanned and
+     written back by the task that read them -- they are never shuffled.
+     Only the winning batch rows are rebalanced by partition value;
+   * **shuffle merge** (larger batches): stored and batch rows meet in one
+     shuffle by identity (keep-latest with the source as first tie-breaker),
+     then a rebalance by partition value lays out the files (AQE splits a hot
+     partition over several tasks and packs small ones);
+
+5. the result is written to a staging folder in the shared folder and copied
+   into the table with dynamic partition overwrite, which replaces exactly the
+   partitions present in the output.
 
 Counts for the run summary come from ``DataFrame.observe`` metrics collected
-during the single write job; no extra pass is made for them.
+during the batch and merge writes; no extra pass is made for them.
 """
 
 from __future__ import annotations
@@ -94,6 +107,8 @@ class UpsertResult:
     created: bool = False  # the batch created the table
     touched: list | None = None  # partition values rewritten, when known (pruned upserts)
     staged: str | None = None  # set while a staged result awaits its commit
+    strategy: str | None = None  # create, broadcast or shuffle merge
+    batch_bytes: int | None = None  # measured bytes of the batch's identity and ordering columns
     extra: dict = field(default_factory=dict)
 
     def as_dict(self) -> dict:
@@ -109,10 +124,26 @@ def _stored(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataF
         return None
 
 
+def _row_bytes(schema: T.StructType, cols: list[str]):
+    """Per-row size of ``cols`` as a hashed broadcast row holds them: a fixed
+    8-byte word per field plus the bytes of variable-length values."""
+    size = F.lit(8)
+    for c in cols:
+        dt = schema[c].dataType
+        if isinstance(dt, (T.StringType, T.BinaryType)):
+            size = size + F.lit(8) + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+        elif isinstance(dt, T.DecimalType) and dt.precision > 18:
+            size = size + F.lit(24)
+        else:
+            size = size + F.lit(8)
+    return size
+
+
 def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
               validate: Callable[[DataFrame], DataFrame] | None = None, dedupe: bool = True) -> DataFrame:
     """Batch with partition column and good rows only; with ``dedupe`` also
-    reduced to one row per identity."""
+    reduced to one row per identity.  With ``obs`` the deduplicated rows are
+    also measured: ``bytes`` of their identity and ordering columns."""
     if obs is not None:
         obs["in"] = Observation("lakesync_in")
         batch = batch.observe(obs["in"], F.count(F.lit(1)).alias("rows"))
@@ -127,64 +158,125 @@ def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
     deduped = latest_per_key(good, spec.identity, spec.order, spec.tie)
     if obs is not None:
         obs["dedup"] = Observation("lakesync_dedup")
-        deduped = deduped.observe(obs["dedup"], F.count(F.lit(1)).alias("rows"))
+        size = _row_bytes(deduped.schema, [*spec.identity, spec.order])
+        deduped = deduped.observe(obs["dedup"], F.count(F.lit(1)).alias("rows"),
+                                  F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
     return deduped
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def broadcast_bound(spark: SparkSession, spec: TableSpec) -> int:
+    """Byte bound of the broadcast merge: ``spec.broadcast_bytes`` or the
+    session's ``spark.sql.autoBroadcastJoinThreshold`` (<= 0: never)."""
+    if spec.broadcast_bytes is not None:
+        return int(spec.broadcast_bytes)
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")).strip().lower()
+    num = raw.rstrip("kmgtb ")
+    unit = raw[len(num):].strip()
+    try:
+        return int(float(num) * _UNITS.get(unit, 1))
+    except ValueError:
+        return -1
+
+
+def choose_strategy(spark: SparkSession, spec: TableSpec, batch_bytes: int, strategy: str = "auto") -> str:
+    """``broadcast`` when the measured batch fits the bound, else ``shuffle``."""
+    if strategy in ("broadcast", "shuffle"):
+        return strategy
+    if strategy != "auto":
+        raise ValueError("strategy must be 'auto', 'broadcast' or 'shuffle'")
+    bound = broadcast_bound(spark, spec)
+    return "broadcast" if 0 < batch_bytes <= bound else "shuffle"
+
+
+def _prune(stored: DataFrame, incoming: DataFrame, spec: TableSpec, res: UpsertResult) -> DataFrame:
+    """Restrict the stored table to the partitions the batch touches.
+
+    At most ``max_pruned_partitions + 1`` partition values (not rows) reach
+    the driver; within that bound they become a partition filter of the scan,
+    beyond it the stored side is filtered by a semi-join instead."""
+    part = spec.partition
+    if not part:
+        return stored
+    cap = spec.max_pruned_partitions
+    vals = [r[0] for r in incoming.select(part).distinct().limit(cap + 1).collect()]
+    if len(vals) <= cap:
+        res.pruned, res.partitions, res.touched = True, len(vals), vals
+        return stored.where(F.col(part).isin(vals)) if vals else stored.limit(0)
+    return stored.join(incoming.select(part).distinct(), part, "left_semi")
+
+
+def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: str,
+           obs: dict | None) -> DataFrame:
+    """Stored rows of the touched partitions merged with the (deduplicated)
+    batch, laid out for the write; ``_src`` is 1 where the batch row won."""
+    ids = list(spec.identity)
+    kept_src = stored
+    if obs is not None:
+        obs["stored"] = Observation("lakesync_stored")
+        kept_src = stored.observe(obs["stored"], F.count(F.lit(1)).alias("rows"))
+    if strategy == "broadcast":
+        s_ord = "_stored_order"
+        # stored ordering value of every batch identity already stored; at most
+        # one row per batch identity, so it is as small as the batch
+        hits = (stored.select(*ids, F.col(spec.order).alias(s_ord))
+                .join(F.broadcast(incoming.select(*ids)), ids, "left_semi")
+                .groupBy(*ids).agg(F.max(s_ord).alias(s_ord)))
+        o = F.col(spec.order)
+        # the batch row wins unless the stored ordering is greater (null is
+        # lowest); an ordering tie goes to the batch row
+        wins = F.col(s_ord).isNull() | (o.isNotNull() & (o >= F.col(s_ord)))
+        winners = incoming.join(F.broadcast(hits), ids, "left").where(wins).drop(s_ord)
+        kept = kept_src.join(F.broadcast(winners.select(*ids)), ids, "left_anti")
+        if spec.partition:
+            winners = _layout(winners, [spec.partition], None)
+        merged = (kept.withColumn(SRC_COL, F.lit(0))
+                  .unionByName(winners.withColumn(SRC_COL, F.lit(1))))
+    else:
+        both = (kept_src.withColumn(SRC_COL, F.lit(0))
+                .unionByName(incoming.withColumn(SRC_COL, F.lit(1))))
+        merged = latest_per_key(both, ids, [spec.order, SRC_COL], spec.tie)
+        if spec.partition or spec.parallelism:
+            merged = _layout(merged, [spec.partition] if spec.partition else [], spec.parallelism)
+    if obs is not None:
+        obs["out"] = Observation("lakesync_out")
+        merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
+                                F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
+    return merged
+
+
 def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
                 validate: Callable[[DataFrame], DataFrame] | None = None,
-                obs: dict | None = None, exact_counts: bool = False) -> tuple[DataFrame, UpsertResult]:
-    """The rows an upsert of ``batch`` would write, without writing them.
+                obs: dict | None = None, exact_counts: bool = False,
+                strategy: str = "auto") -> tuple[DataFrame, UpsertResult]:
+    """The rows an upsert of ``batch`` would write, laid out as written,
+    without writing them.
 
     The frame holds every row of every touched partition after the merge
     (plus the ``_src`` column: 1 where the incoming row won).  Use it to
-    ``explain()`` the plan.  When ``obs`` is a dict, Observations are attached
-    and stored in it under ``in``, ``good``, ``dedup``, ``stored`` and ``out``.
-
-    Without ``exact_counts`` the batch is merged with the stored rows in one
-    shuffle (the map-side top-1 also trims batch duplicates).  With it, the
-    batch is first reduced to one row per identity -- one more shuffle of the
-    batch -- so that rows beaten inside the batch (duplicates) and rows beaten
-    by the stored row (stale) can be told apart.
+    ``explain()`` the plan.  The batch is not materialized here, so with
+    ``strategy="auto"`` one job measures it to pick the strategy.
+    ``exact_counts`` is accepted for symmetry with :func:`upsert_to_path`.
     """
     spark = spark or batch.sparkSession
-    part = spec.partition
     res = UpsertResult(spec.path)
-
-    plain = _incoming(batch, spec, None, validate, dedupe=False)
-    stored = _stored(spark, spec, plain.schema)
+    incoming = _incoming(batch, spec, None, validate, dedupe=True)
+    stored = _stored(spark, spec, incoming.schema)
     res.created = stored is None
-    touched_filter = None
-    if stored is not None and part:
-        # touched partitions: at most max_pruned_partitions + 1 values reach
-        # the driver (partition values, not rows); past the bound the stored
-        # side is filtered by a semi-join instead
-        cap = spec.max_pruned_partitions
-        vals = [r[0] for r in plain.select(part).distinct().limit(cap + 1).collect()]
-        if len(vals) <= cap:
-            touched_filter = vals
-            res.pruned, res.partitions, res.touched = True, len(vals), vals
-
-    incoming = _incoming(batch, spec, obs, validate, dedupe=exact_counts)
-    if stored is None and exact_counts:
+    if stored is None:
         merged = incoming.withColumn(SRC_COL, F.lit(1))
-    elif stored is None:
-        merged = latest_per_key(incoming, spec.identity, spec.order, spec.tie).withColumn(SRC_COL, F.lit(1))
-    else:
-        if part and touched_filter is not None:
-            stored = stored.where(F.col(part).isin(touched_filter)) if touched_filter else stored.limit(0)
-        elif part:
-            stored = stored.join(plain.select(part).distinct(), part, "left_semi")
-        if obs is not None:
-            obs["stored"] = Observation("lakesync_stored")
-            stored = stored.observe(obs["stored"], F.count(F.lit(1)).alias("rows"))
-        both = (stored.withColumn(SRC_COL, F.lit(0))
-                .unionByName(incoming.withColumn(SRC_COL, F.lit(1))))
-        merged = latest_per_key(both, spec.identity, [spec.order, SRC_COL], spec.tie)
-    if obs is not None:
-        obs["out"] = Observation("lakesync_out")
-        merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
-                                F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
+        if spec.partition:
+            merged = _layout(merged, [spec.partition], spec.parallelism)
+        res.strategy = "create"
+        return merged, res
+    if strategy == "auto":
+        size = _row_bytes(incoming.schema, [*spec.identity, spec.order])
+        res.batch_bytes = int(incoming.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+    res.strategy = choose_strategy(spark, spec, res.batch_bytes or 0, strategy)
+    merged = _merge(incoming, _prune(stored, incoming, spec, res), spec, res.strategy, obs)
     return merged, res
 
 
@@ -204,17 +296,32 @@ def commit_staged(spark: SparkSession, staged: str, spec: TableSpec, schema: T.S
     w.parquet(spec.path)
 
 
+def _write(df: DataFrame, path: str, partition: str | None, dynamic: bool) -> None:
+    """Write a frame that is already laid out (no extra exchange)."""
+    w = df.write.mode("overwrite").option("compression", "snappy")
+    if partition:
+        w = w.partitionBy(partition)
+        if dynamic:
+            w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
+
+
 def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
                    validate: Callable[[DataFrame], DataFrame] | None = None,
                    exact_counts: bool = False, stage: bool = True,
-                   stage_path: str | None = None) -> UpsertResult:
+                   stage_path: str | None = None, strategy: str = "auto") -> UpsertResult:
     """Upsert ``batch`` into the table at ``spec.path`` (K4 over K2).
 
     ``validate`` maps the raw batch to its acceptable rows (e.g. a conform
     step); rows it drops are counted as rejected.  Replaying the same batch
     leaves the table unchanged (tie rule), so a retried streaming micro-batch
-    is harmless.  ``exact_counts`` splits ``superseded`` into ``duplicates``
-    and ``stale`` at the cost of one more shuffle of the batch.
+    is harmless.  ``exact_counts`` reports ``superseded`` split into
+    ``duplicates`` (beaten inside the batch) and ``stale`` (beaten by the
+    stored row); the batch is deduplicated anyway, so it costs nothing extra.
+
+    ``strategy`` is ``auto`` (broadcast merge when the measured batch is
+    within :func:`broadcast_bound`, else shuffle merge), ``broadcast`` or
+    ``shuffle``.
 
     With ``stage`` (the default) the merged partitions are first written to a
     fresh folder under the shared ``spark.checkpoint.dir`` and then copied
@@ -226,9 +333,10 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     commit can then lose the touched partitions).
 
     ``stage_path`` fixes the staging folder (the streaming sink uses one per
-    batch id under its checkpoint).  If a complete staged result is already
-    there -- a previous attempt died during its commit -- it is committed
-    as it is instead of merging again, so a replay after a crash restores the
+    batch id under its checkpoint); the deduplicated batch goes next to it,
+    in ``<stage_path>.batch``.  If a complete staged result is already there
+    -- a previous attempt died during its commit -- it is committed as it is
+    instead of merging again, so a replay after a crash restores the
     partitions exactly.
     """
     spark = spark or batch.sparkSession
@@ -238,29 +346,52 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         schema = _incoming(batch, spec, None, validate, dedupe=False).schema
         commit_staged(spark, stage_path, spec, schema)
         remove_path(spark, stage_path)
+        remove_path(spark, f"{stage_path.rstrip('/')}.batch")
         res.staged, res.extra["recovered"] = None, True
         return res
     obs: dict = {}
-    merged, res = plan_upsert(batch, spec, spark, validate, obs, exact_counts)
-    merged = merged.drop(SRC_COL)
-    # a batch that creates the table has no stored rows to lose: an
-    # interrupted first write is repaired by replaying the batch, so it is
-    # written straight into the table
-    if spec.partition and (not stage or res.created):
-        write_table(merged, spec.path, spec.partition, mode="overwrite", parallelism=spec.parallelism, dynamic=True)
+    res = UpsertResult(spec.path)
+    incoming = _incoming(batch, spec, obs, validate, dedupe=True)
+    stored = _stored(spark, spec, incoming.schema)
+    res.created = stored is None
+    batch_dir = None
+    if stored is None:
+        # a batch that creates the table has no stored rows to lose: an
+        # interrupted first write is repaired by replaying the batch, so it is
+        # written straight into the table
+        res.strategy = "create"
+        merged = incoming.withColumn(SRC_COL, F.lit(1))
+        obs["out"] = Observation("lakesync_out")
+        merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
+                                F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
+        write_table(merged.drop(SRC_COL), spec.path, spec.partition, mode="overwrite",
+                    parallelism=spec.parallelism, dynamic=True)
     else:
-        # an unpartitioned table is always staged: it is rewritten whole
         staged = stage_path or scratch_path(spark, "upsert-stage")
-        write_table(merged, staged, spec.partition, mode="overwrite", parallelism=spec.parallelism)
-        res.staged = staged
-        log.info("staged upsert of %s in %s", spec.path, staged)
-        commit_staged(spark, staged, spec, merged.schema)
-        remove_path(spark, staged)
-        res.staged = None
+        # the deduplicated batch is written once; the measurement rides along
+        batch_dir = f"{staged.rstrip('/')}.batch"
+        incoming.write.mode("overwrite").parquet(batch_dir)
+        res.batch_bytes = int(obs["dedup"].get["bytes"])
+        if obs["dedup"].get["rows"] > 0:
+            inc = spark.read.schema(incoming.schema).parquet(batch_dir)
+            res.strategy = choose_strategy(spark, spec, res.batch_bytes, strategy)
+            merged = _merge(inc, _prune(stored, inc, spec, res), spec, res.strategy, obs).drop(SRC_COL)
+            if spec.partition and not stage:
+                _write(merged, spec.path, spec.partition, dynamic=True)
+            else:
+                # an unpartitioned table is always staged: it is rewritten whole
+                _write(merged, staged, spec.partition, dynamic=False)
+                res.staged = staged
+                log.info("staged upsert of %s in %s", spec.path, staged)
+                commit_staged(spark, staged, spec, merged.schema)
+                remove_path(spark, staged)
+                res.staged = None
+        remove_path(spark, batch_dir)
 
     rows_in = obs["in"].get["rows"]
     good_n = obs["good"].get["rows"]
-    out = obs["out"].get
+    dedup_n = obs["dedup"].get["rows"]
+    out = obs["out"].get if "out" in obs else {"rows": 0, "incoming_won": 0}
     stored_n = obs["stored"].get["rows"] if "stored" in obs else 0
     res.rows_in = rows_in
     res.rejected = rows_in - good_n
@@ -269,7 +400,6 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     res.updated = out["incoming_won"] - res.inserted
     res.superseded = good_n - out["incoming_won"]
     if exact_counts:
-        dedup_n = obs["dedup"].get["rows"]
         res.duplicates = good_n - dedup_n
         res.stale = dedup_n - out["incoming_won"]
     return res

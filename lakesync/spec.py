@@ -21,6 +21,7 @@ class TableSpec:
                    ``None`` means the column already holds it.
     ``tie``        extra ordering columns used when ``order`` is tied.
     ``parallelism`` target number of write tasks; ``None`` leaves it to AQE.
+    ``broadcast_bytes`` size bound of the broadcast merge (see below).
     """
 
     path: str
@@ -35,6 +36,11 @@ class TableSpec:
     # partitions touched by one batch are pruned by value up to this many;
     # beyond it the stored side is filtered with a semi-join instead.
     max_pruned_partitions: int = 10_000
+    # an upsert batch whose identity and ordering columns measure at most this
+    # many bytes is merged by broadcast joins (stored rows are not shuffled);
+    # None uses the session's spark.sql.autoBroadcastJoinThreshold, and a
+    # value <= 0 always uses the shuffle merge.
+    broadcast_bytes: int | None = None
 
     def __post_init__(self):
         if isinstance(self.keys, str):

@@ -134,3 +134,48 @@ def test_interrupted_commit_is_recovered_from_stage(spark, tmp_path):
     # a normal replay afterwards changes nothing
     upsert_to_path(b2, spec, stage_path=stage)
     assert _table(spark, spec)[("A", "2018-08-31")] == ("2018-08-31 11:00:00", 5)
+
+
+def _merge_rows(spark, spec):
+    from lakesync.plans.suite import STORED_SCHEMA
+    t = read_table(spark, spec.path, STORED_SCHEMA)
+    return sorted((r.user_id, str(r.event_date), r.event_id, str(r.ts), r.value)
+                  for r in t.select("user_id", "event_date", "event_id", "ts", "value").collect())
+
+
+def test_broadcast_and_shuffle_merge_agree_with_oracle(spark, tmp_path):
+    import duckdb
+
+    from conftest import SF0001
+    from lakesync.plans.oracles import UPSERT
+    from lakesync.plans.suite import events, events_spec, restamped
+
+    ev = events(spark, SF0001)
+    got, counts = {}, {}
+    for strategy in ("broadcast", "shuffle"):
+        spec = events_spec(str(tmp_path / strategy))
+        assert upsert_to_path(ev, spec).strategy == "create"
+        r = upsert_to_path(restamped(ev), spec, strategy=strategy, exact_counts=True)
+        assert r.strategy == strategy
+        got[strategy] = _merge_rows(spark, spec)
+        counts[strategy] = (r.rows_in, r.duplicates, r.stale, r.inserted, r.updated, r.stored_read)
+    assert got["broadcast"] == got["shuffle"]
+    assert counts["broadcast"] == counts["shuffle"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF0001}/events.parquet')")
+    want = sorted((r[0], str(r[1]), r[2], str(r[3]), r[4]) for r in con.sql(UPSERT).fetchall())
+    assert got["broadcast"] == want
+
+
+def test_auto_strategy_follows_measured_batch_size(spark, tmp_path):
+    rows = [tick(symbol=s, ts=f"2018-08-31 09:{m:02d}:00") for s in "ABC" for m in (1, 2)]
+    small = ticks_spec(str(tmp_path / "small"))
+    never = ticks_spec(str(tmp_path / "never"), broadcast_bytes=0)
+    for spec in (small, never):
+        upsert_to_path(_load(spark, tmp_path, "b1", rows), spec)
+    r_small = upsert_to_path(_load(spark, tmp_path, "b2", [tick(ts="2018-08-31 10:00:00", volume=7)]), small)
+    r_never = upsert_to_path(_load(spark, tmp_path, "b2", [tick(ts="2018-08-31 10:00:00", volume=7)]), never)
+    assert (r_small.strategy, r_never.strategy) == ("broadcast", "shuffle")
+    assert r_small.batch_bytes == r_never.batch_bytes > 0
+    assert _table(spark, small) == _table(spark, never)
+    assert (r_small.updated, r_small.inserted) == (1, 0)
