@@ -61,6 +61,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def existing_paths(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
+    """Which of ``paths`` exist, with one listing per distinct parent folder
+    instead of one metadata call per path (partition roots of one table
+    share a parent, so a thousand roots cost one listing)."""
+    by_parent: dict[str, list[tuple[str, object, object]]] = {}
+    for raw in paths:
+        p, fs = _hadoop_path(spark, raw.rstrip("/") or "/")
+        q = fs.makeQualified(p)
+        parent = q.getParent()
+        by_parent.setdefault(str(parent) if parent is not None else "", []).append((raw, q, fs))
+    out: dict[str, bool] = {}
+    for parent, items in by_parent.items():
+        fs = items[0][2]
+        if not parent:
+            out.update({raw: bool(fs.exists(q)) for raw, q, _ in items})
+            continue
+        jp = items[0][1].getParent()
+        children = {str(st.getPath()) for st in fs.listStatus(jp)} if fs.exists(jp) else set()
+        out.update({raw: str(q) in children for raw, q, _ in items})
+    return out
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder this library created itself (e.g. a staged result)."""
     p, fs = _hadoop_path(spark, path)
@@ -73,4 +95,5 @@ def qualify(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toString())
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "remove_path", "qualify"]
+__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "remove_path",
+           "qualify"]

@@ -231,10 +231,16 @@ def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: st
         wins = F.col(s_ord).isNull() | (o.isNotNull() & (o >= F.col(s_ord)))
         winners = incoming.join(F.broadcast(hits), ids, "left").where(wins).drop(s_ord)
         kept = kept_src.join(F.broadcast(winners.select(*ids)), ids, "left_anti")
-        if spec.partition:
-            winners = _layout(winners, [spec.partition], None)
+        parts = [spec.partition] if spec.partition else []
+        if parts and not spec.parallelism:
+            # stored rows stay with the task that read them (a stored file
+            # holds one partition); only the batch rows are laid out
+            winners = _layout(winners, parts, None)
         merged = (kept.withColumn(SRC_COL, F.lit(0))
                   .unionByName(winners.withColumn(SRC_COL, F.lit(1))))
+        if spec.parallelism:
+            # an explicit write parallelism is honoured with one rebalance
+            merged = _layout(merged, parts, spec.parallelism)
     else:
         both = (kept_src.withColumn(SRC_COL, F.lit(0))
                 .unionByName(incoming.withColumn(SRC_COL, F.lit(1))))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesync.session import path_exists, qualify
+from lakesync.session import existing_paths, qualify
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -56,7 +56,8 @@ _LISTING_SCHEMA = "root string, path string, length bigint, root_exists boolean"
 def storage_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Files under each root, plus one marker row per root (input of V3).
 
-    Root existence is one file-system metadata call per root.  All existing
+    Root existence costs one folder listing per distinct parent of the roots
+    (partition roots of one table share it), not a call per root.  All existing
     roots are then listed by a single ``binaryFile`` scan that reads only
     ``path`` and ``length`` (no file content is opened; Spark lists large
     trees with a distributed job).  Each file is attributed to its root by an
@@ -65,7 +66,7 @@ def storage_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     gets a marker with ``root_exists = false``; an existing empty root lists
     no files and its marker passes.
     """
-    exists = {r: path_exists(spark, r) for r in roots}
+    exists = existing_paths(spark, roots)
     markers = spark.createDataFrame([(r, None, None, exists[r]) for r in roots], _LISTING_SCHEMA)
     present = [r for r in roots if exists[r]]
     if not present:
