@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesync.operators.sizing import broadcast_bound, measured_bytes
+
 SRC_COL = "_src"  # 0 = stored row, 1 = incoming row
 _RN = "_rn"
 
@@ -50,16 +52,35 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str
     return latest_per_key(both, keys, [order, SRC_COL], tie).drop(SRC_COL)
 
 
-def tag(incoming: DataFrame, stored_keys: DataFrame, keys: Sequence[str], col: str = "op") -> DataFrame:
+def tag(incoming: DataFrame, stored_keys: DataFrame, keys: Sequence[str], col: str = "op",
+        broadcast_bytes: int | None = None) -> DataFrame:
     """Mark each incoming row ``I`` (identity not stored yet) or ``U`` (K3).
 
-    ``stored_keys`` may contain duplicates and extra columns; it is reduced to
-    its distinct identities first (partial aggregation before the shuffle),
-    then left-joined.  AQE turns the join into a broadcast join at run time
-    when the key side turns out small; nothing is broadcast by assumption.
+    ``stored_keys`` may contain duplicates and extra columns.  The distinct
+    identities of the batch are measured first (one job over the batch):
+
+    * within the bound (``broadcast_bytes``, by default the session's
+      ``spark.sql.autoBroadcastJoinThreshold``) they are broadcast to a
+      semi-join with the stored keys, so the stored side is scanned and
+      filtered but never shuffled whole -- only the stored identities the
+      batch carries are de-duplicated (partially, map-side) and the result,
+      at most one row per batch identity, is broadcast back;
+    * beyond it the stored side is reduced to its distinct identities
+      (partial aggregation before the shuffle) and left-joined; AQE still
+      turns that join into a broadcast at run time when the measured key side
+      is small, and splits skewed join partitions.
     """
+    keys = list(keys)
     marker = "_stored"
-    present = stored_keys.select(*keys).distinct().withColumn(marker, F.lit(True))
-    return (incoming.join(present, on=list(keys), how="left")
-            .withColumn(col, F.when(F.col(marker), F.lit("U")).otherwise(F.lit("I")))
+    ids = incoming.select(*keys).distinct()
+    bound = broadcast_bound(incoming.sparkSession, broadcast_bytes)
+    size = measured_bytes(ids, keys) if bound > 0 else bound + 1
+    if size <= bound:
+        present = (stored_keys.select(*keys).join(F.broadcast(ids), keys, "left_semi")
+                   .distinct().withColumn(marker, F.lit(True)))
+        joined = incoming.join(F.broadcast(present), on=keys, how="left")
+    else:
+        present = stored_keys.select(*keys).distinct().withColumn(marker, F.lit(True))
+        joined = incoming.join(present, on=keys, how="left")
+    return (joined.withColumn(col, F.when(F.col(marker), F.lit("U")).otherwise(F.lit("I")))
             .drop(marker))

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesync.operators.merge import SRC_COL, latest_per_key
+from lakesync.operators.sizing import broadcast_bound, measured_bytes, row_bytes
 from lakesync.session import path_exists, remove_path, scratch_path
 from lakesync.spec import TableSpec
 
@@ -124,21 +125,6 @@ def _stored(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataF
         return None
 
 
-def _row_bytes(schema: T.StructType, cols: list[str]):
-    """Per-row size of ``cols`` as a hashed broadcast row holds them: a fixed
-    8-byte word per field plus the bytes of variable-length values."""
-    size = F.lit(8)
-    for c in cols:
-        dt = schema[c].dataType
-        if isinstance(dt, (T.StringType, T.BinaryType)):
-            size = size + F.lit(8) + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
-        elif isinstance(dt, T.DecimalType) and dt.precision > 18:
-            size = size + F.lit(24)
-        else:
-            size = size + F.lit(8)
-    return size
-
-
 def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
               validate: Callable[[DataFrame], DataFrame] | None = None, dedupe: bool = True) -> DataFrame:
     """Batch with partition column and good rows only; with ``dedupe`` also
@@ -158,37 +144,19 @@ def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
     deduped = latest_per_key(good, spec.identity, spec.order, spec.tie)
     if obs is not None:
         obs["dedup"] = Observation("lakesync_dedup")
-        size = _row_bytes(deduped.schema, [*spec.identity, spec.order])
+        size = row_bytes(deduped.schema, [*spec.identity, spec.order])
         deduped = deduped.observe(obs["dedup"], F.count(F.lit(1)).alias("rows"),
                                   F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
     return deduped
 
 
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
-
-
-def broadcast_bound(spark: SparkSession, spec: TableSpec) -> int:
-    """Byte bound of the broadcast merge: ``spec.broadcast_bytes`` or the
-    session's ``spark.sql.autoBroadcastJoinThreshold`` (<= 0: never)."""
-    if spec.broadcast_bytes is not None:
-        return int(spec.broadcast_bytes)
-    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")).strip().lower()
-    num = raw.rstrip("kmgtb ")
-    unit = raw[len(num):].strip()
-    try:
-        return int(float(num) * _UNITS.get(unit, 1))
-    except ValueError:
-        return -1
-
-
 def choose_strategy(spark: SparkSession, spec: TableSpec, batch_bytes: int, strategy: str = "auto") -> str:
     """``broadcast`` when the measured batch fits the bound, else ``shuffle``."""
     if strategy in ("broadcast", "shuffle"):
         return strategy
     if strategy != "auto":
         raise ValueError("strategy must be 'auto', 'broadcast' or 'shuffle'")
-    bound = broadcast_bound(spark, spec)
+    bound = broadcast_bound(spark, spec.broadcast_bytes)
     return "broadcast" if 0 < batch_bytes <= bound else "shuffle"
 
 
@@ -279,8 +247,7 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
         res.strategy = "create"
         return merged, res
     if strategy == "auto":
-        size = _row_bytes(incoming.schema, [*spec.identity, spec.order])
-        res.batch_bytes = int(incoming.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+        res.batch_bytes = measured_bytes(incoming, [*spec.identity, spec.order])
     res.strategy = choose_strategy(spark, spec, res.batch_bytes or 0, strategy)
     merged = _merge(incoming, _prune(stored, incoming, spec, res), spec, res.strategy, obs)
     return merged, res
@@ -326,7 +293,7 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     stored row); the batch is deduplicated anyway, so it costs nothing extra.
 
     ``strategy`` is ``auto`` (broadcast merge when the measured batch is
-    within :func:`broadcast_bound`, else shuffle merge), ``broadcast`` or
+    within :func:`lakesync.operators.sizing.broadcast_bound`, else shuffle merge), ``broadcast`` or
     ``shuffle``.
 
     With ``stage`` (the default) the merged partitions are first written to a

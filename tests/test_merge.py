@@ -81,3 +81,17 @@ def test_latest_per_key_trims_before_shuffle(spark):
     # a partial top-1 runs on the map side, below the shuffle
     assert plan.index("Exchange") < plan.index("WindowGroupLimit", plan.index("Exchange"))
     assert "Partial" in plan and "Final" in plan
+
+
+def test_tag_broadcast_and_shuffle_paths_agree(spark):
+    from conftest import SF0001
+    from lakesync.plans.suite import q_tag
+
+    small = {tuple(r) for r in q_tag(spark, SF0001).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = {tuple(r) for r in q_tag(spark, SF0001).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert small == large and {r[3] for r in small} == {"I", "U"}
