@@ -42,6 +42,8 @@ ORACLES: dict[str, str] = {
     "upsert": UPSERT,
     "tag": TAG,
     "upsert_to_path": UPSERT,
+    "upsert_shuffle_merge": UPSERT,
+    "upsert_parallel": UPSERT,
     "stream_upsert": UPSERT,
     "record_key_and_path": ("SELECT event_id, CAST(user_id AS VARCHAR) AS record_key, "
                             "'event_date=' || strftime(ts, '%Y-%m-%d') AS partition_path FROM events"),

@@ -90,19 +90,37 @@ def q_tag(spark, d):
     return tag(inc, stored, ["user_id", "event_date"]).select("event_id", "user_id", "event_date", "op")
 
 
-def _upsert_table(spark, d) -> tuple[DataFrame, str]:
+# Fixed value: the write (shuffle) parallelism the reference configures for
+# upserts.
+UPSERT_PARALLELISM = 9
+
+
+def _upsert_table(spark, d, **spec_kw) -> tuple[DataFrame, str]:
     ev = events(spark, d)
-    spec = events_spec(scratch_path(spark, "events_tbl"))
+    spec = events_spec(scratch_path(spark, "events_tbl"), **spec_kw)
     upsert_to_path(ev, spec)
     upsert_to_path(restamped(ev), spec)
     return read_table(spark, spec.path, STORED_SCHEMA), spec.path
 
 
 def q_upsert_to_path(spark, d):
+    # the batch measures within the broadcast bound: broadcast merge
     t, _ = _upsert_table(spark, d)
     return t.select("user_id", "event_date", "event_id", "ts", "value")
 
 
+def q_upsert_shuffle_merge(spark, d):
+    # a zero broadcast bound forces the shuffle merge for the same batches
+    t, _ = _upsert_table(spark, d, broadcast_bytes=0)
+    return t.select("user_id", "event_date", "event_id", "ts", "value")
+
+
+def q_upsert_parallel(spark, d):
+    # An explicit write parallelism for the first write and the merge
+    t, _ = _upsert_table(spark, d, parallelism=UPSERT_PARALLELISM)
+    return t.select("user_id", "event_date", "event_id", "ts", "value")
+
+
 def q_stream_upsert(spark, d):
     ev = events(spark, d)
     root = scratch_path(spark, "stream")
@@ -372,6 +390,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert": q_upsert,
     "tag": q_tag,
     "upsert_to_path": q_upsert_to_path,
+    "upsert_shuffle_merge": q_upsert_shuffle_merge,
+    "upsert_parallel": q_upsert_parallel,
     "stream_upsert": q_stream_upsert,
     "record_key_and_path": q_record_key_and_path,
     "partition_value": q_partition_value,
