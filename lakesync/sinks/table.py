@@ -178,9 +178,13 @@ def _prune(stored: DataFrame, incoming: DataFrame, spec: TableSpec, res: UpsertR
 
 
 def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: str,
-           obs: dict | None) -> DataFrame:
+           obs: dict | None, winners_dir: str | None = None) -> DataFrame:
     """Stored rows of the touched partitions merged with the (deduplicated)
-    batch, laid out for the write; ``_src`` is 1 where the batch row won."""
+    batch, laid out for the write; ``_src`` is 1 where the batch row won.
+
+    With ``winners_dir`` the broadcast merge first writes the winning batch
+    rows there (as small as the batch), so the stored identity scan that
+    finds them runs once, not once per use of the winners."""
     ids = list(spec.identity)
     kept_src = stored
     if obs is not None:
@@ -198,6 +202,9 @@ def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: st
         # lowest); an ordering tie goes to the batch row
         wins = F.col(s_ord).isNull() | (o.isNotNull() & (o >= F.col(s_ord)))
         winners = incoming.join(F.broadcast(hits), ids, "left").where(wins).drop(s_ord)
+        if winners_dir is not None:
+            winners.write.mode("overwrite").parquet(winners_dir)
+            winners = winners.sparkSession.read.schema(winners.schema).parquet(winners_dir)
         kept = kept_src.join(F.broadcast(winners.select(*ids)), ids, "left_anti")
         parts = [spec.partition] if spec.partition else []
         if parts and not spec.parallelism:
@@ -307,7 +314,8 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
 
     ``stage_path`` fixes the staging folder (the streaming sink uses one per
     batch id under its checkpoint); the deduplicated batch goes next to it,
-    in ``<stage_path>.batch``.  If a complete staged result is already there
+    in ``<stage_path>.batch`` and the winning batch rows of a broadcast merge
+    in ``<stage_path>.winners``.  If a complete staged result is already there
     -- a previous attempt died during its commit -- it is committed as it is
     instead of merging again, so a replay after a crash restores the
     partitions exactly.
@@ -320,6 +328,7 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         commit_staged(spark, stage_path, spec, schema)
         remove_path(spark, stage_path)
         remove_path(spark, f"{stage_path.rstrip('/')}.batch")
+        remove_path(spark, f"{stage_path.rstrip('/')}.winners")
         res.staged, res.extra["recovered"] = None, True
         return res
     obs: dict = {}
@@ -348,7 +357,8 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         if obs["dedup"].get["rows"] > 0:
             inc = spark.read.schema(incoming.schema).parquet(batch_dir)
             res.strategy = choose_strategy(spark, spec, res.batch_bytes, strategy)
-            merged = _merge(inc, _prune(stored, inc, spec, res), spec, res.strategy, obs).drop(SRC_COL)
+            merged = _merge(inc, _prune(stored, inc, spec, res), spec, res.strategy, obs,
+                            winners_dir=f"{staged.rstrip('/')}.winners").drop(SRC_COL)
             if spec.partition and not stage:
                 _write(merged, spec.path, spec.partition, dynamic=True)
             else:
@@ -360,6 +370,7 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
                 remove_path(spark, staged)
                 res.staged = None
         remove_path(spark, batch_dir)
+        remove_path(spark, f"{staged.rstrip('/')}.winners")
 
     rows_in = obs["in"].get["rows"]
     good_n = obs["good"].get["rows"]
