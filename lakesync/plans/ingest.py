@@ -132,16 +132,19 @@ def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, s
 
 
 def run_batch(spark: SparkSession, source: str, spec: TableSpec, ts_col: str | None = None,
-              ts_format: str = TS_PATTERN, strict: bool = True) -> RunSummary:
+              ts_format: str = TS_PATTERN, strict: bool = True, schema: T.StructType | str | None = None,
+              sampling_ratio: float | None = None) -> RunSummary:
     """Inferred JSON read, parsed time, keep-latest, full overwrite, publish.
 
     The time column is parsed to ``timestamp_ntz`` so every run gives it one
     type.  With ``strict=False`` unparseable times are rejected instead of
-    failing the job.
+    failing the job.  The schema is inferred from the whole input unless a
+    ``schema`` (no inference pass) or a ``sampling_ratio`` for the inference
+    pass is given.
     """
     summary = RunSummary(spec.qualified_name)
     o_in, o_out = Observation("lakesync_batch_in"), Observation("lakesync_batch_out")
-    df = read_json(spark, source).observe(o_in, F.count(F.lit(1)).alias("rows"))
+    df = read_json(spark, source, schema, sampling_ratio=sampling_ratio).observe(o_in, F.count(F.lit(1)).alias("rows"))
     ts = ts_col or spec.order
     df = df.withColumn(ts, parse_ts(ts, ts_format, strict=strict))
     good, _ = prepare_batch(df.where(F.col(ts).isNotNull()) if not strict else df, spec)

@@ -9,8 +9,9 @@
    the shared ``spark.checkpoint.dir``.  Every later step reads these files,
    so the source (JSON parse, conform) runs once, the lineage is cut, and the
    size of the batch is *measured*, not guessed;
-3. only the touched partitions of the stored table are read (partition
-   pruning in the scan);
+3. only the touched partitions of the stored table are listed and read
+   (their folders are addressed directly for date and integer partition
+   values; otherwise a partition filter prunes the scan);
 4. the merge strategy follows the measured bytes of the batch's identity and
    ordering columns:
 
@@ -40,14 +41,13 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesync.operators.merge import SRC_COL, latest_per_key
 from lakesync.operators.sizing import broadcast_bound, measured_bytes, row_bytes
-from lakesync.session import path_exists, remove_path, scratch_path
+from lakesync.session import existing_paths, path_exists, remove_path, scratch_path
 from lakesync.spec import TableSpec
 
 REJECT_REASON = "_reject_reason"
@@ -72,8 +72,9 @@ def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None =
     w = out.write.mode(mode).option("compression", "snappy")
     if parts:
         w = w.partitionBy(*parts)
-    if dynamic:
-        w = w.option("partitionOverwriteMode", "dynamic")
+    # stated on the writer, so the session default cannot turn a full
+    # overwrite into a partition overwrite or the reverse
+    w = w.option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     w.parquet(path)
 
 
@@ -116,13 +117,9 @@ class UpsertResult:
         return {k: v for k, v in self.__dict__.items() if k not in ("extra", "touched")} | self.extra
 
 
-def _stored(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataFrame | None:
-    if not path_exists(spark, spec.path):
-        return None
-    try:
-        return spark.read.schema(schema).parquet(spec.path)
-    except AnalysisException:
-        return None
+def _table_exists(spark: SparkSession, spec: TableSpec) -> bool:
+    """One metadata call; the table's files are not listed."""
+    return path_exists(spark, spec.path)
 
 
 def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
@@ -160,21 +157,44 @@ def choose_strategy(spark: SparkSession, spec: TableSpec, batch_bytes: int, stra
     return "broadcast" if 0 < batch_bytes <= bound else "shuffle"
 
 
-def _prune(stored: DataFrame, incoming: DataFrame, spec: TableSpec, res: UpsertResult) -> DataFrame:
-    """Restrict the stored table to the partitions the batch touches.
+# partition types whose folder name is the plain string of the value, so a
+# touched partition can be addressed directly without path escaping
+_DIRECT_TYPES = (T.DateType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _read_stored(spark: SparkSession, spec: TableSpec, schema: T.StructType, incoming: DataFrame,
+                 res: UpsertResult) -> DataFrame:
+    """The stored rows of the partitions the batch touches.
 
     At most ``max_pruned_partitions + 1`` partition values (not rows) reach
-    the driver; within that bound they become a partition filter of the scan,
-    beyond it the stored side is filtered by a semi-join instead."""
+    the driver.  Within that bound, and when partition folders are named by
+    the plain value (dates, integers), only the touched folders are listed
+    and read: the table root is listed once to skip folders that do not
+    exist yet, so the cost follows the batch, not the table.  Other value
+    types list the table and keep the touched partitions with a partition
+    filter.  Beyond the bound the stored side is filtered by a semi-join on
+    the partition column.
+    """
     part = spec.partition
     if not part:
-        return stored
+        return spark.read.schema(schema).parquet(spec.path)
     cap = spec.max_pruned_partitions
     vals = [r[0] for r in incoming.select(part).distinct().limit(cap + 1).collect()]
-    if len(vals) <= cap:
-        res.pruned, res.partitions, res.touched = True, len(vals), vals
-        return stored.where(F.col(part).isin(vals)) if vals else stored.limit(0)
-    return stored.join(incoming.select(part).distinct(), part, "left_semi")
+    if len(vals) > cap:
+        return (spark.read.schema(schema).parquet(spec.path)
+                .join(incoming.select(part).distinct(), part, "left_semi"))
+    res.pruned, res.partitions, res.touched = True, len(vals), vals
+    if isinstance(schema[part].dataType, _DIRECT_TYPES):
+        root = spec.path.rstrip("/")
+        dirs = [f"{root}/{part}={v}" for v in vals]
+        found = existing_paths(spark, dirs)
+        present = [d for d in dirs if found[d]]
+        if not present:
+            return spark.createDataFrame([], schema)
+        stored = spark.read.option("basePath", root).schema(schema).parquet(*present)
+    else:
+        stored = spark.read.schema(schema).parquet(spec.path)
+    return stored.where(F.col(part).isin(vals)) if vals else stored.limit(0)
 
 
 def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: str,
@@ -245,9 +265,8 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
     spark = spark or batch.sparkSession
     res = UpsertResult(spec.path)
     incoming = _incoming(batch, spec, None, validate, dedupe=True)
-    stored = _stored(spark, spec, incoming.schema)
-    res.created = stored is None
-    if stored is None:
+    res.created = not _table_exists(spark, spec)
+    if res.created:
         merged = incoming.withColumn(SRC_COL, F.lit(1))
         if spec.partition:
             merged = _layout(merged, [spec.partition], spec.parallelism)
@@ -256,7 +275,8 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
     if strategy == "auto":
         res.batch_bytes = measured_bytes(incoming, [*spec.identity, spec.order])
     res.strategy = choose_strategy(spark, spec, res.batch_bytes or 0, strategy)
-    merged = _merge(incoming, _prune(stored, incoming, spec, res), spec, res.strategy, obs)
+    stored = _read_stored(spark, spec, incoming.schema, incoming, res)
+    merged = _merge(incoming, stored, spec, res.strategy, obs)
     return merged, res
 
 
@@ -334,10 +354,9 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     obs: dict = {}
     res = UpsertResult(spec.path)
     incoming = _incoming(batch, spec, obs, validate, dedupe=True)
-    stored = _stored(spark, spec, incoming.schema)
-    res.created = stored is None
+    res.created = not _table_exists(spark, spec)
     batch_dir = None
-    if stored is None:
+    if res.created:
         # a batch that creates the table has no stored rows to lose: an
         # interrupted first write is repaired by replaying the batch, so it is
         # written straight into the table
@@ -357,7 +376,8 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         if obs["dedup"].get["rows"] > 0:
             inc = spark.read.schema(incoming.schema).parquet(batch_dir)
             res.strategy = choose_strategy(spark, spec, res.batch_bytes, strategy)
-            merged = _merge(inc, _prune(stored, inc, spec, res), spec, res.strategy, obs,
+            stored = _read_stored(spark, spec, inc.schema, inc, res)
+            merged = _merge(inc, stored, spec, res.strategy, obs,
                             winners_dir=f"{staged.rstrip('/')}.winners").drop(SRC_COL)
             if spec.partition and not stage:
                 _write(merged, spec.path, spec.partition, dynamic=True)

@@ -179,3 +179,36 @@ def test_auto_strategy_follows_measured_batch_size(spark, tmp_path):
     assert r_small.batch_bytes == r_never.batch_bytes > 0
     assert _table(spark, small) == _table(spark, never)
     assert (r_small.updated, r_small.inserted) == (1, 0)
+
+
+def test_stored_read_lists_only_touched_partitions(spark, tmp_path):
+    from lakesync.sinks.table import UpsertResult, _incoming, _read_stored
+
+    spec = ticks_spec(str(tmp_path / "table"))
+    rows = [tick(date=f"2018/08/{d:02d}", ts=f"2018-08-{d:02d} 09:00:00") for d in range(1, 11)]
+    upsert_to_path(_load(spark, tmp_path, "b1", rows), spec)
+    # one touched partition is stored, the other does not exist yet
+    b2 = _incoming(_load(spark, tmp_path, "b2", [tick(date="2018/08/03", ts="2018-08-03 10:00:00"),
+                                                 tick(date="2018/09/30", ts="2018-09-30 10:00:00")]), spec, None)
+    res = UpsertResult(spec.path)
+    stored = _read_stored(spark, spec, b2.schema, b2, res)
+    files = stored.inputFiles()
+    assert files and all("/date=2018-08-03/" in f for f in files)
+    assert res.partitions == 2 and stored.count() == 1
+    r = upsert_to_path(_load(spark, tmp_path, "b3", [tick(date="2018/08/03", ts="2018-08-03 10:00:00"),
+                                                     tick(date="2018/09/30", ts="2018-09-30 10:00:00")]), spec)
+    assert (r.updated, r.inserted, r.stored_read) == (1, 1, 1)
+    assert len(_table(spark, spec)) == 11
+
+
+def test_full_overwrite_is_static_whatever_the_session_default(spark, tmp_path):
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "dynamic"
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_date", F.to_date("ts"))
+    path = str(tmp_path / "t")
+    write_table(ev, path, "event_date")
+    one_day = ev.where(F.col("event_date") == F.lit("2024-01-05").cast("date"))
+    write_table(one_day, path, "event_date", mode="overwrite")
+    assert spark.read.parquet(path).count() == one_day.count()
+    write_table(ev, path, "event_date", mode="overwrite")
+    write_table(one_day, path, "event_date", mode="overwrite", dynamic=True)
+    assert spark.read.parquet(path).count() == ev.count()
