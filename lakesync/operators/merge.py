@@ -56,8 +56,9 @@ def tag(incoming: DataFrame, stored_keys: DataFrame, keys: Sequence[str], col: s
         broadcast_bytes: int | None = None) -> DataFrame:
     """Mark each incoming row ``I`` (identity not stored yet) or ``U`` (K3).
 
-    ``stored_keys`` may contain duplicates and extra columns.  The distinct
-    identities of the batch are measured first (one job over the batch):
+    ``stored_keys`` may contain duplicates and extra columns.  The key bytes
+    of the batch are measured first (one job over the batch, no shuffle); they
+    bound the size of its distinct identities:
 
     * within the bound (``broadcast_bytes``, by default the session's
       ``spark.sql.autoBroadcastJoinThreshold``) they are broadcast to a
@@ -74,7 +75,9 @@ def tag(incoming: DataFrame, stored_keys: DataFrame, keys: Sequence[str], col: s
     marker = "_stored"
     ids = incoming.select(*keys).distinct()
     bound = broadcast_bound(incoming.sparkSession, broadcast_bytes)
-    size = measured_bytes(ids, keys) if bound > 0 else bound + 1
+    # the key bytes of all batch rows bound those of its distinct identities,
+    # and measuring them needs no shuffle
+    size = measured_bytes(incoming, keys) if bound > 0 else bound + 1
     if size <= bound:
         present = (stored_keys.select(*keys).join(F.broadcast(ids), keys, "left_semi")
                    .distinct().withColumn(marker, F.lit(True)))
