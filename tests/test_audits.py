@@ -40,14 +40,14 @@ def test_audit_paths(spark, tmp_path):
 
 
 def test_audit_datasets_and_find(spark):
-    reg = spark.createDataFrame([("urn:li:dataset:(urn:li:dataPlatform:hudi,db.t1,PROD)",),
-                                 ("urn:li:dataset:(urn:li:dataPlatform:hudi,db.t1,PROD)",),
+    reg = spark.createDataFrame([("urn:li:dataset:(urn:li:dataPlatform:lake,db.t1,PROD)",),
+                                 ("urn:li:dataset:(urn:li:dataPlatform:lake,db.t1,PROD)",),
                                  ("urn:li:dataset:(urn:li:dataPlatform:hive,db.t2,PROD)",)], "entity string")
     exp = spark.createDataFrame([("db", "t1"), ("db", "t2")], "database string, table_name string")
-    out = {r.target: r.success for r in audit_datasets(exp, reg, platform="hudi").collect()}
+    out = {r.target: r.success for r in audit_datasets(exp, reg, platform="lake").collect()}
     assert out == {"db.t1": True, "db.t2": False}
     assert find_dataset(reg, "db", "t2", "hive").count() == 1
-    assert find_dataset(reg, "db", "t2", "hudi").count() == 0
+    assert find_dataset(reg, "db", "t2", "lake").count() == 0
 
 
 def test_check_table_and_verdict(spark):

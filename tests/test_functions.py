@@ -28,9 +28,9 @@ def test_partition_path_and_record_key(spark):
 
 
 def test_parse_urn(spark):
-    df = spark.createDataFrame([("urn:li:dataset:(urn:li:dataPlatform:hudi,db.t1,PROD)",), ("garbage",)], "e string")
+    df = spark.createDataFrame([("urn:li:dataset:(urn:li:dataPlatform:lake,db.t1,PROD)",), ("garbage",)], "e string")
     out = [(r.u.platform, r.u.dataset) for r in df.select(parse_urn("e").alias("u")).collect()]
-    assert out == [("hudi", "db.t1"), ("garbage", None)]
+    assert out == [("lake", "db.t1"), ("garbage", None)]
 
 
 def test_conform_splits_bad_rows(spark):
