@@ -83,9 +83,27 @@ def _ingest(spark: SparkSession, source: str, target: T.StructType, spec: TableS
                              exact_counts=exact_counts)
 
 
-def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary: RunSummary) -> None:
+def _touched(results: list[UpsertResult]) -> list | None:
+    """Partition values rewritten by the batches, or None when a batch cannot
+    tell (it created the table or went past the pruning bound)."""
+    touched: set = set()
+    for r in results:
+        if r.touched is None:
+            return None
+        touched.update(r.touched)
+    return sorted(touched)
+
+
+def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary: RunSummary,
+             touched: list | None = None) -> None:
+    """Publish the table and sync its partitions.  When the table was already
+    in the catalog and every batch reported the partitions it rewrote, only
+    those are registered (an upsert never removes a partition), so the cost
+    follows the batches, not the table; otherwise the table is listed and
+    fully synced."""
     summary.publish = publish(spark, spec, schema)
-    summary.partitions = sync_partitions(spark, spec)
+    incremental = touched is not None and spec.partition and not summary.publish["created"]
+    summary.partitions = sync_partitions(spark, spec, touched=touched if incremental else None)
 
 
 def _target(schema: T.StructType | str) -> T.StructType:
@@ -106,9 +124,9 @@ def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spe
     summary = RunSummary(spec.qualified_name)
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
-    summary.batches = [r.as_dict() for r in _ingest(spark, source, target, spec, checkpoint,
-                                                     max_files_per_trigger, validate, exact_counts)]
-    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
+    results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts)
+    summary.batches = [r.as_dict() for r in results]
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, _touched(results))
     return summary
 
 
@@ -122,12 +140,12 @@ def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, s
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
     try:
-        summary.batches = [r.as_dict() for r in _ingest(spark, source, target, spec, checkpoint,
-                                                         max_files_per_trigger, validate, exact_counts)]
+        results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts)
+        summary.batches = [r.as_dict() for r in results]
     except Exception as e:  # the publication step must not run after a failed ingest
         summary.ok, summary.error = False, f"ingest failed: {e}"
         return summary
-    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, _touched(results))
     return summary
 
 

@@ -67,3 +67,17 @@ def test_validate_verdicts(spark, tmp_path):
     v = {r.target: (r.success, r.n_checks, r.n_failed) for r in verdicts.collect()}
     assert v == {ok.qualified_name: (True, 3, 0), missing.qualified_name: (False, 3, 2)}
     assert checks.where(F.col("success")).count() == 4
+
+
+def test_second_inline_run_registers_only_touched_partitions(spark, tmp_path):
+    write_lines(str(tmp_path / "in"), ROWS[:4], name="part-0.json")
+    spec = ticks_spec(str(tmp_path / "t"), database="plans_db", table="ticks_incremental")
+    first = run_inline(spark, str(tmp_path / "in"), TICKS_SCHEMA, spec, order_format="yyyy-MM-dd HH:mm:ss")
+    assert first.publish["created"] and first.partitions == {"ADD": 2, "DROP": 0}
+    write_lines(str(tmp_path / "in"), [tick(date="2018/09/02", ts="2018-09-02 09:00:00"),
+                                       tick(ts="2018-08-31 11:00:00", volume=5)], name="part-1.json")
+    second = run_inline(spark, str(tmp_path / "in"), TICKS_SCHEMA, spec, order_format="yyyy-MM-dd HH:mm:ss")
+    assert second.partitions == {"ADD": 1, "DROP": 0}
+    rows, parts = _state(spark, spec.qualified_name)
+    assert parts == ["date=2018-08-31", "date=2018-09-01", "date=2018-09-02"]
+    assert ("A", "2018-08-31", "2018-08-31 11:00:00", 5) in rows and len(rows) == 4
