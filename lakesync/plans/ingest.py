@@ -76,11 +76,12 @@ def stored_schema(spark: SparkSession, source_schema: T.StructType, spec: TableS
 
 def _ingest(spark: SparkSession, source: str, target: T.StructType, spec: TableSpec,
             checkpoint: str | None, max_files_per_trigger: int | None,
-            validate: Callable[[DataFrame], DataFrame], exact_counts: bool) -> list[UpsertResult]:
+            validate: Callable[[DataFrame], DataFrame], exact_counts: bool,
+            max_bytes_per_trigger: str | int | None = None) -> list[UpsertResult]:
     ckpt = checkpoint or f"{spec.path.rstrip('/')}/_lakesync_checkpoint"
     return run_upsert_stream(spark, source, target, spec, ckpt, transform=validate,
                              max_files_per_trigger=max_files_per_trigger, corrupt_col=CORRUPT_COL,
-                             exact_counts=exact_counts)
+                             exact_counts=exact_counts, max_bytes_per_trigger=max_bytes_per_trigger)
 
 
 def _touched(results: list[UpsertResult]) -> list | None:
@@ -113,18 +114,20 @@ def _target(schema: T.StructType | str) -> T.StructType:
 def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                checkpoint: str | None = None, max_files_per_trigger: int | None = None,
                order_format: str | None = None, strict: bool = False,
-               exact_counts: bool = False) -> RunSummary:
+               exact_counts: bool = False, max_bytes_per_trigger: str | int | None = None) -> RunSummary:
     """Ingest new files under ``source`` and publish the table.
 
     ``order_format`` parses a string ordering field to ``timestamp_ntz``;
     unparseable values are rejected (``strict=False``) or fail the run.
-    ``exact_counts`` reports stale rows apart from batch duplicates (one more
-    shuffle of each batch).
+    ``exact_counts`` reports stale rows apart from batch duplicates.
+    ``max_files_per_trigger`` / ``max_bytes_per_trigger`` bound each
+    micro-batch of a large backlog.
     """
     summary = RunSummary(spec.qualified_name)
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
-    results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts)
+    results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
+                          max_bytes_per_trigger)
     summary.batches = [r.as_dict() for r in results]
     _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, _touched(results))
     return summary
@@ -133,14 +136,15 @@ def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spe
 def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                  checkpoint: str | None = None, max_files_per_trigger: int | None = None,
                  order_format: str | None = None, strict: bool = False,
-                 exact_counts: bool = False) -> RunSummary:
+                 exact_counts: bool = False, max_bytes_per_trigger: str | int | None = None) -> RunSummary:
     """Ingest, then publish in a second step that runs only if the first
     succeeded (P2)."""
     summary = RunSummary(spec.qualified_name)
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
     try:
-        results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts)
+        results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
+                          max_bytes_per_trigger)
         summary.batches = [r.as_dict() for r in results]
     except Exception as e:  # the publication step must not run after a failed ingest
         summary.ok, summary.error = False, f"ingest failed: {e}"

@@ -23,11 +23,15 @@ from lakesync.spec import TableSpec
 
 
 def read_json_stream(spark: SparkSession, path: str, schema: T.StructType | str,
-                     max_files_per_trigger: int | None = None, corrupt_col: str | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = None, corrupt_col: str | None = None,
+                     max_bytes_per_trigger: str | int | None = None) -> DataFrame:
     """Streaming JSON scan with a declared schema (S3).
 
     With ``corrupt_col`` a line that does not fit the schema keeps its raw
     text in that column, so the conform step can reject it.
+    ``max_files_per_trigger`` or ``max_bytes_per_trigger`` (e.g. ``"20g"``)
+    bound each micro-batch, so a large backlog is consumed in batches of a
+    known size (an available-now run still consumes all of it).
     """
     st = as_struct(schema)
     if corrupt_col:
@@ -38,6 +42,8 @@ def read_json_stream(spark: SparkSession, path: str, schema: T.StructType | str,
         r = r.option("columnNameOfCorruptRecord", corrupt_col)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     return r.json(path)
 
 
@@ -77,11 +83,13 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
 def run_upsert_stream(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                       checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
                       max_files_per_trigger: int | None = None,
-                      corrupt_col: str | None = None, exact_counts: bool = False) -> list[UpsertResult]:
+                      corrupt_col: str | None = None, exact_counts: bool = False,
+                      max_bytes_per_trigger: str | int | None = None) -> list[UpsertResult]:
     """Ingest everything available under ``source`` and stop; returns one
     result per micro-batch."""
     results: list[UpsertResult] = []
-    q = start_upsert_stream(read_json_stream(spark, source, schema, max_files_per_trigger, corrupt_col), spec, checkpoint,
+    stream = read_json_stream(spark, source, schema, max_files_per_trigger, corrupt_col, max_bytes_per_trigger)
+    q = start_upsert_stream(stream, spec, checkpoint,
                             transform=transform, on_batch=lambda _, r: results.append(r),
                             exact_counts=exact_counts)
     q.awaitTermination()

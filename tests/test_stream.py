@@ -32,3 +32,20 @@ def test_available_now_twice_and_matches_upsert_oracle(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF0001}/events.parquet')")
     assert _rows(got.collect()) == _rows(con.sql(UPSERT).fetchall())
+
+
+def test_byte_bound_splits_backlog_into_batches(spark, tmp_path):
+    from lakesync.plans.oracles import LATEST
+
+    root = str(tmp_path)
+    spec = events_spec(f"{root}/table")
+    ev = events(spark, SF0001)
+    write_json(ev.repartition(4), f"{root}/input/b0")
+    res = run_upsert_stream(spark, f"{root}/input/*", EVENTS_SCHEMA, spec, f"{root}/ckpt",
+                            max_bytes_per_trigger=1)
+    assert len(res) >= 2 and sum(r.rows_in for r in res) == ev.count()
+    assert {r.strategy for r in res[1:]} <= {"broadcast", "shuffle"}
+    got = read_table(spark, spec.path, STORED_SCHEMA).select("event_id").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF0001}/events.parquet')")
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in con.sql(LATEST).fetchall())
