@@ -42,6 +42,7 @@ ORACLES: dict[str, str] = {
     "upsert": UPSERT,
     "tag": TAG,
     "upsert_to_path": UPSERT,
+    "upsert_broadcast_merge": UPSERT,
     "upsert_shuffle_merge": UPSERT,
     "upsert_parallel": UPSERT,
     "stream_upsert": UPSERT,

@@ -95,20 +95,27 @@ def q_tag(spark, d):
 UPSERT_PARALLELISM = 9
 
 
-def _upsert_table(spark, d, **spec_kw) -> tuple[DataFrame, str]:
+def _upsert_table(spark, d, strategy: str = "auto", **spec_kw) -> tuple[DataFrame, str]:
     ev = events(spark, d)
     spec = events_spec(scratch_path(spark, "events_tbl"), **spec_kw)
     upsert_to_path(ev, spec)
-    upsert_to_path(restamped(ev), spec)
+    upsert_to_path(restamped(ev), spec, strategy=strategy)
     return read_table(spark, spec.path, STORED_SCHEMA), spec.path
 
 
 def q_upsert_to_path(spark, d):
-    # the batch measures within the broadcast bound: broadcast merge
+    # the strategy follows the measured sizes (here: the batch is as large
+    # as the stored rows it touches, so the shuffle merge)
     t, _ = _upsert_table(spark, d)
     return t.select("user_id", "event_date", "event_id", "ts", "value")
 
 
+def q_upsert_broadcast_merge(spark, d):
+    # the same batches through the broadcast merge
+    t, _ = _upsert_table(spark, d, strategy="broadcast")
+    return t.select("user_id", "event_date", "event_id", "ts", "value")
+
+
 def q_upsert_shuffle_merge(spark, d):
     # a zero broadcast bound forces the shuffle merge for the same batches
     t, _ = _upsert_table(spark, d, broadcast_bytes=0)
@@ -390,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert": q_upsert,
     "tag": q_tag,
     "upsert_to_path": q_upsert_to_path,
+    "upsert_broadcast_merge": q_upsert_broadcast_merge,
     "upsert_shuffle_merge": q_upsert_shuffle_merge,
     "upsert_parallel": q_upsert_parallel,
     "stream_upsert": q_stream_upsert,

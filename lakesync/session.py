@@ -83,6 +83,12 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
     return out
 
 
+def content_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes stored under ``path`` (one file-system metadata call)."""
+    p, fs = _hadoop_path(spark, path)
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder this library created itself (e.g. a staged result)."""
     p, fs = _hadoop_path(spark, path)
@@ -95,5 +101,5 @@ def qualify(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toString())
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "remove_path",
+__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "content_bytes", "remove_path",
            "qualify"]

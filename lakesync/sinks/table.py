@@ -12,20 +12,23 @@
 3. only the touched partitions of the stored table are listed and read
    (their folders are addressed directly for date and integer partition
    values; otherwise a partition filter prunes the scan);
-4. the merge strategy follows the measured bytes of the batch's identity and
-   ordering columns:
-
-   * **broadcast merge** (within ``spec.broadcast_bytes``, by default the
-     session's ``spark.sql.autoBroadcastJoinThreshold``): the stored ordering
-     values of the batch's identities are found by a broadcast semi-join, the
-     winning batch rows by a broadcast left join, and the stored rows they
-     replace drop out by a broadcast anti-join.  Stored rows are scanned and
-     written back by the task that read them -- they are never shuffled.
-     Only the winning batch rows are rebalanced by partition value;
-   * **shuffle merge** (larger batches): stored and batch rows meet in one
-     shuffle by identity (keep-latest with the source as first tie-breaker),
-     then a rebalance by partition value lays out the files (AQE splits a hot
-     partition over several tasks and packs small ones);
+4. the merge strategy follows measured sizes:
+
+   * **broadcast merge** (the batch's identity and ordering columns within
+     ``spec.broadcast_bytes``, by default the session's
+     ``spark.sql.autoBroadcastJoinThreshold``, and the touched stored folders
+     holding at least ``STORED_TO_BATCH_RATIO`` times the batch's bytes on
+     disk): the stored ordering values of the batch's identities are found
+     by a broadcast semi-join, the winning batch rows by a broadcast left
+     join, and the stored rows they replace drop out by a broadcast
+     anti-join.  Stored rows are scanned and written back by the task that
+     read them -- they are never shuffled.  Only the winning batch rows are
+     rebalanced by partition value;
+   * **shuffle merge** (larger batches, or a stored side not much larger
+     than the batch): stored and batch rows meet in one shuffle by identity
+     (keep-latest with the source as first tie-breaker), then a rebalance by
+     partition value lays out the files (AQE splits a hot partition over
+     several tasks and packs small ones);
 
 5. the result is written to a staging folder in the shared folder and copied
    into the table with dynamic partition overwrite, which replaces exactly the
@@ -47,7 +50,7 @@ from pyspark.sql import types as T
 
 from lakesync.operators.merge import SRC_COL, latest_per_key
 from lakesync.operators.sizing import broadcast_bound, measured_bytes, row_bytes
-from lakesync.session import existing_paths, path_exists, remove_path, scratch_path
+from lakesync.session import content_bytes, existing_paths, path_exists, remove_path, scratch_path
 from lakesync.spec import TableSpec
 
 REJECT_REASON = "_reject_reason"
@@ -163,7 +166,7 @@ _DIRECT_TYPES = (T.DateType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _read_stored(spark: SparkSession, spec: TableSpec, schema: T.StructType, incoming: DataFrame,
-                 res: UpsertResult) -> DataFrame:
+                 res: UpsertResult) -> tuple[DataFrame, list[str] | None]:
     """The stored rows of the partitions the batch touches.
 
     At most ``max_pruned_partitions + 1`` partition values (not rows) reach
@@ -173,16 +176,16 @@ def _read_stored(spark: SparkSession, spec: TableSpec, schema: T.StructType, inc
     exist yet, so the cost follows the batch, not the table.  Other value
     types list the table and keep the touched partitions with a partition
     filter.  Beyond the bound the stored side is filtered by a semi-join on
-    the partition column.
+    the partition column.  Also returns the folders read, when known.
     """
     part = spec.partition
     if not part:
-        return spark.read.schema(schema).parquet(spec.path)
+        return spark.read.schema(schema).parquet(spec.path), [spec.path]
     cap = spec.max_pruned_partitions
     vals = [r[0] for r in incoming.select(part).distinct().limit(cap + 1).collect()]
     if len(vals) > cap:
         return (spark.read.schema(schema).parquet(spec.path)
-                .join(incoming.select(part).distinct(), part, "left_semi"))
+                .join(incoming.select(part).distinct(), part, "left_semi")), None
     res.pruned, res.partitions, res.touched = True, len(vals), vals
     if isinstance(schema[part].dataType, _DIRECT_TYPES):
         root = spec.path.rstrip("/")
@@ -190,11 +193,32 @@ def _read_stored(spark: SparkSession, spec: TableSpec, schema: T.StructType, inc
         found = existing_paths(spark, dirs)
         present = [d for d in dirs if found[d]]
         if not present:
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], schema), []
         stored = spark.read.option("basePath", root).schema(schema).parquet(*present)
     else:
-        stored = spark.read.schema(schema).parquet(spec.path)
-    return stored.where(F.col(part).isin(vals)) if vals else stored.limit(0)
+        stored, present = spark.read.schema(schema).parquet(spec.path), None
+    return (stored.where(F.col(part).isin(vals)) if vals else stored.limit(0)), present
+
+
+# the broadcast merge pays off when the stored rows it keeps out of a shuffle
+# outweigh the batch it broadcasts; below this ratio of on-disk bytes the
+# shuffle merge (fewer jobs, nothing broadcast) is the cheaper one
+STORED_TO_BATCH_RATIO = 4
+
+
+def _stored_outweighs(spark: SparkSession, dirs: list[str] | None, batch_dir: str) -> bool:
+    """True when the stored folders hold at least ``STORED_TO_BATCH_RATIO``
+    times the batch's bytes.  One metadata call per folder, stopping as soon
+    as the answer is known; unknown folders count as large."""
+    if dirs is None:
+        return True
+    need = STORED_TO_BATCH_RATIO * content_bytes(spark, batch_dir)
+    total = 0
+    for d in dirs:
+        total += content_bytes(spark, d)
+        if total >= need:
+            return True
+    return False
 
 
 def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: str,
@@ -275,7 +299,7 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
     if strategy == "auto":
         res.batch_bytes = measured_bytes(incoming, [*spec.identity, spec.order])
     res.strategy = choose_strategy(spark, spec, res.batch_bytes or 0, strategy)
-    stored = _read_stored(spark, spec, incoming.schema, incoming, res)
+    stored, _ = _read_stored(spark, spec, incoming.schema, incoming, res)
     merged = _merge(incoming, stored, spec, res.strategy, obs)
     return merged, res
 
@@ -319,9 +343,12 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     ``duplicates`` (beaten inside the batch) and ``stale`` (beaten by the
     stored row); the batch is deduplicated anyway, so it costs nothing extra.
 
-    ``strategy`` is ``auto`` (broadcast merge when the measured batch is
-    within :func:`lakesync.operators.sizing.broadcast_bound`, else shuffle merge), ``broadcast`` or
-    ``shuffle``.
+    ``strategy`` is ``auto``, ``broadcast`` or ``shuffle``.  ``auto`` takes
+    the broadcast merge when the measured batch is within
+    :func:`lakesync.operators.sizing.broadcast_bound` *and* the stored
+    partitions it touches hold at least ``STORED_TO_BATCH_RATIO`` times its
+    bytes on disk; otherwise the shuffle merge, which moves about as much
+    data and runs fewer jobs when the stored side is not much larger.
 
     With ``stage`` (the default) the merged partitions are first written to a
     fresh folder under the shared ``spark.checkpoint.dir`` and then copied
@@ -375,8 +402,10 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         res.batch_bytes = int(obs["dedup"].get["bytes"])
         if obs["dedup"].get["rows"] > 0:
             inc = spark.read.schema(incoming.schema).parquet(batch_dir)
+            stored, dirs = _read_stored(spark, spec, inc.schema, inc, res)
             res.strategy = choose_strategy(spark, spec, res.batch_bytes, strategy)
-            stored = _read_stored(spark, spec, inc.schema, inc, res)
+            if strategy == "auto" and res.strategy == "broadcast" and not _stored_outweighs(spark, dirs, batch_dir):
+                res.strategy = "shuffle"
             merged = _merge(inc, stored, spec, res.strategy, obs,
                             winners_dir=f"{staged.rstrip('/')}.winners").drop(SRC_COL)
             if spec.partition and not stage:

@@ -167,18 +167,27 @@ def test_broadcast_and_shuffle_merge_agree_with_oracle(spark, tmp_path):
     assert got["broadcast"] == want
 
 
-def test_auto_strategy_follows_measured_batch_size(spark, tmp_path):
-    rows = [tick(symbol=s, ts=f"2018-08-31 09:{m:02d}:00") for s in "ABC" for m in (1, 2)]
-    small = ticks_spec(str(tmp_path / "small"))
+def test_auto_strategy_follows_measured_sizes(spark, tmp_path):
+    # the stored day holds 5,000 symbols; the batch updates one of them
+    big = [tick(symbol=f"S{i:04d}", ts="2018-08-31 09:00:00") for i in range(5000)]
+    one = [tick(symbol="S0001", ts="2018-08-31 10:00:00", volume=7)]
+    outweighed = ticks_spec(str(tmp_path / "outweighed"))
     never = ticks_spec(str(tmp_path / "never"), broadcast_bytes=0)
-    for spec in (small, never):
-        upsert_to_path(_load(spark, tmp_path, "b1", rows), spec)
+    for spec in (outweighed, never):
+        upsert_to_path(_load(spark, tmp_path, "big", big), spec)
+    r_big = upsert_to_path(_load(spark, tmp_path, "one", one), outweighed)
+    r_never = upsert_to_path(_load(spark, tmp_path, "one", one), never)
+    # within the bound and the stored side outweighs the batch: broadcast;
+    # a zero bound: shuffle; same table either way
+    assert (r_big.strategy, r_never.strategy) == ("broadcast", "shuffle")
+    assert r_big.batch_bytes == r_never.batch_bytes > 0
+    assert _table(spark, outweighed) == _table(spark, never)
+    assert (r_big.updated, r_big.inserted, r_big.stored_read) == (1, 0, 5000)
+    # a stored side not much larger than the batch: shuffle merge
+    small = ticks_spec(str(tmp_path / "small"))
+    upsert_to_path(_load(spark, tmp_path, "b1", [tick(symbol=s) for s in "ABC"]), small)
     r_small = upsert_to_path(_load(spark, tmp_path, "b2", [tick(ts="2018-08-31 10:00:00", volume=7)]), small)
-    r_never = upsert_to_path(_load(spark, tmp_path, "b2", [tick(ts="2018-08-31 10:00:00", volume=7)]), never)
-    assert (r_small.strategy, r_never.strategy) == ("broadcast", "shuffle")
-    assert r_small.batch_bytes == r_never.batch_bytes > 0
-    assert _table(spark, small) == _table(spark, never)
-    assert (r_small.updated, r_small.inserted) == (1, 0)
+    assert r_small.strategy == "shuffle" and (r_small.updated, r_small.inserted) == (1, 0)
 
 
 def test_stored_read_lists_only_touched_partitions(spark, tmp_path):
@@ -191,7 +200,8 @@ def test_stored_read_lists_only_touched_partitions(spark, tmp_path):
     b2 = _incoming(_load(spark, tmp_path, "b2", [tick(date="2018/08/03", ts="2018-08-03 10:00:00"),
                                                  tick(date="2018/09/30", ts="2018-09-30 10:00:00")]), spec, None)
     res = UpsertResult(spec.path)
-    stored = _read_stored(spark, spec, b2.schema, b2, res)
+    stored, dirs = _read_stored(spark, spec, b2.schema, b2, res)
+    assert [d.rsplit("/", 1)[-1] for d in dirs] == ["date=2018-08-03"]
     files = stored.inputFiles()
     assert files and all("/date=2018-08-03/" in f for f in files)
     assert res.partitions == 2 and stored.count() == 1
