@@ -222,3 +222,17 @@ def test_full_overwrite_is_static_whatever_the_session_default(spark, tmp_path):
     write_table(ev, path, "event_date", mode="overwrite")
     write_table(one_day, path, "event_date", mode="overwrite", dynamic=True)
     assert spark.read.parquet(path).count() == ev.count()
+
+
+def test_existing_paths_and_content_bytes(spark, tmp_path):
+    from lakesync.session import content_bytes, existing_paths
+
+    (tmp_path / "a" / "x").mkdir(parents=True)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "f.txt").write_text("hello")
+    paths = [str(tmp_path / "a" / "x"), str(tmp_path / "a" / "y"), str(tmp_path / "b" / "f.txt"),
+             str(tmp_path / "missing" / "z"), str(tmp_path / "b") + "/"]
+    got = existing_paths(spark, paths)
+    assert got == {paths[0]: True, paths[1]: False, paths[2]: True, paths[3]: False, paths[4]: True}
+    assert content_bytes(spark, str(tmp_path / "b")) == 5
+    assert content_bytes(spark, str(tmp_path / "missing")) == 0
