@@ -29,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at storage every executor can reach; it is
-    read from the session.  Only when it is unset (local tests) a folder of our
-    own is created and registered.
+    read from the session, and a cluster session without it is an error.  Only
+    a local session (tests) without it gets a folder of our own, created and
+    registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -38,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        # a machine-local folder is not shared by the executors of a cluster
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="lakesync-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
