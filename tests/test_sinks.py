@@ -236,3 +236,19 @@ def test_existing_paths_and_content_bytes(spark, tmp_path):
     assert got == {paths[0]: True, paths[1]: False, paths[2]: True, paths[3]: False, paths[4]: True}
     assert content_bytes(spark, str(tmp_path / "b")) == 5
     assert content_bytes(spark, str(tmp_path / "missing")) == 0
+
+
+def test_upserts_keep_untouched_partitions_under_a_static_session_default(spark, tmp_path):
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        for strategy in ("broadcast", "shuffle"):
+            spec = ticks_spec(str(tmp_path / strategy))
+            upsert_to_path(_load(spark, tmp_path, "b1", [tick(), tick(date="2018/09/01", ts="2018-09-01 09:00:00")]),
+                           spec)
+            upsert_to_path(_load(spark, tmp_path, "b2", [tick(ts="2018-08-31 11:00:00", volume=5)]), spec,
+                           strategy=strategy)
+            assert _table(spark, spec) == {("A", "2018-08-31"): ("2018-08-31 11:00:00", 5),
+                                           ("A", "2018-09-01"): ("2018-09-01 09:00:00", 100)}
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
