@@ -21,6 +21,10 @@ from lakesync.spec import TableSpec
 # characters (the registry sync default).
 SCHEMA_STRING_THRESHOLD = 4000
 
+# up to this many touched partitions are checked one by one against the
+# catalog; above it the table's partition list is fetched once instead
+PER_VALUE_LOOKUPS = 64
+
 
 def _q(name: str) -> str:
     return ".".join(f"`{p}`" for p in name.split("."))
@@ -102,8 +106,9 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
 
     Incremental sync: with ``touched`` (the partition values an upsert just
     rewrote, see ``UpsertResult.touched``) only those are registered with
-    ``ADD IF NOT EXISTS``; the table is not listed at all, so the cost does
-    not grow with the table.  An upsert never removes a partition, so nothing
+    ``ADD IF NOT EXISTS``; storage is not listed at all, and for up to
+    ``PER_VALUE_LOOKUPS`` values neither is the catalog's partition list, so
+    the cost does not grow with the table.  An upsert never removes a partition, so nothing
     needs dropping.
 
     With ``condition`` (C4) nothing is changed when storage and catalog already
@@ -115,9 +120,15 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
         return {"ADD": 0, "DROP": 0}
     p = spec.partition
     if touched is not None:
-        known = catalog_partitions(spark, name, p)
-        want = spark.createDataFrame([(str(v),) for v in touched], f"{p} string")
-        new = [r[0] for r in want.join(known, p, "left_anti").collect()]
+        if len(touched) <= PER_VALUE_LOOKUPS:
+            # a few touched values: one filtered catalog lookup each, so the
+            # table's partition list is never fetched
+            new = [str(v) for v in touched
+                   if not spark.sql(f"SHOW PARTITIONS {_q(name)} {_partition_specs(p, [v])}").take(1)]
+        else:
+            known = catalog_partitions(spark, name, p)
+            want = spark.createDataFrame([(str(v),) for v in touched], f"{p} string")
+            new = [r[0] for r in want.join(known, p, "left_anti").collect()]
         for i in range(0, len(new), batch):
             spark.sql(f"ALTER TABLE {_q(name)} ADD IF NOT EXISTS {_partition_specs(p, new[i:i + batch])}")
         spark.sql(f"REFRESH TABLE {_q(name)}")

@@ -84,3 +84,26 @@ def test_catalog_snapshot(spark, tmp_path):
     publish(spark, spec, spark.read.schema(STORED_SCHEMA).parquet(path).schema)
     snap = catalog_snapshot(spark, ["cat_t4", "no_such_db"]).collect()
     assert [(r.database, r.table_name) for r in snap] == [("cat_t4", "events")]
+
+
+def test_incremental_sync_per_value_and_listed_agree(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import importlib
+
+    pub = importlib.import_module("lakesync.catalog.publish")
+
+    results = {}
+    for mode, limit in (("per_value", 64), ("listed", 0)):
+        monkeypatch.setattr(pub, "PER_VALUE_LOOKUPS", limit)
+        path = str(tmp_path / mode)
+        _written(spark, path, F.col("ts") < "2024-01-10")
+        spec = events_spec(path, database="cat_inc", table=f"events_{mode}")
+        publish(spark, spec, spark.read.schema(STORED_SCHEMA).parquet(path).schema)
+        sync_partitions(spark, spec)
+        _written(spark, path, (F.col("ts") >= "2024-01-08") & (F.col("ts") < "2024-01-12"))
+        touched = [dt.date(2024, 1, d) for d in (8, 9, 10, 11)]
+        counts = sync_partitions(spark, spec, touched=touched)
+        parts = sorted(r.partition for r in spark.sql(f"SHOW PARTITIONS {spec.qualified_name}").collect())
+        results[mode] = (counts, parts, spark.table(spec.qualified_name).count())
+    assert results["per_value"] == results["listed"]
+    assert results["per_value"][0] == {"ADD": 2, "DROP": 0} and len(results["per_value"][1]) == 11
