@@ -65,10 +65,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+# up to this many paths under one parent are checked one by one; more are
+# answered by one listing of the parent
+_EXISTS_PER_PATH = 32
+
+
 def existing_paths(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
-    """Which of ``paths`` exist, with one listing per distinct parent folder
-    instead of one metadata call per path (partition roots of one table
-    share a parent, so a thousand roots cost one listing)."""
+    """Which of ``paths`` exist.
+
+    A few paths under one parent cost one metadata call each (a batch that
+    touches two days of a 100,000-day table does not list the table root);
+    many paths under one parent cost one listing of the parent instead of a
+    call per path (partition roots of one table share a parent, so a
+    thousand roots cost one listing)."""
     by_parent: dict[str, list[tuple[str, object, object]]] = {}
     for raw in paths:
         p, fs = _hadoop_path(spark, raw.rstrip("/") or "/")
@@ -78,7 +87,7 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
     out: dict[str, bool] = {}
     for parent, items in by_parent.items():
         fs = items[0][2]
-        if not parent:
+        if not parent or len(items) <= _EXISTS_PER_PATH:
             out.update({raw: bool(fs.exists(q)) for raw, q, _ in items})
             continue
         jp = items[0][1].getParent()

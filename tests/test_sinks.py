@@ -252,3 +252,17 @@ def test_upserts_keep_untouched_partitions_under_a_static_session_default(spark,
                                            ("A", "2018-09-01"): ("2018-09-01 09:00:00", 100)}
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+
+
+def test_existing_paths_listing_mode_agrees(spark, tmp_path, monkeypatch):
+    import importlib
+
+    session = importlib.import_module("lakesync.session")
+    for i in range(0, 40, 3):
+        (tmp_path / f"p={i}").mkdir()
+    paths = [str(tmp_path / f"p={i}") for i in range(40)]
+    monkeypatch.setattr(session, "_EXISTS_PER_PATH", 1000)
+    per_path = session.existing_paths(spark, paths)
+    monkeypatch.setattr(session, "_EXISTS_PER_PATH", 0)
+    listed = session.existing_paths(spark, paths)
+    assert per_path == listed and sum(per_path.values()) == 14
