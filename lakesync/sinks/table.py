@@ -172,8 +172,9 @@ def _read_stored(spark: SparkSession, spec: TableSpec, schema: T.StructType, inc
     At most ``max_pruned_partitions + 1`` partition values (not rows) reach
     the driver.  Within that bound, and when partition folders are named by
     the plain value (dates, integers), only the touched folders are listed
-    and read: the table root is listed once to skip folders that do not
-    exist yet, so the cost follows the batch, not the table.  Other value
+    and read, after an existence check that skips folders that do not exist
+    yet (see :func:`lakesync.session.existing_paths`), so the cost follows
+    the batch, not the table.  Other value
     types list the table and keep the touched partitions with a partition
     filter.  Beyond the bound the stored side is filtered by a semi-join on
     the partition column.  Also returns the folders read, when known.

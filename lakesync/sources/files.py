@@ -56,8 +56,9 @@ _LISTING_SCHEMA = "root string, path string, length bigint, root_exists boolean"
 def storage_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Files under each root, plus one marker row per root (input of V3).
 
-    Root existence costs one folder listing per distinct parent of the roots
-    (partition roots of one table share it), not a call per root.  All existing
+    Root existence costs a metadata call per root, or one listing of a
+    parent folder that holds many of them (see
+    :func:`lakesync.session.existing_paths`).  All existing
     roots are then listed by a single ``binaryFile`` scan that reads only
     ``path`` and ``length`` (no file content is opened; Spark lists large
     trees with a distributed job).  Each file is attributed to its root by an
