@@ -65,12 +65,14 @@ def audit_tables(expected: DataFrame, snapshot: DataFrame, db_col: str = "databa
 
 
 def audit_paths(expected: DataFrame, listing: DataFrame, path_col: str = "path",
-                validation_type: str = "table_path") -> DataFrame:
+                validation_type: str = "table_path", count_files: bool = True) -> DataFrame:
     """Does every expected table path exist on storage? (V3)
 
     ``listing`` is the frame of :func:`lakesync.sources.files.storage_listing`:
     one row per file plus one marker row per root (``root, path, length,
-    root_exists``).  Files are counted per root before the join.
+    root_exists``).  Files are counted per root before the join.  With
+    ``count_files=False`` (a listing of markers only) the message leaves the
+    file count out.
     """
     per_root = (listing.groupBy("root")
                 .agg(F.bool_or("root_exists").alias("_exists"),
@@ -79,7 +81,8 @@ def audit_paths(expected: DataFrame, listing: DataFrame, path_col: str = "path",
     p = F.col(path_col)
     ok = ~_blank(p) & F.coalesce(F.col("_exists"), F.lit(False))
     msg = (F.when(_blank(p), F.lit("path is empty"))
-           .when(ok, F.format_string("Path exists: %s (%d files)", p, F.col("_files")))
+           .when(ok, F.format_string("Path exists: %s (%d files)", p, F.col("_files")) if count_files
+                 else F.format_string("Path exists: %s", p))
            .otherwise(F.format_string("Path not found: %s", p)))
     return j.select(*_check(F.coalesce(p, F.lit("")), "table_path", ok, msg, validation_type))
 

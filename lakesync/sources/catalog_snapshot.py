@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def catalog_snapshot(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
     """``(database, table_name, is_temporary)`` for the given databases (all when
     ``None``).  Databases that do not exist contribute no rows."""
-    names = databases if databases is not None else [r[0] for r in spark.sql("SHOW DATABASES").collect()]
-    existing = {r[0].lower() for r in spark.sql("SHOW DATABASES").collect()}
+    all_dbs = [r[0] for r in spark.sql("SHOW DATABASES").collect()]
+    names = databases if databases is not None else all_dbs
+    existing = {d.lower() for d in all_dbs}
     frames = [spark.sql(f"SHOW TABLES IN `{db}`")
               .select(F.lit(db).alias("database"), F.col("tableName").alias("table_name"),
                       F.col("isTemporary").alias("is_temporary"))

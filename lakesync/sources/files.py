@@ -53,7 +53,7 @@ def file_manifest(df: DataFrame, partition_cols: list[str] | None = None) -> Dat
 _LISTING_SCHEMA = "root string, path string, length bigint, root_exists boolean"
 
 
-def storage_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+def storage_listing(spark: SparkSession, roots: list[str], list_files: bool = True) -> DataFrame:
     """Files under each root, plus one marker row per root (input of V3).
 
     Root existence costs a metadata call per root, or one listing of a
@@ -65,12 +65,14 @@ def storage_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     equi-join of the file's ancestor folders with the root list, so no
     per-root scan and no prefix (non-equi) join is needed.  A missing root
     gets a marker with ``root_exists = false``; an existing empty root lists
-    no files and its marker passes.
+    no files and its marker passes.  With ``list_files=False`` only the
+    markers are returned: an existence check that costs no listing of the
+    roots' contents, whatever their size.
     """
     exists = existing_paths(spark, roots)
     markers = spark.createDataFrame([(r, None, None, exists[r]) for r in roots], _LISTING_SCHEMA)
     present = [r for r in roots if exists[r]]
-    if not present:
+    if not present or not list_files:
         return markers
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .load(present).select("path", "length"))

@@ -62,3 +62,16 @@ def test_check_table_and_verdict(spark):
     any_ = {r.target: r.success for r in verdict(checks, "target", "any", targets=targets).collect()}
     assert all_ == {"x": False, "y": True, "z": False}  # no checks -> fails
     assert any_ == {"x": True, "y": True, "z": False}
+
+
+def test_audit_paths_existence_only_lists_no_files(spark, tmp_path):
+    full = tmp_path / "full"
+    full.mkdir()
+    (full / "f.parquet").write_bytes(b"x")
+    roots = [str(full), str(tmp_path / "missing")]
+    listing = storage_listing(spark, roots, list_files=False)
+    assert listing.where("path IS NOT NULL").count() == 0
+    exp = spark.createDataFrame([(r,) for r in roots], "path string")
+    out = {r.target: (r.success, r.message) for r in audit_paths(exp, listing, count_files=False).collect()}
+    assert out == {str(full): (True, f"Path exists: {full}"),
+                   roots[1]: (False, f"Path not found: {roots[1]}")}
