@@ -96,11 +96,12 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
                     touched: list | None = None, batch: int = 500) -> dict:
     """Bring catalog partitions in line with storage (C3); storage is the truth.
 
-    Full sync (default): partitions with data files but no catalog entry are
-    added with ``MSCK REPAIR TABLE ... ADD PARTITIONS`` (Spark lists the
-    folders with a distributed job when there are many); catalog partitions
-    without data files under the table root are dropped with ``ALTER TABLE
-    ... DROP PARTITION`` in groups of ``batch``.  Only partition values --
+    Full sync (default): partition folders under the table root (one
+    listing of the root, see
+    :func:`lakesync.sources.files.storage_partitions`) without a catalog
+    entry are added with ``MSCK REPAIR TABLE ... ADD PARTITIONS``; catalog
+    partitions without a folder are dropped with ``ALTER TABLE ... DROP
+    PARTITION`` in groups of ``batch``.  Only partition values --
     catalog metadata, one row per partition -- reach the driver.  Dropping a
     partition of an external table leaves files alone.
 

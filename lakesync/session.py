@@ -96,6 +96,15 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
     return out
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path`` (one listing; none if
+    ``path`` does not exist)."""
+    p, fs = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    return [str(st.getPath().getName()) for st in fs.listStatus(p) if st.isDirectory()]
+
+
 def content_bytes(spark: SparkSession, path: str) -> int:
     """Bytes stored under ``path`` (one file-system metadata call)."""
     p, fs = _hadoop_path(spark, path)
@@ -114,5 +123,5 @@ def qualify(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toString())
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "content_bytes", "remove_path",
+__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "child_folders", "content_bytes", "remove_path",
            "qualify"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesync.session import existing_paths, qualify
+from lakesync.session import child_folders, existing_paths, qualify
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -87,15 +88,12 @@ def storage_listing(spark: SparkSession, roots: list[str], list_files: bool = Tr
 
 
 def storage_partitions(spark: SparkSession, path: str, partition: str) -> DataFrame:
-    """Distinct partition directory values that hold at least one data file.
+    """Distinct partition values that have a folder under the table root.
 
-    Derived from the file listing of the table root, not from its rows.
+    One listing of the root: partition folders are named, not their files
+    listed, so the cost follows the number of partitions, not of files.  The
+    catalog repair command registers partitions from the same folders.
     """
-    try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .load(path).select("path"))
-    except AnalysisException:
-        return spark.createDataFrame([], f"{partition} string")
-    pat = rf"/{partition}=([^/]*)/[^/]*$"
-    return (files.select(F.url_decode(F.regexp_extract("path", pat, 1)).alias(partition))
-            .where(F.col(partition) != "").distinct())
+    prefix = f"{partition}="
+    values = [unquote(name[len(prefix):]) for name in child_folders(spark, path) if name.startswith(prefix)]
+    return spark.createDataFrame([(v,) for v in sorted(set(values))], f"{partition} string")
