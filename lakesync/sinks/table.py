@@ -284,7 +284,9 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
     The frame holds every row of every touched partition after the merge
     (plus the ``_src`` column: 1 where the incoming row won).  Use it to
     ``explain()`` the plan.  The batch is not materialized here, so with
-    ``strategy="auto"`` one job measures it to pick the strategy.
+    ``strategy="auto"`` one job measures it and only the broadcast bound is
+    applied (the stored-to-batch ratio of :func:`upsert_to_path` needs the
+    batch's files).
     ``exact_counts`` is accepted for symmetry with :func:`upsert_to_path`.
     """
     spark = spark or batch.sparkSession
