@@ -46,6 +46,7 @@ ORACLES: dict[str, str] = {
     "upsert_shuffle_merge": UPSERT,
     "upsert_parallel": UPSERT,
     "stream_upsert": UPSERT,
+    "read_json": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "record_key_and_path": ("SELECT event_id, CAST(user_id AS VARCHAR) AS record_key, "
                             "'event_date=' || strftime(ts, '%Y-%m-%d') AS partition_path FROM events"),
     "partition_value": ("SELECT DISTINCT strftime(ts, '%Y/%m/%d') AS slash_path, CAST(ts AS DATE) AS event_date "

@@ -39,7 +39,7 @@ from lakesync.session import scratch_path
 from lakesync.sinks.table import upsert_to_path, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot
 from lakesync.sources.files import file_manifest, read_partitions, read_table, storage_listing
-from lakesync.sources.json_files import write_json
+from lakesync.sources.json_files import read_json, write_json
 from lakesync.spec import TableSpec
 from lakesync.streaming.ingest import run_upsert_stream
 
@@ -141,6 +141,16 @@ def q_stream_upsert(spark, d):
     return read_table(spark, spec.path, STORED_SCHEMA).select("user_id", "event_date", "event_id", "ts", "value")
 
 
+# --------------------------------------------------------------------- S1
+def q_read_json(spark, d):
+    # events as JSON lines, read back with the declared schema; no line is
+    # corrupt, so the corrupt-record column is empty and dropped
+    root = scratch_path(spark, "json")
+    write_json(events(spark, d), root)
+    df = read_json(spark, root, EVENTS_SCHEMA, corrupt_col="_corrupt_record")
+    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
 # --------------------------------------------------------------------- F1-F6
 def q_record_key_and_path(spark, d):
     ev = events(spark, d)
@@ -401,6 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_shuffle_merge": q_upsert_shuffle_merge,
     "upsert_parallel": q_upsert_parallel,
     "stream_upsert": q_stream_upsert,
+    "read_json": q_read_json,
     "record_key_and_path": q_record_key_and_path,
     "partition_value": q_partition_value,
     "parse_ts": q_parse_ts,
