@@ -179,7 +179,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, tiers: tu
     # one row per packer and tier: where its sequences begin among those of the tier
     counts = pieces.groupBy("packer", "tier").agg((F.max("tier_seq") + 1).alias("n"))
     before = Window.partitionBy("tier").orderBy("packer").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("packer", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    # written, so that its size is known and the pieces are not shuffled while it is small
+    begins = stored(counts.select("packer", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")), "begins")
     steps = F.floor((F.col("begin") + F.col("tier_seq")) * F.col("tier") / step_tokens).cast("long")
     return (pieces.join(begins, ["packer", "tier"])
             .select("doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset", "tier",

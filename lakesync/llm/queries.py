@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakesync.llm import bpe, counts, packing
+from lakesync.llm import bpe, counts, packing, quality, toxicity, urlrules
 from lakesync.llm.common import table
 
 
@@ -35,5 +35,35 @@ def op3_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts}
+# the given rules: host and subdomains, path prefix, verdict
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op7_url_filter(spark, sf_dir):
+    return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def fold(folds: int):
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def _classified(spark, sf_dir, method, label, folds, held):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = method.train(docs, labels, label, rows=fold(folds) != held)
+    return method.score(docs, model).select("doc_id", (fold(folds) == held).alias("held_out"), "score",
+                                            (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return _classified(spark, sf_dir, toxicity, "toxic", 5, 0)
+
+
+def op10_quality(spark, sf_dir):
+    return _classified(spark, sf_dir, quality, "quality", 3, 1)
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op7_url_filter": op7_url_filter,
+           "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}

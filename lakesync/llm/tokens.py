@@ -83,7 +83,10 @@ def joined_encoder(tok, joint: str, joinable: str, line: int = 128):
         order, chunks = [], []
         at = np.flatnonzero(plain)
         groups = [at[k:k + line] for k in range(0, len(at), line)]
-        for own, e in zip(groups, tok.encode_batch([joint.join([strings[i] for i in g]) for g in groups], add_special_tokens=False)):
+        # an encoding keeps much beside its ids, so few are held at a time
+        few = (tok.encode_batch([joint.join([strings[i] for i in g]) for g in groups[k:k + 32]], add_special_tokens=False)
+               for k in range(0, len(groups), 32))
+        for own, e in zip(groups, (e for some in few for e in some)):
             size = np.fromiter((len(strings[i]) for i in own), np.int64, len(own)) + len(joint)
             begin = np.cumsum(size) - size
             where = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
@@ -91,7 +94,8 @@ def joined_encoder(tok, joint: str, joinable: str, line: int = 128):
             chunks.append(np.asarray(e.ids, np.uint32))
         order.append(at)
         alone = np.flatnonzero(~plain)
-        for i, e in zip(alone, tok.encode_batch([strings[i] for i in alone], add_special_tokens=False)):
+        few = (tok.encode_batch([strings[i] for i in alone[k:k + 1024]], add_special_tokens=False) for k in range(0, len(alone), 1024))
+        for i, e in zip(alone, (e for some in few for e in some)):
             lens[i] = len(e.ids)
             chunks.append(np.asarray(e.ids, np.uint32))
         order.append(alone)
