@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakesync.llm import bpe, counts, packing, quality, toxicity, urlrules
+from lakesync.llm import bpe, counts, packing, partenum, quality, toxicity, urlrules
 from lakesync.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_url_filter(spark, sf_dir):
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def fold(folds: int):
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
@@ -65,5 +69,5 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op7_url_filter": op7_url_filter,
-           "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+           "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}

@@ -88,8 +88,8 @@ def _segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, dim: int = 4, epochs: int = 5,
-        batch: int = 64, rate: float = 0.5, min_texts: int = 5, decay: float = 0.0, seed: int = 7) -> Model:
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, dim: int = 4, epochs: int = 6,
+        batch: int = 64, rate: float = 5.0, min_texts: int = 15, seed: int = 7) -> Model:
     """Train embeddings (buckets x ``dim``) and softmax weights together by Adagrad.
 
     ``texts``: (distinct buckets, counts) of each text; ``weights``: what each
@@ -125,7 +125,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
             touched, where = np.unique(ids, return_inverse=True)
             step = np.stack([np.bincount(where, grad[:, k], len(touched)) for k in range(dim)], 1)
             table_sq[touched] += (step ** 2).mean(1)
-            table[touched] = table[touched] * (1 - decay) - rate * 0.1 * step / np.sqrt(table_sq[touched])[:, None]
+            table[touched] = table[touched] - rate * 0.1 * step / np.sqrt(table_sq[touched])[:, None]
             g = hidden.T @ p
             soft_sq += g ** 2
             soft -= rate * 0.1 * g / np.sqrt(soft_sq)
