@@ -89,7 +89,7 @@ def _segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, dim: int = 4, epochs: int = 6,
-        batch: int = 64, rate: float = 5.0, min_texts: int = 15, seed: int = 7) -> Model:
+        batch: int = 64, rate: float = 5.0, min_texts: int = 30, seed: int = 7) -> Model:
     """Train embeddings (buckets x ``dim``) and softmax weights together by Adagrad.
 
     ``texts``: (distinct buckets, counts) of each text; ``weights``: what each
