@@ -192,16 +192,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: Colu
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(rows) if rows is not None else known
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
-    own = id_text(docs, id_col, text_col).join(known, "doc_id")
-    share = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    own = id_text(docs, id_col, text_col)
+    known = known.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    share = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(share) < 2:
         one = 20.0 if share.get(1) or not share else -20.0
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, np.zeros((2, 2)), 0.0, one)
     picked = None
     for k in (0, 1):  # a bounded top-k by hash in each class
-        part = own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+        part = known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         picked = part if picked is None else picked.unionByName(part)
-    got = picked.select("label", "text").mapInArrow(_features, "label int, lines int, features binary, size binary").collect()
+    # the picked ids are bounded, so they go to the texts and no text is shuffled
+    got = own.join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_features, "label int, lines int, features binary, size binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.features)))
     y = np.array([r.label for r in got])
     weights = (np.array([share[k] / (y == k).sum() for k in (0, 1)]) ** 0.75)[y]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakesync.llm import bpe, counts, packing, partenum, quality, toxicity, urlrules
+from lakesync.llm import bpe, counts, packing, partenum, quality, suffix, toxicity, urlrules
 from lakesync.llm.common import table
 
 
@@ -35,6 +35,12 @@ def op3_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # the given rules: host and subdomains, path prefix, verdict
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -68,6 +74,7 @@ def op10_quality(spark, sf_dir):
     return _classified(spark, sf_dir, quality, "quality", 3, 1)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op7_url_filter": op7_url_filter,
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op6_suffix_dedup": op6_suffix_dedup,
+           "op7_url_filter": op7_url_filter,
            "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
