@@ -48,6 +48,28 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
         start = stop
 
 
+def with_scores(docs: DataFrame, scores, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text",
+                slice_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id and score = ``scores(texts)`` of every row, then the columns ``keep`` as they were."""
+    import pyarrow.compute as pc
+
+    more = [c for c in keep if c not in (id_col, text_col)]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      F.struct(*[F.col(c) for c in more], F.lit(0).alias("_")).alias("more"))
+    given = own.select("doc_id", *(["text", "more"] if keep else []))
+    names = given.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text", slice_bytes):
+                score = pa.array(scores(pc.fill_null(part.column("text"), "")), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [score], [*names, "score"])
+
+    out = own.mapInArrow(run, given.withColumn("score", F.lit(0.0)).schema)
+    known = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return out.select("doc_id", "score", *[known.get(c, F.col("more")[c]).alias(c) for c in keep if c != "doc_id"])
+
+
 def text_lengths(col: pa.Array) -> np.ndarray:
     """Byte lengths of a string or binary column (null: 0)."""
     import pyarrow.compute as pc
@@ -88,4 +110,4 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-__all__ = ["table", "stored", "id_text", "byte_slices", "text_lengths", "text_bytes", "grouped_rows"]
+__all__ = ["table", "stored", "id_text", "byte_slices", "with_scores", "text_lengths", "text_bytes", "grouped_rows"]

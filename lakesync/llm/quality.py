@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import byte_slices, id_text, text_bytes
+from lakesync.llm.common import byte_slices, id_text, text_bytes, with_scores
 from lakesync.llm.textops import mix, word_hashes
 
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\r\x0b\x0c",
@@ -212,16 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: Colu
     return fit(x, size, np.concatenate(([0], np.cumsum([r.lines for r in got]))), y, weights)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; a null or empty text is one empty line."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and score (0 to 1) of every whole text, then the columns ``keep`` as they were; a null or empty text is one empty line."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kB
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in byte_slices(batch, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(sent.value.scores(own.column("text")))], ["doc_id", "score"])
-
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return with_scores(docs, lambda text: sent.value.scores(text), keep, id_col, text_col)
 
 
 __all__ = ["WIDTH", "Model", "line_features", "forward_backward", "fit", "train", "score"]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import byte_slices, id_text, text_bytes
+from lakesync.llm.common import byte_slices, id_text, text_bytes, with_scores
 from lakesync.llm.textops import gram_hashes, mix
 
 BUCKETS = 1 << 18
@@ -177,16 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4").astype(float)) for r in got], y, weights)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; null and empty texts get the bias's score."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and score (0 to 1) of every whole text, then the columns ``keep`` as they were; null and empty texts get the bias's score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in byte_slices(batch, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(sent.value.scores(own.column("text")))], ["doc_id", "score"])
-
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return with_scores(docs, lambda text: sent.value.scores(text), keep, id_col, text_col)
 
 
 __all__ = ["BUCKETS", "Model", "subwords", "fit", "train", "score"]
