@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakesync.llm import bpe, counts, packing, partenum, quality, suffix, toxicity, urlrules
+from lakesync.llm import bpe, counts, packing, partenum, pivot, quality, suffix, toxicity, urlrules
 from lakesync.llm.common import table
+from lakesync.llm.vectors import usable
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +36,13 @@ def op3_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_pivot_topk(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings")
+    ints = own.where(usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("embedding"))
+    best = pivot.top_inner(ints, ints.where("vec_id % 50 = 0"), 5)
+    return best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"), 50)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
@@ -74,7 +82,18 @@ def op10_quality(spark, sf_dir):
     return _classified(spark, sf_dir, quality, "quality", 3, 1)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op6_suffix_dedup": op6_suffix_dedup,
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op5_pivot_topk": op5_pivot_topk,
+           "op6_suffix_dedup": op6_suffix_dedup,
            "op7_url_filter": op7_url_filter,
            "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_pivot_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+        SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5""",
+}
