@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakesync.llm import bpe, counts, packing, partenum, pivot, quality, suffix, toxicity, urlrules
+from lakesync.llm import bpe, counts, nndescent, packing, partenum, pivot, quality, suffix, toxicity, urlrules
 from lakesync.llm.common import table
 from lakesync.llm.vectors import usable
 
@@ -36,6 +36,11 @@ def op3_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_nn_descent(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings")
+    return nndescent.knn(own, own.where("vec_id % 100 = 0"), 10)
+
+
 def op5_pivot_topk(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings")
     ints = own.where(usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("embedding"))
@@ -82,7 +87,7 @@ def op10_quality(spark, sf_dir):
     return _classified(spark, sf_dir, quality, "quality", 3, 1)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op5_pivot_topk": op5_pivot_topk,
+QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op4_nn_descent": op4_nn_descent, "op5_pivot_topk": op5_pivot_topk,
            "op6_suffix_dedup": op6_suffix_dedup,
            "op7_url_filter": op7_url_filter,
            "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakesync.llm import pivot
+from lakesync.llm import nndescent, pivot
 from lakesync.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
@@ -69,3 +69,65 @@ def test_registered_query_equals_brute_force(spark):
     got = QUERIES["op5_pivot_topk"](spark, sf)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
+def nearest(rows, queries, k):
+    """The k nearest of each query, exact."""
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows])
+    out = {}
+    for q, v in queries:
+        d = np.sqrt(((x - np.array(v)) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, d)) if ids[j] != q][:k]
+        out[q] = [(int(ids[j]), float(d[j])) for j in order]
+    return out
+
+
+def recall(got, want):
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = total = 0
+    for q, best in want.items():
+        own = sorted(found.get(q, []))
+        assert [r for r, *_ in own] == list(range(1, len(best) + 1))
+        assert [s for *_, s in own] == sorted(s for *_, s in own)
+        hit += len({v for _, v, _ in own} & {v for v, _ in best})
+        total += len(best)
+    return hit / total
+
+
+def test_nn_descent_recall_on_the_table(spark):
+    sf = "/root/testdata/sf0.1"
+    data = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    rows = [(int(i), np.asarray(v, np.float64)) for i, v in zip(data.vec_id, data.embedding)]
+    got = QUERIES["op4_nn_descent"](spark, sf).collect()
+    want = nearest(rows, [r for r in rows if r[0] % 100 == 0], 10)
+    assert recall(got, want) >= 0.95
+    vec = dict(rows)
+    assert all(r.score == pytest.approx(np.sqrt(((vec[r.query_id] - vec[r.vec_id]) ** 2).sum()), abs=1e-12) for r in got)
+
+
+def test_nn_descent_copies_ties_and_odd_rows(spark, monkeypatch):
+    """A third of all rows are one vector; small cells and parts force the walk."""
+    monkeypatch.setattr(nndescent, "CELL", 24)
+    monkeypatch.setattr(nndescent, "PART", 8)
+    rng = random.Random(9)
+    vectors = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(400)] + [[0.5] * 6] * 200 + ODD + [[0.1, 0.2]]
+    rng.shuffle(vectors)
+    rows = [(i, v + [0.0] * (6 - len(v))) for i, v in enumerate(vectors) if fine(v, zero=False)]
+    df = table(spark, vectors)
+    got = nndescent.knn(df, df.where("vec_id % 7 = 0"), 10, degree=12, beam=48).collect()
+    want = nearest(rows, [r for r in rows if r[0] % 7 == 0], 10)
+    assert recall(got, want) >= 0.95
+    copy = next(q for q, best in want.items() if best[9][1] == 0)
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == copy), key=lambda r: r.rank)] == [v for v, _ in want[copy]]
+
+
+def test_nn_descent_few_and_none(spark):
+    df = table(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.0, 0.0]])
+    got = nndescent.knn(df, df, 10).collect()
+    assert recall(got, nearest([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], 10)) == 1
+    assert nndescent.knn(df.limit(0), df.limit(0), 10).count() == 0
+    one = df.limit(1)
+    assert nndescent.knn(one, one, 10).count() == 0
