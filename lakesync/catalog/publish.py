@@ -9,6 +9,8 @@ folders; partitions gone from storage are dropped by value.
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +87,8 @@ def publish(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> dict:
 def catalog_partitions(spark: SparkSession, name: str, partition: str) -> DataFrame:
     """Partition values registered in the catalog for ``name`` (as strings)."""
     return (spark.sql(f"SHOW PARTITIONS {_q(name)}")
-            .select(F.url_decode(F.regexp_extract("partition", rf"(?:^|/){partition}=([^/]*)", 1)).alias(partition)))
+            # path escapes only: a plus sign stands for itself
+            .select(F.url_decode(F.replace(F.regexp_extract("partition", rf"(?:^|/){partition}=([^/]*)", 1), F.lit("+"), F.lit("%2B"))).alias(partition)))
 
 
 def _partition_specs(p: str, values: list) -> str:
@@ -99,7 +102,7 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
     Full sync (default): partition folders under the table root (one
     listing of the root, see
     :func:`lakesync.sources.files.storage_partitions`) without a catalog
-    entry are added with ``MSCK REPAIR TABLE ... ADD PARTITIONS``; catalog
+    entry are added with ``ALTER TABLE ... ADD IF NOT EXISTS``; catalog
     partitions without a folder are dropped with ``ALTER TABLE ... DROP
     PARTITION`` in groups of ``batch``.  Only partition values --
     catalog metadata, one row per partition -- reach the driver.  Dropping a
@@ -136,13 +139,14 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
         return {"ADD": len(new), "DROP": 0}
     drift = partition_drift(storage_partitions(spark, spec.path, p), catalog_partitions(spark, name, p), p)
     counts = {r["action"]: r["n"] for r in drift.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if counts.get("DROP"):
-        drops = [r[0] for r in drift.where(F.col("action") == "DROP").select(p).collect()]
-        for i in range(0, len(drops), batch):
-            specs = ", ".join(_partition_specs(p, [v]) for v in drops[i:i + batch])
-            spark.sql(f"ALTER TABLE {_q(name)} DROP IF EXISTS {specs}")
-    if counts.get("ADD") or not condition:
-        spark.sql(f"MSCK REPAIR TABLE {_q(name)} ADD PARTITIONS")
+    if condition and not counts:
+        return {"ADD": 0, "DROP": 0}
+    for action, verb, joint in (("DROP", "DROP IF EXISTS", ", "), ("ADD", "ADD IF NOT EXISTS", " ")):
+        # values come in groups, a group at a time on the driver
+        values = (r[0] for r in drift.where(F.col("action") == action).select(p).toLocalIterator()) if counts.get(action) else iter(())
+        while group := list(islice(values, batch)):
+            specs = joint.join(_partition_specs(p, [v]) for v in group)
+            spark.sql(f"ALTER TABLE {_q(name)} {verb} {specs}")
     spark.sql(f"REFRESH TABLE {_q(name)}")
     return {"ADD": counts.get("ADD", 0), "DROP": counts.get("DROP", 0)}
 

@@ -38,11 +38,16 @@ def parse_ts(col: str | Column, fmt: str = TS_PATTERN, strict: bool = True, ntz:
 def record_key(*fields: str) -> Column:
     """Record key from one field (SIMPLE generator) or several.
 
-    Several fields are rendered as ``field:value`` pairs joined by commas.
+    Several fields are rendered as ``field:value`` pairs joined by commas; a
+    backslash, comma or colon in a value is escaped by a backslash and a null is
+    ``\\N``, so different values never give the same key.
     """
     if len(fields) == 1:
         return _c(fields[0]).cast("string")
-    return F.concat_ws(",", *[F.concat(F.lit(f + ":"), _c(f).cast("string")) for f in fields])
+    def shown(f: str) -> Column:
+        return F.coalesce(F.regexp_replace(_c(f).cast("string"), r"([\\,:])", r"\\$1"), F.lit("\\N"))
+
+    return F.concat_ws(",", *[F.concat(F.lit(f + ":"), shown(f)) for f in fields])
 
 
 def with_record_key(df: DataFrame, *fields: str, name: str = "record_key") -> DataFrame:
@@ -66,10 +71,11 @@ def with_partition_path(df: DataFrame, col: str, name: str | None = None, hive_s
 def partition_value(col: str | Column) -> Column:
     """Partition path or raw value to a typed DATE.
 
-    Accepts ``yyyy/MM/dd`` (slash-encoded day), ``yyyy-MM-dd`` and either
+    Accepts ``yyyy/MM/dd`` (slash-encoded day, also with ``%2F`` as in folder names), ``yyyy-MM-dd`` and either
     prefixed by ``name=``; anything else becomes null (and is rejected upstream).
     """
-    raw = F.regexp_extract(_c(col), r"(?:^|=)(\d{4}[/-]\d{2}[/-]\d{2})$", 1)
+    slashes = F.regexp_replace(_c(col), "%2[Ff]", "/")  # folder names have them escaped
+    raw = F.regexp_extract(slashes, r"(?:^|=)(\d{4}[/-]\d{2}[/-]\d{2})$", 1)
     dashed = F.regexp_replace(raw, "/", "-")
     return F.when(raw != "", F.try_to_date(dashed, DASH_DAY_PATTERN))
 

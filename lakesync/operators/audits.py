@@ -34,8 +34,8 @@ def _check(target: Column, name: str, success: Column, message: Column, vtype: s
 def audit_databases(expected: DataFrame, snapshot: DataFrame, db_col: str = "database",
                     validation_type: str = "spark_catalog") -> DataFrame:
     """Does every expected database exist in the snapshot? (V1)"""
-    present = snapshot.select(F.col(db_col).alias("_db")).distinct().withColumn("_hit", F.lit(True))
-    j = expected.join(present, expected[db_col] == present["_db"], "left")
+    present = snapshot.select(F.lower(db_col).alias("_db")).distinct().withColumn("_hit", F.lit(True))
+    j = expected.join(present, F.lower(expected[db_col]) == present["_db"], "left")
     db = F.col(db_col)
     ok = ~_blank(db) & F.col("_hit").isNotNull()
     msg = (F.when(_blank(db), F.lit("database name required"))

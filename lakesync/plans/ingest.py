@@ -25,7 +25,8 @@ from lakesync.functions.conform import conform
 from lakesync.operators.audits import audit_databases, audit_paths, audit_tables, check_table, verdict
 from lakesync.operators.merge import latest_per_key
 from lakesync.schema import as_struct
-from lakesync.sinks.table import UpsertResult, prepare_batch, write_table
+from lakesync.session import mark_path, path_exists, remove_path
+from lakesync.sinks.table import UpsertResult, _outside, check_stored_schema, prepare_batch, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot, database_snapshot
 from lakesync.sources.files import storage_listing
 from lakesync.sources.json_files import read_json
@@ -50,6 +51,15 @@ class RunSummary:
         return {k: sum(b.get(k) or 0 for b in self.batches) for k in keys}
 
 
+def _ordered(good: DataFrame, spec: TableSpec, order_format: str | None, strict: bool) -> DataFrame:
+    """A string ordering field becomes ``timestamp_ntz`` in every run, by
+    ``order_format`` or the spec's; rows without an ordering value are rejected in every run."""
+    fmt = order_format or spec.order_format
+    if fmt and isinstance(good.schema[spec.order].dataType, T.StringType):
+        good = good.withColumn(spec.order, parse_ts(spec.order, fmt, strict=strict))
+    return good.where(F.col(spec.order).isNotNull())
+
+
 def _validator(target: T.StructType, spec: TableSpec, order_format: str | None,
                strict: bool) -> Callable[[DataFrame], DataFrame]:
     """Conform to ``target``; optionally parse the ordering field so it has
@@ -57,10 +67,7 @@ def _validator(target: T.StructType, spec: TableSpec, order_format: str | None,
 
     def validate(batch: DataFrame) -> DataFrame:
         good, _ = conform(batch, target, required=list(spec.keys) + [spec.order], corrupt_col=CORRUPT_COL)
-        if order_format:
-            parsed = parse_ts(spec.order, order_format, strict=strict)
-            good = good.withColumn(spec.order, parsed).where(F.col(spec.order).isNotNull())
-        return good
+        return _ordered(good, spec, order_format, strict)
 
     return validate
 
@@ -78,16 +85,26 @@ def _ingest(spark: SparkSession, source: str, target: T.StructType, spec: TableS
             checkpoint: str | None, max_files_per_trigger: int | None,
             validate: Callable[[DataFrame], DataFrame], exact_counts: bool,
             max_bytes_per_trigger: str | int | None = None) -> list[UpsertResult]:
-    ckpt = checkpoint or f"{spec.path.rstrip('/')}/_lakesync_checkpoint"
+    ckpt = checkpoint_of(spec, checkpoint)
     return run_upsert_stream(spark, source, target, spec, ckpt, transform=validate,
                              max_files_per_trigger=max_files_per_trigger, corrupt_col=CORRUPT_COL,
                              exact_counts=exact_counts, max_bytes_per_trigger=max_bytes_per_trigger)
 
 
+def checkpoint_of(spec: TableSpec, checkpoint: str | None) -> str:
+    """The stream checkpoint: beside the table by default, never inside it (a full overwrite would delete it)."""
+    ckpt = checkpoint or f"{spec.path.rstrip('/')}.lakesync_checkpoint"
+    _outside(ckpt, spec.path, "checkpoint")
+    return ckpt
+
+
 def _touched(results: list[UpsertResult]) -> list | None:
     """Partition values rewritten by the batches, or None when a batch cannot
-    tell (it created the table or went past the pruning bound)."""
+    tell (it created the table or went past the pruning bound) or none ran
+    (an earlier run may have been lost before it published)."""
     touched: set = set()
+    if not results:
+        return None
     for r in results:
         if r.touched is None:
             return None
@@ -107,6 +124,28 @@ def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary
     summary.partitions = sync_partitions(spark, spec, touched=touched if incremental else None)
 
 
+def _check_target(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> None:
+    """A published table whose columns the run would lose or retype fails before the ingest."""
+    if spec.table and spark.catalog.tableExists(spec.qualified_name):
+        check_stored_schema(spark, spec, schema)
+
+
+def _pending(spec: TableSpec, checkpoint: str | None) -> str:
+    return f"{checkpoint_of(spec, checkpoint)}.unpublished"
+
+
+def _begin(spark: SparkSession, spec: TableSpec, checkpoint: str | None) -> bool:
+    """Mark the run as unpublished; True if an earlier run left its mark, so storage is synced whole."""
+    lost = path_exists(spark, _pending(spec, checkpoint))
+    if not lost:
+        mark_path(spark, _pending(spec, checkpoint))
+    return lost
+
+
+def _finish(spark: SparkSession, spec: TableSpec, checkpoint: str | None) -> None:
+    remove_path(spark, _pending(spec, checkpoint))
+
+
 def _target(schema: T.StructType | str) -> T.StructType:
     return as_struct(schema)
 
@@ -126,10 +165,13 @@ def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spe
     summary = RunSummary(spec.qualified_name)
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
+    _check_target(spark, spec, stored_schema(spark, target, spec, validate))
+    lost = _begin(spark, spec, checkpoint)
     results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
-                          max_bytes_per_trigger)
+                      max_bytes_per_trigger)
     summary.batches = [r.as_dict() for r in results]
-    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, _touched(results))
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, None if lost else _touched(results))
+    _finish(spark, spec, checkpoint)
     return summary
 
 
@@ -143,33 +185,42 @@ def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, s
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
     try:
+        _check_target(spark, spec, stored_schema(spark, target, spec, validate))
+        lost = _begin(spark, spec, checkpoint)
         results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
                           max_bytes_per_trigger)
         summary.batches = [r.as_dict() for r in results]
     except Exception as e:  # the publication step must not run after a failed ingest
         summary.ok, summary.error = False, f"ingest failed: {e}"
         return summary
-    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, _touched(results))
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, None if lost else _touched(results))
+    _finish(spark, spec, checkpoint)
     return summary
 
 
 def run_batch(spark: SparkSession, source: str, spec: TableSpec, ts_col: str | None = None,
-              ts_format: str = TS_PATTERN, strict: bool = True, schema: T.StructType | str | None = None,
-              sampling_ratio: float | None = None) -> RunSummary:
-    """Inferred JSON read, parsed time, keep-latest, full overwrite, publish.
-
-    The time column is parsed to ``timestamp_ntz`` so every run gives it one
-    type.  With ``strict=False`` unparseable times are rejected instead of
-    failing the job.  The schema is inferred from the whole input unless a
-    ``schema`` (no inference pass) or a ``sampling_ratio`` for the inference
-    pass is given.
+              ts_format: str = TS_PATTERN, strict: bool = True, schema: T.StructType | str | None = None) -> RunSummary:
+    """JSON read, conform, parsed time, keep-latest, full overwrite, publish.
+
+    The target schema is ``schema``, or that inferred from the whole input.
+    Malformed lines, bad types, null keys and null ordering values are
+    rejected, as in the other runs.  A string time column is parsed to
+    ``timestamp_ntz``; with ``strict=False`` unparseable times are rejected
+    instead of failing the job.
     """
     summary = RunSummary(spec.qualified_name)
     o_in, o_out = Observation("lakesync_batch_in"), Observation("lakesync_batch_out")
-    df = read_json(spark, source, schema, sampling_ratio=sampling_ratio).observe(o_in, F.count(F.lit(1)).alias("rows"))
+    if schema is None:
+        found = read_json(spark, source).schema
+        target = T.StructType([f for f in found.fields if f.name != CORRUPT_COL])
+    else:
+        target = as_struct(schema)
+    df = read_json(spark, source, target, corrupt_col=CORRUPT_COL).observe(o_in, F.count(F.lit(1)).alias("rows"))
     ts = ts_col or spec.order
-    df = df.withColumn(ts, parse_ts(ts, ts_format, strict=strict))
-    good, _ = prepare_batch(df.where(F.col(ts).isNotNull()) if not strict else df, spec)
+    good, _ = conform(df, target, required=[c for c in (*spec.keys, spec.order) if c in target.fieldNames()], corrupt_col=CORRUPT_COL)
+    if isinstance(good.schema[ts].dataType, T.StringType):
+        good = good.withColumn(ts, parse_ts(ts, ts_format, strict=strict)).where(F.col(ts).isNotNull())
+    good, _ = prepare_batch(_ordered(good, spec, None, strict), spec)
     good = good.observe(o_out, F.count(F.lit(1)).alias("rows"))
     latest = latest_per_key(good, spec.identity, spec.order, spec.tie)
     write_table(latest, spec.path, spec.partition, mode="overwrite", parallelism=spec.parallelism)

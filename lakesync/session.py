@@ -117,11 +117,17 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def mark_path(spark: SparkSession, path: str) -> None:
+    """Create an empty file (and its folders)."""
+    p, fs = _hadoop_path(spark, path)
+    fs.create(p, True).close()
+
+
 def qualify(spark: SparkSession, path: str) -> str:
     """``path`` with scheme and authority, as Spark reports file paths."""
     p, fs = _hadoop_path(spark, path.rstrip("/") or "/")
     return str(fs.makeQualified(p).toString())
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "child_folders", "content_bytes", "remove_path",
+__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "child_folders", "content_bytes", "remove_path", "mark_path",
            "qualify"]

@@ -43,8 +43,9 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,15 +55,30 @@ from lakesync.session import content_bytes, existing_paths, path_exists, remove_
 from lakesync.spec import TableSpec
 
 REJECT_REASON = "_reject_reason"
+# Fixed value: the folder name Spark and Hive give the null partition.
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+_UPDATED = "_lakesync_updated"
 log = logging.getLogger("lakesync")
 
 
+# an explicit parallelism deals the rows of one partition value to at most this
+# many tasks, so a hot partition is split and a cold one stays in few files
+PARALLEL_SPREAD = 8
+
+
 def _layout(df: DataFrame, partitions: list[str], parallelism: int | None) -> DataFrame:
-    """Rebalance by the partition columns before a write: rows of one
-    partition value land in few tasks (few files per partition) while AQE
-    splits a hot partition value over several tasks and packs small ones."""
-    args = ([parallelism] if parallelism else []) + list(partitions)
-    return df.hint("rebalance", *args)
+    """Lay rows out by the partition columns before a write.
+
+    Without ``parallelism`` a rebalance: rows of one partition value land in
+    few tasks while AQE splits a hot one and packs small ones.  With it,
+    exactly that many tasks write (AQE does not merge them); rows are dealt by
+    the partition value and a hash of the row bounded by ``PARALLEL_SPREAD``,
+    or by the hash alone without a partition."""
+    if not parallelism:
+        return df.hint("rebalance", *partitions)
+    plain = [f.name for f in df.schema.fields if f.name not in partitions and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0)
+    return df.repartition(parallelism, *partitions, F.pmod(row, F.lit(PARALLEL_SPREAD if partitions else 1 << 20)))
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None = None, mode: str = "error",
@@ -90,6 +106,9 @@ def prepare_batch(batch: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFra
     checks = [F.when(F.col(k).isNull(), F.lit(f"null key: {k}")) for k in spec.keys]
     if spec.partition:
         checks.append(F.when(F.col(spec.partition).isNull(), F.lit(f"null partition: {spec.partition}")))
+        if isinstance(df.schema[spec.partition].dataType, T.StringType):
+            # both are stored as the default partition and read back as null
+            checks.append(F.when(F.col(spec.partition).isin("", DEFAULT_PARTITION), F.lit(f"unusable partition: {spec.partition}")))
     tagged = df.withColumn(REJECT_REASON, F.coalesce(*checks))
     good = tagged.where(F.col(REJECT_REASON).isNull()).drop(REJECT_REASON)
     rejected = tagged.where(F.col(REJECT_REASON).isNotNull())
@@ -151,10 +170,12 @@ def _incoming(batch: DataFrame, spec: TableSpec, obs: dict | None,
 
 
 def choose_strategy(spark: SparkSession, spec: TableSpec, batch_bytes: int, strategy: str = "auto") -> str:
-    """``broadcast`` when the measured batch fits the bound, else ``shuffle``."""
-    if strategy in ("broadcast", "shuffle"):
+    """``broadcast`` when the measured batch fits the bound, else ``shuffle``.
+
+    ``strategy="broadcast"`` skips the comparison with the stored bytes, never the bound."""
+    if strategy == "shuffle":
         return strategy
-    if strategy != "auto":
+    if strategy not in ("auto", "broadcast"):
         raise ValueError("strategy must be 'auto', 'broadcast' or 'shuffle'")
     bound = broadcast_bound(spark, spec.broadcast_bytes)
     return "broadcast" if 0 < batch_bytes <= bound else "shuffle"
@@ -227,6 +248,11 @@ def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: st
     """Stored rows of the touched partitions merged with the (deduplicated)
     batch, laid out for the write; ``_src`` is 1 where the batch row won.
 
+    One rule in both strategies: a batch row that wins replaces all stored
+    rows of its identity; a batch row that loses changes nothing.  Stored rows
+    of other identities stay as they are, repeated ones and those with a null
+    key included.
+
     With ``winners_dir`` the broadcast merge first writes the winning batch
     rows there (as small as the batch), so the stored identity scan that
     finds them runs once, not once per use of the winners."""
@@ -241,37 +267,50 @@ def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: st
         # one row per batch identity, so it is as small as the batch
         hits = (stored.select(*ids, F.col(spec.order).alias(s_ord))
                 .join(F.broadcast(incoming.select(*ids)), ids, "left_semi")
-                .groupBy(*ids).agg(F.max(s_ord).alias(s_ord)))
+                .groupBy(*ids).agg(F.max(s_ord).alias(s_ord), F.lit(True).alias(_UPDATED)))
         o = F.col(spec.order)
         # the batch row wins unless the stored ordering is greater (null is
         # lowest); an ordering tie goes to the batch row
         wins = F.col(s_ord).isNull() | (o.isNotNull() & (o >= F.col(s_ord)))
-        winners = incoming.join(F.broadcast(hits), ids, "left").where(wins).drop(s_ord)
+        winners = (incoming.join(F.broadcast(hits), ids, "left").where(wins).drop(s_ord)
+                   .withColumn(_UPDATED, F.coalesce(_UPDATED, F.lit(False))))
         if winners_dir is not None:
             winners.write.mode("overwrite").parquet(winners_dir)
             winners = winners.sparkSession.read.schema(winners.schema).parquet(winners_dir)
         kept = kept_src.join(F.broadcast(winners.select(*ids)), ids, "left_anti")
         parts = [spec.partition] if spec.partition else []
-        if parts and not spec.parallelism:
+        if parts and not spec.parallelism:  # noqa: SIM102
             # stored rows stay with the task that read them (a stored file
             # holds one partition); only the batch rows are laid out
             winners = _layout(winners, parts, None)
-        merged = (kept.withColumn(SRC_COL, F.lit(0))
+        merged = (kept.withColumns({SRC_COL: F.lit(0), _UPDATED: F.lit(False)})
                   .unionByName(winners.withColumn(SRC_COL, F.lit(1))))
         if spec.parallelism:
             # an explicit write parallelism is honoured with one rebalance
             merged = _layout(merged, parts, spec.parallelism)
     else:
-        both = (kept_src.withColumn(SRC_COL, F.lit(0))
+        # stored rows without a whole identity meet no batch row: past the shuffle
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ids])
+        both = (kept_src.where(whole).withColumn(SRC_COL, F.lit(0))
                 .unionByName(incoming.withColumn(SRC_COL, F.lit(1))))
-        merged = latest_per_key(both, ids, [spec.order, SRC_COL], spec.tie)
+        own = Window.partitionBy(*ids)
+        fresh, old = F.col("_fresh"), F.col("_old")
+        seen = both.withColumns({
+            "_fresh": F.max(F.when(F.col(SRC_COL) == 1, F.col(spec.order))).over(own),
+            "_old": F.max(F.when(F.col(SRC_COL) == 0, F.col(spec.order))).over(own),
+            "_batch": F.max(SRC_COL).over(own), _UPDATED: F.min(SRC_COL).over(own) == 0})
+        wins = old.isNull() | (fresh.isNotNull() & (fresh >= old))
+        keep = F.when(F.col(SRC_COL) == 1, wins).otherwise((F.col("_batch") == 0) | ~wins)
+        merged = (seen.where(keep).drop("_fresh", "_old", "_batch")
+                  .unionByName(kept_src.where(~whole).withColumns({SRC_COL: F.lit(0), _UPDATED: F.lit(False)})))
         if spec.partition or spec.parallelism:
             merged = _layout(merged, [spec.partition] if spec.partition else [], spec.parallelism)
     if obs is not None:
         obs["out"] = Observation("lakesync_out")
         merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
-                                F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
-    return merged
+                                F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"),
+                                F.count_if((F.col(SRC_COL) == 1) & F.col(_UPDATED)).alias("updated"))
+    return merged.drop(_UPDATED)
 
 
 def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
@@ -299,7 +338,7 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
             merged = _layout(merged, [spec.partition], spec.parallelism)
         res.strategy = "create"
         return merged, res
-    if strategy == "auto":
+    if strategy != "shuffle":
         res.batch_bytes = measured_bytes(incoming, [*spec.identity, spec.order])
     res.strategy = choose_strategy(spark, spec, res.batch_bytes or 0, strategy)
     stored, _ = _read_stored(spark, spec, incoming.schema, incoming, res)
@@ -317,12 +356,42 @@ def commit_staged(spark: SparkSession, staged: str, spec: TableSpec, schema: T.S
     one partition per file, so the copy needs no shuffle.
     """
     staged_df = spark.read.schema(schema).parquet(staged)
+    if spec.parallelism:  # a copy made by as many tasks as the merge was
+        staged_df = _layout(staged_df, [spec.partition] if spec.partition else [], spec.parallelism)
     w = staged_df.write.mode("overwrite").option("compression", "snappy")
     if spec.partition:
         w = w.partitionBy(spec.partition).option("partitionOverwriteMode", "dynamic")
     w.parquet(spec.path)
 
 
+def check_stored_schema(spark: SparkSession, spec: TableSpec, schema: T.StructType, dirs: list[str] | None = None) -> None:
+    """Fail before anything is written if ``schema`` lacks a stored column or gives it another type.
+
+    The stored schema is the catalog's if the table is published, else that of
+    the files under the touched folders ``dirs`` (or the table's path).  New
+    columns are allowed."""
+    name = spec.qualified_name if spec.table else None
+    if name and spark.catalog.tableExists(name):
+        stored = spark.table(name).schema
+    elif dirs == []:
+        return
+    else:
+        reader = spark.read.option("basePath", spec.path) if dirs and dirs != [spec.path] else spark.read
+        stored = reader.parquet(*(dirs[:1] if dirs else [spec.path])).schema
+    have = {f.name.lower(): f.dataType for f in schema.fields}
+    lost = [f.name for f in stored.fields if f.name.lower() not in have]
+    # a partition column read from folder names has a guessed type
+    other = [f.name for f in stored.fields if f.name != spec.partition and f.name.lower() in have
+             and have[f.name.lower()].simpleString() != f.dataType.simpleString()]
+    if lost or other:
+        raise ValueError(f"schema of {spec.path} changed incompatibly: columns missing {lost}, of another type {other}")
+
+
+def _outside(path: str, table: str, what: str) -> None:
+    if f"{path.rstrip('/')}/".startswith(f"{table.rstrip('/')}/"):
+        raise ValueError(f"the {what} {path} lies inside the table {table}, which writes replace")
+
+
 def _write(df: DataFrame, path: str, partition: str | None, dynamic: bool) -> None:
     """Write a frame that is already laid out (no extra exchange)."""
     w = df.write.mode("overwrite").option("compression", "snappy")
@@ -371,6 +440,8 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     partitions exactly.
     """
     spark = spark or batch.sparkSession
+    if stage_path:
+        _outside(stage_path, spec.path, "staging folder")
     if stage_path and path_exists(spark, f"{stage_path}/_SUCCESS"):
         res = UpsertResult(spec.path, staged=stage_path)
         log.warning("committing the staged result left by an earlier attempt: %s", stage_path)
@@ -406,6 +477,7 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         if obs["dedup"].get["rows"] > 0:
             inc = spark.read.schema(incoming.schema).parquet(batch_dir)
             stored, dirs = _read_stored(spark, spec, inc.schema, inc, res)
+            check_stored_schema(spark, spec, inc.schema, dirs)
             res.strategy = choose_strategy(spark, spec, res.batch_bytes, strategy)
             if strategy == "auto" and res.strategy == "broadcast" and not _stored_outweighs(spark, dirs, batch_dir):
                 res.strategy = "shuffle"
@@ -427,13 +499,13 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     rows_in = obs["in"].get["rows"]
     good_n = obs["good"].get["rows"]
     dedup_n = obs["dedup"].get["rows"]
-    out = obs["out"].get if "out" in obs else {"rows": 0, "incoming_won": 0}
+    out = obs["out"].get if "out" in obs else {"rows": 0, "incoming_won": 0, "updated": 0}
     stored_n = obs["stored"].get["rows"] if "stored" in obs else 0
     res.rows_in = rows_in
     res.rejected = rows_in - good_n
     res.stored_read = stored_n
-    res.inserted = out["rows"] - stored_n
-    res.updated = out["incoming_won"] - res.inserted
+    res.updated = out.get("updated", 0)
+    res.inserted = out["incoming_won"] - res.updated
     res.superseded = good_n - out["incoming_won"]
     if exact_counts:
         res.duplicates = good_n - dedup_n

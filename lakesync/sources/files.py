@@ -54,6 +54,10 @@ def file_manifest(df: DataFrame, partition_cols: list[str] | None = None) -> Dat
 _LISTING_SCHEMA = "root string, path string, length bigint, root_exists boolean"
 
 
+# a root list of fewer characters is broadcast to the file listing
+ROOTS_BROADCAST_BYTES = 4 << 20
+
+
 def storage_listing(spark: SparkSession, roots: list[str], list_files: bool = True) -> DataFrame:
     """Files under each root, plus one marker row per root (input of V3).
 
@@ -79,8 +83,11 @@ def storage_listing(spark: SparkSession, roots: list[str], list_files: bool = Tr
              .load(present).select("path", "length"))
     root_map = spark.createDataFrame([(qualify(spark, r), r) for r in present], "_anc string, root string")
     parts = F.split("path", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
-                            lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    # only the ancestors at the depths the roots have, usually one row per file
+    depths = sorted({len(qualify(spark, r).split("/")) for r in present})
+    ancestors = F.filter(F.array(*[F.when(F.size(parts) > n, F.array_join(F.slice(parts, 1, n), "/")) for n in depths]), lambda a: a.isNotNull())
+    if sum(len(r) for r in present) < ROOTS_BROADCAST_BYTES:
+        root_map = F.broadcast(root_map)
     attributed = (files.select("path", "length", F.explode(ancestors).alias("_anc"))
                   .join(root_map, "_anc")
                   .select("root", "path", "length", F.lit(True).alias("root_exists")))

@@ -13,16 +13,14 @@ TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-              corrupt_col: str | None = None, sampling_ratio: float | None = None) -> DataFrame:
+              corrupt_col: str | None = None) -> DataFrame:
     """Scan JSON lines.
 
     With ``schema`` (S1) no inference pass runs; malformed values become null
     (PERMISSIVE) and, if ``corrupt_col`` is given, the raw line is kept there so
     :func:`lakesync.functions.conform` can reject it.  Without a schema (S2)
-    Spark infers one from the data: an extra pass over the whole input.  On
-    large inputs pass a schema, or a ``sampling_ratio`` so the inference pass
-    reads only that fraction of the lines (the rows read afterwards are all
-    kept; a field seen only outside the sample is then not in the schema).
+    Spark infers one from the data: an extra pass over the whole input, which a
+    declared schema saves.
     """
     r = spark.read.option("mode", "PERMISSIVE").option("timestampNTZFormat", TS_NTZ_FORMAT)
     if schema is not None:
@@ -30,8 +28,6 @@ def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType |
             schema = with_string_field(as_struct(schema), corrupt_col)
             r = r.option("columnNameOfCorruptRecord", corrupt_col)
         r = r.schema(schema)
-    elif sampling_ratio is not None:
-        r = r.option("samplingRatio", str(sampling_ratio))
     return r.json(path)
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakesync.functions.columns import TS_PATTERN
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -41,6 +43,8 @@ class TableSpec:
     # None uses the session's spark.sql.autoBroadcastJoinThreshold, and a
     # value <= 0 always uses the shuffle merge.
     broadcast_bytes: int | None = None
+    # a string ordering field is parsed by this pattern in every run; None keeps it a string
+    order_format: str | None = TS_PATTERN
 
     def __post_init__(self):
         if isinstance(self.keys, str):
