@@ -38,9 +38,9 @@ def audit_databases(expected: DataFrame, snapshot: DataFrame, db_col: str = "dat
     j = expected.join(present, F.lower(expected[db_col]) == present["_db"], "left")
     db = F.col(db_col)
     ok = ~_blank(db) & F.col("_hit").isNotNull()
-    msg = (F.when(_blank(db), F.lit("database name required"))
-           .when(ok, F.format_string("Database %s exists", db))
-           .otherwise(F.format_string("Database %s not found", db)))
+    msg = (F.when(_blank(db), F.lit("no database given"))
+           .when(ok, F.format_string("database %s is in the catalog", db))
+           .otherwise(F.format_string("database %s is missing from the catalog", db)))
     return j.select(*_check(F.coalesce(db, F.lit("")), "database", ok, msg, validation_type))
 
 
@@ -58,9 +58,9 @@ def audit_tables(expected: DataFrame, snapshot: DataFrame, db_col: str = "databa
     blank = _blank(db) | _blank(t)
     ok = ~blank & F.col("_hit").isNotNull()
     target = F.concat_ws(".", db, t)
-    msg = (F.when(blank, F.lit("database and table name required"))
-           .when(ok, F.format_string("Table %s.%s found in database %s", db, t, db))
-           .otherwise(F.format_string("Table %s.%s not found in database %s", db, t, db)))
+    msg = (F.when(blank, F.lit("no database or table given"))
+           .when(ok, F.format_string("table %s.%s is listed under %s", db, t, db))
+           .otherwise(F.format_string("table %s.%s is not listed under %s", db, t, db)))
     return j.select(*_check(target, "database_table", ok, msg, validation_type))
 
 
@@ -81,9 +81,9 @@ def audit_paths(expected: DataFrame, listing: DataFrame, path_col: str = "path",
     p = F.col(path_col)
     ok = ~_blank(p) & F.coalesce(F.col("_exists"), F.lit(False))
     msg = (F.when(_blank(p), F.lit("path is empty"))
-           .when(ok, F.format_string("Path exists: %s (%d files)", p, F.col("_files")) if count_files
-                 else F.format_string("Path exists: %s", p))
-           .otherwise(F.format_string("Path not found: %s", p)))
+           .when(ok, F.format_string("path %s is there with %d files", p, F.col("_files")) if count_files
+                 else F.format_string("path %s is there", p))
+           .otherwise(F.format_string("path %s is missing", p)))
     return j.select(*_check(F.coalesce(p, F.lit("")), "table_path", ok, msg, validation_type))
 
 
@@ -112,9 +112,9 @@ def audit_datasets(expected: DataFrame, registry: DataFrame, platform: str | Non
     j = exp.join(present, (exp["_want_p"] == present["_p"]) & (exp["_want_d"] == present["_d"]), "left")
     blank = _blank(F.col(table_col))
     ok = ~blank & F.col("_hit").isNotNull()
-    msg = (F.when(blank, F.lit("table name required"))
-           .when(ok, F.format_string("Dataset found in registry: %s", F.col("_want_d")))
-           .otherwise(F.format_string("Dataset not found in registry: %s", F.col("_want_d"))))
+    msg = (F.when(blank, F.lit("no table given"))
+           .when(ok, F.format_string("registry lists %s", F.col("_want_d")))
+           .otherwise(F.format_string("registry lacks %s", F.col("_want_d"))))
     return j.select(*_check(F.col("_want_d"), "registry_dataset", ok, msg, validation_type))
 
 

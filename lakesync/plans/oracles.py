@@ -22,8 +22,8 @@ EVENTS_STORED = ("SELECT event_id, ts, user_id, event_type, value, props, CAST(t
 
 TABLE_AUDIT = ("SELECT 'sales.cust_' || e.c_custkey AS target, 'database_table' AS check_name, "
                "s.c_custkey IS NOT NULL AS success, "
-               "CASE WHEN s.c_custkey IS NOT NULL THEN 'Table sales.cust_' || e.c_custkey || ' found in database sales' "
-               "ELSE 'Table sales.cust_' || e.c_custkey || ' not found in database sales' END AS message, "
+               "CASE WHEN s.c_custkey IS NOT NULL THEN 'table sales.cust_' || e.c_custkey || ' is listed under sales' "
+               "ELSE 'table sales.cust_' || e.c_custkey || ' is not listed under sales' END AS message, "
                "'spark_catalog' AS validation_type "
                "FROM customer e LEFT JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal > 0) s "
                "ON e.c_custkey = s.c_custkey")
@@ -31,8 +31,8 @@ TABLE_AUDIT = ("SELECT 'sales.cust_' || e.c_custkey AS target, 'database_table'
 DATABASE_AUDIT = ("WITH snap AS (SELECT DISTINCT 'db_' || lower(n.n_name) AS db FROM supplier s "
                   "JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_acctbal > 0) "
                   "SELECT 'db_' || lower(n_name) AS target, 'database' AS check_name, snap.db IS NOT NULL AS success, "
-                  "CASE WHEN snap.db IS NOT NULL THEN 'Database db_' || lower(n_name) || ' exists' "
-                  "ELSE 'Database db_' || lower(n_name) || ' not found' END AS message, "
+                  "CASE WHEN snap.db IS NOT NULL THEN 'database db_' || lower(n_name) || ' is in the catalog' "
+                  "ELSE 'database db_' || lower(n_name) || ' is missing from the catalog' END AS message, "
                   "'spark_catalog' AS validation_type FROM nation LEFT JOIN snap ON 'db_' || lower(n_name) = snap.db")
 
 REGISTRY_WHERE = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
@@ -56,10 +56,9 @@ ORACLES: dict[str, str] = {
                          "WHERE o_orderpriority <> '5-LOW'"),
     "conform_rejected": ("SELECT 'bad value: o_custkey' AS reason, count(*) AS n FROM orders "
                          "WHERE o_orderpriority = '5-LOW'"),
-    "parse_urn": (f"SELECT o_orderkey, 'lake' AS platform, 'sales.cust_' || o_custkey AS dataset FROM orders "
-                  f"WHERE {REGISTRY_WHERE}"),
-    "find_dataset": (f"SELECT o_orderkey, 'urn:li:dataset:(urn:li:dataPlatform:lake,sales.cust_' || o_custkey || ',PROD)' "
-                     f"AS entity FROM orders WHERE {REGISTRY_WHERE} AND o_custkey = 7"),
+    "parse_urn": "SELECT o_orderkey, 'lake' AS platform, 'sales.cust_' || o_custkey AS dataset FROM orders",
+    "find_dataset": ("SELECT o_orderkey, 'urn:li:dataset:(urn:li:dataPlatform:lake,sales.cust_' || o_custkey || ',PROD)' "
+                     "AS entity FROM orders WHERE o_custkey = 7"),
     "partition_drift": ("WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS p FROM events), "
                         "c AS (SELECT DISTINCT CAST(ts - INTERVAL 5 DAY AS DATE) AS p FROM events) "
                         "SELECT COALESCE(s.p, c.p) AS part, CASE WHEN c.p IS NULL THEN 'ADD' ELSE 'DROP' END AS action "
@@ -71,8 +70,8 @@ ORACLES: dict[str, str] = {
     "dataset_audit": (f"WITH reg AS (SELECT DISTINCT o_custkey FROM orders WHERE {REGISTRY_WHERE}) "
                       "SELECT 'sales.cust_' || c.c_custkey AS target, 'registry_dataset' AS check_name, "
                       "reg.o_custkey IS NOT NULL AS success, "
-                      "CASE WHEN reg.o_custkey IS NOT NULL THEN 'Dataset found in registry: sales.cust_' || c.c_custkey "
-                      "ELSE 'Dataset not found in registry: sales.cust_' || c.c_custkey END AS message, "
+                      "CASE WHEN reg.o_custkey IS NOT NULL THEN 'registry lists sales.cust_' || c.c_custkey "
+                      "ELSE 'registry lacks sales.cust_' || c.c_custkey END AS message, "
                       "'registry_dataset' AS validation_type FROM customer c LEFT JOIN reg ON c.c_custkey = reg.o_custkey"),
     "path_audit": ("WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS p FROM events), "
                    "e AS (SELECT DISTINCT CAST(ts + INTERVAL 5 DAY AS DATE) AS p FROM events) "

@@ -194,7 +194,7 @@ def q_conform_rejected(spark, d):
 
 
 def q_parse_urn(spark, d):
-    reg = _registry(spark, d)
+    reg = _urns(spark.read.parquet(f"{d}/orders.parquet"))
     u = parse_urn("entity")
     return reg.select("o_orderkey", u.platform.alias("platform"), u.dataset.alias("dataset"))
 
@@ -203,12 +203,17 @@ def _registry(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     # registry export: one URN per urgent finished order (customers repeat)
     urgent = o.where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
-    return urgent.select("o_orderkey", F.format_string(
+    return _urns(urgent)
+
+
+def _urns(orders):
+    # Fixed value: the URN layout of a registry export.
+    return orders.select("o_orderkey", F.format_string(
         "urn:li:dataset:(urn:li:dataPlatform:lake,sales.cust_%d,PROD)", "o_custkey").alias("entity"))
 
 
 def q_find_dataset(spark, d):
-    return find_dataset(_registry(spark, d), "sales", "cust_7", "lake").select("o_orderkey", "entity")
+    return find_dataset(_urns(spark.read.parquet(f"{d}/orders.parquet")), "sales", "cust_7", "lake").select("o_orderkey", "entity")
 
 
 # --------------------------------------------------------------------- C2 / S4 / S6

@@ -16,8 +16,8 @@ def test_audit_databases_and_tables(spark):
     exp_db = spark.createDataFrame([("a",), ("b",), ("",)], "database string")
     snap_db = spark.createDataFrame([("a",), ("a",), ("c",)], "database string")
     out = {r.target: (r.success, r.message) for r in audit_databases(exp_db, snap_db).collect()}
-    assert out == {"a": (True, "Database a exists"), "b": (False, "Database b not found"),
-                   "": (False, "database name required")}
+    assert out == {"a": (True, "database a is in the catalog"), "b": (False, "database b is missing from the catalog"),
+                   "": (False, "no database given")}
 
     exp = spark.createDataFrame([("db", "T1"), ("db", "t2"), ("db", None)], "database string, table_name string")
     snap = spark.createDataFrame([("DB", "t1")], "database string, table_name string")
@@ -73,5 +73,5 @@ def test_audit_paths_existence_only_lists_no_files(spark, tmp_path):
     assert listing.where("path IS NOT NULL").count() == 0
     exp = spark.createDataFrame([(r,) for r in roots], "path string")
     out = {r.target: (r.success, r.message) for r in audit_paths(exp, listing, count_files=False).collect()}
-    assert out == {str(full): (True, f"Path exists: {full}"),
-                   roots[1]: (False, f"Path not found: {roots[1]}")}
+    assert out == {str(full): (True, f"path {full} is there"),
+                   roots[1]: (False, f"path {roots[1]} is missing")}
