@@ -99,7 +99,8 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     total = np.array([c.sum() for _, c in texts], float)
     held = np.bincount(np.concatenate([b for b, _ in texts]), minlength=BUCKETS)
     often = held >= min_texts
-    texts = [(b[often[b]], c[often[b]]) for b, c in texts]
+    for i, (b, c) in enumerate(texts):  # in place: the driver holds one copy
+        texts[i] = b[often[b]], c[often[b]]
     table = rng.normal(0, 0.01, (BUCKETS, dim)) * often[:, None]
     soft = rng.normal(0, 0.5, (dim, 2))
     bias = np.zeros(2)
@@ -142,12 +143,12 @@ def _subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             buckets, rows = subwords(own.column("text"))
             key, n = np.unique(rows * BUCKETS + buckets, return_counts=True)
             cut = np.searchsorted(key, np.arange(own.num_rows + 1) * BUCKETS)
-            one, n = (key % BUCKETS).astype("<i4"), n.astype("<i4")
+            one, n = (key % BUCKETS).astype("<i4"), np.minimum(n, 0xFFFF).astype("<u2")
             yield pa.RecordBatch.from_arrays([own.column("label"), pa.array([one[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                                               pa.array([n[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], schema=_COUNTS)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None, train_docs: int = 2000,
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None, train_docs: int = 1500,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``train_docs`` labelled texts of each class, the first by a hash of the id.
 
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     weights = np.array([share[k] / (y == k).sum() for k in (0, 1)])[y]
     weights /= weights.mean()
     weights **= 0.75  # between the shares of the classes and equal classes
-    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4").astype(float)) for r in got], y, weights)
+    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2")) for r in got], y, weights)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
