@@ -82,14 +82,14 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray, percent: int) -> list[bytes]:
-    """Parity bits of each set, about 4 for each difference allowed.
+    """Parity bits of each set, 16 or more for each difference allowed.
 
     A shingle flips one bit, so two sketches never differ in more bits than the
     sets differ in shingles; a longer sketch folds to a shorter one's length."""
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         bits = 64
-        while bits < 4 * most_differences(2 * (b - a), percent):
+        while bits < 16 * most_differences(2 * (b - a), percent):
             bits *= 2
         parity = np.bincount((values[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(parity.astype(np.uint8)).tobytes())
@@ -165,13 +165,18 @@ def _pairs_in_groups(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped_rows(batches, "cell"):
             key, part, n = (group.column(c).to_numpy() for c in ("key", "component", "n"))
-            sketch = group.column("sketch").to_pylist()
             order = np.argsort(n, kind="stable")
-            for place, i in enumerate(order.tolist()):
-                # partners at least as large, at most 100 / percent times
-                last = np.searchsorted(n[order], n[i] * 100 // percent, side="right")
-                other = order[place + 1:last]
-                other = other[part[other] != part[i]]
+            key, part, n = key[order], part[order], n[order]
+            sketch = group.column("sketch").take(pa.array(order)).to_pylist()
+            width = min(map(len, sketch))
+            short = np.concatenate([_fold(np.frombuffer(x, np.uint8)[None, :], width) for x in sketch])
+            for i in range(len(n) - 1):
+                # partners at least as large, at most 100 / percent times; first by folded sketches, then by whole ones
+                last = np.searchsorted(n, n[i] * 100 // percent, side="right")
+                other = np.flatnonzero(part[i + 1:last] != part[i]) + i + 1
+                if len(other):
+                    apart = np.bitwise_count(short[other] ^ short[i]).sum(1)
+                    other = other[apart <= most_differences(n[i] + n[other], percent)]
                 if len(other):
                     other = other[possible(np.full(len(other), n[i]), [sketch[i]] * len(other), n[other], [sketch[j] for j in other.tolist()], percent)]
                 if len(other):
