@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +65,47 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
     return first[inside], last[inside], at, hashes[at]
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed as ``z``: they are shuffled twice, and shuffle files count."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for own in byte_slices(batch, "text"):
+            z = pa.array([zip_.compress(t.encode()) for t in own.column("text").to_pylist()], pa.binary())
+            rest = [c for c in own.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + [z], [*rest, "z"])
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of some MB with the bytes of the texts back as ``text``."""
+    unzip = zstandard.ZstdDecompressor()
+    for batch in batches:
+        rest = [c for c in batch.schema.names if c != "z"]
+        start, size, texts = 0, 0, []
+        for i, z in enumerate(batch.column("z")):
+            texts.append(unzip.decompress(z.as_py()))
+            size += len(texts[-1])
+            if size > 4 << 20 or i + 1 == batch.num_rows:
+                part = batch.slice(start, i + 1 - start)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(texts, pa.large_binary())], [*rest, "text"])
+                start, size, texts = i + 1, 0, []
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary array whose rows are the runs of ``values`` between the bounds."""
     offsets = (bounds * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers, byte by byte from the highest: the high bytes hardly change and compress away."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
+
+
 def _gram_runs(length: int, gram: int, buckets: int):
     """Per slice and bucket: sorted (48 bits of the gram hash, 16 bits of document) and the documents' ids."""
     limits = ((np.arange(buckets, dtype=np.float64) / buckets) * 2.0 ** 48).astype(np.uint64)
@@ -90,7 +126,7 @@ def _gram_runs(length: int, gram: int, buckets: int):
                 for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                     part = entry[cut[k]:cut[k + 1]]
                     used, new = np.unique((part & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
-                    out.append(((part >> np.uint64(16) << np.uint64(16)) | new.astype(np.uint64)).tobytes())
+                    out.append(_planes((part >> np.uint64(16) << np.uint64(16)) | new.astype(np.uint64)))
                     names.append(ids[used].tobytes())
                     which.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(out, pa.binary()), pa.array(names, pa.binary())], ["bucket", "entries", "docs"])
@@ -101,7 +137,7 @@ def _gram_runs(length: int, gram: int, buckets: int):
 def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: for each document the grams (32 bits) it shares with others."""
     for group in grouped_rows(batches, "bucket"):
-        entries = [np.frombuffer(e, np.uint64) for e in group.column("entries").to_pylist()]
+        entries = [_from_planes(e) for e in group.column("entries").to_pylist()]
         names = [np.frombuffer(d, np.int64) for d in group.column("docs").to_pylist()]
         ids = np.concatenate([n[(e & np.uint64(0xFFFF)).astype(np.int64)] for n, e in zip(names, entries)])
         grams = np.concatenate(entries) >> np.uint64(16)
@@ -204,8 +240,8 @@ def merge_runs(runs: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[bytes,
 
 
 _RUNS = pa.schema([("range", pa.int32()), ("shared", pa.binary()), ("rest", pa.binary()), ("rests", pa.binary()), ("counts", pa.binary()),
-                   ("docs", pa.binary()), ("hashes", pa.binary()), ("starts", pa.binary())])
-_RUNS_DDL = "range int, shared binary, rest binary, rests binary, counts binary, docs binary, hashes binary, starts binary"
+                   ("of", pa.binary()), ("docs", pa.binary()), ("hashes", pa.binary()), ("starts", pa.binary())])
+_RUNS_DDL = "range int, shared binary, rest binary, rests binary, counts binary, of binary, docs binary, hashes binary, starts binary"
 
 
 class _Run:
@@ -216,20 +252,21 @@ class _Run:
         self.clear()
 
     def clear(self):
-        self.keys, self.docs, self.hashes, self.starts, self.size = [], [], [], [], 0
+        self.keys, self.texts, self.of, self.starts, self.size = [], [], [], [], 0
 
     def add(self, text: bytes, doc: int, text_hash: int, first, last, at, length: int) -> None:
         for i, j, a in zip(first, last, at):
             # the suffix from the anchor, what precedes it, and where the two meet
             self.keys.append(text[a:j + length] + text[i:a] + bytes((j + length - a,)))
-        self.docs += [doc] * len(first)
-        self.hashes += [text_hash] * len(first)
+        self.of += [len(self.texts)] * len(first)
+        self.texts.append((doc, text_hash))
         self.starts += first
         self.size += 2 * length * len(first)
 
     def batch(self) -> pa.RecordBatch:
         order = sorted(range(len(self.keys)), key=self.keys.__getitem__)
-        docs, hashes = np.array(self.docs, np.int64)[order], np.array(self.hashes, np.int64)[order]
+        names = np.array(self.texts, np.int64).reshape(-1, 2)
+        of = np.array(self.of, np.int64)[order]
         starts = np.array(self.starts, np.uint32)[order]
         keys, begin, last = [], [], None
         for i, o in enumerate(order):
@@ -241,11 +278,14 @@ class _Run:
         begin = np.array(begin + [len(order)], np.int64)
         counts = np.diff(begin).astype(np.uint32)
         cut = [0] + [bisect_left(keys, s) for s in self.splitters] + [len(keys)]
-        rows = []
+        rows, zip_ = [], zstandard.ZstdCompressor(level=3)
         for k, (a, b) in enumerate(zip(cut, cut[1:])):
             if b > a:
                 m, n = int(begin[a]), int(begin[b])
-                rows.append((k, *front_code(keys[a:b]), counts[a:b].tobytes(), docs[m:n].tobytes(), hashes[m:n].tobytes(), starts[m:n].tobytes()))
+                used, new = np.unique(of[m:n], return_inverse=True)  # the documents of this piece of the run
+                shared, rest, rests = front_code(keys[a:b])
+                rows.append((k, shared, rest, zip_.compress(rests), counts[a:b].tobytes(), new.astype(np.uint32).tobytes(), names[used, 0].tobytes(), names[used, 1].tobytes(),
+                             starts[m:n].tobytes()))
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)] if rows else [pa.array([], f.type) for f in _RUNS], schema=_RUNS)
 
@@ -254,7 +294,7 @@ def _suffix_runs(length: int, gram: int, splitters: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Run(splitters)
         for batch in batches:
-            for own in byte_slices(batch, "text"):
+            for own in _unzipped([batch]):
                 data, bounds = text_bytes(own.column("text"))
                 first, last, at, hashes = segments(data, bounds, length, gram)
                 code = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -333,15 +373,18 @@ def _judge(group: list, members, length: int, spans: _Spans) -> None:
 def _merge(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_rows(batches, "range"):
-            runs = list(zip(*(table.column(c).to_pylist() for c in ("shared", "rest", "rests"))))
+            unzip = zstandard.ZstdDecompressor()
+            runs = [(s, r, unzip.decompress(z)) for s, r, z in zip(*(table.column(c).to_pylist() for c in ("shared", "rest", "rests")))]
             counts = [np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]
             ends = [np.cumsum(c).tolist() for c in counts]
             docs, hashes = ([np.frombuffer(v, np.int64) for v in table.column(c).to_pylist()] for c in ("docs", "hashes"))
+            of = [np.frombuffer(v, np.uint32) for v in table.column("of").to_pylist()]
             starts = [np.frombuffer(v, np.uint32) for v in table.column("starts").to_pylist()]
 
             def members(r, i):
                 a, b = ends[r][i - 1] if i else 0, ends[r][i]
-                return zip(docs[r][a:b].tolist(), hashes[r][a:b].tolist(), starts[r][a:b].tolist())
+                k = of[r][a:b]
+                return zip(docs[r][k].tolist(), hashes[r][k].tolist(), starts[r][a:b].tolist())
 
             spans, group = _Spans(), []
             for key, r, i, known in merge_runs(runs):
@@ -364,10 +407,9 @@ def _merge(length: int, gram: int):
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        for own in byte_slices(batch, "text"):
+        for own in _unzipped([batch]):
             spans, kept, size = [], [], []
-            for text, places in zip(own.column("text").to_pylist(), own.column("places").to_pylist()):
-                raw = text.encode()
+            for raw, places in zip(own.column("text").to_pylist(), own.column("places").to_pylist()):
                 size.append(len(raw))
                 if not places:
                     spans.append([])
@@ -381,7 +423,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())])
                 kept.append(b"".join(raw[a:b] for a, b in zip([0] + end.tolist(), start.tolist() + [len(raw)])))
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(size, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()),
-                                              own.column("row_hash")], ["doc_id", "n_bytes", "spans", "kept", "row_hash"])
+                                              own.column("more")], ["doc_id", "n_bytes", "spans", "kept", "more"])
 
 
 def splitters(docs: DataFrame, ranges: int, gram: int, sample: int = 4000) -> list[bytes]:
@@ -406,7 +448,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"),
-                        F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("kept_columns"))
+                        F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("more"))
     own = whole.where("doc_id is not null").select("doc_id", "text", "hash")
     rows = stored(own.select("doc_id", "hash", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes")), "digests")
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -417,17 +459,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     shared = (grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_grams, "doc_id long, grams binary"))
     # a document that is a copy whole needs no search
     needless = copies.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).where("copy").select("doc_id")
-    shared = shared.join(needless, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
+    shared = shared.groupBy("doc_id").agg(F.collect_list("grams").alias("grams")).join(needless, "doc_id", "left_anti")
     cuts = splitters(own, buckets, gram)
-    runs = own.join(shared, "doc_id").mapInArrow(_suffix_runs(length, gram, cuts), _RUNS_DDL)
+    zipped = own.mapInArrow(_zipped, "doc_id long, hash long, z binary")
+    runs = zipped.join(shared, "doc_id").mapInArrow(_suffix_runs(length, gram, cuts), _RUNS_DDL)
     found = (runs.repartition(buckets, "range").sortWithinPartitions("range").mapInArrow(_merge(length, gram), "doc_id long, hash long, places binary"))
     every = copies.where("copy").select("doc_id", "hash", F.lit(np.uint64(_GONE).tobytes()).alias("places"))
     places = found.unionByName(every).groupBy("doc_id", "hash").agg(F.collect_list("places").alias("places"))
-    joined = whole.withColumn("row_hash", F.col("kept_columns")).join(stored(places, "places"), ["doc_id", "hash"], "left")
-    out = joined.select("doc_id", "text", "places", "row_hash").mapInArrow(
+    rows = whole.select("doc_id", "text", "hash", "more")
+    packed = rows.mapInArrow(_zipped, rows.drop("text").withColumn("z", F.lit(None).cast("binary")).schema)
+    joined = packed.join(stored(places, "places"), ["doc_id", "hash"], "left")
+    out = joined.select("doc_id", "z", "places", "more").mapInArrow(
         _kept, joined.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"),
-                             F.lit(None).cast("binary").alias("kept"), "row_hash").schema)
-    return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col("row_hash")[c].alias(c) for c in keep])
+                             F.lit(None).cast("binary").alias("kept"), "more").schema)
+    return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col("more")[c].alias(c) for c in keep])
 
 
 __all__ = ["segments", "shared_prefix", "front_code", "merge_runs", "splitters", "remove_repeats"]
