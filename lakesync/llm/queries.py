@@ -101,4 +101,34 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
         SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5""",
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+        c AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS m FROM w) WHERE m < doc_id),
+        marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER own + 50, TRUE)::INTEGER AS begins FROM c WINDOW own AS (PARTITION BY doc_id ORDER BY p)),
+        numbered AS (SELECT doc_id, p, sum(begins) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+        runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, run),
+        cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_byte FROM runs),
+        kept AS (
+            SELECT d.doc_id, any_value(length(d.h) // 2) AS n_bytes, coalesce(sum(b - a), 0) AS n_removed, count(a) AS n_spans, coalesce(max(b), 0) AS tail,
+                   coalesce(string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a), '') AS head, any_value(h) AS h
+            FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id GROUP BY d.doc_id)
+        SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+               sha256(unhex(head || substr(h, 2 * tail + 1))) AS kept_sha256 FROM kept""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS sh
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        close AS (SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        links AS (SELECT a, b FROM close UNION ALL SELECT b, a FROM close),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.r) AS component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.doc_id = d.doc_id GROUP BY 1, 2""",
 }
