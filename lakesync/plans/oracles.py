@@ -35,6 +35,21 @@ DATABASE_AUDIT = ("WITH snap AS (SELECT DISTINCT 'db_' || lower(n.n_name) AS db
                   "ELSE 'database db_' || lower(n_name) || ' is missing from the catalog' END AS message, "
                   "'spark_catalog' AS validation_type FROM nation LEFT JOIN snap ON 'db_' || lower(n_name) = snap.db")
 
+# the stored side keeps every event; the batch's best row of an identity replaces all of them unless one is newer
+DIRTY = ("WITH s AS (SELECT user_id, CAST(ts AS DATE) AS event_date, event_id, ts, value FROM events), "
+         "b AS (SELECT user_id, CAST(t AS DATE) AS event_date, event_id + 1000000 AS event_id, t AS ts, value * 2 AS value "
+         "FROM (SELECT *, ts + to_hours(CAST(event_id % 3 AS INTEGER) - 1) AS t FROM events) "
+         "QUALIFY row_number() OVER (PARTITION BY user_id, CAST(t AS DATE) ORDER BY t DESC, event_id DESC) = 1), "
+         "m AS (SELECT user_id, event_date, max(ts) AS top FROM s GROUP BY ALL) "
+         "SELECT b.* FROM b LEFT JOIN m USING (user_id, event_date) WHERE m.top IS NULL OR b.ts >= m.top UNION ALL "
+         "SELECT s.* FROM s JOIN m USING (user_id, event_date) LEFT JOIN b USING (user_id, event_date) WHERE b.ts IS NULL OR b.ts < m.top")
+
+# days by arrival: before and from the 16th
+CONDITIONAL = ("WITH c AS (SELECT count(DISTINCT CAST(ts AS DATE)) FILTER (ts < '2024-01-16') AS a, "
+               "count(DISTINCT CAST(ts AS DATE)) FILTER (ts >= '2024-01-16') AS b FROM events) "
+               "SELECT 1::BIGINT AS run, a AS added, 0::BIGINT AS dropped FROM c UNION ALL SELECT 2, b, 0 FROM c "
+               "UNION ALL SELECT 3, 0, 0 UNION ALL SELECT 4, 0, 1")
+
 REGISTRY_WHERE = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
 
 ORACLES: dict[str, str] = {
@@ -45,6 +60,8 @@ ORACLES: dict[str, str] = {
     "upsert_broadcast_merge": UPSERT,
     "upsert_shuffle_merge": UPSERT,
     "upsert_parallel": UPSERT,
+    "upsert_dirty_table": DIRTY,
+    "conditional_sync": CONDITIONAL,
     "stream_upsert": UPSERT,
     "read_json": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "record_key_and_path": ("SELECT event_id, CAST(user_id AS VARCHAR) AS record_key, "

@@ -35,7 +35,7 @@ from lakesync.operators.audits import (
 from lakesync.operators.drift import partition_drift
 from lakesync.operators.merge import latest_per_key, tag, upsert
 from lakesync.plans.ingest import run_batch, run_inline, run_separate, run_validate
-from lakesync.session import scratch_path
+from lakesync.session import remove_path, scratch_path
 from lakesync.sinks.table import upsert_to_path, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot
 from lakesync.sources.files import file_manifest, read_partitions, read_table, storage_listing
@@ -122,6 +122,15 @@ def q_upsert_shuffle_merge(spark, d):
     return t.select("user_id", "event_date", "event_id", "ts", "value")
 
 
+def q_upsert_dirty_table(spark, d):
+    # the stored side comes from a plain write, every event of a user and day:
+    # identities repeat, and those the batch does not replace stay as they are
+    path = scratch_path(spark, "dirty")
+    write_table(events(spark, d).withColumn("event_date", F.to_date("ts")), path, "event_date")
+    upsert_to_path(restamped(events(spark, d)), events_spec(path))
+    return read_table(spark, path, STORED_SCHEMA).select("user_id", "event_date", "event_id", "ts", "value")
+
+
 def q_upsert_parallel(spark, d):
     # An explicit write parallelism for the first write and the merge
     t, _ = _upsert_table(spark, d, parallelism=UPSERT_PARALLELISM)
@@ -376,6 +385,28 @@ def q_synced_partitions(spark, d):
     return spark.sql(f"SHOW PARTITIONS {spec.qualified_name}")
 
 
+def q_conditional_sync(spark, d):
+    """Four syncs of one table: half a month arrives, the rest arrives, nothing changed, the last day is gone."""
+    ev = events(spark, d).withColumn("event_date", F.to_date("ts"))
+    path = scratch_path(spark, "conditional")
+    spec = events_spec(path, database=_db(), table="events")
+    counts = []
+
+    def synced():
+        c = sync_partitions(spark, spec)
+        counts.append((len(counts) + 1, c["ADD"], c["DROP"]))
+
+    write_table(ev.where(F.col("ts") < "2024-01-16"), path, "event_date")
+    publish(spark, spec, spark.read.schema(STORED_SCHEMA).parquet(path).schema)
+    synced()
+    write_table(ev.where(F.col("ts") >= "2024-01-16"), path, "event_date", mode="append")
+    synced()
+    synced()
+    remove_path(spark, f"{path}/event_date={ev.agg(F.max('event_date')).first()[0]}")
+    synced()
+    return spark.createDataFrame(counts, "run bigint, added bigint, dropped bigint")
+
+
 def _ingest_input(spark, d) -> str:
     root = scratch_path(spark, "ingest")
     write_json(events(spark, d), f"{root}/input")
@@ -415,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_broadcast_merge": q_upsert_broadcast_merge,
     "upsert_shuffle_merge": q_upsert_shuffle_merge,
     "upsert_parallel": q_upsert_parallel,
+    "upsert_dirty_table": q_upsert_dirty_table,
     "stream_upsert": q_stream_upsert,
     "read_json": q_read_json,
     "record_key_and_path": q_record_key_and_path,
@@ -442,4 +474,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_tables": q_validate_tables,
     "describe_columns": q_describe_columns,
     "synced_partitions": q_synced_partitions,
+    "conditional_sync": q_conditional_sync,
 }
