@@ -49,7 +49,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
 
 
 def with_scores(docs: DataFrame, scores, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text",
-                slice_bytes: int = 2 << 20) -> DataFrame:
+                slice_bytes: int = 1 << 20) -> DataFrame:
     """doc_id and score = ``scores(texts)`` of every row, then the columns ``keep`` as they were."""
     import pyarrow.compute as pc
 

@@ -176,9 +176,15 @@ def _local_joins(dim: int, degree: int, most: int, scale: float):
     return run
 
 
-def build_graph(nodes: DataFrame, dim: int, degree: int = 24, trees: int = 6, rounds: int = 4, most: int = 10, seed: int = 11) -> DataFrame:
+def shortened(nodes: DataFrame) -> tuple[DataFrame, float]:
+    """(node, s: signed bytes) of (node, v: floats), and the number that 127 stands for."""
+    scale = float(nodes.mapInArrow(_largest, "m double").agg(F.max("m")).first()[0] or 1.0) or 1.0
+    return stored(nodes.mapInArrow(_short(scale), "node long, s binary"), "short"), scale
+
+
+def build_graph(nodes: DataFrame, short: DataFrame, scale: float, dim: int, degree: int = 24, trees: int = 6, rounds: int = 3, most: int = 8,
+                seed: int = 11) -> DataFrame:
     """(node, others, dists): the approximate ``degree`` nearest of each node of (node, v: floats)."""
-    spark = nodes.sparkSession
     n = nodes.count()
     rng = np.random.default_rng(seed)
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
@@ -189,8 +195,6 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = 24, trees: int = 6, ro
     parts = keyed.join(stored(sizes, "cell-sizes"), "cell").withColumn("part", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("fan"))))
     firsts = parts.select("part", "node", "v").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_near_in_cells(dim, degree), _LISTS)
     graph = stored(_merged(firsts, degree), "graph")
-    scale = float(nodes.mapInArrow(_largest, "m double").agg(F.max("m")).first()[0] or 1.0) or 1.0
-    short = stored(nodes.mapInArrow(_short(scale), "node long, s binary"), "short")
     for _ in range(rounds):
         edges = graph.select("node", "others").mapInArrow(_edges, "node long, other long")
         indegree = edges.groupBy("other").agg(F.count("*").alias("n"))
@@ -258,7 +262,7 @@ def _to_expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([query] * len(node), pa.int64()), pa.array([q] * len(node), pa.binary()), pa.array(node)], ["query_id", "q", "node"])
 
 
-def _expand(dim: int):
+def _expand(dim: int, scale: float):
     """Distances of a query to the neighbours of one node of its beam."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +271,7 @@ def _expand(dim: int):
             q = matrix_of(batch.column("q"), dim, np.float32)
             nodes, dists, state = [], [], []
             for k, (ids, vecs) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("vecs").to_pylist())):
-                x = np.frombuffer(vecs, np.float32).reshape(-1, dim) - q[k]
+                x = np.frombuffer(vecs, np.int8).reshape(-1, dim) * np.float32(scale / 127) - q[k]
                 nodes.append(ids)
                 dists.append((x * x).sum(1).astype(np.float32).tobytes())
                 state.append(b"\x02" * len(x))
@@ -277,18 +281,15 @@ def _expand(dim: int):
     return run
 
 
-def _packed_neighbours(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = [(n, np.array(i, np.int64).tobytes(), b"".join(v)) for n, i, v in zip(*(batch.column(c).to_pylist() for c in ("node", "ids", "vs")))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["node", "ids", "vecs"])
-
-    return run
+def _packed_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            rows = [(n, np.array(i, np.int64).tobytes(), b"".join(v)) for n, i, v in zip(*(batch.column(c).to_pylist() for c in ("node", "ids", "vs")))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["node", "ids", "vecs"])
 
 
-def search_table(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """(node, ids, vecs): each node's neighbours in both directions with their vectors.
+def search_table(graph: DataFrame, short: DataFrame) -> DataFrame:
+    """(node, ids, vecs): each node's neighbours in both directions with their vectors as signed bytes.
 
     Written as a table bucketed by node, so the rounds of a search shuffle only
     their queries.  A hub's neighbours come in several rows of at most 256."""
@@ -296,18 +297,19 @@ def search_table(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     edges = graph.select("node", "others").mapInArrow(_edges, "node long, other long")
     both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     fan = stored(both.groupBy("node").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan")).where("fan > 1"), "hubs")
-    full = (both.join(nodes.select(F.col("node").alias("other"), "v"), "other").join(fan, "node", "left")
-            .groupBy("node", F.pmod(F.xxhash64("other"), F.coalesce("fan", F.lit(1))).alias("part"))
-            .agg(F.collect_list("other").alias("ids"), F.collect_list("v").alias("vs")))
     name = f"ann_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (full.select("node", "ids", "vs").mapInArrow(_packed_neighbours(dim), "node long, ids binary, vecs binary")
-     .repartition(buckets, "node").write.bucketBy(buckets, "node").format("parquet").saveAsTable(name))
+    # one shuffle by node serves the grouping and the buckets
+    full = (both.join(short.withColumnRenamed("node", "other"), "other").join(fan, "node", "left").repartition(buckets, "node")
+            .groupBy("node", F.pmod(F.xxhash64("other"), F.coalesce("fan", F.lit(1))).alias("part"))
+            .agg(F.collect_list("other").alias("ids"), F.collect_list("s").alias("vs")))
+    (full.select("node", "ids", "vs").mapInArrow(_packed_neighbours, "node long, ids binary, vecs binary")
+     .write.bucketBy(buckets, "node").format("parquet").saveAsTable(name))
     return spark.table(name)
 
 
-def search(table: DataFrame, starts: DataFrame, dim: int, beam: int = 192, width: int = 48, most_rounds: int = 60) -> DataFrame:
-    """Greedy search: (query_id, node, square) of each query's final beam, nearest by the floats' squared distance.
+def search(table: DataFrame, starts: DataFrame, dim: int, scale: float, beam: int = 192, width: int = 48, most_rounds: int = 60) -> DataFrame:
+    """Greedy search: (query_id, node, square) of each query's final beam, nearest by the squared distance to the short vectors.
 
     ``starts``: (query_id, q, node, square): where each query begins."""
     first = starts.groupBy("query_id", "q").agg(F.collect_list("node").alias("n"), F.collect_list("square").alias("s"))
@@ -328,7 +330,7 @@ def search(table: DataFrame, starts: DataFrame, dim: int, beam: int = 192, width
         if state.where(F.hex("open").contains("01")).isEmpty():  # no byte 1: nothing left to expand
             break
         now = state.mapInArrow(_to_expand, "query_id long, q binary, node long")
-        seen = now.join(table.hint("merge"), "node").select("query_id", "q", "ids", "vecs").mapInArrow(_expand(dim), _BEAM)
+        seen = now.join(table.hint("merge"), "node").select("query_id", "q", "ids", "vecs").mapInArrow(_expand(dim, scale), _BEAM)
         state = stored(gathered(state.unionByName(seen)), "beams")
 
     def rows(batches):
@@ -369,14 +371,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, degree: int = 24, beam:
     rows = stored(packed(clean, id_col, vec_col, dim).distinct().withColumn("place", F.row_number().over(members)).where(F.col("place") <= k + 1), "members")
     firsts = rows.where("place = 1").select(F.col("id").alias("node"), "v")
     nodes = stored(firsts.mapInArrow(_singles, "node long, v binary"), "nodes")
-    graph = build_graph(nodes, dim, max(degree, k + 1))
-    table = search_table(graph, nodes, dim)
+    short, scale = shortened(nodes)
+    graph = build_graph(nodes, short, scale, dim, max(degree, k + 1))
+    table = search_table(graph, short)
     # a query begins at its own node
     ask = stored(packed(asked, id_col, vec_col, dim).distinct().withColumnRenamed("id", "query_id")
                  .join(firsts.select("node", "v"), "v").select("query_id", F.col("v").alias("q"), "node"), "queries")
     begun = ask.join(nodes, "node").select("query_id", F.col("v").alias("q"), "node", F.lit(0.0).alias("square"))
     # a query id with several vectors is searched for each of them
-    found = search(table, begun, dim, max(beam, 2 * k))
+    found = search(table, begun, dim, scale, max(beam, 2 * k))
     near = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("square", "node"))).where(F.col("place") <= 4 * (k + 1))
     of_node = rows.join(firsts, "v").select("node", F.col("id").alias("vec_id"), "v")
     candidates = near.select("query_id", "node").distinct().join(of_node, "node").where("vec_id <> query_id").join(ask.select("query_id", "q"), "query_id")

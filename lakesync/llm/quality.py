@@ -174,7 +174,7 @@ _LINES = pa.schema([("label", pa.int32()), ("lines", pa.int32()), ("features", p
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own in byte_slices(batch, "text"):
+        for own in byte_slices(batch, "text", 1 << 20):
             x, size, lines = line_features(own.column("text"))
             cut = list(zip(lines, lines[1:]))
             yield pa.RecordBatch.from_arrays([own.column("label"), pa.array(np.diff(lines), pa.int32()),

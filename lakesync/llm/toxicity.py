@@ -97,7 +97,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     learn those texts by heart and stay at zero."""
     rng = np.random.default_rng(seed)
     total = np.array([c.sum() for _, c in texts], float)
-    held = np.bincount(np.concatenate([b for b, _ in texts]), minlength=BUCKETS)
+    held = np.zeros(BUCKETS, np.int32)
+    for b, _ in texts:
+        held[b] += 1
     often = held >= min_texts
     for i, (b, c) in enumerate(texts):  # in place: the driver holds one copy
         texts[i] = b[often[b]], c[often[b]]
@@ -134,21 +136,21 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     return Model((table @ (soft[:, 1] - soft[:, 0]) * scale).astype(np.float32), float(bias[1] - bias[0]))
 
 
-_COUNTS = pa.schema([("label", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
 
 def _subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own in byte_slices(batch, "text"):
+        for own in byte_slices(batch, "text", 1 << 19):  # a byte is in some eight subwords of 12 bytes each
             buckets, rows = subwords(own.column("text"))
             key, n = np.unique(rows * BUCKETS + buckets, return_counts=True)
             cut = np.searchsorted(key, np.arange(own.num_rows + 1) * BUCKETS)
             one, n = (key % BUCKETS).astype("<i4"), np.minimum(n, 0xFFFF).astype("<u2")
-            yield pa.RecordBatch.from_arrays([own.column("label"), pa.array([one[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("label"), pa.array([one[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                                               pa.array([n[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], schema=_COUNTS)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None, train_docs: int = 1500,
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None, train_docs: int = 1200,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``train_docs`` labelled texts of each class, the first by a hash of the id.
 
@@ -169,13 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
         p = sum(k * n for k, n in share.items()) / max(1, sum(share.values()))
         return Model(np.zeros(BUCKETS, np.float32), 20.0 if p == 1 else -20.0)
     # the picked ids are bounded, so they go to the texts and no text is shuffled
-    got = own.join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_subword_counts, "label int, buckets binary, counts binary").collect()
-    got.sort(key=lambda r: (r.label, bytes(r.buckets), bytes(r.counts)))
+    got = own.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_subword_counts, "doc_id long, label int, buckets binary, counts binary").collect()
+    got.sort(key=lambda r: (r.doc_id, len(r.buckets), r.label))
     y = np.array([r.label for r in got])
     weights = np.array([share[k] / (y == k).sum() for k in (0, 1)])[y]
     weights /= weights.mean()
     weights **= 0.75  # between the shares of the classes and equal classes
-    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2")) for r in got], y, weights)
+    texts = [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2")) for r in got]
+    del got  # fit() replaces each text by what it keeps of it
+    return fit(texts, y, weights)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
