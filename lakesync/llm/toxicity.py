@@ -55,12 +55,12 @@ def subwords(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         k = np.flatnonzero(gaps[n - 1:len(h) + n - 1] == gaps[1:len(h) + 1])
         buckets.append((mix(h[k] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32))
         rows.append(row[k + 1])
-    # whole words: the sum of their bytes' place-weighted hashes, by the trigram chain of the word
+    # whole words: the sum of their bytes' place-weighted hashes, by the pairs of the word
     begin = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
     if len(begin):
-        three = gram_hashes(np.concatenate((spaced, np.full(2, 0x20, np.uint8))), 3)
+        two = gram_hashes(np.concatenate((spaced, np.full(1, 0x20, np.uint8))), 2)  # the last pair is a byte and the space
         place = np.arange(len(spaced)) - begin[np.maximum(np.searchsorted(begin, np.arange(len(spaced)), side="right") - 1, 0)]
-        chain = np.where(solid, mix(three + (np.maximum(place, 0).astype(np.uint64) << np.uint64(8))), np.uint64(0))
+        chain = np.where(solid, mix(two + (np.maximum(place, 0).astype(np.uint64) << np.uint64(8))), np.uint64(0))
         buckets.append((mix(np.add.reduceat(chain, begin)) % np.uint64(BUCKETS)).astype(np.int32))
         rows.append(row[begin])
     if not buckets:

@@ -55,7 +55,7 @@ def test_misspelled_toxic_words_are_caught(spark):
 def test_awkward_rows(spark, method, label):
     texts = awkward_texts(n=100) + ["z" * 400_000, "a\n" * 30_000] + [None, ""] * 2
     df, labels = labelled(spark, texts)
-    nulls = spark.createDataFrame([(None, 1, 1), (3, None, None), (5, 0, 1)], labels.schema)
+    nulls = spark.createDataFrame([(None, 1, 1), (3, None, None), (5, 1, 1)], labels.schema)
     model = method.train(df, labels.unionByName(nulls), label)
     got = {r.doc_id: r.score for r in method.score(df, model).collect()}
     assert len(got) == len(texts) and all(0 <= v <= 1 for v in got.values())
