@@ -89,7 +89,7 @@ def _segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, dim: int = 4, epochs: int = 6,
-        batch: int = 64, rate: float = 5.0, min_texts: int = 30, seed: int = 7) -> Model:
+        batch: int = 64, rate: float = 5.0, least_steps: int = 200, min_texts: int = 30, seed: int = 7) -> Model:
     """Train embeddings (buckets x ``dim``) and softmax weights together by Adagrad.
 
     ``texts``: (distinct buckets, counts) of each text; ``weights``: what each
@@ -109,10 +109,14 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     table_sq, soft_sq = np.full(BUCKETS, 1e-8), np.full((dim, 2), 1e-8)
     # the average is over ~10^4 subwords of which few tell: scaled up so that steps reach them
     scale = SCALE
-    for _ in range(epochs):
+    batches = max(1, -(-len(texts) // batch))
+    rounds, step_no = max(epochs, -(-least_steps // batches)), 0
+    for _ in range(rounds):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             own = order[at:at + batch]
+            now = 0.1 * rate * (1 - step_no / (rounds * batches))  # falls to nothing, so the end is settled
+            step_no += 1
             ids = np.concatenate([texts[i][0] for i in own])
             size = np.array([len(texts[i][0]) for i in own])
             share = np.concatenate([texts[i][1] / (total[i] + NEUTRAL) for i in own]) * scale
@@ -128,11 +132,11 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
             touched, where = np.unique(ids, return_inverse=True)
             step = np.stack([np.bincount(where, grad[:, k], len(touched)) for k in range(dim)], 1)
             table_sq[touched] += (step ** 2).mean(1)
-            table[touched] = table[touched] - rate * 0.1 * step / np.sqrt(table_sq[touched])[:, None]
+            table[touched] -= now * step / np.sqrt(table_sq[touched])[:, None]
             g = hidden.T @ p
             soft_sq += g ** 2
-            soft -= rate * 0.1 * g / np.sqrt(soft_sq)
-            bias -= rate * 0.1 * p.sum(0)
+            soft -= now * g / np.sqrt(soft_sq)
+            bias -= now * p.sum(0)
     return Model((table @ (soft[:, 1] - soft[:, 0]) * scale).astype(np.float32), float(bias[1] - bias[0]))
 
 
