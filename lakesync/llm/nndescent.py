@@ -308,7 +308,7 @@ def search_table(graph: DataFrame, short: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def search(table: DataFrame, starts: DataFrame, dim: int, scale: float, beam: int = 192, width: int = 48, most_rounds: int = 60) -> DataFrame:
+def search(table: DataFrame, starts: DataFrame, dim: int, scale: float, beam: int = 448, width: int = 112, most_rounds: int = 60) -> DataFrame:
     """Greedy search: (query_id, node, square) of each query's final beam, nearest by the squared distance to the short vectors.
 
     ``starts``: (query_id, q, node, square): where each query begins."""
@@ -353,7 +353,7 @@ def _exact(dim: int):
     return run
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, degree: int = 24, beam: int = 192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, degree: int = 24, beam: int = 448, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of each query by Euclidean distance, ties to the smaller vec_id.
 
     ``queries`` are rows of ``vectors``; a row's own id is no candidate of it.
