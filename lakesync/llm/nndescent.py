@@ -5,7 +5,9 @@ vector that a third of the rows have is one node).  Cells of random hyperplanes
 give each node its first neighbours.  Then, round by round, a join sends the
 vectors of each node's neighbours, and of the nodes that have it as neighbour,
 to the node; among these, neighbours of neighbours, all near pairs are proposed
-to each other, and every node keeps its ``degree`` nearest.  A node that is a
+to each other, and every node keeps its ``degree`` nearest.  The rounds end when
+one of them changes at most the share ``SETTLED`` of all places in the lists, so
+larger tables get as many rounds as they need.  A node that is a
 neighbour of very many is dealt out over parts, so none gathers without bound.
 All distances proposed in a task are reduced to the nearest per node before they
 are shuffled.
@@ -35,6 +37,8 @@ PART = 64
 HELD = 1 << 21
 #: Rows of a hyperplane cell.
 CELL = 192
+#: The graph is done when a round of local joins changes at most this share of the places of all lists.
+SETTLED = 0.001
 
 
 def nearest_lists(node: np.ndarray, other: np.ndarray, dist: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,6 +57,7 @@ def nearest_lists(node: np.ndarray, other: np.ndarray, dist: np.ndarray, degree:
 
 
 _LISTS = "node long, others binary, dists binary"
+_GRAPH = _LISTS + ", fresh int"
 
 
 def _list_batch(node, other, dist, degree) -> pa.RecordBatch:
@@ -119,25 +124,31 @@ def _near_in_cells(dim: int, degree: int):
 
 
 def _merge_lists(degree: int):
-    """All lists of a node to one."""
+    """All lists of a node to one; ``fresh`` counts what was not in its ``old`` one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, others, dists = [], [], []
-            for n, o, d in zip(*(batch.column(c).to_pylist() for c in ("node", "others", "dists"))):
+            node, others, dists, held = [], [], [], {}
+            for n, o, d, old in zip(*(batch.column(c).to_pylist() for c in ("node", "others", "dists", "old"))):
                 own = np.concatenate([np.frombuffer(x, np.int64) for x in o])
+                held[n] = np.frombuffer(b"".join(x for x, k in zip(o, old) if k), np.int64)
                 node.append(np.full(len(own), n))
                 others.append(own)
                 dists.append(np.concatenate([np.frombuffer(x, np.float32) for x in d]))
-            yield _list_batch(np.concatenate(node), np.concatenate(others), np.concatenate(dists), degree)
+            lists = _list_batch(np.concatenate(node), np.concatenate(others), np.concatenate(dists), degree)
+            fresh = [int((~np.isin(np.frombuffer(o, np.int64), held[n])).sum()) for n, o in zip(lists.column("node").to_pylist(), lists.column("others").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*lists.columns, pa.array(fresh, pa.int32())], ["node", "others", "dists", "fresh"])
 
     return run
 
 
-def _merged(lists: DataFrame, degree: int) -> DataFrame:
-    return (lists.groupBy("node").agg(F.collect_list("others").alias("others"), F.collect_list("dists").alias("dists"))
-            .mapInArrow(_merge_lists(degree), _LISTS))
+def _merged(proposed: DataFrame, degree: int, graph: DataFrame | None = None) -> DataFrame:
+    lists = proposed.withColumn("old", F.lit(False))
+    if graph is not None:
+        lists = lists.unionByName(graph.select("node", "others", "dists", F.lit(True).alias("old")))
+    return (lists.groupBy("node").agg(*[F.collect_list(c).alias(c) for c in ("others", "dists", "old")])
+            .mapInArrow(_merge_lists(degree), _GRAPH))
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +193,12 @@ def shortened(nodes: DataFrame) -> tuple[DataFrame, float]:
     return stored(nodes.mapInArrow(_short(scale), "node long, s binary"), "short"), scale
 
 
-def build_graph(nodes: DataFrame, short: DataFrame, scale: float, dim: int, degree: int = 24, trees: int = 6, rounds: int = 3, most: int = 8,
+def build_graph(nodes: DataFrame, short: DataFrame, scale: float, dim: int, degree: int = 24, trees: int = 6, most: int = 10,
                 seed: int = 11) -> DataFrame:
-    """(node, others, dists): the approximate ``degree`` nearest of each node of (node, v: floats)."""
+    """(node, others, dists, fresh): the approximate ``degree`` nearest of each node of (node, v: floats).
+
+    Local joins are repeated until one changes at most ``SETTLED`` of the places;
+    every change brings a list nearer, so they end."""
     n = nodes.count()
     rng = np.random.default_rng(seed)
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
@@ -195,7 +209,8 @@ def build_graph(nodes: DataFrame, short: DataFrame, scale: float, dim: int, degr
     parts = keyed.join(stored(sizes, "cell-sizes"), "cell").withColumn("part", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("fan"))))
     firsts = parts.select("part", "node", "v").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_near_in_cells(dim, degree), _LISTS)
     graph = stored(_merged(firsts, degree), "graph")
-    for _ in range(rounds):
+    changed = 1.0
+    while changed > SETTLED:
         edges = graph.select("node", "others").mapInArrow(_edges, "node long, other long")
         indegree = edges.groupBy("other").agg(F.count("*").alias("n"))
         # what a node receives: its neighbours, and the nodes that have it as neighbour; a hub's are dealt out in parts
@@ -206,7 +221,9 @@ def build_graph(nodes: DataFrame, short: DataFrame, scale: float, dim: int, degr
                  .unionByName(known.join(fan, "center", "left").select("center", "member", "s", F.expr("explode(sequence(0L, coalesce(fan, 1) - 1L)) AS salt"))))
         parts = dealt.select(F.xxhash64("center", "salt").alias("part"), "member", "s").repartition("part").sortWithinPartitions("part", "member")
         proposed = parts.mapInArrow(_local_joins(dim, degree, most, scale), _LISTS)
-        graph = stored(_merged(graph.unionByName(proposed), degree), "graph")
+        graph = stored(_merged(proposed, degree, graph), "graph")
+        fresh, places = graph.agg(F.sum("fresh"), F.sum(F.octet_length("others") / 8)).first()
+        changed = (fresh or 0) / (places or 1)
     return graph
 
 
