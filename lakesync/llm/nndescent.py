@@ -15,7 +15,8 @@ are shuffled.
 Search.  A query keeps a beam of the nearest nodes seen.  In each round the
 unexpanded nodes of the beam meet the graph in a join, their neighbours (both
 directions) enter the beam, and the search ends when the beam holds no
-unexpanded node.  The best are ranked by exact distance on the original vectors.
+unexpanded node.  Build and search measure single-precision vectors; the whole
+final beam is then ranked by exact distance on the original ones.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def _list_batch(node, other, dist, degree) -> pa.RecordBatch:
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs of rows (or of each matrix of rows)."""
+    """Squared distances of all pairs of rows (or of each matrix of rows); in doubles, so that near copies far from zero stay apart."""
+    x = x.astype(np.float64)
     own = (x * x).sum(-1)
     return np.maximum(own[..., :, None] + own[..., None, :] - 2 * x @ np.swapaxes(x, -1, -2), 0)
 
@@ -159,24 +161,12 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(others))], ["node", "other"])
 
 
-def _short(scale: float):
-    """Vectors as signed bytes: enough to rank neighbours while the graph is built."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                raw = batch.column("v").to_pylist()
-                x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), rows_of(np.clip(np.rint(x / scale * 127), -127, 127).astype(np.int8))], ["node", "s"])
-
-    return run
-
-
-def _local_joins(dim: int, degree: int, most: int, scale: float):
+def _local_joins(dim: int, degree: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Proposals(degree)
         for group in grouped_rows(batches, "part"):
             ids, first = np.unique(group.column("member").to_numpy(), return_index=True)
-            x = matrix_of(group.column("s").combine_chunks(), dim, np.int8)[first].astype(np.float32) * np.float32(scale / 127)
+            x = matrix_of(group.column("v").combine_chunks(), dim, np.float32)[first]
             runs = -(-len(ids) // (2 * PART))
             for k in range(runs):
                 out.add(ids[k::runs], x[k::runs], most)
@@ -187,14 +177,7 @@ def _local_joins(dim: int, degree: int, most: int, scale: float):
     return run
 
 
-def shortened(nodes: DataFrame) -> tuple[DataFrame, float]:
-    """(node, s: signed bytes) of (node, v: floats), and the number that 127 stands for."""
-    scale = float(nodes.mapInArrow(_largest, "m double").agg(F.max("m")).first()[0] or 1.0) or 1.0
-    return stored(nodes.mapInArrow(_short(scale), "node long, s binary"), "short"), scale
-
-
-def build_graph(nodes: DataFrame, short: DataFrame, scale: float, dim: int, degree: int = 24, trees: int = 6, most: int = 10,
-                seed: int = 11) -> DataFrame:
+def build_graph(nodes: DataFrame, dim: int, degree: int = 24, trees: int = 6, most: int = 10, seed: int = 11) -> DataFrame:
     """(node, others, dists, fresh): the approximate ``degree`` nearest of each node of (node, v: floats).
 
     Local joins are repeated until one changes at most ``SETTLED`` of the places;
@@ -203,36 +186,30 @@ def build_graph(nodes: DataFrame, short: DataFrame, scale: float, dim: int, degr
     rng = np.random.default_rng(seed)
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
     planes = rng.normal(size=(trees if bits else 1, bits, dim)).astype(np.float32)
-    # cells are uneven: dealt out in parts of about CELL nodes
+    # cells are uneven: dealt out in parts of about CELL nodes, in each tree by another hash, so that a cell all trees agree on is mixed too
     keyed = nodes.mapInArrow(_cells(dim, degree, planes), "cell long, node long, v binary")
     sizes = keyed.groupBy("cell").agg(F.greatest(F.lit(1), F.floor(F.count("*") / (4 * CELL))).alias("fan"))
-    parts = keyed.join(stored(sizes, "cell-sizes"), "cell").withColumn("part", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("fan"))))
-    firsts = parts.select("part", "node", "v").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_near_in_cells(dim, degree), _LISTS)
+    parts = keyed.join(stored(sizes, "cell-sizes"), "cell").withColumn("part", F.xxhash64("cell", F.pmod(F.xxhash64("cell", "node"), F.col("fan")))).withColumn("turn", F.xxhash64("node", "cell"))
+    firsts = parts.select("part", "turn", "node", "v").repartition("part").sortWithinPartitions("part", "turn", "node").mapInArrow(_near_in_cells(dim, degree), _LISTS)
     graph = stored(_merged(firsts, degree), "graph")
     changed = 1.0
     while changed > SETTLED:
         edges = graph.select("node", "others").mapInArrow(_edges, "node long, other long")
         indegree = edges.groupBy("other").agg(F.count("*").alias("n"))
         # what a node receives: its neighbours, and the nodes that have it as neighbour; a hub's are dealt out in parts
-        known = edges.join(short.withColumnRenamed("node", "other"), "other").select(F.col("node").alias("center"), F.col("other").alias("member"), "s")
-        back = edges.join(short, "node").select(F.col("other").alias("center"), F.col("node").alias("member"), "s")
+        known = edges.join(nodes.withColumnRenamed("node", "other"), "other").select(F.col("node").alias("center"), F.col("other").alias("member"), "v")
+        back = edges.join(nodes, "node").select(F.col("other").alias("center"), F.col("node").alias("member"), "v")
         fan = stored(indegree.select(F.col("other").alias("center"), F.ceil(F.col("n") / (4 * PART)).cast("int").alias("fan")).where("fan > 1"), "hubs")
-        dealt = (back.join(fan, "center", "left").select("center", "member", "s", F.pmod(F.xxhash64("member"), F.coalesce("fan", F.lit(1))).alias("salt"))
-                 .unionByName(known.join(fan, "center", "left").select("center", "member", "s", F.expr("explode(sequence(0L, coalesce(fan, 1) - 1L)) AS salt"))))
-        parts = dealt.select(F.xxhash64("center", "salt").alias("part"), "member", "s").repartition("part").sortWithinPartitions("part", "member")
-        proposed = parts.mapInArrow(_local_joins(dim, degree, most, scale), _LISTS)
+        dealt = (back.join(fan, "center", "left").select("center", "member", "v", F.pmod(F.xxhash64("member"), F.coalesce("fan", F.lit(1))).alias("salt"))
+                 .unionByName(known.join(fan, "center", "left").select("center", "member", "v", F.expr("explode(sequence(0L, coalesce(fan, 1) - 1L)) AS salt"))))
+        parts = dealt.select(F.xxhash64("center", "salt").alias("part"), "member", "v").repartition("part").sortWithinPartitions("part", "member")
+        proposed = parts.mapInArrow(_local_joins(dim, degree, most), _LISTS)
         graph = stored(_merged(proposed, degree, graph), "graph")
         fresh, places = graph.agg(F.sum("fresh"), F.sum(F.octet_length("others") / 8)).first()
         changed = (fresh or 0) / (places or 1)
     return graph
 
 
-def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float32)).max())])], ["m"])
-
-
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Doubles to floats."""
     for batch in batches:
@@ -279,7 +256,7 @@ def _to_expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([query] * len(node), pa.int64()), pa.array([q] * len(node), pa.binary()), pa.array(node)], ["query_id", "q", "node"])
 
 
-def _expand(dim: int, scale: float):
+def _expand(dim: int):
     """Distances of a query to the neighbours of one node of its beam."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +265,7 @@ def _expand(dim: int, scale: float):
             q = matrix_of(batch.column("q"), dim, np.float32)
             nodes, dists, state = [], [], []
             for k, (ids, vecs) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("vecs").to_pylist())):
-                x = np.frombuffer(vecs, np.int8).reshape(-1, dim) * np.float32(scale / 127) - q[k]
+                x = np.frombuffer(vecs, np.float32).reshape(-1, dim) - q[k]
                 nodes.append(ids)
                 dists.append((x * x).sum(1).astype(np.float32).tobytes())
                 state.append(b"\x02" * len(x))
@@ -305,8 +282,8 @@ def _packed_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["node", "ids", "vecs"])
 
 
-def search_table(graph: DataFrame, short: DataFrame) -> DataFrame:
-    """(node, ids, vecs): each node's neighbours in both directions with their vectors as signed bytes.
+def search_table(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, ids, vecs): each node's neighbours in both directions with their vectors.
 
     Written as a table bucketed by node, so the rounds of a search shuffle only
     their queries.  A hub's neighbours come in several rows of at most 256."""
@@ -317,16 +294,16 @@ def search_table(graph: DataFrame, short: DataFrame) -> DataFrame:
     name = f"ann_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # one shuffle by node serves the grouping and the buckets
-    full = (both.join(short.withColumnRenamed("node", "other"), "other").join(fan, "node", "left").repartition(buckets, "node")
+    full = (both.join(nodes.withColumnRenamed("node", "other"), "other").join(fan, "node", "left").repartition(buckets, "node")
             .groupBy("node", F.pmod(F.xxhash64("other"), F.coalesce("fan", F.lit(1))).alias("part"))
-            .agg(F.collect_list("other").alias("ids"), F.collect_list("s").alias("vs")))
+            .agg(F.collect_list("other").alias("ids"), F.collect_list("v").alias("vs")))
     (full.select("node", "ids", "vs").mapInArrow(_packed_neighbours, "node long, ids binary, vecs binary")
      .write.bucketBy(buckets, "node").format("parquet").saveAsTable(name))
     return spark.table(name)
 
 
-def search(table: DataFrame, starts: DataFrame, dim: int, scale: float, beam: int = 448, width: int = 112, most_rounds: int = 60) -> DataFrame:
-    """Greedy search: (query_id, node, square) of each query's final beam, nearest by the squared distance to the short vectors.
+def search(table: DataFrame, starts: DataFrame, dim: int, beam: int = 448, width: int = 112, most_rounds: int = 60) -> DataFrame:
+    """Greedy search: (query_id, node, square) of each query's final beam, nearest by the squared distance of the floats.
 
     ``starts``: (query_id, q, node, square): where each query begins."""
     first = starts.groupBy("query_id", "q").agg(F.collect_list("node").alias("n"), F.collect_list("square").alias("s"))
@@ -347,7 +324,7 @@ def search(table: DataFrame, starts: DataFrame, dim: int, scale: float, beam: in
         if state.where(F.hex("open").contains("01")).isEmpty():  # no byte 1: nothing left to expand
             break
         now = state.mapInArrow(_to_expand, "query_id long, q binary, node long")
-        seen = now.join(table.hint("merge"), "node").select("query_id", "q", "ids", "vecs").mapInArrow(_expand(dim, scale), _BEAM)
+        seen = now.join(table.hint("merge"), "node").select("query_id", "q", "ids", "vecs").mapInArrow(_expand(dim), _BEAM)
         state = stored(gathered(state.unionByName(seen)), "beams")
 
     def rows(batches):
@@ -388,18 +365,16 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, degree: int = 24, beam:
     rows = stored(packed(clean, id_col, vec_col, dim).distinct().withColumn("place", F.row_number().over(members)).where(F.col("place") <= k + 1), "members")
     firsts = rows.where("place = 1").select(F.col("id").alias("node"), "v")
     nodes = stored(firsts.mapInArrow(_singles, "node long, v binary"), "nodes")
-    short, scale = shortened(nodes)
-    graph = build_graph(nodes, short, scale, dim, max(degree, k + 1))
-    table = search_table(graph, short)
+    graph = build_graph(nodes, dim, max(degree, k + 1))
+    table = search_table(graph, nodes)
     # a query begins at its own node
     ask = stored(packed(asked, id_col, vec_col, dim).distinct().withColumnRenamed("id", "query_id")
                  .join(firsts.select("node", "v"), "v").select("query_id", F.col("v").alias("q"), "node"), "queries")
     begun = ask.join(nodes, "node").select("query_id", F.col("v").alias("q"), "node", F.lit(0.0).alias("square"))
     # a query id with several vectors is searched for each of them
-    found = search(table, begun, dim, scale, max(beam, 2 * k))
-    near = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("square", "node"))).where(F.col("place") <= 4 * (k + 1))
+    found = search(table, begun, dim, max(beam, 2 * k))
     of_node = rows.join(firsts, "v").select("node", F.col("id").alias("vec_id"), "v")
-    candidates = near.select("query_id", "node").distinct().join(of_node, "node").where("vec_id <> query_id").join(ask.select("query_id", "q"), "query_id")
+    candidates = found.select("query_id", "node").distinct().join(of_node, "node").where("vec_id <> query_id").join(ask.select("query_id", "q"), "query_id")
     scored = candidates.select("query_id", "q", "vec_id", "v").mapInArrow(_exact(dim), "query_id long, vec_id long, score double")
     best = scored.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

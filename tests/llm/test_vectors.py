@@ -139,10 +139,23 @@ def test_nn_descent_graph_settles(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "CELL", 4)
     x = np.random.default_rng(5).normal(size=(6000, 10))
     nodes = packed(table(spark, x.tolist()), "vec_id", "embedding", 10).withColumnRenamed("id", "node").mapInArrow(nndescent._singles, "node long, v binary")
-    graph = nndescent.build_graph(nodes, *nndescent.shortened(nodes), 10, degree=16, trees=2)
+    graph = nndescent.build_graph(nodes, 10, degree=16, trees=2)
     square = (x * x).sum(1)
     d = square[:, None] + square - 2 * x @ x.T
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, 1)[:, :16]
     hit = sum(len(set(np.frombuffer(r.others, np.int64).tolist()) & set(want[r.node].tolist())) for r in graph.collect())
     assert hit / want.size >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["one huge component", "near copies"])
+def test_nn_descent_resolves_vectors_of_all_sizes(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 8))
+    if kind == "near copies":
+        x = 1 + 1e-4 * x
+    else:
+        x[7, 3] = 1e5
+    df = table(spark, x.tolist())
+    want = nearest(list(enumerate(x)), [(i, x[i]) for i in range(0, 1200, 10)], 10)
+    assert recall(nndescent.knn(df, df.where("vec_id % 10 = 0"), 10, beam=64).collect(), want) >= 0.95
