@@ -44,11 +44,13 @@ SETTLED = 0.001
 
 def nearest_lists(node: np.ndarray, other: np.ndarray, dist: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The ``degree`` nearest distinct others of each node: (nodes, bounds, others, distances)."""
-    order = np.lexsort((other, dist, node))
+    # a pair's distance may differ in its last bits from task to task: the least counts
+    order = np.lexsort((dist, other, node))
     node, other, dist = node[order], other[order], dist[order]
-    # a pair has one distance, so its repeats lie side by side
     new = np.concatenate(([True], (node[1:] != node[:-1]) | (other[1:] != other[:-1]))) if len(node) else np.zeros(0, bool)
     node, other, dist = node[new], other[new], dist[new]
+    order = np.lexsort((other, dist, node))
+    node, other, dist = node[order], other[order], dist[order]
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
     place = np.arange(len(node)) - np.repeat(start, np.diff(np.concatenate((start, [len(node)]))))
     keep = place < degree

@@ -159,3 +159,10 @@ def test_nn_descent_resolves_vectors_of_all_sizes(spark, kind):
     df = table(spark, x.tolist())
     want = nearest(list(enumerate(x)), [(i, x[i]) for i in range(0, 1200, 10)], 10)
     assert recall(nndescent.knn(df, df.where("vec_id % 10 = 0"), 10, beam=64).collect(), want) >= 0.95
+
+
+def test_a_neighbour_takes_one_place():
+    node, other, dist = np.array([4, 4, 4, 4, 9]), np.array([1, 2, 1, 3, 1]), np.array([0.1, 0.15, 0.2, 0.3, 0.5], np.float32)
+    nodes, bounds, others, dists = nndescent.nearest_lists(node, other, dist, 3)
+    assert nodes.tolist() == [4, 9] and bounds.tolist() == [0, 3, 4]
+    assert others.tolist() == [1, 2, 3, 1] and dists.tolist() == dist[[0, 1, 3, 4]].tolist()
