@@ -34,6 +34,8 @@ SCALE = 100.0
 FOLDS = 3
 # of the clean training texts, those that calibration lets a model of the others call toxic
 FALSE_ALARMS = 0.03
+# an empty text's logit is at most this: nothing in it is toxic
+EMPTY = -0.5
 
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[0x41:0x5B] += 0x20
@@ -152,7 +154,11 @@ def calibrated(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, w
     Each of ``FOLDS`` parts is scored by a model of the others.  The number is the
     middle of those with the best balanced accuracy among those that call at most
     ``FALSE_ALARMS`` of the clean texts toxic.  Like all weights it counts by a
-    text's length, so it hardly moves short texts and leaves empty ones."""
+    text's length, so it hardly moves short texts and leaves empty ones.
+
+    The bias, which decides these, is then lowered to ``EMPTY`` or further, until
+    at most ``FALSE_ALARMS`` of the clean texts of fewer than ``NEUTRAL`` subwords
+    are called toxic; the weights rise by as much, so long texts stay as they are."""
     fold = np.zeros(len(labels), np.int64)
     for k in (0, 1):
         fold[labels == k] = np.arange((labels == k).sum()) % FOLDS
@@ -169,8 +175,13 @@ def calibrated(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, w
     false = toxic[:, labels == 0].mean(1)
     gain = toxic[:, labels == 1].mean(1) - false - 2 * (false > FALSE_ALARMS)
     best = moves[np.flatnonzero(gain >= gain.max() - 1e-9)]
-    model = fit(texts, labels, weights)
-    return Model((model.weight + best[len(best) // 2]).astype(np.float32), model.bias)
+    move, model = best[len(best) // 2], fit(texts, labels, weights)
+    short = (labels == 0) & (share < 0.5)
+    lower = min(0.0, EMPTY - model.bias)
+    if short.any():
+        false = [(logit[short] + move * share[short] + d * (1 - share[short]) >= 0).mean() for d in moves[moves <= 0][::-1]]
+        lower = min(lower, float(moves[moves <= 0][::-1][np.argmax(np.array([*false[:-1], 0]) <= FALSE_ALARMS)]))
+    return Model((model.weight + move - lower).astype(np.float32), model.bias + lower)
 
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])

@@ -3,11 +3,14 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
+from lakesync.llm import toxicity
 
 from .helpers import DOCS, awkward_texts, frame
 from .test_partenum import brute as brute_components
@@ -36,7 +39,28 @@ def test_filters_keep_rows_as_they_were(spark):
     clean = C.drop_toxic(spark, docs, SF)
     left = {r.doc_id for r in clean.select("doc_id").collect()}
     lost = [d for d, r in labels.items() if r.toxic == 0 and d not in left]
-    assert len(lost) <= 0.1 * len(labels) and clean.exceptAll(docs.select(*C.COLUMNS)).isEmpty()
+    assert len(lost) <= 0.05 * len(labels) and clean.exceptAll(docs.select(*C.COLUMNS)).isEmpty()
+
+
+def test_empty_and_short_clean_texts_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*C.COLUMNS)
+    clean = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").select("doc_id")
+    starts = [r.text.split() for r in docs.join(clean, "doc_id").where("length(text) > 200").orderBy("doc_id").limit(300).collect()]
+    texts = [None, "", " ", "?!", "\n\n"] + [" ".join(w[:1 + i % 12]) for i, w in enumerate(starts)]
+    more = frame(spark, texts, start=10_000_000).select(*C.COLUMNS)
+    left = {r.doc_id - 10_000_000 for r in C.drop_toxic(spark, docs.unionByName(more), sf).where("doc_id >= 10000000").collect()}
+    assert left >= set(range(5))
+    assert len(left) >= 5 + 0.95 * 300
+
+
+def test_empty_texts_are_clean_when_most_labels_are_toxic():
+    word = [np.array([k], np.int32) for k in range(2)]
+    texts = [(word[i % 10 > 0], np.array([50], np.uint16)) for i in range(200)]
+    labels = np.array([int(i % 10 > 0) for i in range(200)])
+    model = toxicity.calibrated(texts, labels, np.ones(200))
+    assert model.scores(pa.array(["", "?!"])).max() < 0.5
+    assert all((model.bias + model.weight[k] * 50 / (50 + toxicity.NEUTRAL) >= 0) == (k == 1) for k in (0, 1))
 
 
 def test_one_of_each_group(spark):
