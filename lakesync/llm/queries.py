@@ -88,8 +88,9 @@ def op10_quality(spark, sf_dir):
 
 
 def op11_whitening(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
-    ints = own.select("vec_id", F.transform("embedding", lambda c: F.floor(64 * c.cast("double")) + 1000000).alias("embedding"))
+    # a vector that takes no part becomes null: its components may not fit a long
+    whole = F.transform("embedding", lambda c: F.floor(64 * c.cast("double")) + 1000000)
+    ints = table(spark, sf_dir, "embeddings").select("vec_id", F.when(usable(F.col("embedding")), whole).alias("embedding"))
     return whiten.whiten(ints, 32)
 
 
