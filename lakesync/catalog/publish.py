@@ -69,6 +69,8 @@ def publish(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> dict:
         created = True
         added = []
     else:
+        # another session (a stream's batch) may have added columns
+        spark.catalog.refreshTable(name)
         old = table_columns(spark, name).select("col_name", "data_type")
         new = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema.fields],
                                     "col_name string, data_type string")
@@ -119,7 +121,7 @@ def sync_partitions(spark: SparkSession, spec: TableSpec, condition: bool = True
     agree.  Returns the number of partitions added and dropped.
     """
     name = spec.qualified_name
-    if not spec.partition:
+    if not spec.partition or spec.versioned:  # the commits of a versioned table register its partitions
         spark.sql(f"REFRESH TABLE {_q(name)}")
         return {"ADD": 0, "DROP": 0}
     p = spec.partition

@@ -25,7 +25,7 @@ from lakesync.functions.conform import conform
 from lakesync.operators.audits import audit_databases, audit_paths, audit_tables, check_table, verdict
 from lakesync.operators.merge import latest_per_key
 from lakesync.schema import as_struct
-from lakesync.session import mark_path, path_exists, remove_path
+from lakesync.sinks.commit import mark_published, partition_values, recover, unpublished
 from lakesync.sinks.table import UpsertResult, _outside, check_stored_schema, prepare_batch, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot, database_snapshot
 from lakesync.sources.files import storage_listing
@@ -98,30 +98,21 @@ def checkpoint_of(spec: TableSpec, checkpoint: str | None) -> str:
     return ckpt
 
 
-def _touched(results: list[UpsertResult]) -> list | None:
-    """Partition values rewritten by the batches, or None when a batch cannot
-    tell (it created the table or went past the pruning bound) or none ran
-    (an earlier run may have been lost before it published)."""
-    touched: set = set()
-    if not results:
-        return None
-    for r in results:
-        if r.touched is None:
-            return None
-        touched.update(r.touched)
-    return sorted(touched)
-
-
-def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary: RunSummary,
-             touched: list | None = None) -> None:
-    """Publish the table and sync its partitions.  When the table was already
-    in the catalog and every batch reported the partitions it rewrote, only
-    those are registered (an upsert never removes a partition), so the cost
-    follows the batches, not the table; otherwise the table is listed and
-    fully synced."""
+def _publish(spark: SparkSession, spec: TableSpec, schema: T.StructType, summary: RunSummary) -> None:
+    """Publish the table and register what the journal records since the last publication.
+
+    Each commit noted the partitions that it rewrote, so a publication that
+    was lost, whoever lost it, is made up for without listing the table.  A
+    commit never removes a partition, unless it replaced the whole table: then,
+    or when the table is new in the catalog, storage is listed and synced whole.
+    A versioned table's commits have registered its partitions themselves."""
+    recover(spark, spec.path)
     summary.publish = publish(spark, spec, schema)
-    incremental = touched is not None and spec.partition and not summary.publish["created"]
-    summary.partitions = sync_partitions(spark, spec, touched=touched if incremental else None)
+    records = unpublished(spark, spec.path)
+    whole = summary.publish["created"] or not spec.partition or any(r["kind"] == "overwrite" for r in records)
+    touched = None if whole else sorted({v for r in records for v in partition_values(r["folders"])})
+    summary.partitions = sync_partitions(spark, spec, touched=touched)
+    mark_published(spark, spec.path)
 
 
 def _check_target(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> None:
@@ -130,22 +121,6 @@ def _check_target(spark: SparkSession, spec: TableSpec, schema: T.StructType) ->
         check_stored_schema(spark, spec, schema)
 
 
-def _pending(spec: TableSpec, checkpoint: str | None) -> str:
-    return f"{checkpoint_of(spec, checkpoint)}.unpublished"
-
-
-def _begin(spark: SparkSession, spec: TableSpec, checkpoint: str | None) -> bool:
-    """Mark the run as unpublished; True if an earlier run left its mark, so storage is synced whole."""
-    lost = path_exists(spark, _pending(spec, checkpoint))
-    if not lost:
-        mark_path(spark, _pending(spec, checkpoint))
-    return lost
-
-
-def _finish(spark: SparkSession, spec: TableSpec, checkpoint: str | None) -> None:
-    remove_path(spark, _pending(spec, checkpoint))
-
-
 def _target(schema: T.StructType | str) -> T.StructType:
     return as_struct(schema)
 
@@ -166,12 +141,10 @@ def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spe
     target = _target(schema)
     validate = _validator(target, spec, order_format, strict)
     _check_target(spark, spec, stored_schema(spark, target, spec, validate))
-    lost = _begin(spark, spec, checkpoint)
     results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
                       max_bytes_per_trigger)
     summary.batches = [r.as_dict() for r in results]
-    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, None if lost else _touched(results))
-    _finish(spark, spec, checkpoint)
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
     return summary
 
 
@@ -186,15 +159,13 @@ def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, s
     validate = _validator(target, spec, order_format, strict)
     try:
         _check_target(spark, spec, stored_schema(spark, target, spec, validate))
-        lost = _begin(spark, spec, checkpoint)
         results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
                           max_bytes_per_trigger)
         summary.batches = [r.as_dict() for r in results]
     except Exception as e:  # the publication step must not run after a failed ingest
         summary.ok, summary.error = False, f"ingest failed: {e}"
         return summary
-    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary, None if lost else _touched(results))
-    _finish(spark, spec, checkpoint)
+    _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
     return summary
 
 
@@ -208,6 +179,8 @@ def run_batch(spark: SparkSession, source: str, spec: TableSpec, ts_col: str | N
     ``timestamp_ntz``; with ``strict=False`` unparseable times are rejected
     instead of failing the job.
     """
+    if spec.versioned:
+        raise ValueError("a full overwrite cannot switch a versioned table")
     summary = RunSummary(spec.qualified_name)
     o_in, o_out = Observation("lakesync_batch_in"), Observation("lakesync_batch_out")
     if schema is None:

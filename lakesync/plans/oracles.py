@@ -50,6 +50,19 @@ CONDITIONAL = ("WITH c AS (SELECT count(DISTINCT CAST(ts AS DATE)) FILTER (ts <
                "SELECT 1::BIGINT AS run, a AS added, 0::BIGINT AS dropped FROM c UNION ALL SELECT 2, b, 0 FROM c "
                "UNION ALL SELECT 3, 0, 0 UNION ALL SELECT 4, 0, 1")
 
+# each half of the re-stamped events meets the stored ones with its own origin
+EVOLVING = ("WITH u AS (SELECT event_id, ts, user_id, value, 0 AS src, NULL AS origin FROM events UNION ALL "
+            "SELECT event_id + 1000000, t, user_id, value * 2, 1, CASE WHEN t >= '2024-01-16' THEN 'second' ELSE 'third' END "
+            "FROM (SELECT *, ts + to_hours(CAST(event_id % 3 AS INTEGER) - 1) AS t FROM events)) "
+            "SELECT user_id, CAST(ts AS DATE) AS event_date, event_id, ts, value, origin FROM u "
+            "QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, src DESC, event_id DESC) = 1")
+
+# days by arrival; the catalog knows those of the first
+JOURNAL = ("WITH a AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) "
+           "SELECT n.number, n.kind, a.day AS event_date, a.day < '2024-01-11' AS known FROM a JOIN (VALUES "
+           "(1::BIGINT, 'overwrite', DATE '2000-01-01', DATE '2024-01-11'), (2, 'merge', DATE '2024-01-09', DATE '2024-01-21'), "
+           "(3, 'merge', DATE '2024-01-19', DATE '2100-01-01')) n(number, kind, lo, hi) ON a.day >= n.lo AND a.day < n.hi")
+
 REGISTRY_WHERE = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
 
 ORACLES: dict[str, str] = {
@@ -61,6 +74,10 @@ ORACLES: dict[str, str] = {
     "upsert_shuffle_merge": UPSERT,
     "upsert_parallel": UPSERT,
     "upsert_dirty_table": DIRTY,
+    "upsert_versioned": UPSERT,
+    "upsert_evolving_schema": EVOLVING,
+    "overwrite_table": LATEST,
+    "commit_journal": JOURNAL,
     "conditional_sync": CONDITIONAL,
     "stream_upsert": UPSERT,
     "read_json": "SELECT event_id, ts, user_id, event_type, value, props FROM events",

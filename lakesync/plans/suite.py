@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.catalog.publish import describe_dataset, publish, sync_partitions
+from lakesync.catalog.publish import catalog_partitions, describe_dataset, publish, sync_partitions
 from lakesync.functions.columns import parse_ts, parse_urn, partition_path, partition_value, record_key
 from lakesync.functions.conform import conform
 from lakesync.operators.audits import (
@@ -36,6 +36,7 @@ from lakesync.operators.drift import partition_drift
 from lakesync.operators.merge import latest_per_key, tag, upsert
 from lakesync.plans.ingest import run_batch, run_inline, run_separate, run_validate
 from lakesync.session import remove_path, scratch_path
+from lakesync.sinks.commit import journal_frame, recorded_schema
 from lakesync.sinks.table import upsert_to_path, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot
 from lakesync.sources.files import file_manifest, read_partitions, read_table, storage_listing
@@ -137,6 +138,58 @@ def q_upsert_parallel(spark, d):
     return t.select("user_id", "event_date", "event_id", "ts", "value")
 
 
+def q_upsert_versioned(spark, d):
+    # the commits write new folders and switch the catalog's partitions to them
+    ev = events(spark, d)
+    spec = events_spec(scratch_path(spark, "versioned"), database=_db(), table="events", versioned=True)
+    upsert_to_path(ev, spec)
+    upsert_to_path(restamped(ev), spec)
+    return spark.table(spec.qualified_name).select("user_id", "event_date", "event_id", "ts", "value")
+
+
+def q_upsert_evolving_schema(spark, d):
+    # the second batch adds a column and writes days that the third touches with
+    # days that never had it; a batch without the column must not be taken
+    ev = events(spark, d)
+    spec = events_spec(scratch_path(spark, "evolving"))
+    upsert_to_path(ev, spec)
+    late = restamped(ev).where(F.col("ts") >= "2024-01-16").withColumn("origin", F.lit("second"))
+    upsert_to_path(late, spec)
+    try:
+        upsert_to_path(restamped(ev), spec)
+    except ValueError:
+        pass
+    else:
+        raise RuntimeError("a batch that lacks a stored column was taken")
+    early = restamped(ev).where(F.col("ts") < "2024-01-16").withColumn("origin", F.lit("third"))
+    upsert_to_path(early, spec)
+    return read_table(spark, spec.path, recorded_schema(spark, spec.path)).select("user_id", "event_date", "event_id", "ts", "value", "origin")
+
+
+def q_overwrite_table(spark, d):
+    # a full overwrite by rows read from the table that it replaces
+    path = _written_events(spark, d)
+    stored = read_table(spark, path, STORED_SCHEMA)
+    write_table(latest_per_key(stored, ["user_id", "event_date"], "ts", ["event_id"]), path, "event_date", mode="overwrite")
+    return read_table(spark, path, STORED_SCHEMA).select("event_id", "user_id", "event_date", "ts", "event_type", "value")
+
+
+def q_commit_journal(spark, d):
+    """What three commits recorded, and the publication that consumed the last two."""
+    ev = events(spark, d)
+    spec = events_spec(scratch_path(spark, "journal"), database=_db(), table="events")
+    upsert_to_path(ev.where(F.col("ts") < "2024-01-11"), spec)
+    publish(spark, spec, recorded_schema(spark, spec.path))
+    sync_partitions(spark, spec)
+    upsert_to_path(ev.where((F.col("ts") >= "2024-01-09") & (F.col("ts") < "2024-01-21")), spec)
+    upsert_to_path(ev.where(F.col("ts") >= "2024-01-19"), spec)
+    rows = journal_frame(spark, spec.path)
+    known = catalog_partitions(spark, spec.qualified_name, "event_date").withColumn("known", F.lit(True))
+    day = F.regexp_extract("folder", "event_date=(.*)", 1)
+    return (rows.withColumn("event_date", day).join(known, "event_date", "left")
+            .select("number", "kind", F.to_date("event_date").alias("event_date"), F.coalesce("known", F.lit(False)).alias("known")))
+
+
 def q_stream_upsert(spark, d):
     ev = events(spark, d)
     root = scratch_path(spark, "stream")
@@ -447,6 +500,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_shuffle_merge": q_upsert_shuffle_merge,
     "upsert_parallel": q_upsert_parallel,
     "upsert_dirty_table": q_upsert_dirty_table,
+    "upsert_versioned": q_upsert_versioned,
+    "upsert_evolving_schema": q_upsert_evolving_schema,
+    "overwrite_table": q_overwrite_table,
+    "commit_journal": q_commit_journal,
     "stream_upsert": q_stream_upsert,
     "read_json": q_read_json,
     "record_key_and_path": q_record_key_and_path,

@@ -117,10 +117,44 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
-def mark_path(spark: SparkSession, path: str) -> None:
-    """Create an empty file (and its folders)."""
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of everything directly under ``path`` (one listing; none if it does not exist)."""
     p, fs = _hadoop_path(spark, path)
-    fs.create(p, True).close()
+    return sorted(str(st.getPath().getName()) for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def same_store(spark: SparkSession, a: str, b: str) -> bool:
+    """True if both paths lie on one file system, so that a rename moves no bytes."""
+    (_, one), (_, two) = _hadoop_path(spark, a), _hadoop_path(spark, b)
+    return str(one.getUri()) == str(two.getUri())
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder; the folders above ``target`` are created, ``target`` must not exist."""
+    src, fs = _hadoop_path(spark, source)
+    dst, _ = _hadoop_path(spark, target)
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst) or not fs.rename(src, dst):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; it appears whole or not at all and never replaces another."""
+    p, fs = _hadoop_path(spark, f"{path}.writing")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    move_path(spark, f"{path}.writing", path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    p, fs = _hadoop_path(spark, path)
+    source = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
 
 
 def qualify(spark: SparkSession, path: str) -> str:
@@ -129,5 +163,5 @@ def qualify(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toString())
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "child_folders", "content_bytes", "remove_path", "mark_path",
-           "qualify"]
+__all__ = ["local_session", "shared_dir", "scratch_path", "path_exists", "existing_paths", "child_folders", "content_bytes", "remove_path", "child_names", "same_store",
+           "move_path", "write_text", "read_text", "qualify"]

@@ -30,9 +30,11 @@
      partition value lays out the files (AQE splits a hot partition over
      several tasks and packs small ones);
 
-5. the result is written to a staging folder in the shared folder and copied
-   into the table with dynamic partition overwrite, which replaces exactly the
-   partitions present in the output.
+5. the result is written once, to a staging folder beside the table, and put in
+   place by :mod:`lakesync.sinks.commit`: by renaming the folders of the touched
+   partitions, or, for a ``versioned`` table, by switching the locations of the
+   catalog's partitions.  The commit is recorded, with the table's schema, and
+   can be finished from any point.
 
 Counts for the run summary come from ``DataFrame.observe`` metrics collected
 during the batch and merge writes; no extra pass is made for them.
@@ -41,53 +43,83 @@ during the batch and merge writes; no extra pass is made for them.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesync.operators.merge import SRC_COL, latest_per_key
 from lakesync.operators.sizing import broadcast_bound, measured_bytes, row_bytes
-from lakesync.session import content_bytes, existing_paths, path_exists, remove_path, scratch_path
+from lakesync.session import content_bytes, existing_paths, path_exists, remove_path, same_store, scratch_path
+from lakesync.sinks.commit import DEFAULT_PARTITION, commit, meta_path, next_number, recorded_schema, recover, version_path
 from lakesync.spec import TableSpec
 
 REJECT_REASON = "_reject_reason"
-# Fixed value: the folder name Spark and Hive give the null partition.
-DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 _UPDATED = "_lakesync_updated"
 log = logging.getLogger("lakesync")
 
 
-# an explicit parallelism deals the rows of one partition value to at most this
-# many tasks, so a hot partition is split and a cold one stays in few files
-PARALLEL_SPREAD = 8
+def _key(partitions: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{p}`").cast("string").alias(f"p{i}") for i, p in enumerate(partitions)]), {"ignoreNullFields": "false"})
 
 
-def _layout(df: DataFrame, partitions: list[str], parallelism: int | None) -> DataFrame:
+def _shares(df: DataFrame, partitions: list[str], parallelism: int | None) -> dict[str, int]:
+    """How many of ``parallelism`` tasks a partition gets that holds more than a task's share of the rows.
+
+    One count by the partition columns; at most ``parallelism`` partitions can be that large."""
+    if not parallelism or not partitions:
+        return {}
+    counts = df.select(_key(partitions).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        share = max(1, -(-total // parallelism))
+        return {r.k: -(-r.n // share) for r in counts.where(F.col("n") > share).collect()}
+    finally:
+        counts.unpersist()
+
+
+def _layout(df: DataFrame, partitions: list[str], parallelism: int | None, shares: dict[str, int] | None = None) -> DataFrame:
     """Lay rows out by the partition columns before a write.
 
     Without ``parallelism`` a rebalance: rows of one partition value land in
     few tasks while AQE splits a hot one and packs small ones.  With it,
-    exactly that many tasks write (AQE does not merge them); rows are dealt by
-    the partition value and a hash of the row bounded by ``PARALLEL_SPREAD``,
-    or by the hash alone without a partition."""
+    exactly that many tasks write (AQE does not merge them): a partition goes to
+    one task, or to as many as ``shares`` says, dealt by a hash of the row;
+    without a partition the hash alone deals."""
     if not parallelism:
         return df.hint("rebalance", *partitions)
     plain = [f.name for f in df.schema.fields if f.name not in partitions and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     row = F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0)
-    return df.repartition(parallelism, *partitions, F.pmod(row, F.lit(PARALLEL_SPREAD if partitions else 1 << 20)))
+    if not partitions:
+        return df.repartition(parallelism, F.pmod(row, F.lit(1 << 20)))
+    if not shares:
+        return df.repartition(parallelism, *partitions)
+    tasks = F.try_element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), _key(partitions))
+    return df.repartition(parallelism, *partitions, F.pmod(row, F.coalesce(tasks, F.lit(1))))
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None = None, mode: str = "error",
                 parallelism: int | None = None, dynamic: bool = False) -> None:
-    """Hive-style partitioned Parquet, snappy (W1); ``mode="overwrite"`` is a
-    full overwrite (W2) unless ``dynamic``; ``parallelism`` sets the number of
-    write tasks (W4), otherwise AQE sizes them."""
+    """Hive-style partitioned Parquet, snappy.
+
+    ``mode="overwrite"`` is a full overwrite (W2) unless ``dynamic``: the new
+    content is written beside the table and swapped in whole, so a run that is
+    killed leaves the old rows, and ``df`` may read the table it replaces.
+    ``parallelism`` sets the number of write tasks (W4), otherwise AQE sizes
+    them."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-    out = _layout(df, parts, parallelism) if parts or parallelism else df
+    out = _layout(df, parts, parallelism, _shares(df, parts, parallelism)) if parts or parallelism else df
+    if mode == "overwrite" and not dynamic:
+        spark = df.sparkSession
+        recover(spark, path)
+        staged = _fresh_stage(path)
+        _write(out, staged, parts)
+        commit(spark, TableSpec(path=path, keys=(), order="", partition=parts[0] if parts else None), staged, df.schema, "overwrite")
+        return
     w = out.write.mode(mode).option("compression", "snappy")
     if parts:
         w = w.partitionBy(*parts)
@@ -97,6 +129,11 @@ def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None =
     w.parquet(path)
 
 
+def _fresh_stage(path: str) -> str:
+    """A staging folder beside the table: putting its content in place moves no bytes."""
+    return meta_path(path, "stage", uuid.uuid4().hex)
+
+
 def prepare_batch(batch: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Add the partition column and split off rows whose key or partition is
     null.  Returns ``(good, rejected)``; ``rejected`` has ``_reject_reason``."""
@@ -203,12 +240,16 @@ def _read_stored(spark: SparkSession, spec: TableSpec, schema: T.StructType, inc
     part = spec.partition
     if not part:
         return spark.read.schema(schema).parquet(spec.path), [spec.path]
+    if spec.versioned:
+        whole = _catalog_rows(spark, spec, schema)
     cap = spec.max_pruned_partitions
     vals = [r[0] for r in incoming.select(part).distinct().limit(cap + 1).collect()]
     if len(vals) > cap:
-        return (spark.read.schema(schema).parquet(spec.path)
-                .join(incoming.select(part).distinct(), part, "left_semi")), None
+        whole = whole if spec.versioned else spark.read.schema(schema).parquet(spec.path)
+        return whole.join(incoming.select(part).distinct(), part, "left_semi"), None
     res.pruned, res.partitions, res.touched = True, len(vals), vals
+    if spec.versioned:
+        return (whole.where(F.col(part).isin(vals)) if vals else whole.limit(0)), None
     if isinstance(schema[part].dataType, _DIRECT_TYPES):
         root = spec.path.rstrip("/")
         dirs = [f"{root}/{part}={v}" for v in vals]
@@ -222,6 +263,14 @@ def _read_stored(spark: SparkSession, spec: TableSpec, schema: T.StructType, inc
     return (stored.where(F.col(part).isin(vals)) if vals else stored.limit(0)), present
 
 
+def _catalog_rows(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> DataFrame:
+    """The rows of a versioned table, read where the catalog's partitions point, with the columns of ``schema``."""
+    spark.catalog.refreshTable(spec.qualified_name)
+    table = spark.table(spec.qualified_name)
+    have = set(table.columns)
+    return table.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 # the broadcast merge pays off when the stored rows it keeps out of a shuffle
 # outweigh the batch it broadcasts; below this ratio of on-disk bytes the
 # shuffle merge (fewer jobs, nothing broadcast) is the cheaper one
@@ -244,7 +293,7 @@ def _stored_outweighs(spark: SparkSession, dirs: list[str] | None, batch_dir: st
 
 
 def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: str,
-           obs: dict | None, winners_dir: str | None = None) -> DataFrame:
+           obs: dict | None, winners_dir: str | None = None, shares: dict[str, int] | None = None) -> DataFrame:
     """Stored rows of the touched partitions merged with the (deduplicated)
     batch, laid out for the write; ``_src`` is 1 where the batch row won.
 
@@ -287,13 +336,13 @@ def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: st
                   .unionByName(winners.withColumn(SRC_COL, F.lit(1))))
         if spec.parallelism:
             # an explicit write parallelism is honoured with one rebalance
-            merged = _layout(merged, parts, spec.parallelism)
+            merged = _layout(merged, parts, spec.parallelism, shares)
     else:
-        # stored rows without a whole identity meet no batch row: past the shuffle
+        # a stored row without a whole identity meets no batch row: a group of its own
         whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ids])
-        both = (kept_src.where(whole).withColumn(SRC_COL, F.lit(0))
-                .unionByName(incoming.withColumn(SRC_COL, F.lit(1))))
-        own = Window.partitionBy(*ids)
+        both = (kept_src.withColumns({SRC_COL: F.lit(0), "_alone": F.when(~whole, F.monotonically_increasing_id())})
+                .unionByName(incoming.withColumns({SRC_COL: F.lit(1), "_alone": F.lit(None).cast("bigint")})))
+        own = Window.partitionBy(*ids, "_alone")
         fresh, old = F.col("_fresh"), F.col("_old")
         seen = both.withColumns({
             "_fresh": F.max(F.when(F.col(SRC_COL) == 1, F.col(spec.order))).over(own),
@@ -301,10 +350,9 @@ def _merge(incoming: DataFrame, stored: DataFrame, spec: TableSpec, strategy: st
             "_batch": F.max(SRC_COL).over(own), _UPDATED: F.min(SRC_COL).over(own) == 0})
         wins = old.isNull() | (fresh.isNotNull() & (fresh >= old))
         keep = F.when(F.col(SRC_COL) == 1, wins).otherwise((F.col("_batch") == 0) | ~wins)
-        merged = (seen.where(keep).drop("_fresh", "_old", "_batch")
-                  .unionByName(kept_src.where(~whole).withColumns({SRC_COL: F.lit(0), _UPDATED: F.lit(False)})))
+        merged = seen.where(keep).drop("_fresh", "_old", "_batch", "_alone")
         if spec.partition or spec.parallelism:
-            merged = _layout(merged, [spec.partition] if spec.partition else [], spec.parallelism)
+            merged = _layout(merged, [spec.partition] if spec.partition else [], spec.parallelism, shares)
     if obs is not None:
         obs["out"] = Observation("lakesync_out")
         merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
@@ -347,42 +395,41 @@ def plan_upsert(batch: DataFrame, spec: TableSpec, spark: SparkSession | None =
 
 
 def commit_staged(spark: SparkSession, staged: str, spec: TableSpec, schema: T.StructType) -> None:
-    """Copy a staged upsert result into the table (dynamic partition
-    overwrite, or a full overwrite for an unpartitioned table).
+    """Put a staged upsert result in place: the staged partitions replace the
+    stored ones (all of an unpartitioned table).
 
-    The copy reads only the staged files, never the table it replaces, so it
-    can be run again after a failure at any point -- this is the recovery
-    step for a commit that did not finish.  Staged files are already laid out
-    one partition per file, so the copy needs no shuffle.
-    """
-    staged_df = spark.read.schema(schema).parquet(staged)
-    if spec.parallelism:  # a copy made by as many tasks as the merge was
-        staged_df = _layout(staged_df, [spec.partition] if spec.partition else [], spec.parallelism)
-    w = staged_df.write.mode("overwrite").option("compression", "snappy")
-    if spec.partition:
-        w = w.partitionBy(spec.partition).option("partitionOverwriteMode", "dynamic")
-    w.parquet(spec.path)
+    On the table's file system nothing is written again and the commit is
+    recorded (:func:`lakesync.sinks.commit.commit`).  A result staged on another
+    file system is first copied beside the table.  Either way only staged files
+    are read, so this can be run again after a failure at any point."""
+    if not same_store(spark, staged, spec.path):
+        near = _fresh_stage(spec.path)
+        _write(spark.read.schema(schema).parquet(staged), near, [spec.partition] if spec.partition else [])
+        remove_path(spark, staged)
+        staged = near
+    commit(spark, spec, staged, schema, "merge")
 
 
 def check_stored_schema(spark: SparkSession, spec: TableSpec, schema: T.StructType, dirs: list[str] | None = None) -> None:
     """Fail before anything is written if ``schema`` lacks a stored column or gives it another type.
 
-    The stored schema is the catalog's if the table is published, else that of
-    the files under the touched folders ``dirs`` (or the table's path).  New
+    The stored schema is that of the last commit and the catalog's, if the
+    table is published.  A table with neither (written by other means) is
+    judged by the files of all touched folders ``dirs``, or of its path.  New
     columns are allowed."""
     name = spec.qualified_name if spec.table else None
-    if name and spark.catalog.tableExists(name):
-        stored = spark.table(name).schema
-    elif dirs == []:
-        return
-    else:
+    known = [recorded_schema(spark, spec.path)] if path_exists(spark, spec.path) else []
+    known += [spark.table(name).schema] if name and spark.catalog.tableExists(name) else []
+    known = [k for k in known if k is not None]
+    if not known and dirs != []:
         reader = spark.read.option("basePath", spec.path) if dirs and dirs != [spec.path] else spark.read
-        stored = reader.parquet(*(dirs[:1] if dirs else [spec.path])).schema
+        known = [reader.option("mergeSchema", "true").parquet(*(dirs or [spec.path])).schema]
     have = {f.name.lower(): f.dataType for f in schema.fields}
-    lost = [f.name for f in stored.fields if f.name.lower() not in have]
+    stored = [f for k in known for f in k.fields]
+    lost = sorted({f.name for f in stored if f.name.lower() not in have})
     # a partition column read from folder names has a guessed type
-    other = [f.name for f in stored.fields if f.name != spec.partition and f.name.lower() in have
-             and have[f.name.lower()].simpleString() != f.dataType.simpleString()]
+    other = sorted({f.name for f in stored if f.name != spec.partition and f.name.lower() in have
+                    and have[f.name.lower()].simpleString() != f.dataType.simpleString()})
     if lost or other:
         raise ValueError(f"schema of {spec.path} changed incompatibly: columns missing {lost}, of another type {other}")
 
@@ -392,20 +439,31 @@ def _outside(path: str, table: str, what: str) -> None:
         raise ValueError(f"the {what} {path} lies inside the table {table}, which writes replace")
 
 
-def _write(df: DataFrame, path: str, partition: str | None, dynamic: bool) -> None:
+def _write(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Write a frame that is already laid out (no extra exchange)."""
     w = df.write.mode("overwrite").option("compression", "snappy")
-    if partition:
-        w = w.partitionBy(partition)
-        if dynamic:
-            w = w.option("partitionOverwriteMode", "dynamic")
-    w.parquet(path)
+    (w.partitionBy(*partitions) if partitions else w).parquet(path)
+
+
+def _observed(merged: DataFrame, obs: dict) -> DataFrame:
+    obs["out"] = Observation("lakesync_out")
+    return merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"), F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
+
+
+def _versioned_target(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> None:
+    """The catalog table whose partitions a versioned commit switches; new columns are added to it."""
+    from lakesync.catalog.publish import publish
+
+    if not (spec.table and spec.partition):
+        raise ValueError("a versioned table needs a catalog name and a partition column")
+    if spark.catalog.tableExists(spec.qualified_name):
+        check_stored_schema(spark, spec, schema)
+    publish(spark, spec, schema)
 
 
 def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
                    validate: Callable[[DataFrame], DataFrame] | None = None,
-                   exact_counts: bool = False, stage: bool = True,
-                   stage_path: str | None = None, strategy: str = "auto") -> UpsertResult:
+                   exact_counts: bool = False, stage_path: str | None = None, strategy: str = "auto") -> UpsertResult:
     """Upsert ``batch`` into the table at ``spec.path`` (K4 over K2).
 
     ``validate`` maps the raw batch to its acceptable rows (e.g. a conform
@@ -422,14 +480,11 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     bytes on disk; otherwise the shuffle merge, which moves about as much
     data and runs fewer jobs when the stored side is not much larger.
 
-    With ``stage`` (the default) the merged partitions are first written to a
-    fresh folder under the shared ``spark.checkpoint.dir`` and then copied
-    into the table by :func:`commit_staged`: the job that reads the table
-    never replaces it, and if the final commit is interrupted the complete
-    new content of every touched partition is still in ``result.staged``.
-    The staged folder is removed after a successful commit.  ``stage=False``
-    writes the merge straight into the table (one write less; an interrupted
-    commit can then lose the touched partitions).
+    The merged partitions are written once, to a fresh folder beside the table
+    (``spec.versioned``: under it), and put in place by a recorded commit: the
+    job that reads the table never replaces it.  Until the commit is decided a
+    killed run leaves the table as it was; after that the next upsert, or
+    :func:`lakesync.sinks.commit.recover`, finishes it.
 
     ``stage_path`` fixes the staging folder (the streaming sink uses one per
     batch id under its checkpoint); the deduplicated batch goes next to it,
@@ -442,7 +497,8 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     spark = spark or batch.sparkSession
     if stage_path:
         _outside(stage_path, spec.path, "staging folder")
-    if stage_path and path_exists(spark, f"{stage_path}/_SUCCESS"):
+    recover(spark, spec.path)
+    if stage_path and not spec.versioned and path_exists(spark, f"{stage_path}/_SUCCESS"):
         res = UpsertResult(spec.path, staged=stage_path)
         log.warning("committing the staged result left by an earlier attempt: %s", stage_path)
         schema = _incoming(batch, spec, None, validate, dedupe=False).schema
@@ -455,46 +511,49 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     obs: dict = {}
     res = UpsertResult(spec.path)
     incoming = _incoming(batch, spec, obs, validate, dedupe=True)
+    parts = [spec.partition] if spec.partition else []
     res.created = not _table_exists(spark, spec)
+    number = next_number(spark, spec.path)
+    if spec.versioned:
+        _versioned_target(spark, spec, incoming.schema)
+    staged = version_path(spec.path, number) if spec.versioned else stage_path or _fresh_stage(spec.path)
     batch_dir = None
-    if res.created:
-        # a batch that creates the table has no stored rows to lose: an
-        # interrupted first write is repaired by replaying the batch, so it is
-        # written straight into the table
+    if res.created and not spec.parallelism:
+        # no stored rows to merge with: the batch is the table
         res.strategy = "create"
         merged = incoming.withColumn(SRC_COL, F.lit(1))
-        obs["out"] = Observation("lakesync_out")
-        merged = merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"),
-                                F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
-        write_table(merged.drop(SRC_COL), spec.path, spec.partition, mode="overwrite",
-                    parallelism=spec.parallelism, dynamic=True)
+        merged = _observed(_layout(merged, parts, None) if parts else merged, obs)
+        _write(merged.drop(SRC_COL), staged, parts)
+        commit(spark, spec, staged, incoming.schema, "switch" if spec.versioned else "overwrite", number)
     else:
-        staged = stage_path or scratch_path(spark, "upsert-stage")
         # the deduplicated batch is written once; the measurement rides along
-        batch_dir = f"{staged.rstrip('/')}.batch"
+        work = stage_path or scratch_path(spark, "upsert")
+        batch_dir, winners_dir = f"{work.rstrip('/')}.batch", f"{work.rstrip('/')}.winners"
         incoming.write.mode("overwrite").parquet(batch_dir)
         res.batch_bytes = int(obs["dedup"].get["bytes"])
-        if obs["dedup"].get["rows"] > 0:
+        if obs["dedup"].get["rows"] > 0 or res.created:
             inc = spark.read.schema(incoming.schema).parquet(batch_dir)
-            stored, dirs = _read_stored(spark, spec, inc.schema, inc, res)
-            check_stored_schema(spark, spec, inc.schema, dirs)
-            res.strategy = choose_strategy(spark, spec, res.batch_bytes, strategy)
-            if strategy == "auto" and res.strategy == "broadcast" and not _stored_outweighs(spark, dirs, batch_dir):
-                res.strategy = "shuffle"
-            merged = _merge(inc, stored, spec, res.strategy, obs,
-                            winners_dir=f"{staged.rstrip('/')}.winners").drop(SRC_COL)
-            if spec.partition and not stage:
-                _write(merged, spec.path, spec.partition, dynamic=True)
+            if res.created:
+                res.strategy = "create"
+                merged = _observed(_layout(inc.withColumn(SRC_COL, F.lit(1)), parts, spec.parallelism, _shares(inc, parts, spec.parallelism)), obs)
+            else:
+                stored, dirs = _read_stored(spark, spec, inc.schema, inc, res)
+                check_stored_schema(spark, spec, inc.schema, dirs)
+                res.strategy = choose_strategy(spark, spec, res.batch_bytes, strategy)
+                if strategy == "auto" and res.strategy == "broadcast" and not _stored_outweighs(spark, dirs, batch_dir):
+                    res.strategy = "shuffle"
+                shares = _shares(inc.select(*parts).unionByName(stored.select(*parts)), parts, spec.parallelism) if parts and spec.parallelism else {}
+                merged = _merge(inc, stored, spec, res.strategy, obs, winners_dir=winners_dir, shares=shares)
+            _write(merged.drop(SRC_COL), staged, parts)
+            res.staged = staged
+            log.info("staged upsert of %s in %s", spec.path, staged)
+            if spec.versioned:
+                commit(spark, spec, staged, inc.schema, "switch", number)
             else:
-                # an unpartitioned table is always staged: it is rewritten whole
-                _write(merged, staged, spec.partition, dynamic=False)
-                res.staged = staged
-                log.info("staged upsert of %s in %s", spec.path, staged)
-                commit_staged(spark, staged, spec, merged.schema)
-                remove_path(spark, staged)
-                res.staged = None
+                commit_staged(spark, staged, spec, inc.schema)
+            res.staged = None
         remove_path(spark, batch_dir)
-        remove_path(spark, f"{staged.rstrip('/')}.winners")
+        remove_path(spark, winners_dir)
 
     rows_in = obs["in"].get["rows"]
     good_n = obs["good"].get["rows"]

@@ -45,6 +45,9 @@ class TableSpec:
     broadcast_bytes: int | None = None
     # a string ordering field is parsed by this pattern in every run; None keeps it a string
     order_format: str | None = TS_PATTERN
+    # each commit of a partitioned, published table writes new folders and
+    # switches the catalog's partition locations to them
+    versioned: bool = False
 
     def __post_init__(self):
         if isinstance(self.keys, str):
