@@ -3,9 +3,13 @@
 from lakesync.catalog.publish import (
     catalog_partitions,
     describe_dataset,
+    described_spec,
     publish,
+    read_spec,
+    spec_properties,
     sync_partitions,
     table_columns,
 )
 
-__all__ = ["catalog_partitions", "describe_dataset", "publish", "sync_partitions", "table_columns"]
+__all__ = ["catalog_partitions", "describe_dataset", "described_spec", "publish", "read_spec", "spec_properties",
+           "sync_partitions", "table_columns"]

@@ -9,6 +9,7 @@ folders; partitions gone from storage are dropped by value.
 
 from __future__ import annotations
 
+import json
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,53 @@ def table_columns(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, "col_name string, data_type string, is_partition boolean, position bigint")
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# what a spec holds besides its place, its name and the fields that have a property of their own
+_SPEC_FIELDS = ("keys", "tie", "partition_expr", "parallelism", "max_pruned_partitions", "broadcast_bytes", "order_format", "versioned")
+
+
+def spec_properties(spec: TableSpec) -> dict[str, str]:
+    """A spec as table properties; :func:`described_spec` reads them back.
+
+    A partition expression that is a function cannot be written down and is left out."""
+    more = {f: getattr(spec, f) for f in _SPEC_FIELDS}
+    if callable(more["partition_expr"]):
+        more["partition_expr"] = None
+    return {"lakesync.record_key": ",".join(spec.keys), "lakesync.ordering": spec.order, "lakesync.partition": spec.partition or "",
+            "lakesync.tie": ",".join(spec.tie), "lakesync.spec": json.dumps(more)}
+
+
+def described_spec(description: DataFrame, name: str, path: str) -> tuple[TableSpec, T.StructType]:
+    """The spec and schema of a table from its description (:func:`describe_dataset`), the inverse of publishing it.
+
+    Properties give the spec, schema parts the schema; partition columns are
+    checked against the description's own rows."""
+    rows = description.where(F.col("kind").isin("property", "schema_part", "partition_column")).collect()
+    props = {r.name: r.value for r in rows if r.kind == "property"}
+    if "lakesync.ordering" not in props:
+        raise ValueError(f"{name} was not published with a spec")
+    parts = sorted((r for r in rows if r.kind == "schema_part"), key=lambda r: r.position)
+    schema = T.StructType.fromJson(json.loads("".join(r.value for r in parts)))
+    more = json.loads(props.get("lakesync.spec", "{}"))
+    more = {k: tuple(v) if k in ("keys", "tie") else v for k, v in more.items()}
+    more.setdefault("keys", tuple(props["lakesync.record_key"].split(",")))
+    database, _, table = name.rpartition(".")
+    spec = TableSpec(path=path, order=props["lakesync.ordering"], partition=props["lakesync.partition"] or None, database=database, table=table, **more)
+    if [r.name for r in rows if r.kind == "partition_column"] != ([spec.partition] if spec.partition else []):
+        raise ValueError(f"{name}: the partition columns are not those of its spec")
+    return spec, schema
+
+
+def read_spec(spark: SparkSession, name: str) -> tuple[TableSpec, T.StructType]:
+    """The spec and schema that a published table was given."""
+    place = [r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_q(name)}").collect() if r.col_name == "Location"]
+    path = place[0]
+    return described_spec(describe_dataset(spark, name), name, path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
 def publish(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> dict:
     """Register the table at ``spec.path`` (C1): create database and table if
     missing, add new columns if the stored schema grew.  Returns what changed.
@@ -55,13 +103,7 @@ def publish(spark: SparkSession, spec: TableSpec, schema: T.StructType) -> dict:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{spec.database}`")
     created = False
     if not spark.catalog.tableExists(f"{spec.database}.{spec.table}"):
-        props = {
-            "lakesync.record_key": ",".join(spec.keys),
-            "lakesync.ordering": spec.order,
-            "lakesync.partition": spec.partition or "",
-            "lakesync.tie": ",".join(spec.tie),
-        }
-        tbl_props = ", ".join(f"'{k}' = '{v}'" for k, v in props.items())
+        tbl_props = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in spec_properties(spec).items())
         part = f"PARTITIONED BY (`{spec.partition}`)" if spec.partition else ""
         path = spec.path.replace("'", "\\'")
         spark.sql(f"CREATE TABLE {_q(name)} ({_ddl_columns(schema)}) USING parquet {part} "

@@ -9,7 +9,7 @@ from lakesync.functions.columns import (
     with_partition_path,
     with_record_key,
 )
-from lakesync.functions.conform import conform
+from lakesync.functions.conform import conform, conform_tagged
 
 __all__ = [
     "parse_ts",
@@ -20,4 +20,5 @@ __all__ = [
     "with_partition_path",
     "with_record_key",
     "conform",
+    "conform_tagged",
 ]

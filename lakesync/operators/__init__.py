@@ -11,10 +11,12 @@ from lakesync.operators.audits import (
     find_dataset,
     verdict,
 )
+from lakesync.operators.history import check_history, latest_checks, record_checks, run_changes, verdict_changes
 
 __all__ = [
     "latest_per_key", "tag", "upsert", "SRC_COL",
     "needs_sync", "partition_drift", "schema_drift",
     "audit_databases", "audit_datasets", "audit_paths", "audit_tables",
     "check_table", "find_dataset", "verdict",
+    "check_history", "latest_checks", "record_checks", "run_changes", "verdict_changes",
 ]

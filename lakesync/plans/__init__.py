@@ -1,5 +1,5 @@
 """User-level compositions: inline, separate, batch and validate runs."""
 
-from lakesync.plans.ingest import RunSummary, run_batch, run_inline, run_separate, run_validate
+from lakesync.plans.ingest import RunSummary, replay, run_batch, run_inline, run_separate, run_validate
 
-__all__ = ["RunSummary", "run_batch", "run_inline", "run_separate", "run_validate"]
+__all__ = ["RunSummary", "replay", "run_batch", "run_inline", "run_separate", "run_validate"]

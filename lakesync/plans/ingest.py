@@ -21,15 +21,17 @@ from pyspark.sql import types as T
 
 from lakesync.catalog.publish import publish, sync_partitions
 from lakesync.functions.columns import TS_PATTERN, parse_ts
-from lakesync.functions.conform import conform
+from lakesync.functions.conform import RAW, REJECT_REASON, conform, conform_tagged
 from lakesync.operators.audits import audit_databases, audit_paths, audit_tables, check_table, verdict
 from lakesync.operators.merge import latest_per_key
 from lakesync.schema import as_struct
 from lakesync.sinks.commit import mark_published, partition_values, recover, unpublished
-from lakesync.sinks.table import UpsertResult, _outside, check_stored_schema, prepare_batch, write_table
+from lakesync.session import scratch_path
+from lakesync.sinks.rejects import read_rejects, replay_rejects
+from lakesync.sinks.table import UpsertResult, _outside, check_stored_schema, prepare_batch, upsert_to_path, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot, database_snapshot
 from lakesync.sources.files import storage_listing
-from lakesync.sources.json_files import read_json
+from lakesync.sources.json_files import TS_NTZ_FORMAT, read_json, read_json_inferred
 from lakesync.spec import TableSpec
 from lakesync.streaming.ingest import run_upsert_stream
 
@@ -44,6 +46,7 @@ class RunSummary:
     publish: dict | None = None
     partitions: dict | None = None
     ok: bool = True
+    replayed: int = 0  # stored rejects accepted by a replay
     error: str | None = None
 
     def totals(self) -> dict:
@@ -72,6 +75,50 @@ def _validator(target: T.StructType, spec: TableSpec, order_format: str | None,
     return validate
 
 
+def _tagger(target: T.StructType, spec: TableSpec, order_format: str | None, strict: bool) -> Callable[[DataFrame], DataFrame]:
+    """As :func:`_validator`, with every row kept and its reason named."""
+
+    def tagged(batch: DataFrame) -> DataFrame:
+        rows = conform_tagged(batch, target, required=list(spec.keys) + [spec.order], corrupt_col=CORRUPT_COL)
+        fmt = order_format or spec.order_format
+        if fmt and isinstance(rows.schema[spec.order].dataType, T.StringType):
+            rows = rows.withColumn(spec.order, parse_ts(spec.order, fmt, strict=strict))
+        bad = F.when(F.col(spec.order).isNull(), F.lit(f"no ordering value: {spec.order}"))
+        return rows.withColumn(REJECT_REASON, F.coalesce(F.col(REJECT_REASON), bad))
+
+    return tagged
+
+
+def replay(spark: SparkSession, rejects: str, fix: Callable[[DataFrame], DataFrame], schema: T.StructType | str, spec: TableSpec,
+           order_format: str | None = None) -> RunSummary:
+    """Take corrected rejects of earlier runs into the table and publish it (F2).
+
+    ``fix`` corrects the ``_raw`` text (a JSON object) of stored rejects.  Rows
+    that still do not fit stay in the store with their reason of now."""
+    summary = RunSummary(spec.qualified_name)
+    target = as_struct(schema)
+
+    def again(rows: DataFrame) -> DataFrame:
+        whole = T.StructType([*target.fields, T.StructField(CORRUPT_COL, T.StringType())])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL, "timestampNTZFormat": TS_NTZ_FORMAT}
+        place = scratch_path(spark, "replayed")
+        rows.withColumn("row", F.from_json(RAW, whole, options)).write.parquet(place)
+        rows = spark.read.parquet(place)
+        origin = F.struct(F.col("_text"), F.col("_batch"))
+        batches = rows.select("row.*", F.col("batch").alias("_batch"), F.col(RAW).alias("_text")).withColumn(
+            CORRUPT_COL, F.when(F.col(CORRUPT_COL).isNotNull(), F.to_json(origin)))
+        left = scratch_path(spark, "left")
+        res = upsert_to_path(batches, spec, spark, tagged=_tagger(target, spec, order_format, False), exact_counts=True, rejects=left)
+        summary.batches.append(res.as_dict())
+        known = F.from_json(RAW, "_text string, _batch string")
+        return read_rejects(spark, left).select(known["_text"].alias(RAW), REJECT_REASON, known["_batch"].alias("batch"))
+
+    summary.replayed = replay_rejects(spark, rejects, fix, again)
+    if summary.batches:
+        _publish(spark, spec, stored_schema(spark, target, spec, _validator(target, spec, order_format, False)), summary)
+    return summary
+
+
 def stored_schema(spark: SparkSession, source_schema: T.StructType, spec: TableSpec,
                   validate: Callable[[DataFrame], DataFrame] | None = None) -> T.StructType:
     """Schema of the stored table, derived by planning the ingest steps on an
@@ -84,9 +131,10 @@ def stored_schema(spark: SparkSession, source_schema: T.StructType, spec: TableS
 def _ingest(spark: SparkSession, source: str, target: T.StructType, spec: TableSpec,
             checkpoint: str | None, max_files_per_trigger: int | None,
             validate: Callable[[DataFrame], DataFrame], exact_counts: bool,
-            max_bytes_per_trigger: str | int | None = None) -> list[UpsertResult]:
+            max_bytes_per_trigger: str | int | None = None,
+            tagged: Callable[[DataFrame], DataFrame] | None = None, rejects: str | None = None) -> list[UpsertResult]:
     ckpt = checkpoint_of(spec, checkpoint)
-    return run_upsert_stream(spark, source, target, spec, ckpt, transform=validate,
+    return run_upsert_stream(spark, source, target, spec, ckpt, transform=validate, tagged=tagged, rejects=rejects,
                              max_files_per_trigger=max_files_per_trigger, corrupt_col=CORRUPT_COL,
                              exact_counts=exact_counts, max_bytes_per_trigger=max_bytes_per_trigger)
 
@@ -128,12 +176,16 @@ def _target(schema: T.StructType | str) -> T.StructType:
 def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                checkpoint: str | None = None, max_files_per_trigger: int | None = None,
                order_format: str | None = None, strict: bool = False,
-               exact_counts: bool = False, max_bytes_per_trigger: str | int | None = None) -> RunSummary:
+               exact_counts: bool = False, max_bytes_per_trigger: str | int | None = None,
+               rejects: str | None = None) -> RunSummary:
     """Ingest new files under ``source`` and publish the table.
 
     ``order_format`` parses a string ordering field to ``timestamp_ntz``;
     unparseable values are rejected (``strict=False``) or fail the run.
-    ``exact_counts`` reports stale rows apart from batch duplicates.
+    ``exact_counts`` reports stale rows apart from batch duplicates and takes
+    every count from durable files, so that stages run again after a lost
+    executor change none.  ``rejects`` is the path of a store that keeps the
+    rejected rows by batch, for :func:`replay`.
     ``max_files_per_trigger`` / ``max_bytes_per_trigger`` bound each
     micro-batch of a large backlog.
     """
@@ -142,7 +194,7 @@ def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spe
     validate = _validator(target, spec, order_format, strict)
     _check_target(spark, spec, stored_schema(spark, target, spec, validate))
     results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
-                      max_bytes_per_trigger)
+                      max_bytes_per_trigger, _tagger(target, spec, order_format, strict) if exact_counts or rejects else None, rejects)
     summary.batches = [r.as_dict() for r in results]
     _publish(spark, spec, stored_schema(spark, target, spec, validate), summary)
     return summary
@@ -151,7 +203,8 @@ def run_inline(spark: SparkSession, source: str, schema: T.StructType | str, spe
 def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, spec: TableSpec,
                  checkpoint: str | None = None, max_files_per_trigger: int | None = None,
                  order_format: str | None = None, strict: bool = False,
-                 exact_counts: bool = False, max_bytes_per_trigger: str | int | None = None) -> RunSummary:
+                 exact_counts: bool = False, max_bytes_per_trigger: str | int | None = None,
+               rejects: str | None = None) -> RunSummary:
     """Ingest, then publish in a second step that runs only if the first
     succeeded (P2)."""
     summary = RunSummary(spec.qualified_name)
@@ -160,7 +213,7 @@ def run_separate(spark: SparkSession, source: str, schema: T.StructType | str, s
     try:
         _check_target(spark, spec, stored_schema(spark, target, spec, validate))
         results = _ingest(spark, source, target, spec, checkpoint, max_files_per_trigger, validate, exact_counts,
-                          max_bytes_per_trigger)
+                          max_bytes_per_trigger, _tagger(target, spec, order_format, strict) if exact_counts or rejects else None, rejects)
         summary.batches = [r.as_dict() for r in results]
     except Exception as e:  # the publication step must not run after a failed ingest
         summary.ok, summary.error = False, f"ingest failed: {e}"
@@ -173,7 +226,8 @@ def run_batch(spark: SparkSession, source: str, spec: TableSpec, ts_col: str | N
               ts_format: str = TS_PATTERN, strict: bool = True, schema: T.StructType | str | None = None) -> RunSummary:
     """JSON read, conform, parsed time, keep-latest, full overwrite, publish.
 
-    The target schema is ``schema``, or that inferred from the whole input.
+    The target schema is ``schema``, or that inferred from the whole input, whose
+    text is scanned once (:func:`lakesync.sources.read_json_inferred`).
     Malformed lines, bad types, null keys and null ordering values are
     rejected, as in the other runs.  A string time column is parsed to
     ``timestamp_ntz``; with ``strict=False`` unparseable times are rejected
@@ -184,11 +238,12 @@ def run_batch(spark: SparkSession, source: str, spec: TableSpec, ts_col: str | N
     summary = RunSummary(spec.qualified_name)
     o_in, o_out = Observation("lakesync_batch_in"), Observation("lakesync_batch_out")
     if schema is None:
-        found = read_json(spark, source).schema
-        target = T.StructType([f for f in found.fields if f.name != CORRUPT_COL])
+        df = read_json_inferred(spark, source, corrupt_col=CORRUPT_COL)
+        target = T.StructType([f for f in df.schema.fields if f.name != CORRUPT_COL])
     else:
         target = as_struct(schema)
-    df = read_json(spark, source, target, corrupt_col=CORRUPT_COL).observe(o_in, F.count(F.lit(1)).alias("rows"))
+        df = read_json(spark, source, target, corrupt_col=CORRUPT_COL)
+    df = df.observe(o_in, F.count(F.lit(1)).alias("rows"))
     ts = ts_col or spec.order
     good, _ = conform(df, target, required=[c for c in (*spec.keys, spec.order) if c in target.fieldNames()], corrupt_col=CORRUPT_COL)
     if isinstance(good.schema[ts].dataType, T.StringType):

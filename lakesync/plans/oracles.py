@@ -63,6 +63,39 @@ JOURNAL = ("WITH a AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) "
            "(1::BIGINT, 'overwrite', DATE '2000-01-01', DATE '2024-01-11'), (2, 'merge', DATE '2024-01-09', DATE '2024-01-21'), "
            "(3, 'merge', DATE '2024-01-19', DATE '2100-01-01')) n(number, kind, lo, hi) ON a.day >= n.lo AND a.day < n.hi")
 
+# arrivals with broken rows: views have a user that is no number, clicks none
+_ARRIVALS = ("WITH e AS (SELECT 0 AS batch, event_id, ts, user_id, value, event_type FROM events UNION ALL "
+             "SELECT 1, event_id + 1000000, ts + to_hours(CAST(event_id % 3 AS INTEGER) - 1), user_id, value * 2, event_type FROM events), "
+             "g AS (SELECT *, CAST(ts AS DATE) AS event_date FROM e WHERE event_type NOT IN ('view', 'click')), "
+             "m AS (SELECT batch, user_id, event_date, max(ts) AS top, count(*) AS n FROM g GROUP BY ALL), "
+             "f AS (SELECT n.*, o.top AS old FROM m n LEFT JOIN m o ON n.batch = 1 AND o.batch = 0 AND o.user_id = n.user_id AND o.event_date = n.event_date) ")
+
+SUMMARY = _ARRIVALS + ("SELECT f.batch::BIGINT AS batch, any_value(a.n) AS rows_in, any_value(a.r) AS rejected, CAST(sum(f.n) - count(*) AS BIGINT) AS duplicates, "
+                       "count(*) FILTER (f.top < f.old) AS stale, count(*) FILTER (f.old IS NULL) AS inserted, count(*) FILTER (f.top >= f.old) AS updated "
+                       "FROM f JOIN (SELECT batch, count(*) AS n, count(*) FILTER (event_type IN ('view', 'click')) AS r FROM e GROUP BY 1) a ON a.batch = f.batch GROUP BY 1")
+
+REJECTS = _ARRIVALS + ("SELECT batch::VARCHAR AS batch, CASE event_type WHEN 'view' THEN 'corrupt record' ELSE 'null required field: user_id' END AS reason, count(*) AS n "
+                       "FROM e WHERE event_type IN ('view', 'click') GROUP BY 1, 2")
+
+# corrected views meet the stored rows as a batch of their own, after both arrivals
+REPLAYED = _ARRIVALS + (", s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id, event_date ORDER BY ts DESC, batch DESC, event_id DESC) = 1 "
+                        "UNION ALL SELECT 2, event_id, ts, user_id, value, event_type, CAST(ts AS DATE) FROM e WHERE event_type = 'view') "
+                        "SELECT user_id, event_date, event_id, ts, value FROM s "
+                        "QUALIFY row_number() OVER (PARTITION BY user_id, event_date ORDER BY ts DESC, batch = 2 DESC, event_id DESC) = 1")
+
+# columns, then the properties that the spec becomes, then the schema's JSON in parts of 100 characters
+_COLUMNS = ("WITH c AS (SELECT row_number() OVER () AS i, column_name AS col_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+            "WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'int' END AS data_type, 'column' AS kind FROM (DESCRIBE events) "
+            "UNION ALL SELECT 1000, 'event_date', 'date', 'partition_column'), "
+            "j AS (SELECT '{\"fields\":[' || string_agg('{\"metadata\":{},\"name\":\"' || col_name || '\",\"nullable\":true,\"type\":\"' || "
+            "CASE data_type WHEN 'bigint' THEN 'long' WHEN 'int' THEN 'integer' ELSE data_type END || '\"}', ',' ORDER BY i) || '],\"type\":\"struct\"}' AS s FROM c) ")
+DESCRIBED = _COLUMNS + (
+    "SELECT col_name, data_type, kind FROM c UNION ALL "
+    "SELECT 'schema.part.' || i, substr(s, 100 * i + 1, 100), 'schema_part' FROM (SELECT s, CAST(unnest(range(0, (length(s) + 99) // 100)) AS BIGINT) AS i FROM j) UNION ALL "
+    "SELECT k, v, 'property' FROM (VALUES ('lakesync.record_key', 'user_id'), ('lakesync.ordering', 'ts'), ('lakesync.partition', 'event_date'), "
+    "('lakesync.tie', 'event_id'), ('lakesync.spec', '{\"keys\": [\"user_id\"], \"tie\": [\"event_id\"], \"partition_expr\": \"CAST(ts AS DATE)\", \"parallelism\": null, "
+    "\"max_pruned_partitions\": 10000, \"broadcast_bytes\": null, \"order_format\": \"yyyy-MM-dd HH:mm:ss\", \"versioned\": false}')) p(k, v)")
+
 REGISTRY_WHERE = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
 
 ORACLES: dict[str, str] = {
@@ -81,6 +114,14 @@ ORACLES: dict[str, str] = {
     "conditional_sync": CONDITIONAL,
     "stream_upsert": UPSERT,
     "read_json": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+    "read_json_inferred": ("SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'x' || o_custkey ELSE o_custkey::VARCHAR END AS o_custkey, "
+                           "o_totalprice::DOUBLE AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders"),
+    "ingest_rejects": REJECTS,
+    "ingest_summary": SUMMARY,
+    "ingest_replayed": REPLAYED,
+    "verdict_changes": ("SELECT 'cust_' || c_custkey AS target, CASE WHEN c_acctbal > 0 THEN 'newly failing' ELSE 'newly passing' END AS change, "
+                        "CASE WHEN c_acctbal > 0 THEN 0::BIGINT ELSE 1 END AS failed_before, CASE WHEN c_acctbal > 0 THEN 1::BIGINT ELSE 0 END AS failed_after "
+                        "FROM customer WHERE (c_acctbal > 0) <> (c_acctbal BETWEEN -500 AND 5000)"),
     "record_key_and_path": ("SELECT event_id, CAST(user_id AS VARCHAR) AS record_key, "
                             "'event_date=' || strftime(ts, '%Y-%m-%d') AS partition_path FROM events"),
     "partition_value": ("SELECT DISTINCT strftime(ts, '%Y/%m/%d') AS slash_path, CAST(ts AS DATE) AS event_date "
@@ -125,11 +166,7 @@ ORACLES: dict[str, str] = {
     "validate_tables": ("SELECT event_type AS table_name, true AS success, 3 AS n_checks, 0 AS n_failed "
                         "FROM (SELECT DISTINCT event_type FROM events) UNION ALL "
                         "SELECT DISTINCT 'order_' || lower(o_orderstatus), false, 3, 2 FROM orders"),
-    "describe_columns": ("SELECT column_name AS col_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' "
-                         "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' "
-                         "WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'int' END AS data_type, "
-                         "'column' AS kind FROM (DESCRIBE events) "
-                         "UNION ALL SELECT 'event_date', 'date', 'partition_column'"),
+    "describe_columns": DESCRIBED,
     "synced_partitions": ("SELECT DISTINCT 'event_date=' || strftime(ts, '%Y-%m-%d') AS partition FROM events"),
     "ingest_batch": ("SELECT event_id, user_id, CAST(ts AS DATE) AS event_date, date_trunc('second', ts) AS ts, "
                      "event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) "

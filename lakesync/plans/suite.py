@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.catalog.publish import catalog_partitions, describe_dataset, publish, sync_partitions
+from lakesync.catalog.publish import catalog_partitions, describe_dataset, publish, read_spec, sync_partitions
 from lakesync.functions.columns import parse_ts, parse_urn, partition_path, partition_value, record_key
 from lakesync.functions.conform import conform
 from lakesync.operators.audits import (
@@ -34,13 +34,15 @@ from lakesync.operators.audits import (
 )
 from lakesync.operators.drift import partition_drift
 from lakesync.operators.merge import latest_per_key, tag, upsert
-from lakesync.plans.ingest import run_batch, run_inline, run_separate, run_validate
+from lakesync.operators.history import check_history, record_checks, run_changes
+from lakesync.plans.ingest import replay, run_batch, run_inline, run_separate, run_validate
 from lakesync.session import remove_path, scratch_path
 from lakesync.sinks.commit import journal_frame, recorded_schema
+from lakesync.sinks.rejects import read_rejects
 from lakesync.sinks.table import upsert_to_path, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot
 from lakesync.sources.files import file_manifest, read_partitions, read_table, storage_listing
-from lakesync.sources.json_files import read_json, write_json
+from lakesync.sources.json_files import read_json, read_json_inferred, write_json
 from lakesync.spec import TableSpec
 from lakesync.streaming.ingest import run_upsert_stream
 
@@ -213,6 +215,17 @@ def q_read_json(spark, d):
     return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def q_read_json_inferred(spark, d):
+    # orders as lines without a schema: low-priority ones carry the customer as text
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    fields = ["o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate")]
+    named = F.struct(F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("o_custkey"), *fields)
+    line = F.when(F.col("o_orderpriority") == "5-LOW", F.to_json(named)).otherwise(F.to_json(F.struct("o_custkey", *fields)))
+    root = scratch_path(spark, "lines")
+    o.select(line.alias("value")).write.text(root)
+    return read_json_inferred(spark, root)
+
+
 # --------------------------------------------------------------------- F1-F6
 def q_record_key_and_path(spark, d):
     ev = events(spark, d)
@@ -419,9 +432,12 @@ def q_describe_columns(spark, d):
     path = _written_events(spark, d)
     spec = events_spec(path, database=_db(), table="events")
     publish(spark, spec, spark.read.schema(STORED_SCHEMA).parquet(path).schema)
-    desc = describe_dataset(spark, spec.qualified_name)
-    return (desc.where(F.col("kind").isin("column", "partition_column"))
-            .select(F.col("name").alias("col_name"), F.col("value").alias("data_type"), "kind"))
+    if read_spec(spark, spec.qualified_name)[0] != spec:
+        raise RuntimeError("the published spec does not read back")
+    desc = describe_dataset(spark, spec.qualified_name, threshold=100)
+    # the catalog adds properties of its own
+    ours = (F.col("kind") != "property") | F.col("name").startswith("lakesync.")
+    return desc.where(ours).select(F.col("name").alias("col_name"), F.col("value").alias("data_type"), "kind")
 
 
 def q_synced_partitions(spark, d):
@@ -491,6 +507,59 @@ def q_ingest_batch(spark, d):
     return spark.table(spec.qualified_name).select("event_id", "user_id", "event_date", "ts", "event_type", "value")
 
 
+# the event types whose rows arrive broken
+BROKEN, LOST = "view", "click"
+
+
+def _broken_events(ev: DataFrame) -> DataFrame:
+    """JSON lines of events: a view has a user that is no number, a click none."""
+    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts")
+    fields = ["event_id", day, "event_type", "value", "props"]
+    odd = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), *fields))
+    return ev.select(F.when(F.col("event_type") == BROKEN, odd).when(F.col("event_type") == LOST, F.to_json(F.struct(*fields)))
+                     .otherwise(F.to_json(F.struct("user_id", *fields))).alias("value"))
+
+
+def _ingested_with_rejects(spark, d):
+    """Two arrivals, the events and the re-stamped events, with exact counts and a reject store."""
+    root = scratch_path(spark, "rejecting")
+    spec = events_spec(f"{root}/table", database=_db(), table="events")
+    batches = []
+    for i, arrival in enumerate((events(spark, d), restamped(events(spark, d)))):
+        _broken_events(arrival).write.text(f"{root}/input/b{i}")
+        batches += run_inline(spark, f"{root}/input/*", EVENTS_SCHEMA, spec, exact_counts=True, rejects=f"{root}/rejects").batches
+    return spec, f"{root}/rejects", batches
+
+
+def q_ingest_rejects(spark, d):
+    _, rejects, _ = _ingested_with_rejects(spark, d)
+    return read_rejects(spark, rejects).groupBy("batch", F.col("_reject_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_ingest_summary(spark, d):
+    names = ["rows_in", "rejected", "duplicates", "stale", "inserted", "updated"]
+    _, _, batches = _ingested_with_rejects(spark, d)
+    rows = [(b["batch_id"], *[b[n] for n in names]) for b in batches]
+    return spark.createDataFrame(rows, "batch bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def q_ingest_replayed(spark, d):
+    # the users of views are corrected in the store and taken in; rows without a user stay
+    spec, rejects, _ = _ingested_with_rejects(spark, d)
+    replay(spark, rejects, lambda r: r.withColumn("_raw", F.regexp_replace("_raw", '"user_id":"u([0-9]+)"', '"user_id":$1')), EVENTS_SCHEMA, spec)
+    return spark.table(spec.qualified_name).select("user_id", "event_date", "event_id", "ts", "value")
+
+
+def q_verdict_changes(spark, d):
+    """Two recorded runs over all customers: solvent, then solvent and of small balance."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    path = scratch_path(spark, "history")
+    for run, ok in ((1, F.col("c_acctbal") > 0), (2, F.col("c_acctbal").between(-500, 5000))):
+        record_checks(c.select(F.format_string("cust_%d", "c_custkey").alias("target"), F.lit("balance").alias("check_name"), ok.alias("success"),
+                               F.lit("").alias("message"), F.lit("customer").alias("validation_type")), path, run)
+    return run_changes(check_history(spark, path), 1, 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_per_key": q_latest_per_key,
     "upsert": q_upsert,
@@ -506,6 +575,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "commit_journal": q_commit_journal,
     "stream_upsert": q_stream_upsert,
     "read_json": q_read_json,
+    "read_json_inferred": q_read_json_inferred,
+    "ingest_rejects": q_ingest_rejects,
+    "ingest_summary": q_ingest_summary,
+    "ingest_replayed": q_ingest_replayed,
+    "verdict_changes": q_verdict_changes,
     "record_key_and_path": q_record_key_and_path,
     "partition_value": q_partition_value,
     "parse_ts": q_parse_ts,

@@ -44,21 +44,23 @@ from __future__ import annotations
 
 import logging
 import uuid
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakesync.functions.conform import RAW, REJECT_REASON
 from lakesync.operators.merge import SRC_COL, latest_per_key
 from lakesync.operators.sizing import broadcast_bound, measured_bytes, row_bytes
 from lakesync.session import content_bytes, existing_paths, path_exists, remove_path, same_store, scratch_path
 from lakesync.sinks.commit import DEFAULT_PARTITION, commit, meta_path, next_number, recorded_schema, recover, version_path
 from lakesync.spec import TableSpec
 
-REJECT_REASON = "_reject_reason"
 _UPDATED = "_lakesync_updated"
 log = logging.getLogger("lakesync")
 
@@ -137,6 +139,13 @@ def _fresh_stage(path: str) -> str:
 def prepare_batch(batch: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """Add the partition column and split off rows whose key or partition is
     null.  Returns ``(good, rejected)``; ``rejected`` has ``_reject_reason``."""
+    tagged = prepare_tagged(batch, spec)
+    good = tagged.where(F.col(REJECT_REASON).isNull()).drop(REJECT_REASON)
+    return good, tagged.where(F.col(REJECT_REASON).isNotNull())
+
+
+def prepare_tagged(batch: DataFrame, spec: TableSpec) -> DataFrame:
+    """``batch`` with the partition column and ``_reject_reason`` (an earlier reason stays)."""
     df = batch
     if spec.partition and (spec.partition_expr is not None or spec.partition not in df.columns):
         df = df.withColumn(spec.partition, spec.partition_column())
@@ -146,10 +155,8 @@ def prepare_batch(batch: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFra
         if isinstance(df.schema[spec.partition].dataType, T.StringType):
             # both are stored as the default partition and read back as null
             checks.append(F.when(F.col(spec.partition).isin("", DEFAULT_PARTITION), F.lit(f"unusable partition: {spec.partition}")))
-    tagged = df.withColumn(REJECT_REASON, F.coalesce(*checks))
-    good = tagged.where(F.col(REJECT_REASON).isNull()).drop(REJECT_REASON)
-    rejected = tagged.where(F.col(REJECT_REASON).isNotNull())
-    return good, rejected
+    earlier = [F.col(REJECT_REASON)] if REJECT_REASON in df.columns else []
+    return df.withColumn(REJECT_REASON, F.coalesce(*earlier, *checks))
 
 
 @dataclass
@@ -445,6 +452,33 @@ def _write(df: DataFrame, path: str, partitions: list[str]) -> None:
     (w.partitionBy(*partitions) if partitions else w).parquet(path)
 
 
+def _tagged_files(batch: DataFrame, spec: TableSpec, tagged: Callable[[DataFrame], DataFrame], rejects: str | None,
+                  batch_id: str | int) -> tuple[DataFrame, dict[str | None, int]]:
+    """The accepted rows of the batch, read from its tagged files, and the number of rows by reason."""
+    from lakesync.sinks.rejects import store_rejects
+
+    spark = batch.sparkSession
+    rows = prepare_tagged(tagged(batch), spec)
+    place = scratch_path(spark, "tagged")
+    # a good row needs no copy of its source
+    rows.withColumn(RAW, F.when(F.col(REJECT_REASON).isNotNull(), F.col(RAW))).write.option("compression", "zstd").parquet(place)
+    rows = spark.read.schema(rows.schema).parquet(place)
+    seen = {r[0]: r[1] for r in rows.groupBy(REJECT_REASON).count().collect()}
+    if rejects:
+        store_rejects(rows.where(F.col(REJECT_REASON).isNotNull()), rejects, str(batch_id))
+    return rows.where(F.col(REJECT_REASON).isNull()).drop(REJECT_REASON, RAW), seen
+
+
+def _metrics(obs: dict, name: str) -> dict:
+    """Observed counts; none (all zero) where the plan was not run or was found empty, which drops its metrics."""
+    if name not in obs:
+        return defaultdict(int)
+    try:
+        return defaultdict(int, obs[name].get)
+    except Py4JJavaError:
+        return defaultdict(int)
+
+
 def _observed(merged: DataFrame, obs: dict) -> DataFrame:
     obs["out"] = Observation("lakesync_out")
     return merged.observe(obs["out"], F.count(F.lit(1)).alias("rows"), F.count_if(F.col(SRC_COL) == 1).alias("incoming_won"))
@@ -463,7 +497,8 @@ def _versioned_target(spark: SparkSession, spec: TableSpec, schema: T.StructType
 
 def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None = None,
                    validate: Callable[[DataFrame], DataFrame] | None = None,
-                   exact_counts: bool = False, stage_path: str | None = None, strategy: str = "auto") -> UpsertResult:
+                   exact_counts: bool = False, stage_path: str | None = None, strategy: str = "auto",
+                   tagged: Callable[[DataFrame], DataFrame] | None = None, rejects: str | None = None, batch_id: str | int = 0) -> UpsertResult:
     """Upsert ``batch`` into the table at ``spec.path`` (K4 over K2).
 
     ``validate`` maps the raw batch to its acceptable rows (e.g. a conform
@@ -486,6 +521,15 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     killed run leaves the table as it was; after that the next upsert, or
     :func:`lakesync.sinks.commit.recover`, finishes it.
 
+    ``tagged`` is used instead of ``validate``: it maps the batch to rows with
+    ``_reject_reason`` and ``_raw`` (see
+    :func:`lakesync.functions.conform_tagged`).  The tagged rows are written once
+    to the shared folder and everything is counted from such files, or by the
+    tasks that write the result, so the counts are exact even when a lost
+    executor has stages run again.  With ``rejects`` the rejected rows go to the
+    store at that path (:mod:`lakesync.sinks.rejects`) under ``batch_id``, before
+    the table is changed.
+
     ``stage_path`` fixes the staging folder (the streaming sink uses one per
     batch id under its checkpoint); the deduplicated batch goes next to it,
     in ``<stage_path>.batch`` and the winning batch rows of a broadcast merge
@@ -501,7 +545,8 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
     if stage_path and not spec.versioned and path_exists(spark, f"{stage_path}/_SUCCESS"):
         res = UpsertResult(spec.path, staged=stage_path)
         log.warning("committing the staged result left by an earlier attempt: %s", stage_path)
-        schema = _incoming(batch, spec, None, validate, dedupe=False).schema
+        plain = batch if tagged is None else tagged(batch).drop(REJECT_REASON, RAW)
+        schema = _incoming(plain, spec, None, validate, dedupe=False).schema
         commit_staged(spark, stage_path, spec, schema)
         remove_path(spark, stage_path)
         remove_path(spark, f"{stage_path.rstrip('/')}.batch")
@@ -510,6 +555,10 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         return res
     obs: dict = {}
     res = UpsertResult(spec.path)
+    seen: dict[str | None, int] | None = None
+    if tagged is not None:
+        batch, seen = _tagged_files(batch, spec, tagged, rejects, batch_id)
+        validate = None
     incoming = _incoming(batch, spec, obs, validate, dedupe=True)
     parts = [spec.partition] if spec.partition else []
     res.created = not _table_exists(spark, spec)
@@ -530,8 +579,8 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         work = stage_path or scratch_path(spark, "upsert")
         batch_dir, winners_dir = f"{work.rstrip('/')}.batch", f"{work.rstrip('/')}.winners"
         incoming.write.mode("overwrite").parquet(batch_dir)
-        res.batch_bytes = int(obs["dedup"].get["bytes"])
-        if obs["dedup"].get["rows"] > 0 or res.created:
+        res.batch_bytes = int(_metrics(obs, "dedup")["bytes"])
+        if _metrics(obs, "dedup")["rows"] > 0 or res.created:
             inc = spark.read.schema(incoming.schema).parquet(batch_dir)
             if res.created:
                 res.strategy = "create"
@@ -555,15 +604,17 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
         remove_path(spark, batch_dir)
         remove_path(spark, winners_dir)
 
-    rows_in = obs["in"].get["rows"]
-    good_n = obs["good"].get["rows"]
-    dedup_n = obs["dedup"].get["rows"]
-    out = obs["out"].get if "out" in obs else {"rows": 0, "incoming_won": 0, "updated": 0}
-    stored_n = obs["stored"].get["rows"] if "stored" in obs else 0
+    dedup_n = _metrics(obs, "dedup")["rows"]
+    if seen is not None:
+        rows_in, good_n = sum(seen.values()), seen.get(None, 0)
+        res.extra["reasons"] = {k: v for k, v in seen.items() if k is not None}
+    else:
+        rows_in, good_n = _metrics(obs, "in")["rows"], _metrics(obs, "good")["rows"]
+    out, stored_n = _metrics(obs, "out"), _metrics(obs, "stored")["rows"]
     res.rows_in = rows_in
     res.rejected = rows_in - good_n
     res.stored_read = stored_n
-    res.updated = out.get("updated", 0)
+    res.updated = out["updated"]
     res.inserted = out["incoming_won"] - res.updated
     res.superseded = good_n - out["incoming_won"]
     if exact_counts:

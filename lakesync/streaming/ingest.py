@@ -51,12 +51,14 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
                         transform: Callable[[DataFrame], DataFrame] | None = None,
                         available_now: bool = True, processing_time: str | None = None,
                         on_batch: Callable[[int, UpsertResult], None] | None = None,
-                        query_name: str | None = None, exact_counts: bool = False) -> StreamingQuery:
+                        query_name: str | None = None, exact_counts: bool = False,
+                        tagged: Callable[[DataFrame], DataFrame] | None = None, rejects: str | None = None) -> StreamingQuery:
     """Start a streaming upsert into ``spec.path``.
 
     ``transform`` maps each micro-batch to its acceptable rows before the
-    upsert (e.g. conform); what it drops is counted as rejected.
-    ``available_now`` processes what is there and stops; otherwise the query
+    upsert (e.g. conform); what it drops is counted as rejected.  ``tagged``
+    takes its place where rejects are counted by reason and kept in the store
+    ``rejects``, under the batch id.  ``available_now`` processes what is there and stops; otherwise the query
     runs on ``processing_time`` triggers.
     """
 
@@ -65,7 +67,7 @@ def start_upsert_stream(stream: DataFrame, spec: TableSpec, checkpoint: str,
         # replayed after a crash during its commit re-commits that result
         stage = f"{checkpoint.rstrip('/')}/_staged/batch={batch_id}"
         res = upsert_to_path(batch, spec, batch.sparkSession, validate=transform, exact_counts=exact_counts,
-                             stage_path=stage)
+                             stage_path=stage, tagged=tagged, rejects=rejects, batch_id=batch_id)
         res.extra["batch_id"] = batch_id
         if on_batch:
             on_batch(batch_id, res)
@@ -84,14 +86,15 @@ def run_upsert_stream(spark: SparkSession, source: str, schema: T.StructType | s
                       checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
                       max_files_per_trigger: int | None = None,
                       corrupt_col: str | None = None, exact_counts: bool = False,
-                      max_bytes_per_trigger: str | int | None = None) -> list[UpsertResult]:
+                      max_bytes_per_trigger: str | int | None = None,
+                      tagged: Callable[[DataFrame], DataFrame] | None = None, rejects: str | None = None) -> list[UpsertResult]:
     """Ingest everything available under ``source`` and stop; returns one
     result per micro-batch."""
     results: list[UpsertResult] = []
     stream = read_json_stream(spark, source, schema, max_files_per_trigger, corrupt_col, max_bytes_per_trigger)
     q = start_upsert_stream(stream, spec, checkpoint,
                             transform=transform, on_batch=lambda _, r: results.append(r),
-                            exact_counts=exact_counts)
+                            exact_counts=exact_counts, tagged=tagged, rejects=rejects)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
