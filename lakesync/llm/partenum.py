@@ -9,11 +9,14 @@ a signature for every choice that leaves one out (two second-level partitions;
 three where k is small) is shared by every similar pair.
 
 Sets, not documents, are joined: copies share a key and never meet in pairs.
-Of the sets that share a signature each is paired with the least key only;
-sets that remain in different components are then compared inside their group
-in blocks, by a parity sketch whose distance never exceeds the true one.  Only
-pairs that the sketch cannot exclude leave a task, and all of these are
-verified on the whole sets.  So no link is lost and no group is expanded.
+Of the sets that share a signature each is paired with the least key only, and
+the pairs that a parity sketch cannot exclude (its distance never exceeds the
+true one) are verified on the whole sets.  Sets that remain in different
+components are then compared inside their group, in cells of two blocks: the
+members that the sketch leaves a possible partner in another component go with
+their whole sets to the cell, which counts every intersection and unites as it
+finds links.  A cell sends out fewer rows than it has members, so no link is
+lost, no group is expanded and no near miss leaves a task.
 """
 
 from __future__ import annotations
@@ -160,8 +163,8 @@ def _excluded_out(percent: int):
     return run
 
 
-def _pairs_in_groups(percent: int):
-    """Pairs of different components in each cell of a signature's group that sizes and sketches cannot exclude."""
+def _open_members(percent: int):
+    """(cell, key, component) of the sets in a cell that sizes and sketches leave a possible partner in another component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped_rows(batches, "cell"):
             key, part, n = (group.column(c).to_numpy() for c in ("key", "component", "n"))
@@ -170,17 +173,61 @@ def _pairs_in_groups(percent: int):
             sketch = group.column("sketch").take(pa.array(order)).to_pylist()
             width = min(map(len, sketch))
             short = np.concatenate([_fold(np.frombuffer(x, np.uint8)[None, :], width) for x in sketch])
+            open_ = np.zeros(len(n), bool)
             for i in range(len(n) - 1):
                 # partners at least as large, at most 100 / percent times; first by folded sketches, then by whole ones
                 last = np.searchsorted(n, n[i] * 100 // percent, side="right")
-                other = np.flatnonzero(part[i + 1:last] != part[i]) + i + 1
+                other = np.flatnonzero((part[i + 1:last] != part[i]) & ~(open_[i] & open_[i + 1:last])) + i + 1
                 if len(other):
                     apart = np.bitwise_count(short[other] ^ short[i]).sum(1)
                     other = other[apart <= most_differences(n[i] + n[other], percent)]
                 if len(other):
                     other = other[possible(np.full(len(other), n[i]), [sketch[i]] * len(other), n[other], [sketch[j] for j in other.tolist()], percent)]
                 if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[other])), pa.array(np.maximum(key[i], key[other]))], ["a", "b"])
+                    open_[i] = open_[other] = True
+            if open_.any():
+                cell = np.full(int(open_.sum()), group.column("cell")[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key[open_]), pa.array(part[open_])], ["cell", "key", "component"])
+
+    return run
+
+
+def united(key: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all members of a cell that links connect, at most one less than there are components.
+
+    ``part`` is what is connected already.  Every set is compared, by its whole
+    intersection, with all larger ones of other components that sizes allow."""
+    order = np.argsort([len(v) for v in sets], kind="stable")
+    key, root, sets = key[order], part[order].copy(), [sets[i] for i in order]
+    n = np.array([len(v) for v in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(n)))
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
+    out = []
+    for i in range(len(n) - 1):
+        last = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        if last <= i + 1 or (root[i + 1:last] == root[i]).all():
+            continue
+        own = flat[at[i]:at[i + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat[at[i + 1]:at[last]]], at[i + 1:last] - at[i + 1])
+        mark[own] = 0
+        for j in (np.flatnonzero(100 * both >= percent * (n[i] + n[i + 1:last] - both)) + i + 1).tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j]))))
+    return out
+
+
+def _united(percent: int):
+    """:func:`united` of every cell, from its members and their whole sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped_rows(batches, "cell"):
+            sets = [np.frombuffer(v, np.uint64) for v in group.column("set").to_pylist()]
+            links = united(group.column("key").to_numpy(), group.column("component").to_numpy(), sets, percent)
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -229,12 +276,10 @@ class SetJoin:
         b = self.sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         return pairs.join(a, "a").join(b, "b")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct ``pairs`` (a < b) that are similar, counted on the whole sets."""
-        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        # one text for each set in question; a set of null ids only is found by any of its rows
-        # (written, so that its size is known and few are broadcast instead of shuffling the texts)
-        wanted = stored(self.rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    def whole_sets(self, keys: DataFrame) -> DataFrame:
+        """(key, set) of the distinct ``keys``, made again from one text each."""
+        # written, so that its size is known and few are broadcast instead of shuffling the texts
+        wanted = stored(self.sets.join(keys, "key", "left_semi").select("key", F.col("least").alias("doc_id")), "wanted")
         words = self.words
 
         def whole(batches):
@@ -245,9 +290,13 @@ class SetJoin:
                     yield pa.RecordBatch.from_arrays([own.column("key"), pa.array(keys), pa.array(
                         [values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["key", "found", "set"])
 
-        # ids may repeat: the key made from the text decides which row it is
+        # ids may repeat, or be missing: the key made from the text decides which row it is
         texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "text")
-        sets = stored(texts.mapInArrow(whole, "key long, found long, set binary").where("key = found").groupBy("key").agg(F.first("set").alias("set")), "whole-sets")
+        return stored(texts.mapInArrow(whole, "key long, found long, set binary").where("key = found").groupBy("key").agg(F.first("set").alias("set")), "whole-sets")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct ``pairs`` (a < b) that are similar, counted on the whole sets."""
+        sets = self.whole_sets(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
         # the partners of a set are dealt out by a salt, 256 or so together
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan"))
         salted = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
@@ -273,10 +322,9 @@ class SetJoin:
         cells = left.select("key", "component", F.explode(F.expr(
             "transform(sequence(0, blocks - 1), x -> xxhash64(sig, least(x, block), greatest(x, block)))")).alias("cell"))
         cells = cells.join(self.sets.select("key", "n", "sketch"), "key")
-        more = (cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs_in_groups(self.percent), "a long, b long")
-                .distinct().join(close, ["a", "b"], "left_anti"))
-        more = stored(more, "more-pairs")
-        second = stored(self.verify(more), "links")
+        members = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open_members(self.percent), "cell long, key long, component long"), "members")
+        dealt = members.join(self.whole_sets(members.select("key").distinct()), "key")
+        second = stored(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_united(self.percent), "a long, b long").distinct(), "links")
         edges = first.unionByName(second)
         return edges, stored(components(edges), "components")
 
@@ -297,7 +345,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     named = join.sets.select("key", "least").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = named.join(least, "component").select("key", "component_id")
-    return (join.rows.select("doc_id", "n", "key").join(by_key, "key", "left")
+    # a set with more than a thousandth of all rows (fewer than a thousand sets are that large) is dealt out in parts
+    many = join.rows.count() // 1000 + 1
+    hot = F.broadcast(join.rows.where("n > 0").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > many)
+                      .select("key", F.ceil(F.col("m") / many).cast("int").alias("fan")))
+    fan = F.coalesce("fan", F.lit(1))
+    by_key = by_key.join(hot, "key", "left").select("key", "component_id", F.explode(F.sequence(F.lit(0), fan - 1)).alias("salt"))
+    rows = join.rows.select("doc_id", "n", "key").join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), fan).cast("int"))
+    return (rows.join(by_key, ["key", "salt"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 

@@ -145,3 +145,29 @@ def test_star_components(spark):
     got = components(spark.createDataFrame(edges * 2, "a long, b long"))
     assert {r.node: r.component for r in got.collect()} == {n: root(n) for n in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0 and F is not None
+
+
+def test_cells_unite_what_links_connect():
+    """Fewer links than members, and the components that all links give, also where near misses abound."""
+    rng = np.random.default_rng(8)
+    for percent in (80, 85):
+        base = rng.choice(10_000, 60, replace=False).astype(np.uint64)
+        sets = [base] + [np.unique(np.concatenate((rng.choice(base, 60 - d, replace=False), rng.choice(10_000, d).astype(np.uint64)))) for d in rng.integers(1, 12, 80)]
+        sets += [np.array([1], np.uint64), np.array([1, 2], np.uint64)]
+        key, part = rng.permutation(len(sets)) - 40, np.arange(len(sets)) - 7
+        part[3] = part[5]
+        links = partenum.united(key, part, sets, percent)
+        same = {int(k): {int(k)} for k in key}
+        for a, b in [*links, (int(key[3]), int(key[5]))]:
+            both = same[a] | same[b]
+            for k in both:
+                same[k] = both
+        want = {int(k): {int(k)} for k in key}
+        for i, x in enumerate(sets):
+            for j in range(i):
+                inter = len(np.intersect1d(x, sets[j]))
+                if 100 * inter >= percent * (len(x) + len(sets[j]) - inter) or {i, j} == {3, 5}:
+                    both = want[int(key[i])] | want[int(key[j])]
+                    for k in both:
+                        want[k] = both
+        assert same == want and len(links) < len(sets) and all(a < b for a, b in links)
