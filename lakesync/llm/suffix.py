@@ -106,13 +106,18 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
 
 
+SLICE = 2 << 20  # bytes of text hashed at a time
+BUCKET = 8 << 20  # bytes of text whose grams, and whose suffixes, one task compares
+
+
 def _gram_runs(length: int, gram: int, buckets: int):
     """Per slice and bucket: sorted (48 bits of the gram hash, 16 bits of document) and the documents' ids."""
     limits = ((np.arange(buckets, dtype=np.float64) / buckets) * 2.0 ** 48).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in byte_slices(batch, "text"):
+            # a slice names its documents by 16 bits
+            for own in (part for at in range(0, batch.num_rows, 1 << 16) for part in byte_slices(batch.slice(at, 1 << 16), "text", SLICE)):
                 ids = own.column("doc_id").to_numpy(zero_copy_only=False)
                 _, once = np.unique(own.column("hash").to_numpy(zero_copy_only=False)[np.argsort(ids, kind="stable")], return_index=True)
                 once = np.sort(np.argsort(ids, kind="stable")[once])  # of copies, the least id
@@ -454,7 +459,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
     copies = stored(rows.join(least, "digest").select("doc_id", "hash", ((F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= length)).alias("copy")).distinct(), "copies")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (48 << 20)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     grams = own.mapInArrow(_gram_runs(length, gram, buckets), "bucket int, entries binary, docs binary")
     shared = (grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_grams, "doc_id long, grams binary"))
     # a document that is a copy whole needs no search
