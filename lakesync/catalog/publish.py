@@ -50,7 +50,7 @@ def _text(value: str) -> str:
 
 
 # what a spec holds besides its place, its name and the fields that have a property of their own
-_SPEC_FIELDS = ("keys", "tie", "partition_expr", "parallelism", "max_pruned_partitions", "broadcast_bytes", "order_format", "versioned")
+_SPEC_FIELDS = ("keys", "tie", "partition_expr", "parallelism", "max_pruned_partitions", "broadcast_bytes", "order_format", "versioned", "key_buckets")
 
 
 def spec_properties(spec: TableSpec) -> dict[str, str]:

@@ -94,7 +94,7 @@ DESCRIBED = _COLUMNS + (
     "SELECT 'schema.part.' || i, substr(s, 100 * i + 1, 100), 'schema_part' FROM (SELECT s, CAST(unnest(range(0, (length(s) + 99) // 100)) AS BIGINT) AS i FROM j) UNION ALL "
     "SELECT k, v, 'property' FROM (VALUES ('lakesync.record_key', 'user_id'), ('lakesync.ordering', 'ts'), ('lakesync.partition', 'event_date'), "
     "('lakesync.tie', 'event_id'), ('lakesync.spec', '{\"keys\": [\"user_id\"], \"tie\": [\"event_id\"], \"partition_expr\": \"CAST(ts AS DATE)\", \"parallelism\": null, "
-    "\"max_pruned_partitions\": 10000, \"broadcast_bytes\": null, \"order_format\": \"yyyy-MM-dd HH:mm:ss\", \"versioned\": false}')) p(k, v)")
+    "\"max_pruned_partitions\": 10000, \"broadcast_bytes\": null, \"order_format\": \"yyyy-MM-dd HH:mm:ss\", \"versioned\": false, \"key_buckets\": null}')) p(k, v)")
 
 REGISTRY_WHERE = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
 
@@ -102,6 +102,8 @@ ORACLES: dict[str, str] = {
     "latest_per_key": LATEST,
     "upsert": UPSERT,
     "tag": TAG,
+    "tag_stored": TAG,
+    "tag_stored_broadcast": TAG,
     "upsert_to_path": UPSERT,
     "upsert_broadcast_merge": UPSERT,
     "upsert_shuffle_merge": UPSERT,
@@ -139,6 +141,7 @@ ORACLES: dict[str, str] = {
                         "SELECT COALESCE(s.p, c.p) AS part, CASE WHEN c.p IS NULL THEN 'ADD' ELSE 'DROP' END AS action "
                         "FROM s FULL JOIN c ON s.p = c.p WHERE s.p IS NULL OR c.p IS NULL"),
     "read_partitions": EVENTS_STORED,
+    "read_partition_glob": EVENTS_STORED + " WHERE strftime(ts, '%Y-%m-%d') LIKE '2024-01-1%'",
     "manifest_rows": "SELECT CAST(ts AS DATE) AS event_date, count(*) AS row_count FROM events GROUP BY 1",
     "table_audit": TABLE_AUDIT,
     "database_audit": DATABASE_AUDIT,

@@ -38,6 +38,7 @@ from lakesync.operators.history import check_history, record_checks, run_changes
 from lakesync.plans.ingest import replay, run_batch, run_inline, run_separate, run_validate
 from lakesync.session import remove_path, scratch_path
 from lakesync.sinks.commit import journal_frame, recorded_schema
+from lakesync.sinks.keys import tag_stored
 from lakesync.sinks.rejects import read_rejects
 from lakesync.sinks.table import upsert_to_path, write_table
 from lakesync.sources.catalog_snapshot import catalog_snapshot
@@ -93,6 +94,26 @@ def q_tag(spark, d):
     return tag(inc, stored, ["user_id", "event_date"]).select("event_id", "user_id", "event_date", "op")
 
 
+def _tag_stored(spark, d, **kw):
+    ev = events(spark, d)
+    spec = events_spec(scratch_path(spark, "keyed"), database=_db(), table="events", key_buckets=8, **kw)
+    # two arrivals, so that the lookup is made and then brought up to date
+    upsert_to_path(ev.where(F.col("ts") < "2024-01-16"), spec)
+    upsert_to_path(ev.where(F.col("ts") >= "2024-01-14"), spec)
+    inc = ev.select((F.col("event_id") + 1_000_000).alias("event_id"), "user_id",
+                    F.to_date(F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("event_date"))
+    return tag_stored(inc, spec).select("event_id", "user_id", "event_date", "op")
+
+
+def q_tag_stored(spark, d):
+    # a batch beyond the broadcast bound meets the bucketed lookup of the stored keys
+    return _tag_stored(spark, d, broadcast_bytes=0)
+
+
+def q_tag_stored_broadcast(spark, d):
+    return _tag_stored(spark, d)
+
+
 # Fixed value: the write (shuffle) parallelism the reference configures for
 # upserts.
 UPSERT_PARALLELISM = 9
@@ -310,6 +331,11 @@ def q_read_partitions(spark, d):
     return read_partitions(spark, path, "event_date=*", STORED_SCHEMA)
 
 
+def q_read_partition_glob(spark, d):
+    # a glob that narrows: folders of other days are not listed
+    return read_partitions(spark, _written_events(spark, d), "event_date=2024-01-1*", STORED_SCHEMA)
+
+
 def q_manifest_rows(spark, d):
     path = _written_events(spark, d)
     m = file_manifest(read_table(spark, path, STORED_SCHEMA), ["event_date"])
@@ -564,6 +590,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_per_key": q_latest_per_key,
     "upsert": q_upsert,
     "tag": q_tag,
+    "tag_stored": q_tag_stored,
+    "tag_stored_broadcast": q_tag_stored_broadcast,
     "upsert_to_path": q_upsert_to_path,
     "upsert_broadcast_merge": q_upsert_broadcast_merge,
     "upsert_shuffle_merge": q_upsert_shuffle_merge,
@@ -589,6 +617,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "find_dataset": q_find_dataset,
     "partition_drift": q_partition_drift,
     "read_partitions": q_read_partitions,
+    "read_partition_glob": q_read_partition_glob,
     "manifest_rows": q_manifest_rows,
     "table_audit": q_table_audit,
     "database_audit": q_database_audit,

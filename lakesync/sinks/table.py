@@ -603,6 +603,10 @@ def upsert_to_path(batch: DataFrame, spec: TableSpec, spark: SparkSession | None
             res.staged = None
         remove_path(spark, batch_dir)
         remove_path(spark, winners_dir)
+    if spec.key_buckets:
+        from lakesync.sinks.keys import sync_keys
+
+        sync_keys(spark, spec)
 
     dedup_n = _metrics(obs, "dedup")["rows"]
     if seen is not None:

@@ -48,6 +48,8 @@ class TableSpec:
     # each commit of a partitioned, published table writes new folders and
     # switches the catalog's partition locations to them
     versioned: bool = False
+    # upserts keep a lookup of the stored identities, in this many buckets
+    key_buckets: int | None = None
 
     def __post_init__(self):
         if isinstance(self.keys, str):

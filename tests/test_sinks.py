@@ -98,6 +98,8 @@ def test_write_read_partitions_and_manifest(spark, tmp_path):
     back = read_partitions(spark, path, "event_date=2024-01-1*", schema)
     assert dict(back.dtypes)["event_date"] == "date"
     assert back.count() == ev.where(F.date_format("ts", "yyyy-MM-dd").like("2024-01-1%")).count()
+    # folders outside the glob are not in the plan
+    assert {f.split("event_date=")[1][:9] for f in back.inputFiles()} == {"2024-01-1"}
     man = file_manifest(read_table(spark, path, schema), ["event_date"])
     assert man.agg(F.sum("row_count")).first()[0] == ev.count()
     assert man.where(F.col("file_size") <= 0).count() == 0
