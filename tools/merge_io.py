@@ -37,7 +37,7 @@ def main() -> None:
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from lakesync.plans.suite import events, events_spec, restamped
-    from lakesync.session import scratch_path
+    from lakesync.session import content_bytes, scratch_path
     from lakesync.sinks.table import upsert_to_path
 
     ev = events(spark, sf)
@@ -57,7 +57,9 @@ def main() -> None:
             spark.sparkContext.setJobGroup(f"merge-{key}", f"upsert merge ({key})")
             t0 = time.perf_counter()
             r = upsert_to_path(batch, spec, strategy=strategy)
-            out[key] = {"seconds": round(time.perf_counter() - t0, 3), "stored_rows_read": r.stored_read,
+            # what the touched partitions hold afterwards: each byte of it was written once
+            touched = sum(content_bytes(spark, f"{spec.path}/event_date={v}") for v in r.touched)
+            out[key] = {"touched_bytes": touched, "seconds": round(time.perf_counter() - t0, 3), "stored_rows_read": r.stored_read,
                         "batch_rows": r.rows_in, "touched_partitions": r.partitions}
             spark.sparkContext.setJobGroup("other", "other")
     app_id = spark.sparkContext.applicationId
