@@ -5,7 +5,10 @@ vector that a third of the rows have is one node).  Cells of random hyperplanes
 give each node its first neighbours.  Then, round by round, a join sends the
 vectors of each node's neighbours, and of the nodes that have it as neighbour,
 to the node; among these, neighbours of neighbours, all near pairs are proposed
-to each other, and every node keeps its ``degree`` nearest.  The rounds end when
+to each other, and every node keeps its ``degree`` nearest.  A list tells its new
+entries from those of earlier rounds: two old members of a neighbourhood have met
+before and aren't compared again, and a neighbourhood without a new member sends
+no vectors.  The rounds end when
 one of them changes at most the share ``SETTLED`` of all places in the lists, so
 larger tables get as many rounds as they need.  A node that is a
 neighbour of very many is dealt out over parts, so none gathers without bound.
@@ -31,42 +34,62 @@ from pyspark.sql import functions as F
 
 from lakesync.llm.common import grouped_rows, stored
 from lakesync.llm.vectors import matrix_of, packed, rows_of, usable, widest
+from lakesync.session import scratch_path
 
 #: Members of a part of a neighbourhood that are compared with each other.
 PART = 64
 #: Rows of proposals that a task gathers before it reduces them.
-HELD = 1 << 21
+HELD = 1 << 18
+#: Neighbours with their vectors in a row of the search table.
+WIDE = 64
+#: Rows with lists that are turned into Python objects at a time.
+ROWS = 64
 #: Rows of a hyperplane cell.
 CELL = 192
 #: The graph is done when a round of local joins changes at most this share of the places of all lists.
 SETTLED = 0.001
 
 
-def nearest_lists(node: np.ndarray, other: np.ndarray, dist: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def nearest_lists(node: np.ndarray, other: np.ndarray, dist: np.ndarray, degree: int) -> tuple[np.ndarray, ...]:
     """The ``degree`` nearest distinct others of each node: (nodes, bounds, others, distances)."""
+    return _nearest(node, other, dist, np.ones(len(node), np.int8), degree)[:4]
+
+
+def _nearest(node: np.ndarray, other: np.ndarray, dist: np.ndarray, new: np.ndarray, degree: int) -> tuple[np.ndarray, ...]:
+    """As ``nearest_lists``, then whether each entry is new: 1 if all its rows are."""
     # a pair's distance may differ in its last bits from task to task: the least counts
     order = np.lexsort((dist, other, node))
-    node, other, dist = node[order], other[order], dist[order]
-    new = np.concatenate(([True], (node[1:] != node[:-1]) | (other[1:] != other[:-1]))) if len(node) else np.zeros(0, bool)
-    node, other, dist = node[new], other[new], dist[new]
+    node, other, dist, new = node[order], other[order], dist[order], new[order]
+    first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])))) if len(node) else np.zeros(0, np.int64)
+    new = np.minimum.reduceat(new, first) if len(first) else new
+    node, other, dist = node[first], other[first], dist[first]
     order = np.lexsort((other, dist, node))
-    node, other, dist = node[order], other[order], dist[order]
+    node, other, dist, new = node[order], other[order], dist[order], new[order]
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
     place = np.arange(len(node)) - np.repeat(start, np.diff(np.concatenate((start, [len(node)]))))
     keep = place < degree
-    node, other, dist = node[keep], other[keep], dist[keep]
+    node, other, dist, new = node[keep], other[keep], dist[keep], new[keep]
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
-    return node[start], np.concatenate((start, [len(node)])), other, dist
+    return node[start], np.concatenate((start, [len(node)])), other, dist, new
+
 
+_LISTS = "node long, others binary, dists binary, new binary"
 
-_LISTS = "node long, others binary, dists binary"
-_GRAPH = _LISTS + ", fresh int"
 
+def _flat(col: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many of them each row has."""
+    size = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    bounds = np.frombuffer(col.buffers()[1], size)[col.offset:col.offset + len(col) + 1].astype(np.int64)
+    wide = np.dtype(kind).itemsize
+    if bounds[-1] == bounds[0]:
+        return np.zeros(0, kind), np.zeros(len(col), np.int64)
+    return np.frombuffer(col.buffers()[2], kind, (bounds[-1] - bounds[0]) // wide, bounds[0]), np.diff(bounds) // wide
 
-def _list_batch(node, other, dist, degree) -> pa.RecordBatch:
-    nodes, bounds, other, dist = nearest_lists(node, other, dist, degree)
+
+def _list_batch(node, other, dist, new, degree) -> pa.RecordBatch:
+    nodes, bounds, other, dist, new = _nearest(node, other, dist, new, degree)
     cut = lambda v: pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer((bounds * v.itemsize).astype(np.int32).tobytes()), pa.py_buffer(v.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(nodes), cut(other), cut(dist)], ["node", "others", "dists"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes), cut(other), cut(dist), cut(new)], ["node", "others", "dists", "new"])
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
@@ -80,22 +103,28 @@ class _Proposals:
     def __init__(self, degree: int):
         self.degree, self.rows, self.count = degree, [], 0
 
-    def add(self, ids: np.ndarray, x: np.ndarray, most: int) -> None:
-        """Each member's ``most`` nearest among the members (distinct ids)."""
-        if len(ids) < 2:
+    def add(self, ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | None = None) -> None:
+        """Each member's ``most`` nearest among the members (distinct ids); two that aren't ``new`` are left out."""
+        if len(ids) < 2 or new is not None and not new.any():
             return
         d = _squares(x).astype(np.float32)
         np.fill_diagonal(d, np.inf)
+        if new is not None:
+            d[np.ix_(~new, ~new)] = np.inf
         most = min(most, len(ids) - 1)
         col = np.argpartition(d, most - 1, 1)[:, :most]
         row = np.repeat(np.arange(len(ids)), most)
-        self.rows.append((ids[row], ids[col.ravel()], d[row, col.ravel()]))
-        self.count += len(row)
+        col = col.ravel()
+        dist = d[row, col]
+        met = np.isfinite(dist)
+        self.rows.append((ids[row[met]], ids[col[met]], dist[met]))
+        self.count += int(met.sum())
 
     def batch(self) -> pa.RecordBatch:
         rows = self.rows or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         self.rows, self.count = [], 0
-        return _list_batch(*(np.concatenate(c) for c in zip(*rows)), self.degree)
+        node, other, dist = (np.concatenate(c) for c in zip(*rows))
+        return _list_batch(node, other, dist, np.ones(len(node), np.int8), self.degree)
 
 
 def _cells(dim: int, degree: int, planes: np.ndarray):
@@ -128,50 +157,50 @@ def _near_in_cells(dim: int, degree: int):
 
 
 def _merge_lists(degree: int):
-    """All lists of a node to one; ``fresh`` counts what was not in its ``old`` one."""
+    """The rows of a node, which follow each other, to one list.  A batch at a time: only the last node's rows are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, others, dists, held = [], [], [], {}
-            for n, o, d, old in zip(*(batch.column(c).to_pylist() for c in ("node", "others", "dists", "old"))):
-                own = np.concatenate([np.frombuffer(x, np.int64) for x in o])
-                held[n] = np.frombuffer(b"".join(x for x, k in zip(o, old) if k), np.int64)
-                node.append(np.full(len(own), n))
-                others.append(own)
-                dists.append(np.concatenate([np.frombuffer(x, np.float32) for x in d]))
-            lists = _list_batch(np.concatenate(node), np.concatenate(others), np.concatenate(dists), degree)
-            fresh = [int((~np.isin(np.frombuffer(o, np.int64), held[n])).sum()) for n, o in zip(lists.column("node").to_pylist(), lists.column("others").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*lists.columns, pa.array(fresh, pa.int32())], ["node", "others", "dists", "fresh"])
+            others, n = _flat(batch.column("others"), np.int64)
+            rows = (np.repeat(batch.column("node").to_numpy(), n), others, _flat(batch.column("dists"), np.float32)[0], _flat(batch.column("new"), np.int8)[0])
+            if held is not None:
+                rows = tuple(np.concatenate(c) for c in zip(held, rows))
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield _list_batch(*(c[:cut] for c in rows), degree)
+            held = tuple(c[cut:].copy() for c in rows)
+        if held is not None:
+            yield _list_batch(*held, degree)
 
     return run
 
 
 def _merged(proposed: DataFrame, degree: int, graph: DataFrame | None = None) -> DataFrame:
-    lists = proposed.withColumn("old", F.lit(False))
+    """One list a node; entries of ``graph`` are old."""
     if graph is not None:
-        lists = lists.unionByName(graph.select("node", "others", "dists", F.lit(True).alias("old")))
-    return (lists.groupBy("node").agg(*[F.collect_list(c).alias(c) for c in ("others", "dists", "old")])
-            .mapInArrow(_merge_lists(degree), _GRAPH))
+        proposed = proposed.unionByName(graph.withColumn("new", F.unhex(F.translate(F.hex("new"), "1", "0"))))
+    return proposed.repartition("node").sortWithinPartitions("node").mapInArrow(_merge_lists(degree), _LISTS)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            others = [np.frombuffer(o, np.int64) for o in batch.column("others").to_pylist()]
-            node = np.repeat(batch.column("node").to_numpy(), [len(o) for o in others])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(others))], ["node", "other"])
+            others, n = _flat(batch.column("others"), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(others), pa.array(_flat(batch.column("new"), np.int8)[0])],
+                                             ["node", "other", "new"])
 
 
 def _local_joins(dim: int, degree: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Proposals(degree)
         for group in grouped_rows(batches, "part"):
-            ids, first = np.unique(group.column("member").to_numpy(), return_index=True)
-            x = matrix_of(group.column("v").combine_chunks(), dim, np.float32)[first]
+            ids, new = group.column("member").to_numpy(), group.column("new").to_numpy() == 1
+            x = matrix_of(group.column("v").combine_chunks(), dim, np.float32)
             runs = -(-len(ids) // (2 * PART))
             for k in range(runs):
-                out.add(ids[k::runs], x[k::runs], most)
+                out.add(ids[k::runs], x[k::runs], most, new[k::runs])
             if out.count > HELD:
                 yield out.batch()
         yield out.batch()
@@ -180,7 +209,7 @@ def _local_joins(dim: int, degree: int, most: int):
 
 
 def build_graph(nodes: DataFrame, dim: int, degree: int = 24, trees: int = 6, most: int = 10, seed: int = 11) -> DataFrame:
-    """(node, others, dists, fresh): the approximate ``degree`` nearest of each node of (node, v: floats).
+    """(node, others, dists, new): the approximate ``degree`` nearest of each node of (node, v: floats).
 
     Local joins are repeated until one changes at most ``SETTLED`` of the places;
     every change brings a list nearer, so they end."""
@@ -196,18 +225,23 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = 24, trees: int = 6, mo
     graph = stored(_merged(firsts, degree), "graph")
     changed = 1.0
     while changed > SETTLED:
-        edges = graph.select("node", "others").mapInArrow(_edges, "node long, other long")
+        edges = graph.mapInArrow(_edges, "node long, other long, new byte")
         indegree = edges.groupBy("other").agg(F.count("*").alias("n"))
-        # what a node receives: its neighbours, and the nodes that have it as neighbour; a hub's are dealt out in parts
-        known = edges.join(nodes.withColumnRenamed("node", "other"), "other").select(F.col("node").alias("center"), F.col("other").alias("member"), "v")
-        back = edges.join(nodes, "node").select(F.col("other").alias("center"), F.col("node").alias("member"), "v")
+        # a node's neighbourhood: its neighbours, and the nodes that have it as neighbour; a hub's are dealt out in parts
+        known = edges.select(F.col("node").alias("center"), F.col("other").alias("member"), "new")
+        back = edges.select(F.col("other").alias("center"), F.col("node").alias("member"), "new")
         fan = stored(indegree.select(F.col("other").alias("center"), F.ceil(F.col("n") / (4 * PART)).cast("int").alias("fan")).where("fan > 1"), "hubs")
-        dealt = (back.join(fan, "center", "left").select("center", "member", "v", F.pmod(F.xxhash64("member"), F.coalesce("fan", F.lit(1))).alias("salt"))
-                 .unionByName(known.join(fan, "center", "left").select("center", "member", "v", F.expr("explode(sequence(0L, coalesce(fan, 1) - 1L)) AS salt"))))
-        parts = dealt.select(F.xxhash64("center", "salt").alias("part"), "member", "v").repartition("part").sortWithinPartitions("part", "member")
+        dealt = (back.join(fan, "center", "left").select("center", "member", "new", F.pmod(F.xxhash64("member"), F.coalesce("fan", F.lit(1))).cast("long").alias("salt"))
+                 .unionByName(known.join(fan, "center", "left").select("center", "member", "new", F.expr("explode(sequence(0L, coalesce(fan, 1) - 1L)) AS salt"))))
+        # ids only: each member once, and only parts with something new; the vectors follow these
+        members = (dealt.select(F.xxhash64("center", "salt").alias("part"), "member", "new").repartition("part")
+                   .groupBy("part", "member").agg(F.max("new").alias("new"))
+                   .withColumn("fresh", F.max("new").over(Window.partitionBy("part"))).where("fresh = 1").drop("fresh"))
+        parts = (members.join(nodes.withColumnRenamed("node", "member"), "member").select("part", "member", "new", "v")
+                 .repartition("part").sortWithinPartitions("part", "member"))
         proposed = parts.mapInArrow(_local_joins(dim, degree, most), _LISTS)
         graph = stored(_merged(proposed, degree, graph), "graph")
-        fresh, places = graph.agg(F.sum("fresh"), F.sum(F.octet_length("others") / 8)).first()
+        fresh, places = graph.agg(F.sum(F.length(F.translate(F.hex("new"), "0", ""))), F.sum(F.octet_length("new"))).first()
         changed = (fresh or 0) / (places or 1)
     return graph
 
@@ -220,6 +254,13 @@ def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node"), rows_of(np.frombuffer(b"".join(raw)).reshape(len(raw), -1).astype(np.float32))], ["node", "v"])
 
 
+def _objects(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The rows of a batch as Python objects, a few rows' lists at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        yield from zip(*(part.column(c).to_pylist() for c in names))
+
+
 _BEAM = "query_id long, q binary, nodes binary, dists binary, open binary"
 
 
@@ -232,7 +273,7 @@ def _advance(beam: int, width: int):
             if not batch.num_rows:
                 continue
             out = []
-            for query, q, nodes, dists, opens in zip(*(batch.column(c).to_pylist() for c in ("query_id", "q", "nodes", "dists", "open"))):
+            for query, q, nodes, dists, opens in _objects(batch, "query_id", "q", "nodes", "dists", "open"):
                 node = np.concatenate([np.frombuffer(x, np.int64) for x in nodes])
                 dist = np.concatenate([np.frombuffer(x, np.float32) for x in dists])
                 state = np.concatenate([np.frombuffer(x, np.int8) for x in opens])
@@ -264,14 +305,12 @@ def _expand(dim: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = matrix_of(batch.column("q"), dim, np.float32)
-            nodes, dists, state = [], [], []
-            for k, (ids, vecs) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("vecs").to_pylist())):
-                x = np.frombuffer(vecs, np.float32).reshape(-1, dim) - q[k]
-                nodes.append(ids)
+            dists, state = [], []
+            for q, vecs in _objects(batch, "q", "vecs"):
+                x = np.frombuffer(vecs, np.float32).reshape(-1, dim) - np.frombuffer(q, np.float32)
                 dists.append((x * x).sum(1).astype(np.float32).tobytes())
                 state.append(b"\x02" * len(x))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array(nodes, pa.binary()), pa.array(dists, pa.binary()), pa.array(state, pa.binary())],
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), batch.column("ids"), pa.array(dists, pa.binary()), pa.array(state, pa.binary())],
                                              ["query_id", "q", "nodes", "dists", "open"])
 
     return run
@@ -279,35 +318,43 @@ def _expand(dim: int):
 
 def _packed_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            rows = [(n, np.array(i, np.int64).tobytes(), b"".join(v)) for n, i, v in zip(*(batch.column(c).to_pylist() for c in ("node", "ids", "vs")))]
+        for at in range(0, batch.num_rows, 16 * ROWS):
+            rows = [(n, np.array(i, np.int64).tobytes(), b"".join(v)) for n, i, v in _objects(batch.slice(at, 16 * ROWS), "node", "ids", "vs")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["node", "ids", "vecs"])
 
 
-def search_table(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def search_table(graph: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
     """(node, ids, vecs): each node's neighbours in both directions with their vectors.
 
-    Written as a table bucketed by node, so the rounds of a search shuffle only
-    their queries.  A hub's neighbours come in several rows of at most 256."""
+    Written in the shared folder as a table bucketed by node, so the rounds of a
+    search shuffle only their queries; ``forget`` takes it out of the catalog.  A
+    node's neighbours come in several rows of about ``WIDE``."""
     spark = graph.sparkSession
-    edges = graph.select("node", "others").mapInArrow(_edges, "node long, other long")
+    edges = graph.mapInArrow(_edges, "node long, other long, new byte").select("node", "other")
     both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    fan = stored(both.groupBy("node").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan")).where("fan > 1"), "hubs")
-    name = f"ann_{uuid.uuid4().hex}"
+    fan = stored(both.groupBy("node").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("fan")).where("fan > 1"), "hubs")
+    name = name or f"ann_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # one shuffle by node serves the grouping and the buckets
     full = (both.join(nodes.withColumnRenamed("node", "other"), "other").join(fan, "node", "left").repartition(buckets, "node")
             .groupBy("node", F.pmod(F.xxhash64("other"), F.coalesce("fan", F.lit(1))).alias("part"))
             .agg(F.collect_list("other").alias("ids"), F.collect_list("v").alias("vs")))
     (full.select("node", "ids", "vs").mapInArrow(_packed_neighbours, "node long, ids binary, vecs binary")
-     .write.bucketBy(buckets, "node").format("parquet").saveAsTable(name))
+     .write.bucketBy(buckets, "node").format("parquet").option("path", scratch_path(spark, "neighbours")).saveAsTable(name))
     return spark.table(name)
 
 
-def search(table: DataFrame, starts: DataFrame, dim: int, beam: int = 448, width: int = 112, most_rounds: int = 60) -> DataFrame:
+def forget(spark: SparkSession, name: str) -> None:
+    """Drop a search table's entry; its files lie with the other intermediate data."""
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+
+def search(table: DataFrame, starts: DataFrame, dim: int, beam: int = 448, width: int = 112) -> DataFrame:
     """Greedy search: (query_id, node, square) of each query's final beam, nearest by the squared distance of the floats.
 
-    ``starts``: (query_id, q, node, square): where each query begins."""
+    ``starts``: (query_id, q, node, square): where each query begins.  The search
+    ends by itself: what falls out of a beam is farther than all in it, so a
+    query expands no node twice."""
     first = starts.groupBy("query_id", "q").agg(F.collect_list("node").alias("n"), F.collect_list("square").alias("s"))
 
     def begin(batches):
@@ -322,9 +369,7 @@ def search(table: DataFrame, starts: DataFrame, dim: int, beam: int = 448, width
         return rows.groupBy("query_id", "q").agg(*[F.collect_list(c).alias(c) for c in ("nodes", "dists", "open")]).mapInArrow(_advance(beam, width), _BEAM)
 
     state = stored(gathered(first.mapInArrow(begin, _BEAM)), "beams")
-    for _ in range(most_rounds):
-        if state.where(F.hex("open").contains("01")).isEmpty():  # no byte 1: nothing left to expand
-            break
+    while not state.where(F.hex("open").contains("01")).isEmpty():  # a byte 1: something to expand
         now = state.mapInArrow(_to_expand, "query_id long, q binary, node long")
         seen = now.join(table.hint("merge"), "node").select("query_id", "q", "ids", "vecs").mapInArrow(_expand(dim), _BEAM)
         state = stored(gathered(state.unionByName(seen)), "beams")
@@ -368,13 +413,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, degree: int = 24, beam:
     firsts = rows.where("place = 1").select(F.col("id").alias("node"), "v")
     nodes = stored(firsts.mapInArrow(_singles, "node long, v binary"), "nodes")
     graph = build_graph(nodes, dim, max(degree, k + 1))
-    table = search_table(graph, nodes)
+    name = f"ann_{uuid.uuid4().hex}"
+    table = search_table(graph, nodes, name)
     # a query begins at its own node
     ask = stored(packed(asked, id_col, vec_col, dim).distinct().withColumnRenamed("id", "query_id")
                  .join(firsts.select("node", "v"), "v").select("query_id", F.col("v").alias("q"), "node"), "queries")
     begun = ask.join(nodes, "node").select("query_id", F.col("v").alias("q"), "node", F.lit(0.0).alias("square"))
     # a query id with several vectors is searched for each of them
-    found = search(table, begun, dim, max(beam, 2 * k))
+    found = search(table, begun, dim, max(beam, 2 * k))  # its beams are written: the table is done with
+    forget(spark, name)
     of_node = rows.join(firsts, "v").select("node", F.col("id").alias("vec_id"), "v")
     candidates = found.select("query_id", "node").distinct().join(of_node, "node").where("vec_id <> query_id").join(ask.select("query_id", "q"), "query_id")
     scored = candidates.select("query_id", "q", "vec_id", "v").mapInArrow(_exact(dim), "query_id long, vec_id long, score double")
@@ -383,4 +430,4 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, degree: int = 24, beam:
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-__all__ = ["nearest_lists", "build_graph", "search_table", "search", "knn"]
+__all__ = ["nearest_lists", "build_graph", "search_table", "search", "forget", "knn"]

@@ -166,3 +166,36 @@ def test_a_neighbour_takes_one_place():
     nodes, bounds, others, dists = nndescent.nearest_lists(node, other, dist, 3)
     assert nodes.tolist() == [4, 9] and bounds.tolist() == [0, 3, 4]
     assert others.tolist() == [1, 2, 3, 1] and dists.tolist() == dist[[0, 1, 3, 4]].tolist()
+
+
+def test_lists_are_merged_over_batches_and_know_what_is_new(spark):
+    """Rows of a node over several batches; an entry of the old list stays old."""
+    rng = random.Random(3)
+    rows, best, old = [], {}, set()
+    for node in range(40):
+        for turn in range(rng.randint(1, 9)):
+            others = rng.sample(range(100), rng.randint(1, 6))
+            dists = np.array([((node * 31 + o * 17) % 97) / 97 for o in others], np.float32)
+            best.setdefault(node, {}).update(zip(others, dists.tolist()))
+            old |= {(node, o) for o in others} if turn == 0 else set()
+            rows.append((node, bytearray(np.array(others, np.int64).tobytes()), bytearray(dists.tobytes()), bytearray([turn > 0] * len(others))))
+    df = spark.createDataFrame(rows, nndescent._LISTS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r.node: r for r in nndescent._merged(df, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(best)
+    for node, own in best.items():
+        want = sorted((d, o) for o, d in own.items())[:5]
+        assert np.frombuffer(got[node].others, np.int64).tolist() == [o for _, o in want]
+        assert list(got[node].new) == [(node, o) not in old for _, o in want]
+    after = nndescent._merged(df.limit(0), 5, spark.createDataFrame(list(got.values()), nndescent._LISTS)).collect()
+    assert len(after) == 40 and not any(any(r.new) for r in after)
+
+
+def test_nn_descent_leaves_nothing_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    df = table(spark, np.random.default_rng(1).normal(size=(60, 4)).tolist())
+    assert nndescent.knn(df, df, 3).count() == 180
+    assert {t.name for t in spark.catalog.listTables()} == before
