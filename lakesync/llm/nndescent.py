@@ -40,8 +40,8 @@ from lakesync.session import scratch_path
 PART = 64
 #: Rows of proposals that a task gathers before it reduces them.
 HELD = 1 << 18
-#: Neighbours with their vectors in a row of the search table.
-WIDE = 64
+#: Bytes of vectors in a row of the search table, so that a batch of 10,000 rows stays small whatever the dimension.
+WIDE = 1 << 12
 #: Rows with lists that are turned into Python objects at a time.
 ROWS = 64
 #: Rows of a hyperplane cell.
@@ -323,16 +323,17 @@ def _packed_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["node", "ids", "vecs"])
 
 
-def search_table(graph: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
+def search_table(graph: DataFrame, nodes: DataFrame, dim: int, name: str | None = None) -> DataFrame:
     """(node, ids, vecs): each node's neighbours in both directions with their vectors.
 
     Written in the shared folder as a table bucketed by node, so the rounds of a
     search shuffle only their queries; ``forget`` takes it out of the catalog.  A
-    node's neighbours come in several rows of about ``WIDE``."""
+    node's neighbours come in several rows of about ``WIDE`` bytes of vectors."""
     spark = graph.sparkSession
+    most = max(1, WIDE // (4 * dim))
     edges = graph.mapInArrow(_edges, "node long, other long, new byte").select("node", "other")
     both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    fan = stored(both.groupBy("node").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("fan")).where("fan > 1"), "hubs")
+    fan = stored(both.groupBy("node").agg(F.ceil(F.count("*") / most).cast("int").alias("fan")).where("fan > 1"), "hubs")
     name = name or f"ann_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # one shuffle by node serves the grouping and the buckets
@@ -414,7 +415,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, degree: int = 24, beam:
     nodes = stored(firsts.mapInArrow(_singles, "node long, v binary"), "nodes")
     graph = build_graph(nodes, dim, max(degree, k + 1))
     name = f"ann_{uuid.uuid4().hex}"
-    table = search_table(graph, nodes, name)
+    table = search_table(graph, nodes, dim, name)
     # a query begins at its own node
     ask = stored(packed(asked, id_col, vec_col, dim).distinct().withColumnRenamed("id", "query_id")
                  .join(firsts.select("node", "v"), "v").select("query_id", F.col("v").alias("q"), "node"), "queries")
