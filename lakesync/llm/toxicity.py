@@ -28,6 +28,8 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5, 6)
 # so many subwords of no weight are averaged into each text: a few chance n-grams decide no short text
 NEUTRAL = 800
+# bytes of text whose subwords are held at a time (some 120 bytes of memory each)
+PIECE = 1 << 18
 # the average is over thousands of subwords of which few tell: scaled up so that steps reach them
 SCALE = 100.0
 # parts of the training texts that are scored by models of the others, to calibrate
@@ -74,6 +76,45 @@ def subwords(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(rows)
 
 
+def pieces(text: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The texts in parts of about ``PIECE`` bytes: the row of each part's texts, and these.
+
+    A longer text is cut before a byte that is in no word, so its subwords are
+    those of its parts; only a single word is never cut."""
+    data, bounds = text_bytes(text)
+    starts, rows = [], []
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        starts.append(a)
+        rows.append(i)
+        while b - a > PIECE:
+            gap, at = np.zeros(0, np.int64), a + PIECE
+            while not len(gap) and at < b:
+                gap, at = np.flatnonzero(_CLEAN[data[at:min(at + PIECE, b)]] == 0x20) + at, at + PIECE
+            if not len(gap):
+                break
+            a = int(gap[0])
+            starts.append(a)
+            rows.append(i)
+    cuts, rows = np.array([*starts, len(data)]), np.array(rows, np.int64)
+    at = 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(cuts, cuts[at] + PIECE, side="right")) - 1)
+        own = data[cuts[at]:cuts[stop]]
+        yield rows[at:stop], pa.Array.from_buffers(pa.large_binary(), stop - at, [None, pa.py_buffer((cuts[at:stop + 1] - cuts[at]).astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())])
+        at = stop
+
+
+def counted(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row * BUCKETS + bucket, ascending, and how often) of all texts."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for own, part in pieces(text):
+        buckets, rows = subwords(part)
+        key, n = np.unique(own[rows] * BUCKETS + buckets, return_counts=True)
+        both, where = np.unique(np.concatenate((keys, key)), return_inverse=True)
+        keys, counts = both, np.bincount(where, np.concatenate((counts, n)), len(both)).astype(np.int64)
+    return keys, counts
+
+
 @dataclass
 class Model:
     """``weight`` of each bucket towards class 1, ``bias``; a text's logit is bias + mean weight."""
@@ -82,10 +123,12 @@ class Model:
     bias: float
 
     def scores(self, text: pa.Array) -> np.ndarray:
-        n = len(text)
-        buckets, rows = subwords(text)
-        total = np.bincount(rows, self.weight[buckets], minlength=n)
-        count = np.bincount(rows, minlength=n)
+        total, count = np.zeros(len(text)), np.zeros(len(text))
+        for own, part in pieces(text):
+            buckets, rows = subwords(part)
+            first = own[0]  # rows ascend
+            total[first:own[-1] + 1] += np.bincount(own[rows] - first, self.weight[buckets], minlength=own[-1] - first + 1)
+            count[first:own[-1] + 1] += np.bincount(own[rows] - first, minlength=own[-1] - first + 1)
         return 1 / (1 + np.exp(-np.clip(self.bias + total / (count + NEUTRAL), -50, 50)))
 
 
@@ -190,10 +233,12 @@ _COUNTS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets",
 def _subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for own in byte_slices(batch, "text", 1 << 19):  # a byte is in some eight subwords of 12 bytes each
-            buckets, rows = subwords(own.column("text"))
-            key, n = np.unique(rows * BUCKETS + buckets, return_counts=True)
+            key, n = counted(own.column("text"))
+            times = -(-n // 0xFFFF)  # a count of more than 16 bits comes in several entries
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            key, n = np.repeat(key, times), np.minimum(np.repeat(n, times) - 0xFFFF * place, 0xFFFF).astype("<u2")
             cut = np.searchsorted(key, np.arange(own.num_rows + 1) * BUCKETS)
-            one, n = (key % BUCKETS).astype("<i4"), np.minimum(n, 0xFFFF).astype("<u2")
+            one = (key % BUCKETS).astype("<i4")
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("label"), pa.array([one[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                                               pa.array([n[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], schema=_COUNTS)
 
@@ -231,9 +276,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text, then the columns ``keep`` as they were; null and empty texts get the bias's score."""
+    """doc_id and score (0 to 1) of every whole text, then the columns ``keep`` as they were.
+
+    Null and empty texts get the bias's score.  Every row is scored by itself, so
+    repeated rows and null ids come as they are; an empty table gives no row.
+    Very long texts are read in parts of ``PIECE`` bytes, columns not kept are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
     return with_scores(docs, lambda text: sent.value.scores(text), keep, id_col, text_col)
 
 
-__all__ = ["BUCKETS", "Model", "subwords", "fit", "calibrated", "train", "score"]
+__all__ = ["BUCKETS", "Model", "subwords", "pieces", "counted", "fit", "calibrated", "train", "score"]

@@ -97,3 +97,38 @@ def test_subwords_do_not_cross_texts():
     for i, t in enumerate(texts):
         alone, _ = toxicity.subwords(pa.array([t]))
         assert sorted(alone.tolist()) == sorted(buckets[rows == i].tolist())
+
+
+def test_toxicity_of_long_texts_in_parts(monkeypatch):
+    """Cut texts give the subwords of whole ones, counts above 16 bits included; memory follows the part, not the text."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(6)
+    words = ["ab", "Word", "naïve", "x", "ключ", "don't", "日本語テキスト", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    texts = ["", " ", "one", "z" * 700] + ["".join(rng.choice(words) + rng.choice([" ", "\n", ", ", "-", "  "]) for _ in range(rng.randint(1, 400))) for _ in range(25)] + [""]
+    column = pa.array(texts)
+    buckets, rows = toxicity.subwords(column)
+    key, n = np.unique(rows * toxicity.BUCKETS + buckets, return_counts=True)
+    model = toxicity.Model(np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), -0.5)
+    whole = model.scores(column)
+    logit = [model.bias + model.weight[buckets[rows == i]].sum(dtype=float) / ((rows == i).sum() + toxicity.NEUTRAL) for i in range(len(texts))]
+    assert np.allclose(whole, 1 / (1 + np.exp(-np.array(logit))), atol=1e-12)  # a plain loop over the texts
+    for size in (1, 40, 1000):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        parts = list(toxicity.pieces(column))
+        assert b"".join(p.as_py() for _, part in parts for p in part) == "".join(texts).encode()
+        assert all(np.array_equal(a, b) for a, b in zip(toxicity.counted(column), (key, n)))
+        assert np.allclose(model.scores(column), whole, atol=1e-12)
+    monkeypatch.undo()
+    long = pa.array(["bad word " * 400_000])  # 3.6 MB
+    tracemalloc.start()
+    model.scores(long)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), long], ["doc_id", "label", "text"])
+    (got,) = toxicity._subword_counts(iter([batch]))
+    b, c = np.frombuffer(got.column("buckets")[0].as_py(), "<i4"), np.frombuffer(got.column("counts")[0].as_py(), "<u2")
+    key, n = toxicity.counted(long)
+    assert np.array_equal(np.bincount(b, c, toxicity.BUCKETS)[key], n) and n.max() >= 400_000
+    assert int(toxicity.counted(pa.array([], pa.string()))[1].sum()) == 0 and len(model.scores(pa.array([], pa.string()))) == 0
