@@ -157,6 +157,23 @@ def _second_round(tiers: tuple):
     return run
 
 
+#: Cases that tell whether cutting at white space, making lower case and splitting full stops and commas off keep the ids.
+_PROBES = ("Ab cD", "a b", " a\tb\n\nc ", "End. Next, one", "x.y 1,5", "It's (so)!", "ÉÀ Straße", "日本 語")
+
+
+def _check_tokenizer(path: str) -> None:
+    """Refuse a tokenizer whose ids the word-wise encoding would change."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    parts = word_part_table(path)
+    for text in _PROBES:
+        want = library.encode(text, add_special_tokens=False).ids
+        got, _ = encode_column(parts, pa.array([text]), whitespace_parts)
+        if got.tolist() != want:
+            raise ValueError(f"{path}: packing needs a tokenizer that makes texts lower case and drops white space; {text!r} has other ids")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, tiers: tuple = TIERS, step_tokens: int = 1 << 18,
          fan_in: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences; one row per piece of a document.
@@ -170,7 +187,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, tiers: tu
 
     Null texts are empty; an empty text is its end id alone (no piece without
     ``end_id``).  Null or repeated ids are carried as they are, every row is a
-    document of its own.  Other columns are ignored, whatever their names."""
+    document of its own.  Other columns are ignored, whatever their names.
+
+    Texts are encoded word by word, which holds for tokenizers that make them
+    lower case and drop white space; one that shows otherwise is a ValueError."""
+    _check_tokenizer(tokenizer_path)
     tiers = tuple(sorted(tiers))
     first = stored(id_text(docs, id_col, text_col).mapInArrow(_first_round(tokenizer_path, end_id, tiers), _PIECES), "packed")
     second = stored(first.where(F.col("sequence_id").isNull()).withColumn("round_group", F.floor(F.col("packer") / fan_in).cast("long"))

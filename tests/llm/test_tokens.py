@@ -146,3 +146,11 @@ def test_packing_repeats_nulls_empty(spark):
     assert sum(r.length for r in rows) == 3 * 3 + 2
     assert packing.pack(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
     assert all(zlib.crc32(bytes(r.ids)) >= 0 for r in rows) and F is not None
+
+
+def test_packing_refuses_tokenizers_it_would_change(spark):
+    """A byte-level tokenizer keeps capitals and white space."""
+    docs = spark.createDataFrame([(1, "Ab  cD")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="lower case"):
+        packing.pack(docs, P.path("byte_bpe_50k.json"))
+    assert packing.pack(docs, P.path("word_bpe_49k.json")).count() == 1
