@@ -7,7 +7,8 @@ document with a smaller id.
    least-hashed (leftmost) of its grams; consecutive windows under one gram form a
    segment.  Equal windows have equal grams at equal places, so only segments
    whose gram occurs in several documents can matter.  Gram hashes are exchanged
-   as packed sorted runs, and documents learn which of theirs are shared.
+   as packed sorted runs, and a slice of texts learns as one bit a gram and
+   document which of them others have too.
 2. Suffix runs.  Each task sorts the suffixes that start at its shared anchors
    (a suffix ends with its segment; the segment's bytes before the anchor follow
    it), joins equal ones, and writes a front-coded run: the length of the prefix
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ from lakesync.llm.common import byte_slices, grouped_rows, stored, text_bytes
 from lakesync.llm.textops import gram_hashes, mix, window_min
 
 _GONE = np.uint64(0xFFFFFFFF)
+_DOC = np.uint64(0xFFFF)
 #: Bytes of suffixes that a task sorts at a time.
 RUN_BYTES = 24 << 20
 
@@ -110,52 +113,111 @@ SLICE = 2 << 20  # bytes of text hashed at a time
 BUCKET = 8 << 20  # bytes of text whose grams, and whose suffixes, one task compares
 
 
-def _gram_runs(length: int, gram: int, buckets: int):
-    """Per slice and bucket: sorted (48 bits of the gram hash, 16 bits of document) and the documents' ids."""
+_SLICES = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("lens", pa.binary()), ("body", pa.binary())])
+_SLICES_DDL = "slice long, kind int, ids binary, hashes binary, lens binary, body binary"
+_BITS_DDL = "slice long, kind int, bucket int, body binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, hash, text) as slices of about ``SLICE`` bytes; a slice names its documents by 16 bits."""
+    task, number, zip_ = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for own in (part for at in range(0, batch.num_rows, 1 << 16) for part in byte_slices(batch.slice(at, 1 << 16), "text", SLICE)):
+            data, bounds = text_bytes(own.column("text"))
+            row = [(task << 32) + number, 0, own.column("doc_id").to_numpy().tobytes(), own.column("hash").to_numpy().tobytes(), np.diff(bounds).tobytes(), zip_.compress(data)]
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SLICES)], schema=_SLICES)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct documents of each slice."""
+    for batch in batches:
+        for number, ids in zip(batch.column("slice").to_pylist(), batch.column("ids").to_pylist()):
+            doc = np.unique(np.frombuffer(ids, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.full(len(doc), number, np.int64))], ["doc_id", "slice"])
+
+
+class _Slice:
+    """The texts of a slice, and the entries (48 bits of a gram's hash, 16 bits of document) of its segments."""
+
+    def __init__(self, row: dict):
+        self.ids, self.hashes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["hashes"], np.int64)
+        self.bounds = np.concatenate(([0], np.cumsum(np.frombuffer(row["lens"], np.int64))))
+        raw = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(self.bounds[-1])))
+        self.data = np.frombuffer(raw, np.uint8)
+
+    def segments(self, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        """(first window, last window, anchor, entry)."""
+        first, last, at, hashes = segments(self.data, self.bounds, length, gram)
+        doc = np.searchsorted(self.bounds, at, side="right") - 1
+        return first, last, at, (hashes >> np.uint64(16) << np.uint64(16)) | doc.astype(np.uint64)
+
+    def entries(self, entry: np.ndarray) -> np.ndarray:
+        """The distinct entries, ascending; of copies in the slice, those of the least id alone."""
+        order = np.argsort(self.ids, kind="stable")
+        once = np.zeros(len(self.ids), bool)
+        once[order[np.unique(self.hashes[order], return_index=True)[1]]] = True
+        entry = np.unique(entry)
+        return entry[once[(entry & _DOC).astype(np.int64)]]
+
+
+def _limits(entry: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the entries of each bucket begin, and the end."""
     limits = ((np.arange(buckets, dtype=np.float64) / buckets) * 2.0 ** 48).astype(np.uint64)
+    return np.concatenate((np.searchsorted(entry, limits << np.uint64(16)), [len(entry)]))
+
+
+def _gram_runs(length: int, gram: int, buckets: int):
+    """Per slice and bucket: sorted entries, their documents renumbered, and the documents' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a slice names its documents by 16 bits
-            for own in (part for at in range(0, batch.num_rows, 1 << 16) for part in byte_slices(batch.slice(at, 1 << 16), "text", SLICE)):
-                ids = own.column("doc_id").to_numpy(zero_copy_only=False)
-                _, once = np.unique(own.column("hash").to_numpy(zero_copy_only=False)[np.argsort(ids, kind="stable")], return_index=True)
-                once = np.sort(np.argsort(ids, kind="stable")[once])  # of copies, the least id
-                data, bounds = text_bytes(own.column("text").take(pa.array(once)))
-                ids = ids[once]
-                _, _, at, hashes = segments(data, bounds, length, gram)
-                doc = np.searchsorted(bounds, at, side="right") - 1
-                entry = np.unique((hashes >> np.uint64(16) << np.uint64(16)) | doc.astype(np.uint64))
-                cut = np.concatenate((np.searchsorted(entry, limits << np.uint64(16)), [len(entry)]))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = _Slice(row)
+                entry = own.entries(own.segments(length, gram)[3])
+                cut = _limits(entry, buckets)
                 out, names, which = [], [], []
                 for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                     part = entry[cut[k]:cut[k + 1]]
-                    used, new = np.unique((part & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
-                    out.append(_planes((part >> np.uint64(16) << np.uint64(16)) | new.astype(np.uint64)))
-                    names.append(ids[used].tobytes())
+                    used, new = np.unique((part & _DOC).astype(np.int64), return_inverse=True)
+                    out.append(_planes((part & ~_DOC) | new.astype(np.uint64)))
+                    names.append(own.ids[used].tobytes())
                     which.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(out, pa.binary()), pa.array(names, pa.binary())], ["bucket", "entries", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]] * len(which), pa.int64()), pa.array(which, pa.int32()), pa.array(out, pa.binary()), pa.array(names, pa.binary())],
+                                                 ["slice", "bucket", "entries", "docs"])
 
     return run
 
 
 def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: for each document the grams (32 bits) it shares with others."""
+    """Per bucket: back to each slice one bit an entry, set where another document has the gram too."""
     for group in grouped_rows(batches, "bucket"):
         entries = [_from_planes(e) for e in group.column("entries").to_pylist()]
         names = [np.frombuffer(d, np.int64) for d in group.column("docs").to_pylist()]
-        ids = np.concatenate([n[(e & np.uint64(0xFFFF)).astype(np.int64)] for n, e in zip(names, entries)])
+        ids = np.concatenate([n[(e & _DOC).astype(np.int64)] for n, e in zip(names, entries)])
+        ends = np.cumsum([len(e) for e in entries]).tolist()
         grams = np.concatenate(entries) >> np.uint64(16)
+        del entries
         order = np.argsort(grams, kind="stable")
         grams, ids = grams[order], ids[order]
         start = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
         several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-        keep = np.repeat(several, np.diff(np.concatenate((start, [len(grams)]))))
-        grams, ids = grams[keep], ids[keep]
-        order = np.argsort(ids, kind="stable")
-        grams, ids = (grams[order] >> np.uint64(16)).astype(np.uint32), ids[order]
-        start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[start]), _packed(grams, np.concatenate((start, [len(ids)])))], ["doc_id", "grams"])
+        bit = np.zeros(len(grams), bool)
+        bit[order] = np.repeat(several, np.diff(np.concatenate((start, [len(grams)]))))
+        zip_ = zstandard.ZstdCompressor(level=1)
+        body = [zip_.compress(np.packbits(bit[a:b]).tobytes()) for a, b in zip([0, *ends], ends)]
+        yield pa.RecordBatch.from_arrays([group.column("slice").combine_chunks(), pa.array([1] * len(body), pa.int32()), group.column("bucket").combine_chunks(), pa.array(body, pa.binary())],
+                                         ["slice", "kind", "bucket", "body"])
+
+
+def _shared_entries(entry: np.ndarray, bits: list[dict], buckets: int) -> np.ndarray:
+    """The entries whose returned bit is set."""
+    cut, keep = _limits(entry, buckets), np.zeros(len(entry), bool)
+    for r in bits:
+        a, b = cut[r["bucket"]], cut[r["bucket"] + 1]
+        keep[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["body"]), np.uint8), count=b - a).astype(bool)
+    return entry[keep]
 
 
 def shared_prefix(a: bytes, b: bytes, start: int) -> int:
@@ -295,22 +357,27 @@ class _Run:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)] if rows else [pa.array([], f.type) for f in _RUNS], schema=_RUNS)
 
 
-def _suffix_runs(length: int, gram: int, splitters: list[bytes]):
+def _suffix_runs(length: int, gram: int, splitters: list[bytes], buckets: int):
+    """Rows of a slice follow each other: the slice, the bits of its entries (kind 1), the documents that need no search (kind 2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Run(splitters)
-        for batch in batches:
-            for own in _unzipped([batch]):
-                data, bounds = text_bytes(own.column("text"))
-                first, last, at, hashes = segments(data, bounds, length, gram)
-                code = (hashes >> np.uint64(32)).astype(np.uint32)
-                cut = np.searchsorted(at, bounds)
-                for r, (doc, text_hash, grams) in enumerate(zip(*(own.column(c).to_pylist() for c in ("doc_id", "hash", "grams")))):
-                    a, b, base = cut[r], cut[r + 1], int(bounds[r])
-                    k = np.flatnonzero(np.isin(code[a:b], np.concatenate([np.frombuffer(g, np.uint32) for g in grams]))) + a
-                    if len(k):
-                        out.add(data[base:bounds[r + 1]].tobytes(), doc, text_hash, (first[k] - base).tolist(), (last[k] - base).tolist(), (at[k] - base).tolist(), length)
-                    if out.size > RUN_BYTES:
-                        yield out.batch()
+        for group in grouped_rows(batches, "slice"):
+            rows = group.to_pylist()
+            own = _Slice(rows[0])
+            first, last, at, entry = own.segments(length, gram)
+            shared = _shared_entries(own.entries(entry), [r for r in rows if r["kind"] == 1], buckets)
+            needless = np.array([r["doc_id"] for r in rows if r["kind"] == 2], np.int64)
+            shared = shared[~np.isin(own.ids[(shared & _DOC).astype(np.int64)], needless)]
+            k = np.flatnonzero(np.isin(entry, shared))
+            of = (entry[k] & _DOC).astype(np.int64)
+            cut = np.searchsorted(of, np.arange(len(own.ids) + 1))  # segments come in the order of their documents
+            for doc in np.flatnonzero(np.diff(cut)).tolist():
+                own_k, base = k[cut[doc]:cut[doc + 1]], int(own.bounds[doc])
+                out.add(own.data[base:own.bounds[doc + 1]].tobytes(), int(own.ids[doc]), int(own.hashes[doc]),
+                        (first[own_k] - base).tolist(), (last[own_k] - base).tolist(), (at[own_k] - base).tolist(), length)
+                if out.size > RUN_BYTES:
+                    yield out.batch()
         yield out.batch()
 
     return run
@@ -445,8 +512,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     Null texts are empty; texts below ``length`` bytes keep all.  Rows that repeat
     an id are the same document: they remove nothing of each other.  Rows without
-    an id neither remove nor lose anything.  Other columns are ignored unless
-    named in ``keep``."""
+    an id neither remove nor lose anything.  An empty table gives no rows.  A very
+    long text is one slice: its task holds about 33 bytes of memory a byte of it.
+    Other columns are ignored unless named in ``keep``."""
     if length < 16 or length > 120:
         raise ValueError("length must lie between 16 and 120")
     gram = length // 2 - 1
@@ -460,14 +528,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     copies = stored(rows.join(least, "digest").select("doc_id", "hash", ((F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= length)).alias("copy")).distinct(), "copies")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    grams = own.mapInArrow(_gram_runs(length, gram, buckets), "bucket int, entries binary, docs binary")
-    shared = (grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_grams, "doc_id long, grams binary"))
+    slices = stored(own.mapInArrow(_cut, _SLICES_DDL), "slices")
+    grams = slices.mapInArrow(_gram_runs(length, gram, buckets), "slice long, bucket int, entries binary, docs binary")
+    bits = grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_grams, _BITS_DDL)
     # a document that is a copy whole needs no search
     needless = copies.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).where("copy").select("doc_id")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("grams").alias("grams")).join(needless, "doc_id", "left_anti")
+    needless = slices.mapInArrow(_places, "doc_id long, slice long").join(needless, "doc_id").select("slice", F.lit(2).alias("kind"), "doc_id")
     cuts = splitters(own, buckets, gram)
-    zipped = own.mapInArrow(_zipped, "doc_id long, hash long, z binary")
-    runs = zipped.join(shared, "doc_id").mapInArrow(_suffix_runs(length, gram, cuts), _RUNS_DDL)
+    met = slices.unionByName(bits, allowMissingColumns=True).unionByName(needless, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "kind")
+    runs = met.mapInArrow(_suffix_runs(length, gram, cuts, buckets), _RUNS_DDL)
     found = (runs.repartition(buckets, "range").sortWithinPartitions("range").mapInArrow(_merge(length, gram), "doc_id long, hash long, places binary"))
     every = copies.where("copy").select("doc_id", "hash", F.lit(np.uint64(_GONE).tobytes()).alias("places"))
     places = found.unionByName(every).groupBy("doc_id", "hash").agg(F.collect_list("places").alias("places"))
