@@ -100,7 +100,7 @@ def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers, byte by byte from the highest: the high bytes hardly change and compress away."""
+    """Sorted or small 64-bit numbers, byte by byte from the highest: the high bytes hardly change and compress away."""
     return zstandard.ZstdCompressor(level=1).compress(values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
@@ -182,7 +182,7 @@ def _gram_runs(length: int, gram: int, buckets: int):
                     part = entry[cut[k]:cut[k + 1]]
                     used, new = np.unique((part & _DOC).astype(np.int64), return_inverse=True)
                     out.append(_planes((part & ~_DOC) | new.astype(np.uint64)))
-                    names.append(own.ids[used].tobytes())
+                    names.append(_planes(own.ids[used]))
                     which.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array([row["slice"]] * len(which), pa.int64()), pa.array(which, pa.int32()), pa.array(out, pa.binary()), pa.array(names, pa.binary())],
                                                  ["slice", "bucket", "entries", "docs"])
@@ -194,7 +194,7 @@ def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Per bucket: back to each slice one bit an entry, set where another document has the gram too."""
     for group in grouped_rows(batches, "bucket"):
         entries = [_from_planes(e) for e in group.column("entries").to_pylist()]
-        names = [np.frombuffer(d, np.int64) for d in group.column("docs").to_pylist()]
+        names = [_from_planes(d).view(np.int64) for d in group.column("docs").to_pylist()]
         ids = np.concatenate([n[(e & _DOC).astype(np.int64)] for n, e in zip(names, entries)])
         ends = np.cumsum([len(e) for e in entries]).tolist()
         grams = np.concatenate(entries) >> np.uint64(16)
@@ -351,8 +351,8 @@ class _Run:
                 m, n = int(begin[a]), int(begin[b])
                 used, new = np.unique(of[m:n], return_inverse=True)  # the documents of this piece of the run
                 shared, rest, rests = front_code(keys[a:b])
-                rows.append((k, shared, rest, zip_.compress(rests), counts[a:b].tobytes(), new.astype(np.uint32).tobytes(), names[used, 0].tobytes(), names[used, 1].tobytes(),
-                             starts[m:n].tobytes()))
+                rows.append((k, shared, rest, zip_.compress(rests), counts[a:b].tobytes(), _planes(new), _planes(names[used, 0]), names[used, 1].tobytes(),
+                             _planes(starts[m:n])))
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)] if rows else [pa.array([], f.type) for f in _RUNS], schema=_RUNS)
 
@@ -449,9 +449,9 @@ def _merge(length: int, gram: int):
             runs = [(s, r, unzip.decompress(z)) for s, r, z in zip(*(table.column(c).to_pylist() for c in ("shared", "rest", "rests")))]
             counts = [np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]
             ends = [np.cumsum(c).tolist() for c in counts]
-            docs, hashes = ([np.frombuffer(v, np.int64) for v in table.column(c).to_pylist()] for c in ("docs", "hashes"))
-            of = [np.frombuffer(v, np.uint32) for v in table.column("of").to_pylist()]
-            starts = [np.frombuffer(v, np.uint32) for v in table.column("starts").to_pylist()]
+            docs = [_from_planes(v).view(np.int64) for v in table.column("docs").to_pylist()]
+            hashes = [np.frombuffer(v, np.int64) for v in table.column("hashes").to_pylist()]
+            of, starts = ([_from_planes(v).astype(np.uint32) for v in table.column(c).to_pylist()] for c in ("of", "starts"))
 
             def members(r, i):
                 a, b = ends[r][i - 1] if i else 0, ends[r][i]
