@@ -103,14 +103,22 @@ class _Proposals:
     def __init__(self, degree: int):
         self.degree, self.rows, self.count = degree, [], 0
 
-    def add(self, ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | None = None) -> None:
-        """Each member's ``most`` nearest among the members (distinct ids); two that aren't ``new`` are left out."""
+    def add(self, ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | None = None, known: list[np.ndarray] | None = None, far: np.ndarray | None = None) -> None:
+        """Each member's ``most`` nearest among the members (distinct ids); two that aren't ``new`` are left out.
+
+        ``known``, ``far``: each member's list and the distance that a new entry must be below (``ids`` ascend then)."""
         if len(ids) < 2 or new is not None and not new.any():
             return
         d = _squares(x).astype(np.float32)
         np.fill_diagonal(d, np.inf)
         if new is not None:
             d[np.ix_(~new, ~new)] = np.inf
+        if known is not None:
+            d[d >= far[:, None]] = np.inf
+            row, other = np.repeat(np.arange(len(ids)), [len(k) for k in known]), np.concatenate(known)
+            col = np.minimum(np.searchsorted(ids, other), len(ids) - 1)
+            met = ids[col] == other
+            d[row[met], col[met]] = np.inf
         most = min(most, len(ids) - 1)
         col = np.argpartition(d, most - 1, 1)[:, :most]
         row = np.repeat(np.arange(len(ids)), most)
@@ -192,15 +200,31 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["node", "other", "new"])
 
 
+def _reach(degree: int):
+    """Each node's list and the distance that a new entry must be below: that of its last entry, if the list is full."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                dists, n = _flat(batch.column("dists"), np.float32)
+                far = np.full(len(n), np.inf, np.float32)
+                full = n >= degree
+                far[full] = dists[np.cumsum(n)[full] - 1]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("others"), pa.array(far)], ["member", "others", "far"])
+
+    return run
+
+
 def _local_joins(dim: int, degree: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Proposals(degree)
         for group in grouped_rows(batches, "part"):
             ids, new = group.column("member").to_numpy(), group.column("new").to_numpy() == 1
             x = matrix_of(group.column("v").combine_chunks(), dim, np.float32)
+            others, n = _flat(group.column("others").combine_chunks(), np.int64)
+            known, far = np.split(others, np.cumsum(n)[:-1]), group.column("far").to_numpy()
             runs = -(-len(ids) // (2 * PART))
             for k in range(runs):
-                out.add(ids[k::runs], x[k::runs], most, new[k::runs])
+                out.add(ids[k::runs], x[k::runs], most, new[k::runs], known[k::runs], far[k::runs])
             if out.count > HELD:
                 yield out.batch()
         yield out.batch()
@@ -237,7 +261,11 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = 24, trees: int = 6, mo
         members = (dealt.select(F.xxhash64("center", "salt").alias("part"), "member", "new").repartition("part")
                    .groupBy("part", "member").agg(F.max("new").alias("new"))
                    .withColumn("fresh", F.max("new").over(Window.partitionBy("part"))).where("fresh = 1").drop("fresh"))
-        parts = (members.join(nodes.withColumnRenamed("node", "member"), "member").select("part", "member", "new", "v")
+        # with its list, a member is proposed only what its list lacks and would take
+        reach = graph.mapInArrow(_reach(degree), "member long, others binary, far float")
+        lists = (nodes.withColumnRenamed("node", "member").join(reach, "member", "left")
+                 .select("member", "v", F.coalesce("others", F.unhex(F.lit(""))).alias("others"), F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far")))
+        parts = (members.join(lists, "member").select("part", "member", "new", "v", "others", "far")
                  .repartition("part").sortWithinPartitions("part", "member"))
         proposed = parts.mapInArrow(_local_joins(dim, degree, most), _LISTS)
         graph = stored(_merged(proposed, degree, graph), "graph")
