@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from lakesync.llm.common import byte_slices, id_text
 from lakesync.llm.tokens import byte_part_table, encode_column, loaded, spaced_parts
 
+# what a worker holds at a time: parts with their ids, bytes of text to encode, ids to decode
+_PARTS, _TEXT, _IDS = 250_000, 2 << 20, 1 << 18
+
 
 def byte_table() -> list[str]:
     """The printable character of each byte: visible Latin-1 as itself, all others from U+0100 on."""
@@ -75,10 +78,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False
     schema = "doc_id long, ids array<int>" + (", starts array<int>" if offsets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = byte_part_table((ranks_path, pattern), lambda: rank_tokenizer(ranks_path, pattern))
-        sizes = pc.fill_null(pc.binary_length(_bytes_of_ids(ranks_path)), 0).to_numpy(zero_copy_only=False)
+        parts = byte_part_table((ranks_path, pattern), lambda: rank_tokenizer(ranks_path, pattern), _PARTS)
+        sizes = pc.fill_null(pc.binary_length(_bytes_of_ids(ranks_path)), 0).to_numpy(zero_copy_only=False) if offsets else None
         for batch in batches:
-            for own in byte_slices(batch, "text"):
+            for own in byte_slices(batch, "text", _TEXT):
                 ids, bounds = encode_column(parts, own.column("text"), spaced_parts)
                 columns = [own.column("doc_id"), _lists(bounds, ids)]
                 if offsets:
@@ -87,10 +90,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False
                     base = np.repeat(begin[np.minimum(bounds[:-1], max(0, len(ids) - 1))] if len(ids) else np.zeros(len(own), np.int64), np.diff(bounds))
                     columns.append(_lists(bounds, begin - base))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "starts"][:len(columns)])
+                pa.default_memory_pool().release_unused()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
+def id_slices(batch: pa.RecordBatch, limit: int = _IDS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of at most ``limit`` entries of ``ids`` (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with the decoded bytes of ``ids`` as ``decoded`` (null ids: no bytes).
 
@@ -101,16 +116,16 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_of_ids(ranks_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                own = batch.slice(at, 1000)
+            for own in id_slices(batch):
                 ids = own.column("ids")
                 flat = ids.flatten()
                 bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
                 one = pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), table.take(flat.cast(pa.int64())))
                 joined = pc.binary_join(one, pa.scalar(b"", pa.large_binary()))
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), ids, joined.cast(pa.binary())], ["doc_id", "ids", "decoded"])
+                pa.default_memory_pool().release_unused()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
 
 
-__all__ = ["byte_table", "read_ranks", "rank_tokenizer", "encode", "decode"]
+__all__ = ["byte_table", "read_ranks", "rank_tokenizer", "encode", "id_slices", "decode"]

@@ -6,12 +6,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakesync.llm import bpe, counts, packing
+from lakesync.llm import bpe, counts, packing, tokens
 
 from .helpers import DOCS, awkward_texts, frame, words
 
@@ -72,6 +73,21 @@ def test_decode_split_character(spark):
     assert bytes(rows[0].decoded).decode() == "🙂" and 0 < len(rows[1].decoded) < 4 and len(rows[2].decoded) == 0
 
 
+def test_bpe_workers_hold_a_bounded_share(reference_bpe):
+    """Long parts empty the table of parts; long id lists are decoded few at a time."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    parts = tokens.PartTable(tokens.joined_encoder(bpe.rank_tokenizer(path, P.PATTERN), "", tokens._SPACED), limit=100)
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(rng.choice("abcdefgh") for _ in range(2000))
+        ids, _ = tokens.encode_column(parts, pa.array([text]), tokens.spaced_parts)
+        assert ids.tolist() == reference_bpe.encode_ordinary(text)
+        assert parts.known.nbytes + parts.flat.nbytes < 64 * 100 + 20_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "ids": pa.array([[1] * 40, None, [], [2] * 90, [3] * 70], pa.list_(pa.int32()))})
+    runs = [r.column("doc_id").to_pylist() for r in bpe.id_slices(batch.slice(0, 5), 100)]
+    assert runs == [[0, 1, 2], [3], [4]]
+
+
 @pytest.mark.parametrize("chunk,overlap", [(1 << 15, 1 << 10), (700, 300), (200, 150)])
 def test_counts_equal_library(spark, chunk, overlap):
     rng = random.Random(1)
