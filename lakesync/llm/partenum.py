@@ -34,6 +34,10 @@ from lakesync.llm.textops import mix, shingle_hashes
 
 #: Sets of one signature that are compared at a time.
 BLOCK = 2048
+#: Shingles that a signature keeps at least, if so many halvings of what it leaves out find them.
+LEAST_KEPT, HALVINGS = 1, 4
+#: Marks the halves apart from the cells.
+PATH = np.uint64(1 << 40)
 
 
 def band_starts(percent: int, largest: int) -> np.ndarray:
@@ -56,31 +60,56 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures and the set each belongs to; ``values`` sorted within each set."""
+    """All signatures and the set each belongs to; ``values`` sorted within each set.
+
+    A signature that keeps fewer than ``LEAST_KEPT`` shingles would be shared by
+    unlike sets.  Both sets of a pair that share it see so, and their one
+    difference lies in what it leaves out: this is halved again, and either half
+    joins what is kept."""
     n = np.diff(bounds)
     starts = band_starts(percent, int(n.max(initial=1)))
     band = np.searchsorted(starts, n, side="right") - 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)))
+    keys = set_keys(values, bounds)
     owner = np.repeat(np.arange(len(n)), n)
     out, whose = [], []
     for tag in (band, band + 1):
         k = most_differences(2 * (starts[np.minimum(tag + 1, len(starts) - 1)] - 1), percent)
         second = np.where(k < 16, 3, 2)
-        first = (k + 2) // 2
-        cells = np.where(n > 0, first * second, 0)
+        # sets that may not differ are similar to their copies alone: one signature, of the whole set
+        alone = np.flatnonzero((n > 0) & (k == 0))
+        out.append(mix(keys[alone] + tag[alone].astype(np.uint64)))
+        whose.append(alone)
+        first = np.where((n > 0) & (k > 0), (k + 2) // 2, 0)
+        cells = first * second
         base = np.cumsum(cells) - cells
-        # the cell grows with the hash, so each cell is a run of the sorted set
-        cell = ((values >> np.uint64(32)) * cells[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[owner]
-        ends = np.cumsum(np.bincount(cell, minlength=int(cells.sum())))
-        total = sums[ends] - sums[np.concatenate(([0], ends[:-1]))] if len(ends) else np.zeros(0, np.uint64)
+        # the cell and the place in it grow with the hash, so each cell is a run of the sorted sets
+        inside = cells[owner] > 0
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values[inside]), dtype=np.uint64)))
+        at = (values[inside] >> np.uint64(32)) * cells[owner[inside]].astype(np.uint64) + (base[owner[inside]].astype(np.uint64) << np.uint64(32))
+        ends = np.cumsum(np.bincount((at >> np.uint64(32)).astype(np.int64), minlength=int(cells.sum())))
+        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         row = np.repeat(np.arange(len(n)), cells)
         place = (np.arange(len(row)) - base[row]).astype(np.uint64)
-        own = mix(total + mix(place + np.uint64(1)))
-        group = np.concatenate(([0], np.cumsum(np.repeat(second, np.where(n > 0, first, 0)))))
-        whole = np.add.reduceat(own, group[:-1]) if len(own) else own
-        rest = np.repeat(whole, np.diff(group)) - own
-        out.append(mix(rest + mix((tag[row].astype(np.uint64) << np.uint64(32)) + place)))
-        whose.append(row)
+        own = mix(sums[ends] - sums[begins] + mix(place + np.uint64(1)))
+        sizes = np.repeat(second, first)
+        group = np.concatenate(([0], np.cumsum(sizes)))
+        both = [np.add.reduceat(x, group[:-1]) if len(x) else x for x in (own, ends - begins)]
+        rest, kept = np.repeat(both[0], sizes) - own, np.repeat(both[1], sizes) - (ends - begins)
+        named = mix((tag[row].astype(np.uint64) << np.uint64(32)) + place)
+        low, width, node = np.arange(len(row)).astype(np.uint64) << np.uint64(32), np.uint64(1 << 32), np.ones(len(row), np.uint64)
+        for depth in range(HALVINGS + 1):
+            done = kept >= LEAST_KEPT if depth < HALVINGS else np.ones(len(row), bool)
+            out.append(mix(rest[done] + named[done]))
+            whose.append(row[done])
+            row, named, rest, kept, low, node = (x[~done] for x in (row, named, rest, kept, low, node))
+            if not len(row):
+                break
+            width >>= np.uint64(1)
+            a, b, c = (np.searchsorted(at, low + np.uint64(i) * width) for i in range(3))
+            halves = [(rest + mix(sums[y] - sums[x] + mix(PATH + np.uint64(2) * node + np.uint64(i))), kept + y - x, low + np.uint64(1 - i) * width, np.uint64(2) * node + np.uint64(i))
+                      for i, (x, y) in enumerate(((a, b), (b, c)))]
+            rest, kept, low, node = (np.concatenate(x) for x in zip(*halves))
+            row, named = np.concatenate((row, row)), np.concatenate((named, named))
     return np.concatenate(out), np.concatenate(whose)
 
 
@@ -106,6 +135,11 @@ def _fold(sketch: np.ndarray, width: int) -> np.ndarray:
     return sketch
 
 
+def short_sketch(sketch: bytes) -> bytes:
+    """The sketch folded to a quarter, 64 bits at least: tells most unlike sets apart for a quarter of the bytes."""
+    return _fold(np.frombuffer(sketch, np.uint8)[None, :], max(8, len(sketch) // 4)).tobytes()
+
+
 def possible(n_a, sketch_a: list[bytes], n_b, sketch_b: list[bytes], percent: int) -> np.ndarray:
     """Which pairs (position by position) the sizes and sketches cannot exclude."""
     n_a, n_b = np.asarray(n_a, np.int64), np.asarray(n_b, np.int64)
@@ -130,7 +164,8 @@ def _doc_rows(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values, bounds in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(set_keys(values, bounds).view(np.int64)),
-                                              pa.array(sketches(values, bounds, percent), pa.binary())], ["doc_id", "n", "key", "sketch"])
+                                              pa.array(own := sketches(values, bounds, percent), pa.binary()), pa.array(map(short_sketch, own), pa.binary())],
+                                             ["doc_id", "n", "key", "sketch", "short"])
 
     return run
 
@@ -260,9 +295,9 @@ class SetJoin:
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
-        self.rows = stored(docs.mapInArrow(_doc_rows(words, percent), "doc_id long, n long, key long, sketch binary"), "set-rows")
+        self.rows = stored(docs.mapInArrow(_doc_rows(words, percent), "doc_id long, n long, key long, sketch binary, short binary"), "set-rows")
         # one row for each distinct set
-        self.sets = stored(self.rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+        self.sets = stored(self.rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short")), "sets")
 
     def shared(self) -> DataFrame:
         """(sig, key, center) of the signatures that several sets have; the center is the least key."""
@@ -271,11 +306,24 @@ class SetJoin:
         return stored(rows.withColumns({"center": F.min("key").over(own), "most": F.max("key").over(own)})
                       .where("center <> most").select("sig", "key", "center").distinct(), "shared")
 
-    def with_sets(self, pairs: DataFrame) -> DataFrame:
-        a = self.sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        b = self.sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    def with_sets(self, pairs: DataFrame, sketch: str = "sketch") -> DataFrame:
+        a = self.sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col(sketch).alias("sketch_a"))
+        b = self.sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col(sketch).alias("sketch_b"))
         return pairs.join(a, "a").join(b, "b")
 
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and sketches cannot exclude; whole sketches travel for what short ones leave."""
+        for sketch in ("short", "sketch"):
+            pairs = stored(self.with_sets(pairs, sketch).mapInArrow(_excluded_out(self.percent), "a long, b long"), "close")
+        return pairs
+
+    def open_members(self, cells: DataFrame) -> DataFrame:
+        """The rows (cell, key, component) that :func:`_open_members` keeps, by short sketches and then by whole ones."""
+        for sketch in ("short", "sketch"):
+            rows = cells.join(self.sets.select("key", "n", F.col(sketch).alias("sketch")), "key")
+            cells = stored(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open_members(self.percent), "cell long, key long, component long"), "members")
+        return cells
+
     def whole_sets(self, keys: DataFrame) -> DataFrame:
         """(key, set) of the distinct ``keys``, made again from one text each."""
         # written, so that its size is known and few are broadcast instead of shuffling the texts
@@ -309,11 +357,10 @@ class SetJoin:
         """(edges, components of keys): links enough to connect all that are connected."""
         shared = self.shared()
         stars = shared.where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct()
-        close = stored(self.with_sets(stars).mapInArrow(_excluded_out(self.percent), "a long, b long"), "close")
-        first = stored(self.verify(close), "links")
+        first = stored(self.verify(self.close(stars)), "links")
         parts = stored(components(first), "components")
-        # groups whose sets are not all connected yet
-        named = (shared.select("sig", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
+        # groups whose sets are not all connected yet; the center has met each of them
+        named = (shared.where("key <> center").select("sig", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
                  .withColumn("component", F.coalesce("component", "key")))
         open_groups = (named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
                        .where("lo <> hi").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
@@ -321,8 +368,7 @@ class SetJoin:
         # a cell is a pair of blocks; each row goes to the cells of its block
         cells = left.select("key", "component", F.explode(F.expr(
             "transform(sequence(0, blocks - 1), x -> xxhash64(sig, least(x, block), greatest(x, block)))")).alias("cell"))
-        cells = cells.join(self.sets.select("key", "n", "sketch"), "key")
-        members = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open_members(self.percent), "cell long, key long, component long"), "members")
+        members = self.open_members(cells)
         dealt = members.join(self.whole_sets(members.select("key").distinct()), "key")
         second = stored(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_united(self.percent), "a long, b long").distinct(), "links")
         edges = first.unionByName(second)

@@ -5,8 +5,9 @@ hashed subword with an embedding.  A text is the average of its subwords'
 embeddings; embeddings and softmax weights are trained together.  A misspelling
 shares most n-grams with the word it comes from.
 
-Training runs in numpy on the driver, on at most ``train_docs`` labelled texts
-of each class (a documented bound; their subword counts come from Spark).
+Training runs in numpy in one task, on at most ``train_docs`` labelled texts
+of each class (a documented bound; their subword counts come from Spark), and
+the driver gets the model alone.
 Scoring runs over all texts: the classes are linear in the average, so each
 subword contributes one number, and the model is one small array.
 """
@@ -243,6 +244,25 @@ def _subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                               pa.array([n[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], schema=_COUNTS)
 
 
+def _trained(share: dict[int, int]):
+    """The model of the bounded rows of :func:`_subword_counts`; ``share``: labelled rows of each class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for batch in batches:
+            got += zip(*(batch.column(c).to_pylist() for c in _COUNTS.names))
+        got.sort(key=lambda r: (r[0], len(r[2]), r[1]))
+        y = np.array([r[1] for r in got])
+        weights = np.array([share[k] / (y == k).sum() for k in (0, 1)])[y]
+        weights /= weights.mean()
+        weights **= 0.75  # between the shares of the classes and equal classes
+        texts = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<u2")) for _, _, b, c in got]
+        del got  # fit() replaces each text by what it keeps of it
+        model = calibrated(texts, y, weights)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None, train_docs: int = 1200,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``train_docs`` labelled texts of each class, the first by a hash of the id.
@@ -264,15 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
         p = sum(k * n for k, n in share.items()) / max(1, sum(share.values()))
         return Model(np.zeros(BUCKETS, np.float32), 20.0 if p == 1 else -20.0)
     # the picked ids are bounded, so they go to the texts and no text is shuffled
-    got = own.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_subword_counts, "doc_id long, label int, buckets binary, counts binary").collect()
-    got.sort(key=lambda r: (r.doc_id, len(r.buckets), r.label))
-    y = np.array([r.label for r in got])
-    weights = np.array([share[k] / (y == k).sum() for k in (0, 1)])[y]
-    weights /= weights.mean()
-    weights **= 0.75  # between the shares of the classes and equal classes
-    texts = [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2")) for r in got]
-    del got  # fit() replaces each text by what it keeps of it
-    return calibrated(texts, y, weights)
+    counts = own.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_subword_counts, "doc_id long, label int, buckets binary, counts binary")
+    made = counts.repartition(1).mapInArrow(_trained(share), "weight binary, bias double").first()
+    return Model(np.frombuffer(made.weight, "<f4"), made.bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

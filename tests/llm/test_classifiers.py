@@ -1,6 +1,7 @@
 """Operators 9 and 10: held-out accuracy, brute-force checks of the maths, awkward rows."""
 
 import itertools
+import os
 import random
 import zlib
 
@@ -132,3 +133,19 @@ def test_toxicity_of_long_texts_in_parts(monkeypatch):
     key, n = toxicity.counted(long)
     assert np.array_equal(np.bincount(b, c, toxicity.BUCKETS)[key], n) and n.max() >= 400_000
     assert int(toxicity.counted(pa.array([], pa.string()))[1].sum()) == 0 and len(model.scores(pa.array([], pa.string()))) == 0
+
+
+def test_toxicity_trains_off_the_driver(spark, monkeypatch):
+    """The driver gets the model alone: it neither holds the training texts' counts nor fits."""
+    driver, real = os.getpid(), toxicity.calibrated
+
+    def here(*given):
+        assert os.getpid() != driver, "trained on the driver"
+        return real(*given)
+
+    texts = ["you vile fool", "a calm day", "vile vile words", "the river runs"] * 6
+    df = frame(spark, texts, extra=False)
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "calibrated", here)
+    model = toxicity.train(df, labels, "toxic")
+    assert model.weight.shape == (toxicity.BUCKETS,) and np.isfinite(model.bias) and model.weight.any()

@@ -171,3 +171,50 @@ def test_cells_unite_what_links_connect():
                     for k in both:
                         want[k] = both
         assert same == want and len(links) < len(sets) and all(a < b for a, b in links)
+
+
+def test_unlike_sets_share_no_empty_signature():
+    """Sets without a common shingle: what a signature keeps is hardly ever nothing."""
+    rng = np.random.default_rng(3)
+    values = np.sort(rng.integers(0, 1 << 63, (2000, 90), dtype=np.uint64) * np.uint64(2), axis=1).ravel()
+    sig, whose = partenum.signatures(values, np.arange(2001) * 90, 80)
+    _, group, many = np.unique(sig, return_inverse=True, return_counts=True)
+    assert many.max() <= 20 and np.isin(np.arange(2000), whose).all()
+
+
+def test_similar_sets_share_a_signature_at_every_distance():
+    """Every pair within the limit, however its differences fall, keeps a signature in common."""
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 85, 95):
+        for n in (2, 4, 5, 7, 12, 30, 90, 400):
+            for _ in range(40):
+                one = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+                gone = rng.integers(0, n)
+                two = np.concatenate((one[gone:], rng.integers(0, 1 << 63, rng.integers(0, n), dtype=np.uint64) * np.uint64(2)))
+                both = n - gone
+                if 100 * both < percent * (n + len(two) - both) or len(two) == n == both:
+                    continue
+                sets = [np.sort(one), np.sort(two)]
+                sig, whose = partenum.signatures(np.concatenate(sets), np.array([0, n, n + len(two)]), percent)
+                assert np.intersect1d(sig[whose == 0], sig[whose == 1]).size, (percent, n, gone, len(two))
+
+
+def test_cells_leave_out_what_the_center_has_met(spark, monkeypatch):
+    """A group of two has nothing left to compare, and only sets that short sketches leave bring whole ones."""
+    texts = [" ".join(f"w{i}-{j}" for j in range(40)) + " " + " ".join(f"p{j}" for j in range(40)) for i in range(2)]
+    seen = []
+    real = partenum.SetJoin.open_members
+    monkeypatch.setattr(partenum.SetJoin, "open_members", lambda self, cells: (seen.append(cells.count()), real(self, cells))[1])
+    got = partenum.jaccard_components(frame(spark, texts), 5, 80).collect()
+    assert seen == [0] and sorted(r.component_id for r in got) == [0, 1]
+
+
+def test_short_sketches_never_exclude_more(spark):
+    rng = np.random.default_rng(5)
+    a = np.sort(rng.integers(0, 1 << 62, 300, dtype=np.uint64))
+    for gone in (0, 5, 20, 33, 60):
+        b = np.sort(np.concatenate((a[gone:], rng.integers(0, 1 << 62, gone, dtype=np.uint64))))
+        own = partenum.sketches(np.concatenate((a, b)), np.array([0, 300, 600]), 80)
+        short = [partenum.short_sketch(x) for x in own]
+        assert 4 * len(short[0]) == len(own[0])
+        assert partenum.possible([300], short[:1], [300], short[1:], 80)[0] >= partenum.possible([300], own[:1], [300], own[1:], 80)[0]
