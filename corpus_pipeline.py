@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesync.llm import packing, partenum, quality, suffix, toxicity
-from lakesync.llm.common import stored, table
+from lakesync.llm.common import passing, stored, table, unzipped, zipped
 from lakesync.llm.queries import fold, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,9 +35,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group of near copies (operator 8: five words, similarity 0.8) the least doc_id.
 
     Rows that share an id stay or go together; rows without an id stay."""
-    groups = partenum.jaccard_components(docs, words=5, percent=80)
-    kept = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    with passing(spark):
+        groups = partenum.jaccard_components(docs, words=5, percent=80)
+        kept = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids", outlives=True)
+    # texts are shuffled compressed
+    rows = docs.where("doc_id is not null").select(*COLUMNS)
+    packed = rows.mapInArrow(zipped, rows.drop("text").withColumn("z", F.lit(None).cast("binary")).schema).join(kept, "doc_id", "left_semi")
+    texts = packed.mapInArrow(unzipped, packed.drop("z").withColumn("text", F.lit(None).cast("binary")).schema)
+    return texts.withColumn("text", F.col("text").cast("string")).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,26 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesync.session import scratch_path
+from lakesync.session import remove_path, scratch_path
+
+#: The folders written inside each open :func:`passing`.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What :func:`stored` writes inside is removed at the end, unless it ``outlives`` the block.
+
+    Nothing that is read later may depend on it."""
+    folders: list[str] = []
+    outer = _PASSING.set((*_PASSING.get(), folders))
+    try:
+        yield
+    finally:
+        _PASSING.reset(outer)
+        for folder in folders:
+            remove_path(spark, folder)
+
+
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and several consumers read files instead of repeating the work."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    open_lists = _PASSING.get()[:-1] if outlives else _PASSING.get()
+    if open_lists:
+        open_lists[-1].append(path.rsplit("/", 1)[0])
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +72,32 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
         start = stop
 
 
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed as ``z``, null if null: for shuffles of whole texts, whose files count."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for own in byte_slices(batch, "text"):
+            texts = own.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+            z = pa.array([None if t is None else zip_.compress(t) for t in texts], pa.binary())
+            rest = [c for c in own.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + [z], [*rest, "z"])
+
+
+def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of some MB with the bytes of the texts back as ``text``."""
+    unzip = zstandard.ZstdDecompressor()
+    for batch in batches:
+        rest = [c for c in batch.schema.names if c != "z"]
+        start, size, texts = 0, 0, []
+        for i, z in enumerate(batch.column("z")):
+            texts.append(unzip.decompress(z.as_py()) if z.is_valid else None)
+            size += len(texts[-1] or b"")
+            if size > 4 << 20 or i + 1 == batch.num_rows:
+                part = batch.slice(start, i + 1 - start)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(texts, pa.large_binary())], [*rest, "text"])
+                start, size, texts = i + 1, 0, []
+
+
 def with_scores(docs: DataFrame, scores, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text",
                 slice_bytes: int = 1 << 20) -> DataFrame:
     """doc_id and score = ``scores(texts)`` of every row, then the columns ``keep`` as they were."""
@@ -110,4 +160,4 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-__all__ = ["table", "stored", "id_text", "byte_slices", "with_scores", "text_lengths", "text_bytes", "grouped_rows"]
+__all__ = ["table", "passing", "stored", "id_text", "byte_slices", "zipped", "unzipped", "with_scores", "text_lengths", "text_bytes", "grouped_rows"]

@@ -36,6 +36,8 @@ from lakesync.llm.textops import mix, shingle_hashes
 BLOCK = 2048
 #: Shingles that a signature keeps at least, if so many halvings of what it leaves out find them.
 LEAST_KEPT, HALVINGS = 1, 4
+#: The cells of up to so many sets go to one task for each center: a set is in many of them, and its rows compress if they travel together.
+TOGETHER = 128
 #: Marks the halves apart from the cells.
 PATH = np.uint64(1 << 40)
 
@@ -199,7 +201,7 @@ def _excluded_out(percent: int):
 
 
 def _open_members(percent: int):
-    """(cell, key, component) of the sets in a cell that sizes and sketches leave a possible partner in another component."""
+    """(deal, cell, key, component) of the sets in a cell that sizes and sketches leave a possible partner in another component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped_rows(batches, "cell"):
             key, part, n = (group.column(c).to_numpy() for c in ("key", "component", "n"))
@@ -221,8 +223,8 @@ def _open_members(percent: int):
                 if len(other):
                     open_[i] = open_[other] = True
             if open_.any():
-                cell = np.full(int(open_.sum()), group.column("cell")[0].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key[open_]), pa.array(part[open_])], ["cell", "key", "component"])
+                deal, cell = (np.full(int(open_.sum()), group.column(c)[0].as_py()) for c in ("deal", "cell"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, cell, key[open_], part[open_])], ["deal", "cell", "key", "component"])
 
     return run
 
@@ -318,10 +320,10 @@ class SetJoin:
         return pairs
 
     def open_members(self, cells: DataFrame) -> DataFrame:
-        """The rows (cell, key, component) that :func:`_open_members` keeps, by short sketches and then by whole ones."""
+        """The rows (deal, cell, key, component) that :func:`_open_members` keeps, by short sketches and then by whole ones."""
         for sketch in ("short", "sketch"):
             rows = cells.join(self.sets.select("key", "n", F.col(sketch).alias("sketch")), "key")
-            cells = stored(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open_members(self.percent), "cell long, key long, component long"), "members")
+            cells = stored(rows.repartition("deal").sortWithinPartitions("cell").mapInArrow(_open_members(self.percent), "deal long, cell long, key long, component long"), "members")
         return cells
 
     def whole_sets(self, keys: DataFrame) -> DataFrame:
@@ -340,7 +342,8 @@ class SetJoin:
 
         # ids may repeat, or be missing: the key made from the text decides which row it is
         texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "text")
-        return stored(texts.mapInArrow(whole, "key long, found long, set binary").where("key = found").groupBy("key").agg(F.first("set").alias("set")), "whole-sets")
+        # not written: a join by key takes the sets as this groups them, and two joins share its shuffle
+        return texts.mapInArrow(whole, "key long, found long, set binary").where("key = found").groupBy("key").agg(F.first("set").alias("set"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct ``pairs`` (a < b) that are similar, counted on the whole sets."""
@@ -360,16 +363,16 @@ class SetJoin:
         first = stored(self.verify(self.close(stars)), "links")
         parts = stored(components(first), "components")
         # groups whose sets are not all connected yet; the center has met each of them
-        named = (shared.where("key <> center").select("sig", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
+        named = (shared.where("key <> center").select("sig", "key", "center").join(parts.withColumnRenamed("node", "key"), "key", "left")
                  .withColumn("component", F.coalesce("component", "key")))
-        open_groups = (named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-                       .where("lo <> hi").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-        left = named.join(open_groups, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        open_groups = (named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.min("center").alias("center"))
+                       .where("lo <> hi").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.when(F.col("m") <= TOGETHER, F.col("center")).alias("deal")))
+        left = named.drop("center").join(open_groups, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         # a cell is a pair of blocks; each row goes to the cells of its block
-        cells = left.select("key", "component", F.explode(F.expr(
-            "transform(sequence(0, blocks - 1), x -> xxhash64(sig, least(x, block), greatest(x, block)))")).alias("cell"))
+        cells = left.select("deal", "key", "component", F.explode(F.expr(
+            "transform(sequence(0, blocks - 1), x -> xxhash64(sig, least(x, block), greatest(x, block)))")).alias("cell")).withColumn("deal", F.coalesce("deal", "cell"))
         members = self.open_members(cells)
-        dealt = members.join(self.whole_sets(members.select("key").distinct()), "key")
+        dealt = members.drop("deal").join(self.whole_sets(members.select("key").distinct()), "key")
         second = stored(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_united(self.percent), "a long, b long").distinct(), "links")
         edges = first.unionByName(second)
         return edges, stored(components(edges), "components")

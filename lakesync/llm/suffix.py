@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import byte_slices, grouped_rows, stored, text_bytes
+from lakesync.llm.common import byte_slices, grouped_rows, passing, stored, text_bytes, unzipped, zipped
 from lakesync.llm.textops import gram_hashes, mix, window_min
 
 _GONE = np.uint64(0xFFFFFFFF)
@@ -68,31 +68,6 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
     return first[inside], last[inside], at, hashes[at]
 
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts compressed as ``z``: they are shuffled twice, and shuffle files count."""
-    zip_ = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for own in byte_slices(batch, "text"):
-            z = pa.array([zip_.compress(t.encode()) for t in own.column("text").to_pylist()], pa.binary())
-            rest = [c for c in own.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + [z], [*rest, "z"])
-
-
-def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of some MB with the bytes of the texts back as ``text``."""
-    unzip = zstandard.ZstdDecompressor()
-    for batch in batches:
-        rest = [c for c in batch.schema.names if c != "z"]
-        start, size, texts = 0, 0, []
-        for i, z in enumerate(batch.column("z")):
-            texts.append(unzip.decompress(z.as_py()))
-            size += len(texts[-1])
-            if size > 4 << 20 or i + 1 == batch.num_rows:
-                part = batch.slice(start, i + 1 - start)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(texts, pa.large_binary())], [*rest, "text"])
-                start, size, texts = i + 1, 0, []
-
-
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary array whose rows are the runs of ``values`` between the bounds."""
     offsets = (bounds * values.itemsize).astype(np.int32)
@@ -479,7 +454,7 @@ def _merge(length: int, gram: int):
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        for own in _unzipped([batch]):
+        for own in unzipped([batch]):
             spans, kept, size = [], [], []
             for raw, places in zip(own.column("text").to_pylist(), own.column("places").to_pylist()):
                 size.append(len(raw))
@@ -523,26 +498,28 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"),
                         F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("more"))
     own = whole.where("doc_id is not null").select("doc_id", "text", "hash")
-    rows = stored(own.select("doc_id", "hash", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes")), "digests")
-    least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = stored(rows.join(least, "digest").select("doc_id", "hash", ((F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= length)).alias("copy")).distinct(), "copies")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    slices = stored(own.mapInArrow(_cut, _SLICES_DDL), "slices")
-    grams = slices.mapInArrow(_gram_runs(length, gram, buckets), "slice long, bucket int, entries binary, docs binary")
-    bits = grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_grams, _BITS_DDL)
-    # a document that is a copy whole needs no search
-    needless = copies.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).where("copy").select("doc_id")
-    needless = slices.mapInArrow(_places, "doc_id long, slice long").join(needless, "doc_id").select("slice", F.lit(2).alias("kind"), "doc_id")
-    cuts = splitters(own, buckets, gram)
-    met = slices.unionByName(bits, allowMissingColumns=True).unionByName(needless, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "kind")
-    runs = met.mapInArrow(_suffix_runs(length, gram, cuts, buckets), _RUNS_DDL)
-    found = (runs.repartition(buckets, "range").sortWithinPartitions("range").mapInArrow(_merge(length, gram), "doc_id long, hash long, places binary"))
-    every = copies.where("copy").select("doc_id", "hash", F.lit(np.uint64(_GONE).tobytes()).alias("places"))
-    places = found.unionByName(every).groupBy("doc_id", "hash").agg(F.collect_list("places").alias("places"))
+    with passing(spark):
+        rows = stored(own.select("doc_id", "hash", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes")), "digests")
+        least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
+        copies = stored(rows.join(least, "digest").select("doc_id", "hash", ((F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= length)).alias("copy")).distinct(), "copies")
+        total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+        slices = stored(own.mapInArrow(_cut, _SLICES_DDL), "slices")
+        grams = slices.mapInArrow(_gram_runs(length, gram, buckets), "slice long, bucket int, entries binary, docs binary")
+        bits = grams.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_grams, _BITS_DDL)
+        # a document that is a copy whole needs no search
+        needless = copies.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).where("copy").select("doc_id")
+        needless = slices.mapInArrow(_places, "doc_id long, slice long").join(needless, "doc_id").select("slice", F.lit(2).alias("kind"), "doc_id")
+        cuts = splitters(own, buckets, gram)
+        met = slices.unionByName(bits, allowMissingColumns=True).unionByName(needless, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "kind")
+        runs = met.mapInArrow(_suffix_runs(length, gram, cuts, buckets), _RUNS_DDL)
+        found = (runs.repartition(buckets, "range").sortWithinPartitions("range").mapInArrow(_merge(length, gram), "doc_id long, hash long, places binary"))
+        every = copies.where("copy").select("doc_id", "hash", F.lit(np.uint64(_GONE).tobytes()).alias("places"))
+        places = found.unionByName(every).groupBy("doc_id", "hash").agg(F.collect_list("places").alias("places"))
+        places = stored(places, "places", outlives=True)
     rows = whole.select("doc_id", "text", "hash", "more")
-    packed = rows.mapInArrow(_zipped, rows.drop("text").withColumn("z", F.lit(None).cast("binary")).schema)
-    joined = packed.join(stored(places, "places"), ["doc_id", "hash"], "left")
+    packed = rows.mapInArrow(zipped, rows.drop("text").withColumn("z", F.lit(None).cast("binary")).schema)
+    joined = packed.join(places, ["doc_id", "hash"], "left")
     out = joined.select("doc_id", "z", "places", "more").mapInArrow(
         _kept, joined.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"),
                              F.lit(None).cast("binary").alias("kept"), "more").schema)

@@ -209,6 +209,22 @@ def test_cells_leave_out_what_the_center_has_met(spark, monkeypatch):
     assert seen == [0] and sorted(r.component_id for r in got) == [0, 1]
 
 
+@pytest.mark.parametrize("together", [0, 128])
+def test_cells_of_a_center_are_dealt_together(spark, monkeypatch, together):
+    """Small cells of one center go to one task, larger ones each to its own; what they unite is the same."""
+    texts = [" ".join(f"w{i % 5}-{j}" if j % 40 < 8 else f"p{j}" for j in range(200)) + f" t{i}" for i in range(20)]
+    seen = []
+    real = partenum.SetJoin.open_members
+    monkeypatch.setattr(partenum, "TOGETHER", together)
+    monkeypatch.setattr(partenum.SetJoin, "open_members", lambda self, cells: (seen.extend(cells.collect()), real(self, cells))[1])
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.component_id for r in partenum.jaccard_components(docs, 5, 80).collect()}
+    assert got == {d: c for d, _, c in brute(list(enumerate(texts)), 5, 80)}
+    cells = {r.cell: r.deal for r in seen}
+    assert len(cells) > 1 and len({(r.cell, r.deal) for r in seen}) == len(cells)
+    assert all(c == d for c, d in cells.items()) if together == 0 else len(set(cells.values())) < len(cells)
+
+
 def test_short_sketches_never_exclude_more(spark):
     rng = np.random.default_rng(5)
     a = np.sort(rng.integers(0, 1 << 62, 300, dtype=np.uint64))

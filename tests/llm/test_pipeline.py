@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from lakesync.llm import toxicity
+from lakesync.session import child_folders, shared_dir
 
 from .helpers import DOCS, awkward_texts, frame
 from .test_partenum import brute as brute_components
@@ -69,6 +70,34 @@ def test_one_of_each_group(spark):
     assert sorted(r.doc_id for r in C.one_of_each_group(spark, docs, SF).collect()) == sorted(want)
 
 
+def scratch(spark) -> set[str]:
+    root = f"{shared_dir(spark)}/lakesync"
+    return {f"{f}/{name}" for f in child_folders(spark, root) for name in child_folders(spark, f"{root}/{f}")}
+
+
+def test_stages_leave_no_scratch_behind(spark):
+    """What a stage wrote on its way went with it; only what its result reads stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    for stage, stays in ((C.one_of_each_group, "kept-ids"), (C.drop_repeats, "places")):
+        before = scratch(spark)
+        out = stage(spark, docs, SF)
+        assert [p.split("/")[1] for p in scratch(spark) - before] == [stays]
+        assert out.count() and not before - scratch(spark)
+
+
+def test_texts_come_back_from_their_shuffle_as_they_were(spark, monkeypatch):
+    texts = ["A b\r\n\u00e9 \U0001f600 \x00 end", None, "", " ", "x" * 70_000, "y " * 3_000_000]
+    own = [(None if i == 3 else i, t, None if i == 4 else "en", "web", i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(C.partenum, "jaccard_components", lambda d, **kw: d.select("doc_id", F.col("doc_id").alias("component_id")))
+    out = C.one_of_each_group(spark, docs, SF)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, own))
+    # the texts go through the join as compressed bytes
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow unzipped") < plan.index("LeftSemi") < plan.index("MapInArrow zipped")
+
+
 def test_repeats_go(spark):
     texts = corpus(7) + awkward_texts(n=5)
     got = {r.doc_id: r for r in C.drop_repeats(spark, frame(spark, texts), SF).collect()}
