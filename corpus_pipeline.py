@@ -38,9 +38,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     with passing(spark):
         groups = partenum.jaccard_components(docs, words=5, percent=80)
         kept = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids", outlives=True)
-    # texts are shuffled compressed
+    # texts are shuffled compressed; a broadcast would have each task pack and unpack them, with two Python workers
     rows = docs.where("doc_id is not null").select(*COLUMNS)
-    packed = rows.mapInArrow(zipped, rows.drop("text").withColumn("z", F.lit(None).cast("binary")).schema).join(kept, "doc_id", "left_semi")
+    packed = rows.mapInArrow(zipped, rows.drop("text").withColumn("z", F.lit(None).cast("binary")).schema).join(kept.hint("merge"), "doc_id", "left_semi")
     texts = packed.mapInArrow(unzipped, packed.drop("z").withColumn("text", F.lit(None).cast("binary")).schema)
     return texts.withColumn("text", F.col("text").cast("string")).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
